@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, packing, quality_rules, sharding
+from . import chat, near_dedup, packing, quality_rules, sharding
 
 #: The vocabulary file that the queries use; operators take the path as a parameter.
 VOCABULARY = "byte_bpe_50k.json"
@@ -48,6 +48,10 @@ def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(_table(spark, sf_dir, "documents"), size=3, percent=85, fold=True)
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = quality_rules.apply_policy(quality_rules.ledger(_table(spark, sf_dir, "documents")), "v1")
     return done.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "fail_mask")
@@ -63,6 +67,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_chat_formatting": op2_chat_formatting,
+    "op3_minhash_near_dedup": op3_minhash_near_dedup,
     "op6_quality_rules": op6_quality_rules,
     "op10_sharding": op10_sharding,
 }
