@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, near_dedup, packing, quality_rules, sharding
+from . import chat, html_extract, near_dedup, packing, quality_rules, sharding
 
 #: The vocabulary file that the queries use; operators take the path as a parameter.
 VOCABULARY = "byte_bpe_50k.json"
@@ -57,6 +57,11 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "fail_mask")
 
 
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = html_extract.extract_pages(_table(spark, sf_dir, "pages"))
+    return done.select("page_id", "url", "text", F.char_length("text").cast("bigint").alias("n_chars"))
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.shard_documents(_table(spark, sf_dir, "documents"), n_shards=8)
     return placed.select(
@@ -69,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_chat_formatting": op2_chat_formatting,
     "op3_minhash_near_dedup": op3_minhash_near_dedup,
     "op6_quality_rules": op6_quality_rules,
+    "op7_html_extraction": op7_html_extraction,
     "op10_sharding": op10_sharding,
 }
 
