@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, html_extract, near_dedup, packing, quality_model, quality_rules, sharding
+from . import chat, decontaminate, html_extract, near_dedup, packing, quality_model, quality_rules, sharding
 
 #: The vocabulary file that the queries use; operators take the path as a parameter.
 VOCABULARY = "byte_bpe_50k.json"
@@ -56,6 +56,11 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_model.classify_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels").select("doc_id", "quality"), threshold=0.3, folds=5, held_fold=0)
 
 
+def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), size=5, percent=80)
+    return found.select("doc_id", "item_id", "kind", "matched", "windows", "consistency", "start", "end")
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = quality_rules.apply_policy(quality_rules.ledger(_table(spark, sf_dir, "documents")), "v1")
     return done.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "fail_mask")
@@ -78,6 +83,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_chat_formatting": op2_chat_formatting,
     "op3_minhash_near_dedup": op3_minhash_near_dedup,
     "op4_quality_classifier": op4_quality_classifier,
+    "op5_benchmark_decontamination": op5_benchmark_decontamination,
     "op6_quality_rules": op6_quality_rules,
     "op7_html_extraction": op7_html_extraction,
     "op10_sharding": op10_sharding,
