@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, html_extract, near_dedup, packing, quality_model, quality_rules, sharding
+from . import chat, decontaminate, html_extract, lm_score, near_dedup, packing, quality_model, quality_rules, sharding, token_counts
+from .scratch import Scratch
 
 #: The vocabulary file that the queries use; operators take the path as a parameter.
 VOCABULARY = "byte_bpe_50k.json"
@@ -71,6 +72,17 @@ def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("page_id", "url", "text", F.char_length("text").cast("bigint").alias("n_chars"))
 
 
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.lm_scores(_table(spark, sf_dir, "documents"), order=2, alpha=0.4, min_count=2)
+
+
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ledger = token_counts.Ledger(spark, Scratch(spark).path("token-ledger"))
+    counted = token_counts.count_tokens(_table(spark, sf_dir, "documents"), {"byte_bpe_50k": vocabulary_path(), token_counts.WORDS: None})
+    ledger.commit("load-0001", token_counts.deltas(counted))
+    return ledger.totals()
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.shard_documents(_table(spark, sf_dir, "documents"), n_shards=8)
     return placed.select(
@@ -86,6 +98,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_benchmark_decontamination": op5_benchmark_decontamination,
     "op6_quality_rules": op6_quality_rules,
     "op7_html_extraction": op7_html_extraction,
+    "op8_lm_scoring": op8_lm_scoring,
+    "op9_token_counts": op9_token_counts,
     "op10_sharding": op10_sharding,
 }
 
