@@ -205,3 +205,11 @@ def near_duplicates(
     own = rows.filter("n = 0").select(id_col, "n", F.col(id_col).alias("component_id"))
     rest = rows.filter("n > 0").select(id_col, "n", "cid").join(smallest, "cid").select(id_col, "n", "component_id")
     return own.unionAll(rest).select(id_col, F.col("n").alias("n_shingles"), "component_id", F.col(id_col).eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def keep_documents(docs: DataFrame, size: int = 5, percent: int = 80, fold: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` with one document of each component, that of the smallest id.  Rows without an id stay; of rows that repeat a kept id, those of one text stay once."""
+    out = Scratch(docs.sparkSession).write(near_duplicates(docs, size, percent, fold, id_col=id_col, text_col=text_col).filter("kept").select(F.col(id_col).alias("_kept")), "kept")
+    rows = docs.join(out.distinct().hint("shuffle_hash"), F.col(id_col).eqNullSafe(F.col("_kept")), "left_semi")
+    repeats = out.filter("_kept IS NOT NULL").groupBy("_kept").count().filter("count > 1")
+    return rows if repeats.isEmpty() else rows.dropDuplicates([id_col, text_col])

@@ -256,3 +256,18 @@ def classify_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3,
     vectors, network = fit_quality(docs, labels, label_col, id_col, text_col, folds, held_fold, max_labelled)
     scored = score_quality(docs, vectors, network, id_col, text_col)
     return scored.select(id_col, F.coalesce(fold_of(F.col(id_col), folds) == held_fold, F.lit(False)).alias("held_out"), "score", F.when(F.col("score") >= threshold, 1).otherwise(0).alias("predicted"))
+
+
+def keep_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of ``docs`` of at least this score, with their columns; scoring neither joins nor shuffles."""
+    model = docs.sparkSession.sparkContext.broadcast(fit_quality(docs, labels, label_col, id_col, text_col, **options))
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v, net = model.value
+        for batch in batches:
+            for block in blocks(batch.column(at)):
+                keep = net.scores(pooled(block, v)) >= threshold
+                yield batch.slice(block.first, block.n_docs).filter(pa.array(keep))
+
+    return docs.mapInArrow(run, docs.schema)

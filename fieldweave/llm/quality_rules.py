@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .textblocks import U64, Block, blocks, mix64
 
@@ -25,8 +26,8 @@ SYMBOLS = b"#*$%&|<>"
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_upper", "n_letters", "n_bangs")
 
 
-def _rules() -> list[tuple[str, Column]]:
-    c = F.col
+def _rules(prefix: str = "") -> list[tuple[str, Column]]:
+    c = lambda name: F.col(prefix + name)
     return [
         ("too_few_words", c("n_words") < 50),
         ("repeated_words", 100 * c("n_repeat_words") > 50 * c("n_words")),
@@ -131,13 +132,17 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"`{id_col}` {id_type}, " + ", ".join(f"{m} bigint" for m in MEASURES))
 
 
-def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Measurements and ``fail_mask`` of every document."""
-    bits = [F.when(cond, F.lit(1 << k).cast("bigint")).otherwise(F.lit(0).cast("bigint")) for k, (_, cond) in enumerate(_rules())]
+def _mask(prefix: str = "") -> Column:
+    bits = [F.when(cond, F.lit(1 << k).cast("bigint")).otherwise(F.lit(0).cast("bigint")) for k, (_, cond) in enumerate(_rules(prefix))]
     mask = bits[0]
     for b in bits[1:]:
         mask = mask.bitwiseOR(b)
-    return measure(docs, id_col, text_col).withColumn("fail_mask", mask)
+    return mask
+
+
+def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Measurements and ``fail_mask`` of every document."""
+    return measure(docs, id_col, text_col).withColumn("fail_mask", _mask())
 
 
 def apply_policy(rows: DataFrame, version: str = "v1") -> DataFrame:
@@ -147,6 +152,22 @@ def apply_policy(rows: DataFrame, version: str = "v1") -> DataFrame:
     return rows.withColumn("base_failed", base).withColumn("kept", ~base & (F.col("fail_mask").bitwiseAND(F.lit(policy)) == 0))
 
 
+def keep_documents(docs: DataFrame, version: str = "v1", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that a policy keeps, with their columns; nothing is joined or shuffled."""
+    names = ["_rule_" + m for m in MEASURES]
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block in blocks(batch.column(at)):
+                own = batch.slice(block.first, block.n_docs)
+                yield pa.RecordBatch.from_arrays([*own.columns, *(pa.array(m, pa.int64()) for m in block_measures(block))], [*own.schema.names, *names])
+
+    measured = docs.mapInArrow(run, StructType([*docs.schema.fields, *(StructField(n, LongType()) for n in names)]))
+    policy = mask_of(POLICIES[version]) | mask_of(BASE)
+    return measured.filter(_mask("_rule_").bitwiseAND(F.lit(policy)) == 0).select(*docs.columns)
+
+
 def ablation(rows: DataFrame, version: str = "v1") -> DataFrame:
     """By rule of the policy: documents that fail it, documents that fail it alone (kept without it), and the OR and AND of the masks of those that fail it."""
     policy = mask_of(POLICIES[version])
