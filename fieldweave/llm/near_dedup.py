@@ -11,8 +11,9 @@
 4. Classes in longer lists are listed anew by their full sets, which is exact: again by rising frequency among them.  Lists of
    values that are frequent even there are only needed for pairs that share nothing rare, so whose frequent shares alone reach
    the overlap needed.  Such a list is not expanded: in each round its classes are compared with a few leaders, those
-   already in one component being skipped, the leaders leave the list and their number doubles.  It ends when no list holds two
-   components that have not been compared, so no link between components is lost.
+   already in one component being skipped, the leaders leave the list and their number grows fourfold.  It ends when no list holds two
+   components that have not been compared, so no link between components is lost.  Each class carries its first ``HEAD`` frequent values:
+   two classes whose heads meet are compared in the list of the first value that they share, and not again in every other.
 5. Exact Jaccard on full sets confirms every link; components are contracted, and every document gets the smallest id of its own.
 
 Defined results: texts without words have an empty set and link with nothing; fewer words than a shingle make one shingle;
@@ -36,6 +37,8 @@ from .textblocks import U64, Block, blocks, mix64
 
 SKETCH = 64
 SHORT = 32
+HEAD = 16
+GROWTH = 4
 DEVIATIONS = 5
 _SALT_A, _SALT_B, _SALT_FEW = U64(0xA0761D6478BD642F), U64(0xE7037ED1A0B428DB), U64(0x8EBC6AF09C88C6E3)
 
@@ -145,8 +148,9 @@ def _compare_with_leaders(hot: DataFrame, labels: DataFrame | None, leaders: int
     rows = rows.join(open_lists, "v", "left_semi")
     first = Window.partitionBy("v").orderBy(F.desc(F.col("h") / F.col("n")), "cid")
     lead = rows.withColumn("rank", F.row_number().over(first)).filter(F.col("rank") <= leaders)
-    lead = lead.select(F.col("v").alias("w"), F.col("cid").alias("lead"), F.col("n").alias("nl"), F.col("h").alias("hl"), F.col("root").alias("rl"))
-    met = rows.join(lead, (F.col("v") == F.col("w")) & (F.col("root") != F.col("rl")) & _sizes_fit("n", "nl", percent) & F.expr(f"least(h, hl) * {100 + percent} >= {percent} * (n + nl)"))
+    lead = lead.select(F.col("v").alias("w"), F.col("cid").alias("lead"), F.col("n").alias("nl"), F.col("h").alias("hl"), F.col("head").alias("headl"), F.col("root").alias("rl"))
+    elsewhere = F.coalesce(F.try_element_at(F.array_intersect("head", "headl"), F.lit(1)) != F.col("v"), F.lit(False))
+    met = rows.join(lead, (F.col("v") == F.col("w")) & (F.col("root") != F.col("rl")) & _sizes_fit("n", "nl", percent) & F.expr(f"least(h, hl) * {100 + percent} >= {percent} * (n + nl)") & ~elsewhere)
     return met.select(F.least("cid", "lead").alias("a"), F.greatest("cid", "lead").alias("b")).distinct(), lead.select(F.col("w").alias("v"), F.col("lead").alias("cid"))
 
 
@@ -179,9 +183,10 @@ def near_duplicates(
     if not crowded.isEmpty():
         full = sets.join(crowded, "cid", "left_semi").select("cid", "n", F.col("retained").alias("values"))
         exact = _listed(full, F.col("n"), F.ceil(F.col("n") * percent / 100))
-        exact = exact.withColumn("h", F.size(F.filter("shared", lambda s: s["df"] > short)))
-        exact = scratch.write(exact.select("cid", "n", "h", F.explode("prefix").alias("p")).select(F.col("p.v").alias("v"), F.col("p.df").alias("df"), "cid", "n", "h"), "exact")
-        hot = exact.filter(F.col("df") > short).select("v", "cid", "n", "h")
+        frequent = lambda s: s["df"] > short
+        exact = exact.withColumn("h", F.size(F.filter("shared", frequent))).withColumn("head", F.transform(F.slice(F.filter("prefix", frequent), 1, HEAD), lambda s: s["v"]))
+        exact = scratch.write(exact.select("cid", "n", "h", "head", F.explode("prefix").alias("p")).select(F.col("p.v").alias("v"), F.col("p.df").alias("df"), "cid", "n", "h", "head"), "exact")
+        hot = exact.filter(F.col("df") > short).select("v", "cid", "n", "h", "head")
         more, lead = _compare_with_leaders(hot, None, 1, percent)
         hot = scratch.write(hot.join(lead, ["v", "cid"], "left_anti"), "hot0")
         pairs = scratch.write(pairs.union(_pairs(exact.filter(F.col("df") <= short), percent)).union(more).distinct(), "pairs-all")
@@ -189,7 +194,7 @@ def near_duplicates(
     labels = connected_components(links, scratch, "first")
     leaders, k_round = 1, 0
     while hot is not None:
-        leaders, k_round = leaders * 2, k_round + 1
+        leaders, k_round = leaders * GROWTH, k_round + 1
         more, lead = _compare_with_leaders(hot, labels, leaders, percent)
         lead = scratch.write(lead, f"lead{k_round}")
         if lead.isEmpty():
