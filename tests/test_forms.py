@@ -1,0 +1,186 @@
+"""Operators of the form-filling dataflow on small fixtures worked out by hand."""
+
+from __future__ import annotations
+
+import json
+
+import pytest
+from pyspark.sql import functions as F
+
+from fieldweave import schemas
+from fieldweave.functions import field_types
+from fieldweave.operators import extract, fields, fill, prompts, requests, widgets
+from fieldweave.plans import pipeline
+from fieldweave.sources import pdf
+from fieldweave.sources.catalog import Catalog, upserted
+from fieldweave.streaming import transcripts
+
+WIDGETS = [
+    ("f.pdf", 0, 0, "/Widget", "JobTitle", None, "/Tx", [10.0, 100.0]),
+    ("f.pdf", 0, 1, "/Widget", "agree_box", "Agree", "/Btn", [50.0, 200.0]),
+    ("f.pdf", 0, 2, "/Widget", "County", None, "/Ch", [5.0, 200.0]),
+    ("f.pdf", 0, 3, "/Widget", "County2", None, None, [5.0, 200.0]),
+    ("f.pdf", 0, 4, "/Link", "x", None, None, [1.0, 300.0]),
+    ("f.pdf", 0, 5, "/Widget", None, None, "/Tx", [1.0, 400.0]),
+    ("f.pdf", 1, 0, "/Widget", "Sign", None, "/Sig", [5.0, 700.0]),
+]
+
+
+@pytest.fixture
+def ordered(spark):
+    return widgets.ordered_widgets(spark.createDataFrame(WIDGETS, schemas.WIDGET))
+
+
+def test_widget_order_and_types(ordered):
+    got = [(r["name"], r["description"], r["type"]) for r in ordered.orderBy("pos").collect()]
+    assert got == [("County", "County", "list"), ("County2", "County2", "string"), ("agree_box", "Agree", "checkbox"), ("JobTitle", "Job Title", "string"), ("Sign", "Sign", "signature")]
+
+
+def test_counts_and_mismatch(spark):
+    pdfs = spark.createDataFrame([("f.pdf", True), ("bad.pdf", False), ("none.pdf", True)], "pdf_path string, readable boolean")
+    counts = widgets.widget_counts(pdfs, spark.createDataFrame(WIDGETS, schemas.WIDGET))
+    assert {r["pdf_path"]: r["n_widgets"] for r in counts.collect()} == {"f.pdf": 5, "bad.pdf": None, "none.pdf": 0}
+    templates = spark.createDataFrame([(1, [(0, "a", "string")], "f.pdf"), (2, [], "bad.pdf"), (3, [(0, "a", "string")], "none.pdf")], f"id bigint, fields {schemas.FIELDS}, pdf_path string")
+    assert {r["id"]: r["verdict"] for r in widgets.count_mismatches(templates, counts).collect()} == {1: "surplus_widgets", 2: "unreadable", 3: "surplus_fields"}
+
+
+def test_fill_by_position_and_by_name(spark, ordered):
+    subs = spark.createDataFrame([(1, "f.pdf")], "submission_id bigint, pdf_path string")
+    answers = spark.createDataFrame([(1, 0, "p", False, ["A"]), (1, 1, "q", False, None), (1, 2, "job title", True, ["x", "y"])], schemas.ANSWER)
+    got = fill.filled_widgets(subs, ordered, answers, compat=True).orderBy("pos").collect()
+    assert [(r["filled"], r["value"]) for r in got] == [(True, "A"), (True, "None"), (True, "['x', 'y']"), (False, None), (False, None)]
+    many = spark.createDataFrame([(1, k, f"q{k}", False, [str(k)]) for k in range(7)], schemas.ANSWER)
+    assert [r["value"] for r in fill.filled_widgets(subs, ordered, many).orderBy("pos").collect()] == ["0", "1", "2", "3", "4"]
+    named = fill.filled_widgets(subs, ordered, answers, match="name").filter("filled").collect()
+    assert [(r["name"], r["value"]) for r in named] == [("JobTitle", "x; y")]
+    with pytest.raises(ValueError):
+        fill.filled_widgets(subs, ordered, answers, match="colour")
+
+
+def test_fields_from_json_keep_order_and_types(spark):
+    rows = spark.createDataFrame([(0, '{"b":"date","10":"x","2":5,"a":null}'), (1, "{}"), (2, None)], "k int, j string").orderBy("k")
+    got = [r["f"] for r in rows.select(fields.fields_from_json(F.col("j")).alias("f")).collect()]
+    assert [(f["pos"], f["name"], f["type"]) for f in got[0]] == [(0, "b", "date"), (1, "10", "x"), (2, "2", "string"), (3, "a", "string")]
+    assert got[1] == [] and got[2] is None
+    js = rows.filter("k = 0").select(fields.in_js_key_order(fields.fields_from_json(F.col("j"))).alias("f")).first()["f"]
+    assert [f["name"] for f in js] == ["2", "10", "b", "a"]
+
+
+def test_field_lists_that_cannot_be_saved(spark):
+    rows = spark.createDataFrame([(1, "A"), (1, " a "), (2, ""), (2, "b"), (3, "c"), (4, None)], "k int, name string")
+    assert {(r["k"], r["problem"]) for r in fields.field_problems(rows, "k").collect()} == {(1, "duplicate_name"), (2, "blank_name"), (4, "blank_name")}
+    assert {r["k"]: r["blank"] for r in fields.all_rows_blank(rows, "k").collect()} == {1: False, 2: False, 3: False, 4: True}
+
+
+def test_field_types(spark):
+    rows = spark.createDataFrame([(0, "email"), (1, "odd"), (2, None)], "k int, t string").orderBy("k")
+    assert [tuple(r) for r in rows.select(field_types.normalize_type(F.col("t")), field_types.label_of(F.col("t"))).collect()] == [("email", "Email"), ("string", "Text"), ("string", "Text")]
+
+
+def test_prompt_is_filled_once(spark):
+    rows = spark.createDataFrame([("{text}", "date", "hello"), ("f", "t", None)], "f string, t string, x string")
+    got = [r[0] for r in rows.select(prompts.build_prompt(F.col("f"), F.col("t"), F.col("x"), "{{{field}}} {type}: {text}!")).collect()]
+    assert got == ["{{text}} date: hello!", "{f} t: None!"]
+
+
+def test_golden_transcript(spark):
+    raw = {"reporting_officer": "Officer Voldemort", "incident_location": '"456 Oak Street"', "amount_of_victims": " 2 ", "victim_name_s": "Mark Smith; Jane Doe", "assisting_officer": "Sheriff's Deputy Alvarez", "badge": "-1"}
+    template = spark.createDataFrame([(1, [(k, n, "string") for k, n in enumerate(raw)])], f"id bigint, fields {schemas.FIELDS}")
+    subs = spark.createDataFrame([(5, 1, "transcript")], "id bigint, template_id bigint, input_text string")
+    fixtures = spark.createDataFrame(list(raw.items()), "field string, response string")
+    found = pipeline.extract_answers(subs, template, lambda p: extract.fixture_responses(p, fixtures))
+    out = extract.answers_by_submission(found).select(extract.answers_json(F.col("answers"))).first()[0]
+    expected = {"reporting_officer": "Officer Voldemort", "incident_location": "456 Oak Street", "amount_of_victims": "2", "victim_name_s": ["Mark Smith", "Jane Doe"], "assisting_officer": "Sheriff's Deputy Alvarez", "badge": None}
+    assert json.loads(out) == expected and list(json.loads(out)) == list(expected)
+
+
+def test_model_is_asked_once_for_each_distinct_prompt(spark, tmp_path):
+    log = str(tmp_path / "calls")
+
+    def ask(prompt: str) -> str:
+        with open(log, "a") as f:
+            f.write(prompt + "\n")
+        if "bad" in prompt:
+            raise OSError("down")
+        return prompt.upper()
+
+    rows = spark.createDataFrame([(k, "f", "string", t, f"p {t}") for k, t in enumerate(["a", "a", "b", "bad"])], "submission_id bigint, field string, type string, input_text string, prompt string")
+    run = lambda: {r["submission_id"]: (r["response"], r["error"]) for r in extract.extract_cached(rows, ask, str(tmp_path / "cache"), "v1", concurrency=2).collect()}
+    expected = {0: ("P A", None), 1: ("P A", None), 2: ("P B", None), 3: (None, "OSError: down")}
+    assert run() == expected
+    assert sorted(open(log).read().split("\n")[:-1]) == ["p a", "p b", *["p bad"] * extract.ATTEMPTS]
+    assert run() == expected  # only the failure is asked again
+    assert open(log).read().count("p a\n") == 1
+
+
+def test_checks_keep_what_they_reject(spark):
+    subs = spark.createDataFrame([("1", "hello"), ("1", " 　"), ("x", "a"), ("9", "a"), (None, "a")], "template_id string, input_text string")
+    templates = spark.createDataFrame([(1,)], "id bigint")
+    assert sorted((r["template_id"] or "", r["status"], r["reason"]) for r in requests.checked_submissions(subs, templates).filter("status <> 200").collect()) == [
+        ("", 422, "template_id_not_a_number"), ("1", 422, "blank_text"), ("9", 404, "unknown_template"), ("x", 422, "template_id_not_a_number"),
+    ]
+    uploads = spark.createDataFrame([("a/b.PDF", "in"), ("b.txt", "in"), ("", "in"), ("b.pdf", "  "), ("b.pdf", "../y"), ("b.pdf", None), ("b.pdf", "/root/x/y/..")], "filename string, directory string")
+    got = [(r["name"], r["target"], r["status"], r["reason"]) for r in requests.checked_uploads(uploads, "/root/x").collect()]
+    assert got == [
+        ("b.PDF", "/root/x/in", 200, None), ("b.txt", "/root/x/in", 400, "not_a_pdf"), ("", "/root/x/in", 400, "filename_required"), ("b.pdf", "/root/x", 400, "directory_required"),
+        ("b.pdf", None, 400, "outside_root"), ("b.pdf", "/root/x/inputs", 200, None), ("b.pdf", "/root/x", 200, None),
+    ]
+    files = spark.createDataFrame([("/root/x/a.pdf",), ("/root/x/a.txt",)], "path string")
+    wanted = spark.createDataFrame([("a.pdf",), ("b.pdf",), ("../a.pdf",), ("a.txt",), (None,)], "path string")
+    assert {(r["path"], r["reason"]) for r in requests.checked_files(wanted, files, "/root/x").collect()} == {("a.pdf", None), ("b.pdf", "not_found"), ("../a.pdf", "outside_root"), ("a.txt", "not_a_pdf"), (None, "path_required")}
+
+
+def test_catalog(spark, tmp_path):
+    catalog = Catalog(spark, str(tmp_path / "c"))
+    catalog.create()
+    catalog.create()
+    assert [(r["id"], r["name"], len(r["fields"])) for r in catalog.templates().collect()] == [(2, "Manual Test Template", 7)]
+    rows = spark.createDataFrame([("B", [], "b.pdf", "2030-01-02 00:00:00"), ("A", [], "a.pdf", "2030-01-02 00:00:00")], f"name string, fields {schemas.FIELDS}, pdf_path string, at string")
+    catalog.add_templates(rows.withColumn("created_at", F.col("at").cast("timestamp")).drop("at").repartition(3))
+    assert [(r["id"], r["name"]) for r in catalog.list_templates().collect()] == [(4, "B"), (3, "A"), (2, "Manual Test Template")]
+    assert catalog.template(3).count() == 1 and catalog.template(99).count() == 0
+    catalog.add_submissions(spark.createDataFrame([(3, "John Doe, firefighter", "out.pdf")], "template_id bigint, input_text string, output_pdf_path string").withColumn("created_at", F.current_timestamp()))
+    assert [(r["id"], r["template_id"], r["input_text"]) for r in catalog.submissions().collect()] == [(1, 3, "John Doe, firefighter")]
+
+
+def test_upsert_takes_the_change_on_a_tie(spark):
+    make = lambda *rows: spark.createDataFrame(rows, "k int, v int, x string")
+    out = upserted(make((1, 1, "old"), (2, 5, "old")), make((1, 1, "new"), (2, 4, "new"), (3, 1, "new")), "k", "v")
+    assert sorted(tuple(r) for r in out.collect()) == [(1, 1, "new"), (2, 5, "old"), (3, 1, "new")]
+
+
+PDF = (
+    b"%PDF-1.4\n1 0 obj << /Type /Catalog /Pages 2 0 R >> endobj\n2 0 obj << /Type /Pages /Kids [3 0 R] /Count 1 >> endobj\n"
+    b"3 0 obj << /Type /Page /Parent 2 0 R /Annots [4 0 R 5 0 R] >> endobj\n"
+    b"4 0 obj << /Type /Annot /Subtype /Widget /FT /Tx /T (JobTitle) /TU (Your \\(job\\)) /Rect [10 100 50 120] >> endobj\n"
+    b"5 0 obj << /Subtype /Widget /FT /Btn /T <FEFF0041> /Rect [10 200 50 220] >> endobj\n%%EOF"
+)
+
+
+def test_pdf_source(spark, tmp_path):
+    (tmp_path / "a.pdf").write_bytes(PDF)
+    (tmp_path / "b.PDF").write_bytes(b"not a pdf")
+    (tmp_path / "c.txt").write_bytes(PDF)
+    pdfs = pdf.read_pdfs(spark, str(tmp_path))
+    assert {r["pdf_path"].rsplit("/", 1)[1]: r["readable"] for r in pdfs.collect()} == {"a.pdf": True, "b.PDF": False}
+    got = widgets.ordered_widgets(pdf.widgets_of(pdfs)).orderBy("pos").collect()
+    assert [(r["name"], r["description"], r["type"]) for r in got] == [("A", "A", "checkbox"), ("JobTitle", "Your (job)", "string")]
+
+
+def test_fill_forms_end_to_end_and_fan_out(spark, ordered):
+    templates = spark.createDataFrame([(1, "T", [(0, "Email", "email"), (1, "Phone", "phone")], "f.pdf", None)], schemas.TEMPLATE)
+    subs = spark.createDataFrame([(7, 1, "mail a@b.co or c@d.org"), (8, 1, " "), (9, 3, "x")], "id bigint, template_id bigint, input_text string")
+    done, rejected = pipeline.fill_forms(subs, templates, ordered)
+    assert [(r["submission_id"], r["value"]) for r in done.filter("filled").orderBy("pos").collect()] == [(7, "a@b.co; c@d.org"), (7, "")]
+    assert {(r["id"], r["status"]) for r in rejected.collect()} == {(8, 422), (9, 404)}
+    both = templates.unionByName(templates.withColumn("id", F.lit(2).cast("bigint")))
+    assert pipeline.fan_out(subs.drop("template_id"), both).count() == 6
+
+
+def test_stream_of_transcripts_counts_each_file_once(spark, tmp_path):
+    templates = spark.createDataFrame([(1, "T", [(0, "Email", "email")], "f.pdf", None)], schemas.TEMPLATE)
+    source, out, mark = (str(tmp_path / x) for x in ("in", "out", "mark"))
+    for k in (1, 2):
+        spark.createDataFrame([(k, 1, f"a{k}@b.co")], "id bigint, template_id bigint, input_text string").write.mode("append").json(source)
+        transcripts.write_answers(transcripts.read_submissions(spark, source), templates, out, mark).awaitTermination()
+        assert spark.read.parquet(out).count() == k
