@@ -11,7 +11,7 @@
 4. Classes in longer lists are listed anew by their full sets, which is exact: again by rising frequency among them.  Lists of
    values that are frequent even there are only needed for pairs that share nothing rare, so whose frequent shares alone reach
    the overlap needed.  Such a list is not expanded: in each round its classes are compared with a few leaders, those
-   already in one component being skipped, the leaders leave the list and their number grows fourfold.  It ends when no list holds two
+   already in one component being skipped, the leaders leave the list and their number grows sixteenfold.  It ends when no list holds two
    components that have not been compared, so no link between components is lost.  Each class carries its first ``HEAD`` frequent values:
    two classes whose heads meet are compared in the list of the first value that they share, and not again in every other.
 5. Exact Jaccard on full sets confirms every link; components are contracted, and every document gets the smallest id of its own.
@@ -38,7 +38,7 @@ from .textblocks import U64, Block, blocks, mix64
 SKETCH = 64
 SHORT = 32
 HEAD = 16
-GROWTH = 4
+GROWTH = 16
 DEVIATIONS = 5
 _SALT_A, _SALT_B, _SALT_FEW = U64(0xA0761D6478BD642F), U64(0xE7037ED1A0B428DB), U64(0x8EBC6AF09C88C6E3)
 
@@ -141,11 +141,15 @@ def _full_sets(docs: DataFrame, wanted: DataFrame, scratch: Scratch, size: int,
     return sets
 
 
-def _compare_with_leaders(hot: DataFrame, labels: DataFrame | None, leaders: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """(pairs, rows of leaders) of one round; pairs within a component, or that frequent shares can't make linked, are skipped."""
+def _open_lists(hot: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """``hot`` with each class's ``root``, without lists whose classes are all in one component; those never open again."""
     rows = hot.withColumn("root", F.col("cid")) if labels is None else hot.join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
-    open_lists = rows.groupBy("v").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("v")
-    rows = rows.join(open_lists, "v", "left_semi")
+    still = rows.groupBy("v").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("v")
+    return rows.join(still, "v", "left_semi")
+
+
+def _compare_with_leaders(rows: DataFrame, leaders: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(pairs, rows of leaders) of one round; pairs within a component, or that frequent shares can't make linked, are skipped."""
     first = Window.partitionBy("v").orderBy(F.desc(F.col("h") / F.col("n")), "cid")
     lead = rows.withColumn("rank", F.row_number().over(first)).filter(F.col("rank") <= leaders)
     lead = lead.select(F.col("v").alias("w"), F.col("cid").alias("lead"), F.col("n").alias("nl"), F.col("h").alias("hl"), F.col("head").alias("headl"), F.col("root").alias("rl"))
@@ -187,20 +191,22 @@ def near_duplicates(
         exact = exact.withColumn("h", F.size(F.filter("shared", frequent))).withColumn("head", F.transform(F.slice(F.filter("prefix", frequent), 1, HEAD), lambda s: s["v"]))
         exact = scratch.write(exact.select("cid", "n", "h", "head", F.explode("prefix").alias("p")).select(F.col("p.v").alias("v"), F.col("p.df").alias("df"), "cid", "n", "h", "head"), "exact")
         hot = exact.filter(F.col("df") > short).select("v", "cid", "n", "h", "head")
-        more, lead = _compare_with_leaders(hot, None, 1, percent)
-        hot = scratch.write(hot.join(lead, ["v", "cid"], "left_anti"), "hot0")
+        hot = scratch.write(_open_lists(hot, None), "open0")
+        more, lead = _compare_with_leaders(hot, 1, percent)
+        hot = scratch.write(hot.join(lead, ["v", "cid"], "left_anti").drop("root"), "hot0")
         pairs = scratch.write(pairs.union(_pairs(exact.filter(F.col("df") <= short), percent)).union(more).distinct(), "pairs-all")
     links = scratch.write(confirmed(pairs, sets, percent), "links")
     labels = connected_components(links, scratch, "first")
     leaders, k_round = 1, 0
     while hot is not None:
         leaders, k_round = leaders * GROWTH, k_round + 1
-        more, lead = _compare_with_leaders(hot, labels, leaders, percent)
+        hot = scratch.write(_open_lists(hot, labels), f"open{k_round}")
+        more, lead = _compare_with_leaders(hot, leaders, percent)
         lead = scratch.write(lead, f"lead{k_round}")
         if lead.isEmpty():
             break
         new = scratch.write(confirmed(more, sets, percent), f"links{k_round}")
-        hot = scratch.write(hot.join(lead, ["v", "cid"], "left_anti"), f"hot{k_round}")
+        hot = scratch.write(hot.join(lead, ["v", "cid"], "left_anti").drop("root"), f"hot{k_round}")
         if not new.isEmpty():
             links = links.union(new)
             labels = connected_components(links, scratch, f"round{k_round}")
