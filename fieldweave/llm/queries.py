@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, html_extract, lm_score, near_dedup, packing, quality_model, quality_rules, sharding, token_counts
+from . import chat, decontaminate, html_extract, lm_score, near_dedup, packing, quality_model, quality_rules, sharding, sql, token_counts
 from .scratch import Scratch
 
 #: The vocabulary file that the queries use; operators take the path as a parameter.
@@ -103,4 +103,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_sharding": op10_sharding,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op2_chat_formatting": sql.CHAT_FORMATTING, "op3_minhash_near_dedup": sql.NEAR_DEDUP, "op6_quality_rules": sql.QUALITY_RULES}
