@@ -3,13 +3,15 @@
 A page's tags form a token stream that is read as a tree of containers with text slots.  Wrappers are union-free regular
 expressions over such streams: adjacent siblings of one label become a repeated group, the child sequences of two trees are
 aligned by their longest common subsequence, what only one of them has becomes optional, and text slots keep whether their
-text varies.  Every task folds its own pages into one wrapper for each host; those are folded further by host, so what meets
+text varies and in how many articles it has one.  Pages are reduced to their trees, one for each distinct article of a host; every task
+folds its own trees into one wrapper for each host; those are folded further by host, so what meets
 in a task is a wrapper for each task before it, never a host's pages.  A page is then matched against its host's
 wrapper: the wrapper says which group holds the article and which slots say the same on every page.
 
 Kept is the article's text without menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader
-comments (known by tag, role or class), and without slots that repeat one text on at least ``CONSTANT_PAGES`` pages of a host
-whose other slots vary.  White space inside a block becomes one space; blocks are joined in page order by one newline.
+comments (known by tag, role or class), and without slots other than headings that say one text in at least ``CONSTANT_PAGES``
+articles and ``CONSTANT_PERCENT`` of all articles of a host.  Pages of a host whose own articles say the same are copies and count as one
+article, so a text is not taken for the template's because an article was copied.  White space inside a block becomes one space; blocks are joined in page order by one newline.
 
 Defined results: a null or empty page has an empty text; a page without a host or one that doesn't match its wrapper is judged by its
 own tree; null or repeated ids are rows like others; other columns are not read; an empty table gives no rows.
@@ -17,6 +19,7 @@ own tree; null or repeated ids are rows like others; other columns are not read;
 
 from __future__ import annotations
 
+import hashlib
 import html as html_module
 import json
 import re
@@ -30,6 +33,7 @@ from pyspark.sql import functions as F
 from .scratch import Scratch
 
 CONSTANT_PAGES = 5
+CONSTANT_PERCENT = 90
 BROADCAST_BYTES = 32 << 20
 SALTS = 16
 #: Containers nested deeper are read as part of the one at this depth; their text is kept.
@@ -38,6 +42,7 @@ MAX_DEPTH = 200
 #: HTML elements by how they are read.
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 SKIPPED = frozenset("script style noscript template textarea title iframe noembed noframes svg math object select button canvas audio video head".split())
 RAW = frozenset("script style textarea title noscript template iframe noembed noframes".split())
 DROPPED = frozenset("nav aside footer form menu dialog fieldset search".split())
@@ -59,22 +64,23 @@ _RAW_END = {name: re.compile(rf"</{name}\b[^>]*(?:>|\Z)", re.I) for name in RAW}
 class Node:
     """A container of a page or of a wrapper: label, what was seen of it, and its children in order."""
 
-    __slots__ = ("label", "pages", "repeated", "text", "varies", "chars", "children")
+    __slots__ = ("label", "pages", "repeated", "text", "held", "varies", "chars", "children")
 
     def __init__(self, label: str, pages: int = 1):
         self.label, self.pages, self.repeated = label, pages, False
         self.text: int | None = None  # of the text slot: its checksum
+        self.held = 0  # pages whose slot has text
         self.varies, self.chars = False, 0
         self.children: list[Node] = []
 
     def dump(self) -> list:
-        return [self.label, self.pages, int(self.repeated), self.text, int(self.varies), self.chars, [c.dump() for c in self.children]]
+        return [self.label, self.pages, int(self.repeated), self.text, int(self.varies), self.chars, self.held, [c.dump() for c in self.children]]
 
     @classmethod
     def load(cls, x: list) -> Node:
         node = cls(x[0], x[1])
-        node.repeated, node.text, node.varies, node.chars = bool(x[2]), x[3], bool(x[4]), x[5]
-        node.children = [cls.load(c) for c in x[6]]
+        node.repeated, node.text, node.varies, node.chars, node.held = bool(x[2]), x[3], bool(x[4]), x[5], x[6]
+        node.children = [cls.load(c) for c in x[7]]
         return node
 
 
@@ -197,7 +203,7 @@ class Page:
                 if text:
                     slot = zlib.crc32(text.encode("utf-8", "surrogatepass"))
                     node.varies |= node.text is not None and node.text != slot
-                    node.text = slot
+                    node.text, node.held = slot, 1
                     node.chars += len(text)
                 runs: list[tuple[str, list[int]]] = []
                 for c in children[i]:
@@ -270,6 +276,7 @@ def fold(a: Node, b: Node) -> Node:
         x.varies |= y.varies or (x.text is not None and y.text is not None and x.text != y.text)
         x.text = y.text if x.text is None else x.text
         x.chars += y.chars
+        x.held += y.held
         children = []
         for i, j in _aligned([c.label for c in x.children], [c.label for c in y.children]):
             if i is not None and j is not None:
@@ -317,6 +324,24 @@ def article_of(root: Node) -> Node:
         node = inner
 
 
+def _kept(page: Page, nodes: list[Node], holders: set[int]) -> list[tuple[int, str]]:
+    """Blocks of the holders and of all below them that isn't dropped."""
+    n = len(nodes)
+    inside, semantic = [False] * n, [False] * n
+    for i in range(n):
+        up = page.parent[i]
+        semantic[i] = page.tag[i] in ("article", "main") or (up >= 0 and semantic[up])
+        dropped = i not in holders and (page.drop[i] == 2 or (page.drop[i] == 1 and not (up >= 0 and semantic[up])))
+        inside[i] = i in holders or (up >= 0 and inside[up] and not dropped)
+    return [(i, text) for i, text in page.blocks if inside[i]]
+
+
+def own_article(page: Page, root: Node, nodes: list[Node]) -> str:
+    """Text of the article as the page's own tree has it."""
+    local = article_of(root)
+    return "\n".join(text for _, text in _kept(page, nodes, {i for i in range(len(nodes)) if nodes[i] is local}))
+
+
 def extract(html: str | None, wrapper: Node | None, article: Node | None) -> str:
     """Main text of a page; ``article`` is the wrapper's group of that name."""
     page = Page(html or "")
@@ -333,23 +358,18 @@ def extract(html: str | None, wrapper: Node | None, article: Node | None) -> str
                 work += zip(own.children, other.children)
             else:
                 work += [(own.children[i], other.children[j]) for i, j in _aligned([c.label for c in own.children], [c.label for c in other.children]) if i is not None and j is not None]
-    # containers of the article, with all below them that isn't dropped
     n = len(nodes)
     holders = {i for i in range(n) if article is not None and match.get(id(nodes[i])) is article}
     local = article_of(root)
     if not holders or (_tag(local.label) in ("article", "main") and _tag(article.label) not in ("article", "main")):
         holders = {i for i in range(n) if nodes[i] is local}
-    inside, semantic = [False] * n, [False] * n
-    for i in range(n):
-        up = page.parent[i]
-        semantic[i] = page.tag[i] in ("article", "main") or (up >= 0 and semantic[up])
-        dropped = i not in holders and (page.drop[i] == 2 or (page.drop[i] == 1 and not (up >= 0 and semantic[up])))
-        inside[i] = i in holders or (up >= 0 and inside[up] and not dropped)
-    kept = [(i, text) for i, text in page.blocks if inside[i]]
+    kept = _kept(page, nodes, holders)
 
     def constant(i: int) -> bool:
         slot = match.get(id(nodes[i]))
-        return slot is not None and slot.pages >= CONSTANT_PAGES and not slot.varies and not slot.repeated and slot.text is not None
+        if slot is None or slot.varies or slot.repeated or page.tag[i] in HEADINGS:
+            return False
+        return slot.held >= CONSTANT_PAGES and 100 * slot.held >= CONSTANT_PERCENT * wrapper.pages
 
     flags = [constant(i) for i, _ in kept]
     if not all(flags):
@@ -362,13 +382,23 @@ def host_of(url: Column) -> Column:
 
 
 def infer_wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(host, wrapper): folded over all pages of each host, first in each task, then by host in two steps."""
+    """(host, wrapper): folded over all distinct articles of each host, first in each task, then by host in two steps."""
+
+    def trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, dumps = [], []
+            for html in batch.column(1).to_pylist():
+                page = Page(html or "")
+                root, nodes = page.tree()
+                keys.append(hashlib.blake2b(own_article(page, root, nodes).encode("utf-8", "surrogatepass"), digest_size=16).digest())
+                dumps.append(json.dumps(root.dump(), separators=(",", ":")))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), pa.array(dumps, pa.string())], ["host", "article", "wrapper"])
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[str, Node] = {}
         for batch in batches:
-            for host, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                root, _ = Page(html or "").tree()
+            for host, dump in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                root = Node.load(json.loads(dump))
                 found[host] = fold(found[host], root) if host in found else root
             if len(found) > 5000:
                 yield _wrapper_batch(found)
@@ -382,7 +412,9 @@ def infer_wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html
             found[host] = fold(found[host], node) if host in found else node
         return pa.Table.from_batches([_wrapper_batch(found)])
 
-    first = pages.select(host_of(F.col(url_col)).alias("host"), F.col(html_col)).mapInArrow(own, "host string, wrapper string")
+    own_trees = pages.select(host_of(F.col(url_col)).alias("host"), F.col(html_col)).mapInArrow(trees, "host string, article binary, wrapper string")
+    distinct = own_trees.groupBy("host", "article").agg(F.min("wrapper").alias("wrapper"))
+    first = distinct.select("host", "wrapper").mapInArrow(own, "host string, wrapper string")
     second = first.withColumn("salt", F.pmod(F.xxhash64("wrapper"), F.lit(SALTS))).groupBy("host", "salt").applyInArrow(meet, "host string, wrapper string")
     return second.groupBy("host").applyInArrow(meet, "host string, wrapper string")
 

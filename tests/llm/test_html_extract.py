@@ -52,6 +52,15 @@ def test_slot_that_says_the_same_on_every_page_goes(spark):
     assert all(got[100 + k] == "one\ncopy" for k in range(8))
 
 
+def test_text_of_one_page_and_copies_stay(spark):
+    one = "<blockquote>said on this page only</blockquote>"
+    rows = [(k, f"http://own.org/{k}", f"<article><h1>t{k}</h1><blockquote><p>quote {k}</p></blockquote><div>{one * (k == 3)}</div><h2>Summary</h2><p>text {k}</p><p>more {k}</p></article>") for k in range(8)]
+    rows += [(100 + k, f"http://many.org/{k}", f"<nav>{k}</nav><article><h1>one</h1><div class='lead'>lead</div><p>first</p><p>second</p></article>") for k in range(8)]
+    got = {r["page_id"]: r["text"] for r in h.extract_pages(spark.createDataFrame(rows, "page_id bigint, url string, html string").repartition(3)).collect()}
+    assert all(got[k] == "\n".join([f"t{k}", f"quote {k}", *["said on this page only"] * (k == 3), "Summary", f"text {k}", f"more {k}"]) for k in range(8))
+    assert all(got[100 + k] == "one\nlead\nfirst\nsecond" for k in range(8))
+
+
 ODD = [
     (1, "http://a.org/", None),
     (2, None, "<p>no url &amp; more</p>"),
