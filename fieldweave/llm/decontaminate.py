@@ -8,30 +8,40 @@ A word is canonicalised to a typed placeholder, or to its core (punctuation at i
 
 Windows of ``size`` canonical words of the benchmark are hash-joined with those of the documents, once as templates and once as
 plain words (no placeholders), so a copy in another case is found as well as a question with other numbers and names.  Template windows
-need at least two plain words.  A document holds an item if it has ``percent`` of the item's distinct windows of either kind.  For templates,
-the slots' values must also be consistent: over all windows that matched, each value of the item is
-answered by one value of the document (by majority, in ``percent`` of the slots), else the windows met by chance.
+need at least two plain words.
+
+Matched windows of a document and an item are grouped to occurrences: in an occurrence the places in the document and in the item both
+go up, no step is over the larger of four windows and half the item, and no two steps differ by more than the larger of two windows and a quarter of the
+item, so words may be changed, left out or put in.  An occurrence is a copy if its windows cover ``percent`` of the item's words that
+windows can cover, or if they cover ``run`` words (``TEMPLATE_RUN`` for templates) that follow one another in both texts.  For templates, the slots' values must also be
+consistent: over all windows of the document that matched, each value of the item is answered by one value of the document (by majority, in
+``percent`` of the slots), else the windows met by chance.  A document without such an occurrence still holds the item if it has ``percent`` of the item's distinct
+windows of a kind anywhere, in any order, with slots consistent over all of them.
 
 The benchmark's windows go to every task if their number, which is counted, is at most ``broadcast_windows``; beyond, the
-documents' windows are shuffled and joined by hash.  Matches are summed by document and item before anything is gathered.
+documents' windows are shuffled and joined by hash.  Matches are dealt by document and item and read in the order of their places.
 
-Defined results: null or empty texts and items hold no windows; items of fewer than ``size`` words never match; repeated
+Defined results: null or empty texts and items hold no windows; items of fewer than ``size`` words never match; a change in every ``size`` words or less leaves no window, so such a copy isn't found; repeated
 rows of one id and text give one row; a null id is kept; other columns are not read; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .scratch import Scratch
 from .textblocks import U64, Block, blocks, mix64
 
 BROADCAST_WINDOWS = 1 << 20
+#: Words in a row that make a copy, for plain words and for templates, which more texts share.
+RUN, TEMPLATE_RUN = 10, 13
 #: Units of measure, as they are written after a number.
 UNITS = (
     "mm cm dm m km inch inches ft foot feet yd yard yards mile miles mg g kg t lb lbs oz pound pounds gram grams kilogram kilograms ton tons ml cl l litre litres liter liters gallon gallons "
@@ -89,11 +99,13 @@ class Canonical:
 
 
 _UNIT_HASHES = np.array([b.hash_spans(np.array([0]), np.array([len(b.data)]), fold=True)[0] for b in (next(blocks(pa.array([u]))) for u in UNITS)])
-_SCHEMA = "kind int, hash bigint, item_id {id}, slots array<bigint>"
 
 
 def item_windows(items: DataFrame, size: int = 5, item_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """(kind, hash, item id, slots): distinct windows of the benchmark; ``slots`` are hashes of a template window's words, 0 where it has a plain one."""
+    """Distinct windows of the benchmark: kind, hash, item id, ``places`` (words before it in the item), ``item_slots``, ``words`` that the item's windows cover and number of its ``windows``.
+
+    ``item_slots`` has, for each place of a template window, the hashes of its words, 0 where it has a plain one.
+    """
     id_type = items.schema[item_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -101,8 +113,11 @@ def item_windows(items: DataFrame, size: int = 5, item_col: str = "item_id", tex
             for block in blocks(batch.column(1)):
                 yield _window_batch(block, batch.column(0).slice(block.first, block.n_docs), "item_id", size, None)
 
-    rows = items.select(F.col(item_col), F.col(text_col)).mapInArrow(run, _SCHEMA.format(id=id_type))
-    return rows.groupBy("kind", "hash", "item_id").agg(F.min("slots").alias("slots"))
+    rows = items.select(F.col(item_col), F.col(text_col)).mapInArrow(run, f"kind int, hash bigint, item_id {id_type}, slots array<bigint>, place int, words int")
+    own = rows.groupBy("kind", "hash", "item_id").agg(F.array_sort(F.collect_set(F.struct("place", "slots"))).alias("at"), F.max("words").alias("words"))
+    item = Window.partitionBy("item_id", "kind")
+    slots = F.when(F.col("kind") == 1, F.flatten("at.slots")).otherwise(F.array().cast("array<bigint>"))
+    return own.select("kind", "hash", "item_id", F.col("at.place").alias("places"), slots.alias("item_slots"), F.max("words").over(item).alias("words"), F.count("*").over(item).alias("windows"))
 
 
 def _window_batch(block: Block, ids: pa.Array, name: str, size: int, known: np.ndarray | None) -> pa.RecordBatch:
@@ -122,7 +137,15 @@ def _window_batch(block: Block, ids: pa.Array, name: str, size: int, known: np.n
     slots = np.where(text.slot[grid] & (kind == 1)[:, None], text.plain[grid], U64(0)) if len(first) else np.zeros((0, size), U64)
     columns = [pa.array(kind), pa.array(h.view(np.int64)), ids.take(pa.array(doc)), pa.ListArray.from_arrays(pa.array(np.arange(len(first) + 1) * size, pa.int32()), pa.array(slots.reshape(-1).view(np.int64)))]
     names = ["kind", "hash", name, "slots"]
-    if name != "item_id":
+    columns.append(pa.array((first - block.word_bounds[doc]).astype(np.int32)))
+    names.append("place")
+    if name == "item_id":
+        covered = np.zeros((2, len(text.plain) + 1), np.int64)
+        covered[np.repeat(kind, size), grid.reshape(-1)] = 1
+        total = np.concatenate((np.zeros((2, 1), np.int64), np.cumsum(covered, axis=1)), axis=1)
+        columns.append(pa.array((total[kind, block.word_bounds[doc + 1]] - total[kind, block.word_bounds[doc]]).astype(np.int32)))
+        names.append("words")
+    else:
         # spans in code points of the text, and a key of the text itself
         points = np.concatenate(([0], np.cumsum((block.data & 0xC0) != 0x80)))
         base = points[block.bounds[doc]]
@@ -154,38 +177,118 @@ def document_windows(docs: DataFrame, size: int, known: np.ndarray | None, id_co
             for block in blocks(batch.column(1)):
                 yield _window_batch(block, batch.column(0).slice(block.first, block.n_docs), "doc", size, None if shared is None else shared.value)
 
-    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"kind int, hash bigint, doc {id_type}, slots array<bigint>, text_key bigint, start bigint, end bigint")
+    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"kind int, hash bigint, doc {id_type}, slots array<bigint>, place int, text_key bigint, start bigint, end bigint")
+
+
+def _occurrences(matches: list[tuple], size: int) -> list[list[tuple]]:
+    """Groups of (match, place in the item), by the nearest continuation; ``matches`` are of one kind, by place in the document."""
+    words = matches[0][6]
+    gap, slack = max(4 * size, words // 2), max(2 * size, words // 4)
+    done, open_ = [], []
+    for m in matches:
+        at, places = m[0], m[4]
+        done += [o for o in open_ if at - o[-1][0][0] > gap]
+        open_ = [o for o in open_ if at - o[-1][0][0] <= gap]
+        best = None
+        for o in open_:
+            last, before = o[-1][0][0], o[-1][1]
+            aim = before + at - last
+            k = bisect_left(places, aim)
+            for q in places[max(k - 1, 0) : k + 1]:
+                if before < q <= before + gap and abs(q - aim) <= slack and (best is None or abs(q - aim) <= best[0]):
+                    best = abs(q - aim), o, q
+        if best:
+            best[1].append((m, best[2]))
+        else:
+            open_.append([(m, places[0])])
+    return done + open_
+
+
+def _agreement(pairs: list[tuple[int, int]]) -> float:
+    """How often a value of the item meets its most frequent answer."""
+    answers: dict[int, Counter] = defaultdict(Counter)
+    for value, answer in pairs:
+        answers[value][answer] += 1
+    return sum(max(c.values()) for c in answers.values()) / len(pairs) if pairs else 1.0
+
+
+def _judge(kind: int, matches: list[tuple], size: int, percent: int, run: int) -> list[tuple]:
+    """Copies among the matches (place, start, end, slots, places, item_slots, words, windows) of one kind: (part, kind, matched, windows, consistency, start, end)."""
+    words, windows = matches[0][6:8]
+    found = []
+    own = [(min(m[5][k : k + size] for k in range(0, len(m[5]), size)), m[3]) for m in matches] if kind else []
+    consistency = _agreement([(v, a) for item, doc in own for v, a in zip(item, doc) if v])
+
+    def add(members: list[tuple], consistency: float) -> None:
+        matched = len({tuple(m[4]) for m in members})
+        found.append((matched / windows, kind, matched, windows, consistency, min(m[1] for m in members), max(m[2] for m in members)))
+
+    for group in _occurrences(matches, size):
+        covered = longest = length = before = shift = 0
+        for k, (m, q) in enumerate(group):
+            fresh = min(size, q - before) if k else size
+            together = k and q - m[0] == shift and q - before <= size
+            length = length + fresh if together else size
+            covered, longest, before, shift = covered + fresh, max(longest, length), q, q - m[0]
+        if 100 * covered >= percent * words or longest >= run:
+            if 100 * consistency >= percent:
+                add([m for m, _ in group], consistency)
+    if not found and 100 * len({tuple(m[4]) for m in matches}) >= percent * windows:
+        if 100 * consistency >= percent:
+            add(matches, consistency)
+    return found
 
 
 def contaminated(
-    docs: DataFrame, items: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", broadcast_windows: int = BROADCAST_WINDOWS
+    docs: DataFrame, items: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", broadcast_windows: int = BROADCAST_WINDOWS, run: int = RUN, template_run: int = TEMPLATE_RUN
 ) -> DataFrame:
-    """One row per document and item it holds: id, ``item_id``, ``text_key``, ``matched`` and ``windows`` of the better kind, ``kind``, ``consistency`` and the span (``start``, ``end``) of its windows in code points."""
+    """One row per document and item it holds: id, ``item_id``, ``text_key``, and of the fullest copy ``matched`` and ``windows``, ``kind``, ``consistency`` and the span (``start``, ``end``) of its windows in code points."""
     spark = docs.sparkSession
-    scratch = Scratch(spark)
-    windows = scratch.write(item_windows(items, size, item_col, item_text), "items")
+    windows = Scratch(spark).write(item_windows(items, size, item_col, item_text), "items")
     n = windows.count()
     known = None
     if n <= broadcast_windows:
         known = np.unique(np.array([r["hash"] for r in windows.select("hash").distinct().toLocalIterator()], np.int64).view(np.uint64))
     found = document_windows(docs, size, known, id_col, text_col)
-    other = windows.select("kind", "hash", "item_id", F.col("slots").alias("item_slots"))
-    met = scratch.write(found.join(other, ["kind", "hash"]), "met")
-    key = ["doc", "text_key", "item_id", "kind"]
-    distinct = met.groupBy(*key, "hash").agg(F.min("start").alias("start"), F.max("end").alias("end"))
-    counts = distinct.groupBy(*key).agg(F.count("*").alias("matched"), F.min("start").alias("start"), F.max("end").alias("end"))
-    total = windows.groupBy("item_id", "kind").agg(F.count("*").alias("windows"))
-    enough = counts.join(total, ["item_id", "kind"]).filter(100 * F.col("matched") >= percent * F.col("windows"))
-    # consistency of slots, for templates: how often a value of the item meets its most frequent answer
-    pairs = met.filter("kind = 1").select(*key, F.explode(F.arrays_zip("item_slots", "slots")).alias("s")).filter("s.item_slots <> 0")
-    answers = pairs.groupBy(*key, F.col("s.item_slots").alias("value"), F.col("s.slots").alias("answer")).agg(F.count("*").alias("n"))
-    agreed = answers.groupBy(*key, "value").agg(F.max("n").alias("best"), F.sum("n").alias("all")).groupBy(*key).agg((F.sum("best") / F.sum("all")).alias("consistency"))
-    same: Column = F.lit(True)
-    for c in key:
-        same = same & enough[c].eqNullSafe(agreed[c])
-    judged = enough.join(agreed, same, "left").select(*(enough[c] for c in enough.columns), F.coalesce("consistency", F.lit(1.0)).alias("consistency")).filter(100 * F.col("consistency") >= percent)
-    best = judged.groupBy("doc", "text_key", "item_id").agg(F.max(F.struct((F.col("matched") / F.col("windows")).alias("part"), F.col("kind"), "matched", "windows", "consistency", "start", "end")).alias("b"))
-    return best.select(F.col("doc").alias(id_col), "item_id", "text_key", "b.kind", "b.matched", "b.windows", "b.consistency", "b.start", "b.end")
+    key, rest = ["doc", "text_key", "item_id"], ["kind", "place", "start", "end", "slots", "places", "item_slots", "words", "windows"]
+    met = found.join(windows, ["kind", "hash"]).select(*key, *rest).repartition(*key).sortWithinPartitions(*key, "kind", "place")
+    types = {f.name: f.dataType.simpleString() for f in met.schema}
+    names = [*key, "kind", "matched", "windows", "consistency", "start", "end"]
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, kinds, ids = None, {}, None
+        out: list[tuple] = []
+
+        def close() -> None:
+            best = [x for kind, matches in kinds.items() for x in _judge(kind, matches, size, percent, template_run if kind else run)]
+            if best:
+                out.append((*now, *max(best)[1:]))
+
+        for batch in batches:
+            ids = [f.type for f in batch.schema][:3]
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                if row[:3] != now:
+                    if now is not None:
+                        close()
+                    now, kinds = row[:3], {}
+                matches = kinds.setdefault(row[3], [])
+                if not matches or matches[-1][0] != row[4]:  # else a repeated row of the document
+                    matches.append(row[4:])
+            if out:
+                yield _found_batch(out, ids, names)
+                out = []
+        if now is not None:
+            close()
+        if out:
+            yield _found_batch(out, ids, names)
+
+    done = met.mapInArrow(judge, f"doc {types['doc']}, text_key bigint, item_id {types['item_id']}, kind int, matched bigint, windows bigint, consistency double, start bigint, end bigint")
+    return done.select(F.col("doc").alias(id_col), "item_id", "text_key", "kind", "matched", "windows", "consistency", "start", "end")
+
+
+def _found_batch(rows: list[tuple], ids: list[pa.DataType], names: list[str]) -> pa.RecordBatch:
+    types = [*ids, pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()]
+    return pa.RecordBatch.from_arrays([pa.array(column, kind) for column, kind in zip(zip(*rows), types)], names)
 
 
 def clean_documents(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:

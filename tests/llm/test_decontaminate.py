@@ -70,6 +70,42 @@ def test_slots_must_be_consistent(spark):
     assert set(got) == {1, 3} and got[1]["kind"] == 1 and got[1]["consistency"] == 1
 
 
+def test_edited_and_partial_copies_are_found(spark):
+    rnd = random.Random(9)
+    short, long = ITEMS[1][1], " ".join(f"word{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(38))
+
+    def edited(text, *places):
+        words = text.split()
+        for k in places:
+            words[k] = "changed"
+        return " ".join(words)
+
+    w = long.split()
+    rows = [
+        (1, edited(short, 8), {2}),
+        (2, edited(long, 12, 25), {9}),
+        (3, " ".join(w[5:20]), {9}),  # 15 of 38 words
+        (4, " ".join(w[:9] + w[14:30] + ["put", "in"] + w[30:]), {9}),
+        (5, " ".join(w[20:29]), set()),
+        (6, edited(long, *range(0, 38, 4)), set()),
+    ]
+    docs = spark.createDataFrame([(k, around(rnd, text)) for k, text, _ in rows], "doc_id bigint, text string")
+    items = spark.createDataFrame([*ITEMS, (9, long)], "item_id bigint, text string")
+    found = {k: set() for k, _, _ in rows}
+    for r in d.contaminated(docs, items).collect():
+        found[r["doc_id"]].add(r["item_id"])
+    assert found == {k: want for k, _, want in rows}
+    assert sorted(r["doc_id"] for r in d.clean_documents(docs, items).collect()) == [5, 6]
+
+
+def test_parts_in_another_order_are_found(spark):
+    words = [f"word{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(72)]
+    parts = [words[k : k + 36] for k in range(0, 72, 36)]
+    docs = spark.createDataFrame([(1, " ".join(parts[1] + parts[0]))], "doc_id bigint, text string")
+    items = spark.createDataFrame([(1, " ".join(words))], "item_id bigint, text string")
+    assert [r["matched"] for r in d.contaminated(docs, items, run=99, template_run=99).collect()] == [64]
+
+
 def brute_plain(docs, items, size, percent):
     """By plain windows alone, with Python's own string methods."""
 
