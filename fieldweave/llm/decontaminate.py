@@ -14,7 +14,7 @@ Matched windows of a document and an item are grouped to occurrences: in an occu
 go up, no step is over the larger of four windows and half the item, and no two steps differ by more than the larger of two windows and a quarter of the
 item, so words may be changed, left out or put in.  An occurrence is a copy if its windows cover ``percent`` of the item's words that
 windows can cover, or if they cover ``run`` words (``TEMPLATE_RUN`` for templates) that follow one another in both texts.  For templates, the slots' values must also be
-consistent: over all windows of the document that matched, each value of the item is answered by one value of the document (by majority, in
+consistent: over the slots of the occurrence, each value of the item is answered by one value of the document (by majority, in
 ``percent`` of the slots), else the windows met by chance.  A document without such an occurrence still holds the item if it has ``percent`` of the item's distinct
 windows of a kind anywhere, in any order, with slots consistent over all of them.
 
@@ -216,8 +216,6 @@ def _judge(kind: int, matches: list[tuple], size: int, percent: int, run: int) -
     """Copies among the matches (place, start, end, slots, places, item_slots, words, windows) of one kind: (part, kind, matched, windows, consistency, start, end)."""
     words, windows = matches[0][6:8]
     found = []
-    own = [(min(m[5][k : k + size] for k in range(0, len(m[5]), size)), m[3]) for m in matches] if kind else []
-    consistency = _agreement([(v, a) for item, doc in own for v, a in zip(item, doc) if v])
 
     def add(members: list[tuple], consistency: float) -> None:
         matched = len({tuple(m[4]) for m in members})
@@ -225,15 +223,22 @@ def _judge(kind: int, matches: list[tuple], size: int, percent: int, run: int) -
 
     for group in _occurrences(matches, size):
         covered = longest = length = before = shift = 0
+        pairs = []
         for k, (m, q) in enumerate(group):
             fresh = min(size, q - before) if k else size
             together = k and q - m[0] == shift and q - before <= size
             length = length + fresh if together else size
             covered, longest, before, shift = covered + fresh, max(longest, length), q, q - m[0]
+            if kind:
+                own = m[5][m[4].index(q) * size :][:size]
+                pairs += [(v, a) for v, a in zip(own[-fresh:], m[3][-fresh:]) if v]
         if 100 * covered >= percent * words or longest >= run:
+            consistency = _agreement(pairs)
             if 100 * consistency >= percent:
                 add([m for m, _ in group], consistency)
     if not found and 100 * len({tuple(m[4]) for m in matches}) >= percent * windows:
+        own = [(min(m[5][k : k + size] for k in range(0, len(m[5]), size)), m[3]) for m in matches] if kind else []
+        consistency = _agreement([(v, a) for item, doc in own for v, a in zip(item, doc) if v])
         if 100 * consistency >= percent:
             add(matches, consistency)
     return found

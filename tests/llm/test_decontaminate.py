@@ -106,6 +106,21 @@ def test_parts_in_another_order_are_found(spark):
     assert [r["matched"] for r in d.contaminated(docs, items, run=99, template_run=99).collect()] == [64]
 
 
+def test_each_occurrence_is_consistent_by_itself(spark):
+    rnd = random.Random(3)
+    item = ITEMS[0][1]
+
+    def variant(a, b, n, k):
+        return item.replace("Alice", a).replace("Bob", b).replace("12", str(n)).replace("5 km", f"{k} miles").replace(" 3 ", f" {k + 1} ")
+
+    bank = [variant("Carla", "Daniel", 47, 9), variant("Erika", "Frank", 71, 4), variant("Gina", "Henry", 33, 6)]
+    rows = [(1, "\n".join(bank[:2])), (2, "\n".join(bank)), (3, around(rnd, bank[0]) + around(rnd, bank[1])), (4, around(rnd, bank[2]))]
+    docs, items = spark.createDataFrame(rows, "doc_id bigint, text string"), spark.createDataFrame(ITEMS, "item_id bigint, text string")
+    got = {r["doc_id"]: r for r in d.contaminated(docs, items).collect()}
+    assert set(got) == {1, 2, 3, 4} and all(r["item_id"] == 1 and r["kind"] == 1 and r["consistency"] == 1 for r in got.values())
+    assert all(len(dict(rows)[k][r["start"] : r["end"]].split()) <= len(item.split()) for k, r in got.items())
+
+
 def brute_plain(docs, items, size, percent):
     """By plain windows alone, with Python's own string methods."""
 
