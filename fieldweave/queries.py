@@ -117,6 +117,22 @@ def normalize_response(spark, sf_dir):
     return _t(spark, sf_dir, "documents").select("doc_id", n["is_plural"].alias("is_plural"), F.md5(F.array_join(n["values"], ";")).alias("value_md5"))
 
 
+@_query(
+    f"""WITH r AS (SELECT doc_id, 'document' AS kind, '"' || text || '"' AS raw FROM documents
+    UNION ALL SELECT doc_id, 'synthetic', CASE doc_id % 7 WHEN 0 THEN ' "-1" ' WHEN 1 THEN '' ELSE '" -1 "' END FROM documents WHERE doc_id % 7 IN (0, 1, 2)),
+    c AS (SELECT doc_id, kind, replace(trim(raw), '"', '') AS v FROM r)
+    SELECT doc_id, kind, coalesce(contains(v, ';'), FALSE) AS is_plural,
+    CASE WHEN contains(v, ';') THEN md5(regexp_replace(v, '(^|;)[{text.PY_WS}]+', '\\1', 'g')) WHEN v <> '-1' THEN md5(v) END AS value_md5 FROM c"""
+)
+def normalize_whole_response(spark, sf_dir):
+    """``normalize_response`` for the whole text of every document, with the synthetic answers as rows beside them."""
+    docs, k = _t(spark, sf_dir, "documents"), F.col("doc_id") % 7
+    whole = docs.select("doc_id", F.lit("document").alias("kind"), F.concat(F.lit('"'), F.col("text"), F.lit('"')).alias("raw"))
+    synthetic = docs.filter(k.isin(0, 1, 2)).select("doc_id", F.lit("synthetic").alias("kind"), F.when(k == 0, ' "-1" ').when(k == 1, "").otherwise('" -1 "').alias("raw"))
+    n = text.normalize_response(F.col("raw"))
+    return whole.unionByName(synthetic).select("doc_id", "kind", n["is_plural"].alias("is_plural"), F.md5(F.array_join(n["values"], ";")).alias("value_md5"))
+
+
 @_query(
     "SELECT page_id, CAST(pos - 1 AS INTEGER) AS pos, md5(ltrim(part, ' ' || chr(9) || chr(10) || chr(13))) AS part_md5 FROM "
     "(SELECT page_id, unnest(string_split(html, ';')) AS part, generate_subscripts(string_split(html, ';'), 1) AS pos FROM pages)"
