@@ -141,7 +141,7 @@ def backoff(hashes: list[tuple[np.ndarray, np.ndarray]], count_of, min_count: in
     return score, used
 
 
-def lm_scores(docs: DataFrame, order: int = 2, alpha: float = 0.4, min_count: int = 2, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+def lm_scores(docs: DataFrame, order: int = 3, alpha: float = 0.4, min_count: int = 2, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """One row per document: id, ``n_words``, ``n_backoff`` (words scored below the longest order that their place allows), ``log_score`` and ``per_word``."""
     scratch = Scratch(docs.sparkSession)
     n_bytes = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0

@@ -73,7 +73,7 @@ def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm_score.lm_scores(_table(spark, sf_dir, "documents"), order=2, alpha=0.4, min_count=2)
+    return lm_score.lm_scores(_table(spark, sf_dir, "documents"), order=3, alpha=0.4, min_count=2)
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

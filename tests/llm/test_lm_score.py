@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 from fieldweave.llm import lm_score
+from fieldweave.llm.queries import QUERIES
 
 from .docs import ODD, empty, frame
 
@@ -48,6 +49,14 @@ def test_table_against_brute_force(spark):
         assert (r["per_word"] is None) == (n == 0)
 
 
+def test_query_scores_with_trigrams(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()
+    want = dict(zip([r["doc_id"] for r in rows], brute([r["text"] for r in rows], 3, 0.4, 2)))
+    got = {r["doc_id"]: r for r in QUERIES["op8_lm_scoring"](spark, "/root/testdata/sf0.001").collect()}
+    assert got.keys() == want.keys() and all((r["n_words"], r["n_backoff"]) == want[k][:2] for k, r in got.items())
+    assert all(abs(r["log_score"] - want[k][2]) < 1e-4 * max(1, abs(want[k][2])) for k, r in got.items())
+
+
 def test_packing_round_trip():
     keys = np.sort(np.random.default_rng(1).integers(0, 2**63, 1000).astype(np.uint64) * np.uint64(2))
     assert (lm_score._unpack_keys(lm_score._pack_keys(keys)) == keys).all()
