@@ -3,7 +3,8 @@
 1. Random indexing over all documents: every word has a fixed sparse ternary index vector drawn from its hash; a word's context
    vector is the sum of the index vectors of its neighbours in every text.  Words share ``BUCKETS`` rows by hash; beside each
    word its shape (classes of its characters, runs collapsed) is a unit of its own, so that rare words are known too.  Tasks sum
-   their own texts, and the sums meet by block of rows: what is shuffled is a matrix of fixed size for each task.
+   their own texts to a matrix of fixed size; these matrices are added up level by level, ``FAN`` tasks' blocks of rows at a time, so
+   no group grows with the number of tasks.
 2. A document's features are the mean context vectors of its words and shapes, and the mean products of neighbouring words'
    vectors, so also what is said twice in a row; nothing else about it is read.
 3. The network (numpy; one hidden layer) learns from at most ``max_labelled`` labelled documents, those of smallest hash of their id;
@@ -21,9 +22,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .scratch import Scratch
 from .textblocks import U64, Block, blocks, mix64
 
 BUCKETS = 1 << 14
@@ -32,6 +35,10 @@ NONZERO = 2
 #: The bound on labelled documents that the network is fitted on.
 MAX_LABELLED = 20_000
 BLOCK_ROWS = 1 << 10
+#: Tasks whose sums meet in one group, at each level.
+FAN = 128
+#: Words whose vectors are held at once.
+STEP_WORDS = 1 << 16
 
 _CLASS = np.arange(256)  # shape: A upper, a lower or not ASCII, 0 digit, else the character itself
 _CLASS[65:91], _CLASS[97:123], _CLASS[128:], _CLASS[48:58] = 65, 97, 97, 48
@@ -46,7 +53,7 @@ def _shape_hashes(block: Block) -> np.ndarray:
     keep = np.ones(n, bool)
     keep[1:] = kind[1:] != kind[:-1]
     keep[block.starts] = True
-    at = np.concatenate(([0], np.cumsum(keep)))
+    at = np.concatenate((np.zeros(1, np.int64), np.cumsum(keep)))
     small = Block.__new__(Block)
     small.data = kind[keep]
     return small.hash_spans(at[block.starts], at[block.ends]) ^ U64(0x5851F42D4C957F2D)
@@ -71,47 +78,57 @@ def index_vectors() -> np.ndarray:
 
 def _index_entries() -> tuple[np.ndarray, np.ndarray]:
     h = [mix64(np.arange(BUCKETS, dtype=U64) * U64(NONZERO) + U64(k + 1)) for k in range(NONZERO)]
-    return np.stack([(x % U64(DIM)).astype(np.int64) for x in h]), np.stack([np.where(x >> U64(40) & U64(1), 1, -1) for x in h])
+    return np.stack([(x % U64(DIM)).astype(np.int64) for x in h]), np.stack([np.where(x >> U64(40) & U64(1), 1.0, -1.0) for x in h])
 
 
 def add_contexts(block: Block, total: np.ndarray, entries: tuple[np.ndarray, np.ndarray]) -> None:
     """Add the index vectors of each word's two neighbours to the rows of its units; ``total`` is flat, int64."""
     slot, sign = entries
-    words, shapes = units(block)
-    same = np.ones(max(len(words) - 1, 0), bool)
+    same = np.ones(max(len(block.starts) - 1, 0), bool)
     cuts = block.word_bounds[1:-1]
-    same[cuts[(cuts > 0) & (cuts < len(words))] - 1] = False
-    for rows in (words, shapes):
-        for a, b in ((rows[:-1], rows[1:]), (rows[1:], rows[:-1])):
-            a, b = a[same], b[same]
-            for k in range(NONZERO):
-                at, s = a * DIM + slot[k][b], sign[k][b]
-                total += np.bincount(at[s > 0], minlength=total.size)
-                total -= np.bincount(at[s < 0], minlength=total.size)
+    same[cuts[(cuts > 0) & (cuts < len(block.starts))] - 1] = False
+    left = np.flatnonzero(same)
+    for rows in units(block):
+        for first in range(0, len(left), STEP_WORDS):
+            at = left[first : first + STEP_WORDS]
+            for a, b in ((rows[at], rows[at + 1]), (rows[at + 1], rows[at])):
+                for k in range(NONZERO):
+                    total += np.bincount(a * DIM + slot[k][b], sign[k][b], total.size).astype(np.int64)  # exact below 2**53
+
 
+def _added_up(table: pa.Table) -> pa.Table:
+    total = np.zeros(BLOCK_ROWS * DIM, np.int64)
+    for x in table.column("sums"):
+        total += np.frombuffer(x.as_buffer(), np.int64)
+    return pa.table({"part": table.column("part").slice(0, 1), "task": table.column("next").slice(0, 1), "sums": pa.array([total.tobytes()], pa.binary())})
 
-def context_vectors(docs: DataFrame, text_col: str = "text") -> np.ndarray:
+
+def context_vectors(docs: DataFrame, text_col: str = "text", fan: int = FAN) -> np.ndarray:
     """Unit context vectors of all rows, summed over all documents; a matrix of fixed size."""
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, entries, any_rows = np.zeros(BUCKETS * DIM, np.int64), _index_entries(), False
         for batch in batches:
-            for block in blocks(batch.column(0), 8 << 20):
+            for block in blocks(batch.column(0)):
                 any_rows = True
                 add_contexts(block, total, entries)
         if any_rows:
-            yield _matrix_batch(total)
-
-    def meet(table: pa.Table) -> pa.Table:
-        total = np.zeros(BLOCK_ROWS * DIM, np.int64)
-        for x in table.column("sums"):
-            total += np.frombuffer(x.as_py(), np.int64)
-        return pa.table({"part": table.column("part").slice(0, 1), "sums": pa.array([total.tobytes()], pa.binary())})
-
-    summed = docs.select(F.col(text_col)).mapInArrow(own, "part int, sums binary").groupBy("part").applyInArrow(meet, "part int, sums binary")
+            parts = total.reshape(-1, BLOCK_ROWS * DIM)
+            task = TaskContext.get().partitionId()
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array([task] * len(parts), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], ["part", "task", "sums"])
+
+    schema = "part int, task int, sums binary"
+    scratch, level = Scratch(docs.sparkSession), 0
+    sums = scratch.write(docs.select(F.col(text_col)).mapInArrow(own, schema), "sums0")
+    while (sums.agg(F.max("task")).first()[0] or 0) > 0:
+        level += 1
+        met = sums.withColumn("next", F.floor(F.col("task") / fan).cast("int")).groupBy("part", "next").applyInArrow(_added_up, schema)
+        sums = scratch.write(met, f"sums{level}")
+        scratch.drop(f"sums{level - 1}")
     out = np.zeros((BUCKETS, DIM), np.float32)
-    for r in summed.collect():  # BUCKETS / BLOCK_ROWS rows
+    for r in sums.collect():  # BUCKETS / BLOCK_ROWS rows
         out[r["part"] * BLOCK_ROWS : (r["part"] + 1) * BLOCK_ROWS] = np.frombuffer(r["sums"], np.int64).reshape(BLOCK_ROWS, DIM)
+    scratch.drop(f"sums{level}")
     return normalised(out)
 
 
@@ -125,31 +142,27 @@ def normalised(sums: np.ndarray) -> np.ndarray:
     return out
 
 
-def _matrix_batch(total: np.ndarray) -> pa.RecordBatch:
-    parts = total.reshape(-1, BLOCK_ROWS * DIM)
-    return pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], ["part", "sums"])
-
-
 N_FEATURES = 3 * DIM
 
 
 def pooled(block: Block, vectors: np.ndarray) -> np.ndarray:
-    """Features of the documents of a block."""
+    """Features of the documents of a block; the vectors of ``STEP_WORDS`` words are held at once."""
     words, shapes = units(block)
-    out = np.zeros((block.n_docs, N_FEATURES), np.float32)
-    counts = block.n_words()
-    full = np.flatnonzero(counts)
-    if not len(full):
-        return out
-    starts = block.word_bounds[:-1][full]
-    own = vectors[words]
-    out[full, :DIM] = np.add.reduceat(own, starts) / counts[full, None]
-    out[full, DIM : 2 * DIM] = np.add.reduceat(vectors[shapes], starts) / counts[full, None]
-    step = own
-    step[:-1] *= own[1:].copy()
-    step[block.word_bounds[1:][full] - 1] = 0  # the last word has no neighbour
-    out[full, 2 * DIM :] = np.add.reduceat(step, starts) / np.maximum(counts[full, None] - 1, 1)
-    return out
+    total, doc = np.zeros((block.n_docs, N_FEATURES)), block.word_docs()
+    for first in range(0, len(words), STEP_WORDS):
+        last = min(first + STEP_WORDS, len(words))
+        of = doc[first:last]
+        starts = np.flatnonzero(np.diff(of, prepend=-1))
+        own = vectors[words[first : last + 1]]
+        pairs = own[: last - first].copy()
+        pairs[: len(own) - 1] *= own[1:]
+        pairs[(block.word_bounds[1:][of[starts]] - 1 - first)[block.word_bounds[1:][of[starts]] <= last]] = 0  # a document's last word has no neighbour
+        for k, x in enumerate((own[: last - first], vectors[shapes[first:last]], pairs)):
+            total[of[starts], k * DIM : (k + 1) * DIM] += np.add.reduceat(x, starts)
+    counts = block.n_words()[:, None]
+    total[:, : 2 * DIM] /= np.maximum(counts, 1)
+    total[:, 2 * DIM :] /= np.maximum(counts - 1, 1)
+    return total.astype(np.float32)
 
 
 class Network:
@@ -224,14 +237,15 @@ def _features(docs: DataFrame, vectors, id_col: str, text_col: str) -> DataFrame
 def fit_quality(
     docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", folds: int = 5, held_fold: int = 0, max_labelled: int = MAX_LABELLED
 ) -> tuple[np.ndarray, Network]:
-    """(context vectors, network).  The driver gets the vectors, of fixed size, and at most ``max_labelled`` pooled documents."""
+    """(context vectors, network).  The driver gets the vectors, of fixed size, and at most ``max_labelled`` pooled documents: of texts that share an id, one."""
     vectors = context_vectors(docs, text_col)
     shared = docs.sparkSession.sparkContext.broadcast(vectors)
     usable = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y")).filter(F.col("_id").isNotNull() & F.col("_y").isNotNull() & (fold_of(F.col("_id"), folds) != held_fold))
     sample = usable.groupBy("_id").agg(F.max("_y").alias("_y")).orderBy(F.xxhash64("_id"), "_id").limit(max_labelled)
     taught = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(sample), "_id", "left_semi")  # at most max_labelled ids
-    rows = _features(taught, shared, "_id", "_text").join(sample, "_id").select("_id", "_y", "x", (F.pmod(F.xxhash64("_id", F.lit(5)), F.lit(5)) == 0).alias("held")).collect()
-    rows.sort(key=lambda r: (str(r["_id"]), bytes(r["x"])))
+    rows = _features(taught, shared, "_id", "_text").join(sample, "_id").select("_id", "_y", "x").groupBy("_id").agg(F.max("_y").alias("_y"), F.min("x").alias("x"))
+    rows = rows.withColumn("held", F.pmod(F.xxhash64("_id", F.lit(5)), F.lit(5)) == 0).collect()
+    rows.sort(key=lambda r: str(r["_id"]))
     x = np.stack([np.frombuffer(r["x"], np.float32) for r in rows]) if rows else np.zeros((0, N_FEATURES), np.float32)
     y, held = np.array([r["_y"] for r in rows]), np.array([r["held"] for r in rows], bool)
     return vectors, Network().fit(x, y, held)

@@ -2,24 +2,30 @@
 
 Spark recomputes a lost executor's part of a lazy plan, which is costly where several jobs read one intermediate result
 and wrong where a count taken from it must keep holding.  Such results are written once to ``spark.checkpoint.dir`` (read
-from the session; a local folder of our own only where it is unset, as in tests) and read back, so every later job sees the
-same rows whichever executors are lost.
+from the session; a local folder of our own only where it is unset and the master is local, as in tests) and read back, so every later
+job sees the same rows whichever executors are lost.
 """
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _KEY = "spark.checkpoint.dir"
+#: Ids or keys (some ten bytes each) that may go to every task.
+BROADCAST_IDS = 1 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's shared folder; only where none is set, a local one."""
+    """The session's shared folder; only where none is set and all runs in one process, a local one."""
     folder = spark.conf.get(_KEY, None) or spark.sparkContext.getConf().get(_KEY)
     if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError(f"{_KEY} must name a folder that all executors share")
         folder = f"file://{tempfile.gettempdir()}/fieldweave-shared"
         spark.conf.set(_KEY, folder)
     return folder.rstrip("/")
@@ -31,16 +37,27 @@ class Scratch:
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/fieldweave/{uuid.uuid4().hex}"
+        self.names: set[str] = set()
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
         df.write.mode("overwrite").parquet(self.path(name))
+        self.names.add(name)
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
+    def semi_join(self, rows: DataFrame, ids: DataFrame, on: Column, how: str = "left_semi", most: int = BROADCAST_IDS) -> DataFrame:
+        """``rows`` joined with the written table ``ids``: it goes to every task if it has at most ``most`` rows, which are counted; else both are shuffled."""
+        return rows.join(F.broadcast(ids) if ids.count() <= most else ids.hint("shuffle_hash"), on, how)
+
     def drop(self, *names: str) -> None:
         jvm = self.spark.sparkContext._jvm
         for name in names:
             path = jvm.org.apache.hadoop.fs.Path(self.path(name))
             path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            self.names.discard(name)
+
+    def keep_only(self, *names: str) -> None:
+        """Delete every other table; nothing that is still lazy may read one."""
+        self.drop(*(self.names - set(names)))

@@ -1,7 +1,8 @@
 """Vectorised word access for Arrow text columns.
 
 A block is a run of whole documents whose UTF-8 bytes sum to about ``BLOCK_BYTES`` (one document at least, whatever its
-length), so memory in a Python worker is bounded by the longest document and not by the Arrow batch.  Words are
+length), so memory in a Python worker is bounded by the longest document and not by the Arrow batch.  The 8-byte numbers that
+hashing needs for each byte are made for ``BLOCK_BYTES`` at a time (or one longer span), and the table of powers never outgrows it.  Words are
 ``[^\\x20\\x09-\\x0D]+``; they never cross documents.  A word's 64-bit hash is a polynomial over randomised byte values,
 computed for all words of a block by prefix sums, then mixed: no Python loop over words.
 """
@@ -35,20 +36,24 @@ _SPACE[[32, 9, 10, 11, 12, 13]] = True
 
 
 class _Powers:
-    up = np.ones(1, U64)
-    down = np.ones(1, U64)
+    up = down = np.ones(1, U64)
 
     @classmethod
     def upto(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Powers of the base and of its inverse; kept for a block, made anew and let go for a longer span."""
+        if n > BLOCK_BYTES + 1:
+            return _powers(_M, n), _powers(_M_INV, n)
         if len(cls.up) < n:
-            m = max(n, 2 * BLOCK_BYTES)
-            for name, base in (("up", _M), ("down", _M_INV)):
-                a = np.full(m, base, U64)
-                a[0] = 1
-                setattr(cls, name, np.cumprod(a))
+            cls.up, cls.down = _powers(_M, BLOCK_BYTES + 1), _powers(_M_INV, BLOCK_BYTES + 1)
         return cls.up, cls.down
 
 
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, U64)
+    out[0] = 1
+    return np.cumprod(out, out=out)
+
+
 class Block:
     """Bytes of documents ``first`` to ``last`` (exclusive) of a batch, with the spans and hashes of their words."""
 
@@ -77,11 +82,19 @@ class Block:
         return np.repeat(np.arange(self.n_docs), self.n_words())
 
     def hash_spans(self, starts: np.ndarray, ends: np.ndarray, fold: bool = False) -> np.ndarray:
-        """64-bit hashes of byte spans; ``fold`` lower-cases A-Z first."""
-        up, down = _Powers.upto(len(self.data) + 1)
-        total = np.zeros(len(self.data) + 1, U64)
-        np.cumsum((_BYTE_FOLDED if fold else _BYTE)[self.data] * up[: len(self.data)], out=total[1:])
-        return mix64((total[ends] - total[starts]) * down[starts])
+        """64-bit hashes of byte spans, which come by rising starts; ``fold`` lower-cases A-Z first."""
+        out, first = np.zeros(len(starts), U64), 0
+        while first < len(starts):
+            base = int(starts[first])
+            last = max(int(np.searchsorted(ends, base + BLOCK_BYTES, side="right")), first + 1)
+            a, b = starts[first:last] - base, ends[first:last] - base
+            n = int(b[-1])
+            up, down = _Powers.upto(n + 1)
+            total = np.zeros(n + 1, U64)
+            np.cumsum((_BYTE_FOLDED if fold else _BYTE)[self.data[base : base + n]] * up[:n], out=total[1:])
+            out[first:last] = mix64((total[b] - total[a]) * down[a])
+            first = last
+        return out
 
     def word_hashes(self, fold: bool = False) -> np.ndarray:
         return self.hash_spans(self.starts, self.ends, fold)

@@ -101,3 +101,36 @@ def test_odd_labels_and_texts(spark, rows):
 def test_empty(spark):
     labels = spark.createDataFrame([(1, 1)], "doc_id bigint, quality int")
     assert q.classify_quality(empty(spark), labels).collect() == []
+
+
+def test_sums_meet_in_levels_of_bounded_groups(spark):
+    """250 small tasks: groups of at most ``fan`` blocks, and the same vectors as from one task."""
+    docs = spark.createDataFrame([(k, f"the word {k % 7} and a{k % 13} there") for k in range(1000)], "doc_id bigint, text string").coalesce(1)
+    one = q.context_vectors(docs)
+    assert (q.context_vectors(docs.repartition(250), fan=6) == one).all()
+    assert (q.context_vectors(docs.repartition(30), fan=3) == one).all()
+
+
+def test_long_texts_in_steps(monkeypatch):
+    texts = ["a b c a " * 9, None, "x", "b b B c!! AB12 ab34 .. " * 5, "", "end " * 11]
+    (block,) = blocks(pa.array(texts))
+    vectors = np.random.default_rng(1).normal(size=(q.BUCKETS, q.DIM)).astype(np.float32)
+    want, total = q.pooled(block, vectors), np.zeros(q.BUCKETS * q.DIM, np.int64)
+    q.add_contexts(block, total, q._index_entries())
+    for step in (1, 2, 5, 7, 36):
+        monkeypatch.setattr(q, "STEP_WORDS", step)
+        again = np.zeros(q.BUCKETS * q.DIM, np.int64)
+        q.add_contexts(block, again, q._index_entries())
+        assert np.allclose(q.pooled(block, vectors), want, atol=1e-5) and (again == total).all()
+
+
+def test_hashes_do_not_depend_on_the_block_size(monkeypatch):
+    from fieldweave.llm import textblocks
+
+    texts = ["alpha beta " * 50, "g" * 300, "x y z"]
+    (block,) = blocks(pa.array(texts))
+    want = block.word_hashes()
+    monkeypatch.setattr(textblocks, "BLOCK_BYTES", 64)
+    monkeypatch.setattr(textblocks._Powers, "up", np.ones(1, np.uint64))
+    monkeypatch.setattr(textblocks._Powers, "down", np.ones(1, np.uint64))
+    assert (block.word_hashes() == want).all() and len(textblocks._Powers.up) <= 65
