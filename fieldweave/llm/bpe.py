@@ -4,19 +4,21 @@ The vocabulary file is a parameter (a ``tokenizers`` JSON of a byte-level BPE su
 pattern is evaluated for a whole block of documents with numpy over code points; every pre-token is hashed, looked up in a
 direct-mapped cache, and only pre-tokens that miss go through the merges.  Documents with a code point outside the classes
 known here (unassigned, or from U+3000 on) are split by the pattern itself.  The ids equal
-``Tokenizer.from_file(path).encode(text, add_special_tokens=False)`` with special strings taken as ordinary text
-(``tests/llm/test_bpe.py``).
+``Tokenizer.from_file(path).encode(text, add_special_tokens=False)`` (``tests/llm/test_bpe.py``): with ``added`` as the library has
+it by default, so that the strings of the file's added tokens get those tokens' ids; without it, as with
+``encode_special_tokens = True``, where they are ordinary text.
 """
 
 from __future__ import annotations
 
 import json
+import re
 import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
 
-from .textblocks import U64, _Powers, mix64
+from .textblocks import BLOCK_BYTES, U64, _Powers, mix64, spans_of
 
 #: The pre-token pattern of the byte-level vocabularies.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -49,20 +51,26 @@ def byte_alphabet() -> dict[str, int]:
 class Bpe:
     """One per Python worker: ``ids(texts)`` yields (ids, bounds) by block of documents."""
 
-    _made: dict[str, Bpe] = {}
+    _made: dict[tuple[str, bool], Bpe] = {}
 
     @classmethod
-    def of(cls, path: str) -> Bpe:
-        if path not in cls._made:
-            cls._made[path] = cls(path)
-        return cls._made[path]
+    def of(cls, path: str, added: bool = False) -> Bpe:
+        if (path, added) not in cls._made:
+            cls._made[path, added] = cls(path, added)
+        return cls._made[path, added]
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, added: bool = False):
         import tiktoken
 
         alphabet = byte_alphabet()
         with open(path, encoding="utf-8") as f:
-            vocab = json.load(f)["model"]["vocab"]
+            file = json.load(f)
+        vocab = file["model"]["vocab"]
+        tokens = {t["content"]: t["id"] for t in file.get("added_tokens") or []} if added else {}
+        if any(t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"] for t in file.get("added_tokens") or [] if added):
+            raise ValueError(f"{path}: an added token has options that are not supported")
+        self.tokens = tokens
+        self.token_pattern = re.compile("(" + "|".join(map(re.escape, sorted(tokens, key=len, reverse=True))) + ")") if tokens else None
         ranks = {bytes(alphabet[c] for c in token): n for token, n in vocab.items() if all(c in alphabet for c in token) and not token.startswith("<|")}
         self.core = tiktoken.Encoding(path, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.classes = np.array([_class_of(c) for c in range(_LIMIT)], np.uint8)
@@ -125,6 +133,25 @@ class Bpe:
 
     def block(self, docs: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all documents of a block, and their bounds by document."""
+        if self.token_pattern is None or not any(self.token_pattern.search(d) for d in docs):
+            return self._plain(docs)
+        # texts are cut at added tokens; what lies between is split and merged as a text of its own
+        pieces = [self.token_pattern.split(d) for d in docs]
+        ids, bounds = self._plain([x for p in pieces for x in p[::2]])
+        out, k, ends = [], 0, [0]
+        for p in pieces:
+            n = 0
+            for j, x in enumerate(p):
+                if j % 2:
+                    out.append(np.array([self.tokens[x]], np.uint32))
+                else:
+                    out.append(ids[bounds[k] : bounds[k + 1]])
+                    k += 1
+                n += len(out[-1])
+            ends.append(ends[-1] + n)
+        return np.concatenate(out), np.array(ends, np.int64)
+
+    def _plain(self, docs: list[str]) -> tuple[np.ndarray, np.ndarray]:
         code = np.frombuffer("".join(docs).encode("utf-32-le", "surrogatepass"), np.uint32)
         bounds = np.concatenate(([0], np.cumsum(np.fromiter(map(len, docs), np.int64, len(docs)))))
         strange = code >= _LIMIT
@@ -135,10 +162,13 @@ class Bpe:
             return np.zeros(0, np.uint32), np.zeros(len(docs) + 1, np.int64)
         starts = self.split(code, bounds)
         ends = np.append(starts[1:], len(code))
-        up, down = _Powers.upto(len(code) + 1)
-        total = np.zeros(len(code) + 1, U64)
-        np.cumsum(self.codes[code] * up[: len(code)], out=total[1:])
-        hashes = mix64((total[ends] - total[starts]) * down[starts]) | U64(1)
+        hashes = np.zeros(len(starts), U64)
+        for first, last in spans_of(np.append(starts, len(code)), BLOCK_BYTES):  # runs of whole pre-tokens
+            base, n = int(starts[first]), int(ends[last - 1] - starts[first])
+            up, down = _Powers.upto(n + 1)
+            total = np.zeros(n + 1, U64)
+            np.cumsum(self.codes[code[base : base + n]] * up[:n], out=total[1:])
+            hashes[first:last] = mix64((total[ends[first:last] - base] - total[starts[first:last] - base]) * down[starts[first:last] - base]) | U64(1)
         if self.n_store > _MAX_IDS:
             self.clear()
         slots = (hashes >> U64(20)).astype(np.int64) & (_SLOTS - 1)
@@ -158,7 +188,7 @@ class Bpe:
         return ids, stops[np.searchsorted(starts, bounds)]
 
     def _mixed(self, docs: list[str], strange: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        plain_ids, plain = self.block([d for d, s in zip(docs, strange) if not s])
+        plain_ids, plain = self._plain([d for d, s in zip(docs, strange) if not s])
         parts, k = [], 0
         for doc, odd in zip(docs, strange):
             if odd:

@@ -32,16 +32,17 @@ from .textblocks import list_column
 GROUP_PIECES = 25_000
 
 
-def pieces(docs: DataFrame, vocabulary: str, max_tokens: int, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:
+def pieces(docs: DataFrame, vocabulary: str, max_tokens: int, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True, added_tokens: bool = True) -> DataFrame:
     """One row per piece: id, ``piece``, ``start``, ``length``, ``ids_crc32`` (little-endian unsigned 32-bit ids) and, by default, ``ids``.
 
-    Only a document of more than ``max_tokens`` ids (end id included) is cut; all its pieces but the first are full.
+    Only a document of more than ``max_tokens`` ids (end id included) is cut; all its pieces but the first are full.  ``added_tokens``: the
+    strings of the vocabulary's added tokens get their ids, as ``tokenizers`` does by default; else they are ordinary text.
     """
     id_type = docs.schema[id_col].dataType.simpleString()
     schema = f"`{id_col}` {id_type}, piece int, start bigint, length bigint, ids_crc32 bigint" + ", ids array<int>" * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = Bpe.of(vocabulary)
+        bpe = Bpe.of(vocabulary, added_tokens)
         for batch in batches:
             texts = batch.column(1).to_pylist()
             for first, ids, bounds in bpe.ids(texts):
@@ -130,8 +131,9 @@ def pack(
     caps = (max_tokens, max_docs or max_tokens, max_attention or max_tokens**2)
     kept = scratch.write(items, "pieces")
     n_groups = max(1, -(-kept.count() // group_pieces))
-    by = [id_col, "piece", "start", "length", "ids_crc32"]
-    dealt = kept.withColumn("pack_group", F.pmod(F.xxhash64(*by), F.lit(n_groups)).cast("int"))
+    # the place in the written table is dealt, so that equal rows don't meet, and a lost task's rows are dealt alike again
+    place = F.xxhash64("_metadata.file_name", "_metadata.row_index")
+    dealt = kept.withColumn("pack_group", F.pmod(place, F.lit(n_groups)).cast("int"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema) + ", sequence_id bigint, offset bigint"
 
     def run(table: pa.Table) -> pa.Table:

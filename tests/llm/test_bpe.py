@@ -45,3 +45,15 @@ def test_cache_is_cleared_when_full(both, monkeypatch):
     for doc in ("alpha beta gamma", "delta epsilon zeta", "alpha zeta"):
         ids, _ = bpe.block([doc])
         assert ids.tolist() == plain.encode(doc, add_special_tokens=False).ids
+
+
+def test_added_tokens_as_the_library_has_them_by_default():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library, bpe = Tokenizer.from_file(path), Bpe.of(path, True)
+    rnd = random.Random(3)
+    parts = ["<|endoftext|>", "<|endof", "text|>", " ", "  ", "\n", "hi", "'s", "é", "日"]
+    docs = ["<|endoftext|> hi", "<|endoftext|>", "", "a  <|endoftext|><|endoftext|>  b"] + ["".join(rnd.choice(parts) for _ in range(rnd.randint(0, 9))) for _ in range(500)]
+    ids, bounds = bpe.block(docs)
+    for k, doc in enumerate(docs):
+        assert ids[bounds[k] : bounds[k + 1]].tolist() == library.encode(doc, add_special_tokens=False).ids, repr(doc)
+    assert bpe.block(docs[:1])[0].tolist()[0] == 50256
