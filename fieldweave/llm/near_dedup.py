@@ -39,6 +39,7 @@ SKETCH = 64
 SHORT = 32
 HEAD = 16
 GROWTH = 16
+SALTS = 16
 DEVIATIONS = 5
 _SALT_A, _SALT_B, _SALT_FEW = U64(0xA0761D6478BD642F), U64(0xE7037ED1A0B428DB), U64(0x8EBC6AF09C88C6E3)
 
@@ -60,6 +61,10 @@ def shingle_sets(block: Block, size: int, fold: bool) -> Iterator[np.ndarray]:
             yield np.zeros(0, U64)
 
 
+def text_key(text_col: str) -> Column:
+    return F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+
+
 def _digest(values: np.ndarray) -> bytes:
     return mix64(values ^ _SALT_A).sum(dtype=U64).tobytes() + mix64(values ^ _SALT_B).sum(dtype=U64).tobytes()
 
@@ -132,8 +137,8 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def _full_sets(docs: DataFrame, wanted: DataFrame, scratch: Scratch, size: int, fold: bool, id_col: str, text_col: str) -> DataFrame:
     """Whole sets of the wanted classes (cid, rep): texts are fetched by the class's smallest id, then known by their digest."""
-    rep = wanted.select(F.col("rep")).distinct().hint("shuffle_hash")
-    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(rep, F.col("_id").eqNullSafe(F.col("rep")), "left_semi")
+    rep = scratch.write(wanted.select(F.col("rep")).distinct(), "reps")
+    texts = scratch.semi_join(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")), rep, F.col("_id").eqNullSafe(F.col("rep")))
     sets = features(texts, size, fold, None, "_id", "_text").select("cid", "n", "retained")
     sets = scratch.write(sets.join(wanted.select("cid").distinct(), "cid", "left_semi"), "sets")
     if sets.count() != sets.select("cid").distinct().count():  # ids that repeat or are null
@@ -154,7 +159,10 @@ def _compare_with_leaders(rows: DataFrame, leaders: int, percent: int) -> tuple[
     lead = rows.withColumn("rank", F.row_number().over(first)).filter(F.col("rank") <= leaders)
     lead = lead.select(F.col("v").alias("w"), F.col("cid").alias("lead"), F.col("n").alias("nl"), F.col("h").alias("hl"), F.col("head").alias("headl"), F.col("root").alias("rl"))
     elsewhere = F.coalesce(F.try_element_at(F.array_intersect("head", "headl"), F.lit(1)) != F.col("v"), F.lit(False))
-    met = rows.join(lead, (F.col("v") == F.col("w")) & (F.col("root") != F.col("rl")) & _sizes_fit("n", "nl", percent) & F.expr(f"least(h, hl) * {100 + percent} >= {percent} * (n + nl)") & ~elsewhere)
+    # a long list's classes are dealt to SALTS tasks, each with all of its leaders
+    spread = lead.withColumn("salt", F.explode(F.array(*[F.lit(k) for k in range(SALTS)])))
+    dealt = rows.withColumn("dealt", F.pmod(F.xxhash64("cid"), F.lit(SALTS)).cast("int"))
+    met = dealt.join(spread, (F.col("v") == F.col("w")) & (F.col("dealt") == F.col("salt")) & (F.col("root") != F.col("rl")) & _sizes_fit("n", "nl", percent) & F.expr(f"least(h, hl) * {100 + percent} >= {percent} * (n + nl)") & ~elsewhere)
     return met.select(F.least("cid", "lead").alias("a"), F.greatest("cid", "lead").alias("b")).distinct(), lead.select(F.col("w").alias("v"), F.col("lead").alias("cid"))
 
 
@@ -167,9 +175,10 @@ def near_duplicates(
     short: int = SHORT,
     id_col: str = "doc_id",
     text_col: str = "text",
+    scratch: Scratch | None = None,
 ) -> DataFrame:
     """One row per document: id, ``n_shingles``, ``component_id`` and ``kept``.  Links have 100 * intersection >= percent * union."""
-    scratch = Scratch(docs.sparkSession)
+    scratch = scratch or Scratch(docs.sparkSession)
     rows = scratch.write(features(docs, size, fold, k, id_col, text_col), "features")
     classes = scratch.write(
         rows.filter("n > 0").groupBy("cid").agg(F.min(id_col).alias("rep"), F.first("n").alias("n"), F.first("retained").alias("retained")), "classes"
@@ -213,14 +222,24 @@ def near_duplicates(
     low = labels.join(classes.select(F.col("cid").alias("node"), "rep"), "node").groupBy("root").agg(F.min("rep").alias("low"))
     reached = labels.join(low, "root").select(F.col("node").alias("cid"), "low")
     smallest = classes.select("cid", "rep").join(reached, "cid", "left").select("cid", F.coalesce("low", "rep").alias("component_id"))
+    smallest = scratch.write(smallest, "smallest")
+    scratch.keep_only("features", "smallest")
     own = rows.filter("n = 0").select(id_col, "n", F.col(id_col).alias("component_id"))
     rest = rows.filter("n > 0").select(id_col, "n", "cid").join(smallest, "cid").select(id_col, "n", "component_id")
     return own.unionAll(rest).select(id_col, F.col("n").alias("n_shingles"), "component_id", F.col(id_col).eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def keep_documents(docs: DataFrame, size: int = 5, percent: int = 80, fold: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` with one document of each component, that of the smallest id.  Rows without an id stay; of rows that repeat a kept id, those of one text stay once."""
-    out = Scratch(docs.sparkSession).write(near_duplicates(docs, size, percent, fold, id_col=id_col, text_col=text_col).filter("kept").select(F.col(id_col).alias("_kept")), "kept")
-    rows = docs.join(out.distinct().hint("shuffle_hash"), F.col(id_col).eqNullSafe(F.col("_kept")), "left_semi")
-    repeats = out.filter("_kept IS NOT NULL").groupBy("_kept").count().filter("count > 1")
-    return rows if repeats.isEmpty() else rows.dropDuplicates([id_col, text_col])
+    """The rows of ``docs`` with one document of each component, that of the smallest id.
+
+    Rows without an id stay.  Where rows share an id, each is judged by its own text; rows that repeat a kept id and text stay once.
+    """
+    scratch = Scratch(docs.sparkSession)
+    place = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), text_key(text_col).alias("key"))  # in order of ids, none last
+    found = near_duplicates(docs.select(place.alias("_place"), F.col(text_col).alias("_text")), size, percent, fold, id_col="_place", text_col="_text", scratch=scratch)
+    known = found.filter("NOT _place.none").groupBy("_place").agg(F.first("kept").alias("kept"), F.count("*").alias("rows")).filter("NOT kept OR rows > 1")
+    known = scratch.write(known.select(F.col("_place.id").alias("_id"), F.col("_place.key").alias("_key"), "kept"), "known")
+    scratch.keep_only("known")
+    on = (F.col(id_col) == F.col("_id")) & (text_key(text_col) == F.col("_key"))
+    once = scratch.semi_join(docs, known.filter("kept"), on).dropDuplicates([id_col, text_col])
+    return scratch.semi_join(docs, known, on, "left_anti").unionByName(once)

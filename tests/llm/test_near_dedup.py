@@ -101,3 +101,20 @@ def test_long_path_is_one_component(spark):
     df = spark.createDataFrame(edges, "a bigint, b bigint").select(F.unhex(F.sha2(F.col("a").cast("string"), 256)).alias("a"), F.unhex(F.sha2(F.col("b").cast("string"), 256)).alias("b"))
     out = connected_components(df, Scratch(spark), "path")
     assert sorted(r["count"] for r in out.groupBy("root").count().collect()) == [2, 301]
+
+
+def test_rows_are_judged_by_their_own_text(spark):
+    text, other = " ".join(f"w{i}" for i in range(40)), " ".join(f"x{i}" for i in range(40))
+    keep = lambda rows: sorted(map(tuple, near_dedup.keep_documents(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()), key=str)
+    assert keep([(1, text), (None, text), (2, other)]) == [(1, text), (2, other), (None, text)]
+    assert keep([(None, text), (None, text), (7, text)]) == [(7, text), (None, text), (None, text)]
+    assert keep([(1, text), (5, other), (5, text)]) == [(1, text), (5, other)]
+    assert keep([(1, text), (1, text), (3, None), (3, None), (4, "")]) == [(1, text), (3, None), (4, "")]
+
+
+def test_ids_are_joined_alike_beyond_the_broadcast_bound(spark):
+    docs = spark.createDataFrame([(k, "a") for k in range(50)], "doc_id bigint, text string")
+    scratch = Scratch(spark)
+    ids = scratch.write(spark.range(10).withColumnRenamed("id", "_id"), "ids")
+    got = [sorted(r["doc_id"] for r in scratch.semi_join(docs, ids, F.col("doc_id") == F.col("_id"), how, most).collect()) for how in ("left_semi", "left_anti") for most in (0, 100)]
+    assert got == [list(range(10))] * 2 + [list(range(10, 50))] * 2
