@@ -33,7 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .scratch import Scratch
@@ -120,7 +120,11 @@ def item_windows(items: DataFrame, size: int = 5, item_col: str = "item_id", tex
     return own.select("kind", "hash", "item_id", F.col("at.place").alias("places"), slots.alias("item_slots"), F.max("words").over(item).alias("words"), F.count("*").over(item).alias("windows"))
 
 
-def _window_batch(block: Block, ids: pa.Array, name: str, size: int, known: np.ndarray | None) -> pa.RecordBatch:
+def _text_key(text_col: str) -> Column:
+    return F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+
+
+def _window_batch(block: Block, ids: pa.Array, name: str, size: int, known: np.ndarray | None, keys: pa.Array | None = None) -> pa.RecordBatch:
     """Windows of a block's documents; ``known``: only those of these (sorted) hashes.  With what tells where they are."""
     text = Canonical(block)
     kinds, hashes, firsts = [], [], []
@@ -146,11 +150,10 @@ def _window_batch(block: Block, ids: pa.Array, name: str, size: int, known: np.n
         columns.append(pa.array((total[kind, block.word_bounds[doc + 1]] - total[kind, block.word_bounds[doc]]).astype(np.int32)))
         names.append("words")
     else:
-        # spans in code points of the text, and a key of the text itself
+        # spans in code points of the text
         points = np.concatenate(([0], np.cumsum((block.data & 0xC0) != 0x80)))
         base = points[block.bounds[doc]]
-        key = block.hash_spans(block.bounds[:-1], block.bounds[1:])
-        columns += [pa.array(key[doc].view(np.int64)), pa.array(points[block.starts[first]] - base) if len(first) else pa.array([], pa.int64()), pa.array(points[block.ends[first + size - 1]] - base) if len(first) else pa.array([], pa.int64())]
+        columns += [keys.take(pa.array(doc)), pa.array(points[block.starts[first]] - base) if len(first) else pa.array([], pa.int64()), pa.array(points[block.ends[first + size - 1]] - base) if len(first) else pa.array([], pa.int64())]
         names += ["text_key", "start", "end"]
     return pa.RecordBatch.from_arrays(columns, names)
 
@@ -169,15 +172,16 @@ def _member(values: np.ndarray, known: np.ndarray) -> np.ndarray:
 
 
 def document_windows(docs: DataFrame, size: int, known: np.ndarray | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Windows of all documents; ``known``: only those of these hashes.  ``text_key`` is a hash of the whole text."""
     id_type = docs.schema[id_col].dataType.simpleString()
     shared = None if known is None else docs.sparkSession.sparkContext.broadcast(known)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block in blocks(batch.column(1)):
-                yield _window_batch(block, batch.column(0).slice(block.first, block.n_docs), "doc", size, None if shared is None else shared.value)
+                yield _window_batch(block, batch.column(0).slice(block.first, block.n_docs), "doc", size, None if shared is None else shared.value, batch.column(2).slice(block.first, block.n_docs))
 
-    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"kind int, hash bigint, doc {id_type}, slots array<bigint>, place int, text_key bigint, start bigint, end bigint")
+    return docs.select(F.col(id_col), F.col(text_col), _text_key(text_col)).mapInArrow(run, f"kind int, hash bigint, doc {id_type}, slots array<bigint>, place int, text_key bigint, start bigint, end bigint")
 
 
 def _occurrences(matches: list[tuple], size: int) -> list[list[tuple]]:
@@ -296,7 +300,8 @@ def _found_batch(rows: list[tuple], ids: list[pa.DataType], names: list[str]) ->
     return pa.RecordBatch.from_arrays([pa.array(column, kind) for column, kind in zip(zip(*rows), types)], names)
 
 
-def clean_documents(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """``docs`` without those that hold an item.  Rows whose id is null are matched by that null."""
-    bad = contaminated(docs, items, id_col=id_col, **options).select(F.col(id_col).alias("_bad")).distinct()
-    return docs.join(bad, F.col(id_col).eqNullSafe(F.col("_bad")), "left_anti")
+def clean_documents(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """``docs`` without the rows that hold an item.  A row is judged by its own text: others of its id, or without an id, stay."""
+    scratch = Scratch(docs.sparkSession)
+    bad = contaminated(docs, items, id_col=id_col, text_col=text_col, **options).select(F.col(id_col).alias("_bad"), F.col("text_key").alias("_bad_key")).distinct()
+    return scratch.semi_join(docs, scratch.write(bad, "bad"), F.col(id_col).eqNullSafe(F.col("_bad")) & (_text_key(text_col) == F.col("_bad_key")), "left_anti")

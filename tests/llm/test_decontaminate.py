@@ -157,3 +157,11 @@ def test_empty(spark):
     assert d.contaminated(empty(spark), items).collect() == []
     assert d.contaminated(frame(spark), items.filter("1 = 0")).collect() == []
     assert d.clean_documents(frame(spark), items.filter("1 = 0")).count() == len(ODD)
+
+
+def test_clean_rows_of_a_shared_id_stay(spark):
+    item = " ".join(f"word{i}" for i in range(30))
+    docs = spark.createDataFrame([(None, f"see {item} here"), (None, "clean without an id"), (4, item), (4, "clean text of the same id"), (5, None)], "doc_id bigint, text string").withColumn("text_key", F.lit("clash"))
+    items = spark.createDataFrame([(1, item)], "item_id bigint, text string")
+    got = sorted((str(r["doc_id"]), r["text"], r["text_key"]) for r in d.clean_documents(docs, items).collect())
+    assert got == [("4", "clean text of the same id", "clash"), ("5", None, "clash"), ("None", "clean without an id", "clash")]
