@@ -101,7 +101,8 @@ def shares_needed(percent: int, k: int) -> int:
 def _listed(rows: DataFrame, length: Column, needed: Column) -> DataFrame:
     """(v, df, cid, n, ...) to the rows of each class's prefix.  ``rows`` has (cid, n, values); values that occur once make no rows."""
     values = rows.select("cid", F.explode("values").alias("v"))
-    often = values.groupBy("v").agg(F.count("*").alias("df")).filter("df > 1")
+    # the smaller side is hashed: neither is sorted, and only one of them is fetched at a time
+    often = values.groupBy("v").agg(F.count("*").alias("df")).filter("df > 1").hint("shuffle_hash")
     shared = values.join(often, "v").groupBy("cid").agg(F.array_sort(F.collect_list(F.struct("df", "v"))).alias("shared"))
     return rows.select("cid", "n", length.alias("len"), needed.alias("need")).join(shared, "cid").withColumn(
         "prefix", F.slice("shared", F.lit(1), F.greatest(F.lit(0), F.col("len") - F.col("need") + 1 - (F.col("len") - F.size("shared"))).cast("int"))
