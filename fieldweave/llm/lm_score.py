@@ -3,16 +3,16 @@
 ``S(w | h) = c(h w) / c(h)`` if ``c(h w) >= min_count``, else ``alpha * S(w | h without its first word)``; for a single word,
 ``c(w) / N``.  Counts are over all documents, whole texts.  A document's score is the sum of ``ln S`` over its words.
 
-The computation is relational, on tables whose cells are packed arrays:
+The computation is relational:
 
-1. documents are dealt by hash to chunks of about ``chunk_bytes``; a chunk explodes its texts to n-grams of all orders and counts
-   equal ones, so a frequent n-gram is one entry for each chunk, however often it occurs;
-2. the count table is partitioned by the high bits of the n-gram's hash; in a partition the chunks' counts of equal n-grams are
-   summed, and joined back to each chunk's entries;
-3. the joined counts meet the chunk's texts again, where each word's backoff is decided and summed by document.
+1. documents are written once and dealt by their place in that table to chunks of about ``chunk_bytes``; a chunk's texts are exploded to
+   n-grams of all orders, one row (chunk, gram, n) for each distinct one, so a frequent n-gram is one row for each chunk, however
+   often it occurs, and no key holds more than its share of one row in a chunk;
+2. these rows are partitioned by the n-gram's 64-bit hash and summed there; a count is joined back to the rows of its n-gram in the
+   same partitioning, by a window over it, so counts and join cost one shuffle.  Pairs and longer ones below ``min_count`` go here;
+3. the rows that are left meet the texts of their chunk, where each word's backoff is decided and summed by document.
 
-An n-gram of order 2 or more is found again only through its count, so counts of orders 1 to ``order`` share one table.  Keys
-are 64-bit hashes, sorted and stored as differences.
+All tables grow in proportion to the input: there is nothing for each pair of a chunk and a partition.
 
 Defined results: null or empty texts have no words, ``log_score`` 0 and a null ``per_word``; ids may repeat or be null; other
 columns are not read; an empty table gives no rows.
@@ -20,17 +20,17 @@ columns are not read; an empty table gives no rows.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .scratch import Scratch
 from .textblocks import U64, Block, blocks, mix64
 
 CHUNK_BYTES = 4 << 20
-#: Chunks for each partition of the count table.
-CHUNKS_A_PART = 2
 
 
 def ngram_hashes(block: Block, order: int) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -47,80 +47,37 @@ def ngram_hashes(block: Block, order: int) -> list[tuple[np.ndarray, np.ndarray]
     return out
 
 
-def _chunk_keys(table: pa.Table, order: int) -> tuple[list[tuple[Block, int]], np.ndarray]:
-    """Blocks of a chunk's texts and the n-gram occurrences of all of them."""
-    column = table.column("text").combine_chunks()
-    column = column if isinstance(column, pa.Array) else column.chunk(0)
-    found, keys = [], []
-    for block in blocks(column):
-        found.append(block)
-        keys += [h[ok] for h, ok in ngram_hashes(block, order)]
-    return found, np.concatenate(keys) if keys else np.zeros(0, U64)
-
-
-def _pack(values: np.ndarray) -> bytes:
-    """Byte planes of an integer array, compressed: high planes of small numbers vanish."""
-    planes = np.ascontiguousarray(values.view(np.uint8).reshape(len(values), values.itemsize).T)
-    return len(values).to_bytes(8, "little") + pa.compress(planes.tobytes(), "zstd", asbytes=True)
-
-
-def _unpack(packed: bytes, kind: type) -> np.ndarray:
-    n, size = int.from_bytes(packed[:8], "little"), np.dtype(kind).itemsize
-    planes = np.frombuffer(pa.decompress(packed[8:], n * size, "zstd", asbytes=True), np.uint8).reshape(size, n)
-    return np.ascontiguousarray(planes.T).reshape(-1).view(kind)
-
-
-def _pack_keys(keys: np.ndarray) -> bytes:
-    return _pack(np.diff(keys, prepend=U64(0)))
-
-
-def _unpack_keys(packed: bytes) -> np.ndarray:
-    return np.cumsum(_unpack(packed, np.uint64), dtype=U64)
+def _blocks(table: pa.Table) -> Iterator[Block]:
+    for part in table.column("text").chunks:
+        yield from blocks(part)
 
 
-def _part_of(keys: np.ndarray, parts: int) -> np.ndarray:
-    return ((keys >> U64(32)) * U64(parts) >> U64(32)).astype(np.int64)
-
-
-def _chunked(docs: DataFrame, chunks: int, id_col: str, text_col: str) -> DataFrame:
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.select(F.col(id_col).alias("id"), text.alias("text"), F.pmod(F.xxhash64(F.col(id_col), F.length(text)), F.lit(chunks)).cast("int").alias("chunk"))
-
-
-def ngram_counts(chunked: DataFrame, order: int, parts: int) -> DataFrame:
-    """(part, chunk, keys, counts): a chunk's distinct n-grams in one partition of the hashes, sorted, with their counts in the chunk."""
+def gram_counts(chunked: DataFrame, order: int) -> DataFrame:
+    """(chunk, gram, single, n): the distinct n-grams of each chunk, with their counts in it; ``single``: of one word."""
 
     def run(table: pa.Table) -> pa.Table:
-        chunk = table.column("chunk")[0].as_py()
-        keys, counts = np.unique(_chunk_keys(table, order)[1], return_counts=True)
-        cuts = np.searchsorted(_part_of(keys, parts), np.arange(parts + 1))
-        rows = [(p, a, b) for p, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])) if b > a]
+        keys: list[list[np.ndarray]] = [[], []]
+        for block in _blocks(table):
+            for k, (h, ok) in enumerate(ngram_hashes(block, order)):
+                keys[k > 0].append(h[ok])
+        found = [np.unique(np.concatenate(x), return_counts=True) if x else (np.zeros(0, U64), np.zeros(0, np.int64)) for x in keys]
+        grams = np.concatenate([g for g, _ in found])
         return pa.table(
             {
-                "part": pa.array([p for p, _, _ in rows], pa.int32()),
-                "chunk": pa.array([chunk] * len(rows), pa.int32()),
-                "keys": pa.array([_pack_keys(keys[a:b]) for _, a, b in rows], pa.binary()),
-                "counts": pa.array([_pack(counts[a:b].astype(np.uint32)) for _, a, b in rows], pa.binary()),
+                "chunk": pa.array(np.full(len(grams), table.column("chunk")[0].as_py(), np.int32)),
+                "gram": pa.array(grams.view(np.int64)),
+                "single": pa.array(np.arange(len(grams)) < len(found[0][0])),
+                "n": pa.array(np.concatenate([n for _, n in found]).astype(np.int32)),
             }
         )
 
-    return chunked.groupBy("chunk").applyInArrow(run, "part int, chunk int, keys binary, counts binary")
+    return chunked.groupBy("chunk").applyInArrow(run, "chunk int, gram bigint, single boolean, n int")
 
 
-def corpus_counts(counts: DataFrame) -> DataFrame:
-    """The count table joined back to the chunks' entries: (part, chunk, totals), aligned with the entries' sorted keys."""
-
-    def run(table: pa.Table) -> pa.Table:
-        keys = [_unpack_keys(x.as_py()) for x in table.column("keys")]
-        own = [_unpack(x.as_py(), np.uint32) for x in table.column("counts")]
-        bounds = np.concatenate(([0], np.cumsum([len(k) for k in keys])))
-        _, back = np.unique(np.concatenate(keys), return_inverse=True)
-        total = np.bincount(back, weights=np.concatenate(own))  # exact below 2**53
-        joined = total[back].astype(np.uint64)
-        packed = [_pack(joined[a:b]) for a, b in zip(bounds[:-1], bounds[1:])]
-        return pa.table({"part": table.column("part"), "chunk": table.column("chunk"), "totals": pa.array(packed, pa.binary())})
-
-    return counts.groupBy("part").applyInArrow(run, "part int, chunk int, totals binary")
+def corpus_counts(grams: DataFrame, min_count: int) -> DataFrame:
+    """(chunk, gram, total): each chunk's n-grams with their counts in the whole corpus, but for those that are never scored as such."""
+    total = F.sum("n").over(Window.partitionBy("gram"))
+    return grams.withColumn("total", total).filter(F.col("single") | (F.col("total") >= min_count)).select("chunk", "gram", "total")
 
 
 def backoff(hashes: list[tuple[np.ndarray, np.ndarray]], count_of, min_count: int, alpha: float) -> tuple[np.ndarray, np.ndarray]:
@@ -144,33 +101,38 @@ def backoff(hashes: list[tuple[np.ndarray, np.ndarray]], count_of, min_count: in
 def lm_scores(docs: DataFrame, order: int = 3, alpha: float = 0.4, min_count: int = 2, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """One row per document: id, ``n_words``, ``n_backoff`` (words scored below the longest order that their place allows), ``log_score`` and ``per_word``."""
     scratch = Scratch(docs.sparkSession)
-    n_bytes = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    rows = scratch.write(docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")), "texts")
+    n_bytes = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     chunks = max(1, -(-n_bytes // chunk_bytes))
-    parts = max(1, -(-chunks // CHUNKS_A_PART))
-    chunked = _chunked(docs, chunks, id_col, text_col)
-    joined = corpus_counts(ngram_counts(chunked, order, parts))
-    id_type = docs.schema[id_col].dataType.simpleString()
+    chunked = rows.withColumn("chunk", F.pmod(F.xxhash64("_metadata.file_name", "_metadata.row_index"), F.lit(chunks)).cast("int"))
+    joined = corpus_counts(gram_counts(chunked, order), min_count)
+    id_type = rows.schema["id"].dataType.simpleString()
 
     def run(texts: pa.Table, totals: pa.Table) -> pa.Table:
-        found, occurrences = _chunk_keys(texts, order)
-        keys = np.unique(occurrences)
-        rows = sorted(zip(totals.column("part").to_pylist(), totals.column("totals").to_pylist()))
-        total = np.concatenate([_unpack(x, np.uint64) for _, x in rows]).astype(np.float64) if rows else np.zeros(0)
+        keys, total = totals.column("gram").to_numpy().view(U64), totals.column("total").to_numpy()
+        by_key = np.argsort(keys)
+        keys, total = np.append(keys[by_key], U64(0)), np.append(total[by_key], 0)
+
+        def count_of(h: np.ndarray) -> np.ndarray:
+            at = np.searchsorted(keys[:-1], h)
+            return np.where(keys[at] == h, total[at], 0).astype(np.float64)
+
         out = [[], [], [], []]
-        for block in found:
+        for block in _blocks(texts):
             hashes = ngram_hashes(block, order)
-            score, used = backoff(hashes, lambda h: total[np.minimum(np.searchsorted(keys, h), len(keys) - 1)], min_count, alpha)
+            score, used = backoff(hashes, count_of, min_count, alpha)
             longest = np.sum([ok for _, ok in hashes], axis=0)
             doc, n = block.word_docs(), block.n_docs
             out[0].append(block.n_words())
             out[1].append(np.bincount(doc[used == 1], minlength=n))
             out[2].append(np.bincount(doc[used < longest], minlength=n))
             out[3].append(np.bincount(doc, weights=score, minlength=n))
-        n_words, n_single, n_backoff, partial = (np.concatenate(x) for x in out)
+        n_words, n_single, n_backoff, partial = (np.concatenate(x) if x else np.zeros(0) for x in out)
         return pa.table({"id": texts.column("id"), "n_words": pa.array(n_words, pa.int64()), "n_single": pa.array(n_single, pa.int64()), "n_backoff": pa.array(n_backoff, pa.int64()), "partial": pa.array(partial, pa.float64())})
 
     summed = chunked.groupBy("chunk").cogroup(joined.groupBy("chunk")).applyInArrow(run, f"id {id_type}, n_words bigint, n_single bigint, n_backoff bigint, partial double")
     summed = scratch.write(summed, "summed")
+    scratch.keep_only("summed")
     n_words = summed.agg(F.sum("n_words")).first()[0] or 0
     log_score = F.col("partial") - F.col("n_single") * F.lit(float(np.log(max(n_words, 1))))
     return summed.select(F.col("id").alias(id_col), "n_words", "n_backoff", log_score.alias("log_score"), F.when(F.col("n_words") > 0, log_score / F.col("n_words")).alias("per_word"))

@@ -73,7 +73,8 @@ def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm_score.lm_scores(_table(spark, sf_dir, "documents"), order=3, alpha=0.4, min_count=2)
+    scored = lm_score.lm_scores(_table(spark, sf_dir, "documents"), order=3, alpha=0.4, min_count=2)
+    return scored.select("doc_id", "n_words", "n_backoff", F.round("log_score", 4).alias("log_score"), F.round("per_word", 4).alias("per_word"))
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -103,4 +104,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_sharding": op10_sharding,
 }
 
-ORACLE_SQL: dict[str, str] = {"op2_chat_formatting": sql.CHAT_FORMATTING, "op3_minhash_near_dedup": sql.NEAR_DEDUP, "op6_quality_rules": sql.QUALITY_RULES}
+ORACLE_SQL: dict[str, str] = {"op2_chat_formatting": sql.CHAT_FORMATTING, "op3_minhash_near_dedup": sql.NEAR_DEDUP, "op6_quality_rules": sql.QUALITY_RULES, "op8_lm_scoring": sql.LM_SCORING}

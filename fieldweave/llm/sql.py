@@ -86,3 +86,24 @@ measured AS (
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, fail_mask & 3 <> 0 AS base_failed, fail_mask = 0 AS kept, fail_mask
 FROM masked
 """
+
+LM_SCORING = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+), spread AS (
+  SELECT r, unnest(words) AS z, generate_subscripts(words, 1) AS i FROM docs
+), placed AS (
+  SELECT r, i, z, lag(z, 1) OVER o AS y, lag(z, 2) OVER o AS x FROM spread WINDOW o AS (PARTITION BY r ORDER BY i)
+), one AS (SELECT z, count(*) AS n FROM placed GROUP BY z),
+two AS (SELECT y, z, count(*) AS n FROM placed WHERE i >= 2 GROUP BY y, z),
+three AS (SELECT x, y, z, count(*) AS n FROM placed WHERE i >= 3 GROUP BY x, y, z),
+scored AS (
+  SELECT r, CASE WHEN t.n >= 2 THEN ln(t.n) - ln(h.n) WHEN b.n >= 2 THEN CASE WHEN i >= 3 THEN ln(0.4) ELSE 0 END + ln(b.n) - ln(u.n)
+    ELSE least(i - 1, 2) * ln(0.4) + ln(v.n) - ln((SELECT count(*) FROM spread)) END AS s,
+    CASE WHEN t.n >= 2 THEN 3 WHEN b.n >= 2 THEN 2 ELSE 1 END < least(i, 3) AS backed
+  FROM placed p LEFT JOIN three t ON t.x = p.x AND t.y = p.y AND t.z = p.z LEFT JOIN two h ON h.y = p.x AND h.z = p.y
+    LEFT JOIN two b ON b.y = p.y AND b.z = p.z LEFT JOIN one u ON u.z = p.y JOIN one v ON v.z = p.z
+), summed AS (SELECT r, count(*) AS n, count(*) FILTER (backed) AS nb, sum(s) AS s FROM scored GROUP BY r)
+SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_words, CAST(coalesce(nb, 0) AS BIGINT) AS n_backoff, round(coalesce(s, 0.0), 4) AS log_score, round(s / n, 4) AS per_word
+FROM docs LEFT JOIN summed USING (r)
+"""

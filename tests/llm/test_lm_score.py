@@ -57,11 +57,5 @@ def test_query_scores_with_trigrams(spark):
     assert all(abs(r["log_score"] - want[k][2]) < 1e-4 * max(1, abs(want[k][2])) for k, r in got.items())
 
 
-def test_packing_round_trip():
-    keys = np.sort(np.random.default_rng(1).integers(0, 2**63, 1000).astype(np.uint64) * np.uint64(2))
-    assert (lm_score._unpack_keys(lm_score._pack_keys(keys)) == keys).all()
-    assert len(lm_score._unpack_keys(lm_score._pack_keys(keys[:0]))) == 0
-
-
 def test_empty(spark):
     assert lm_score.lm_scores(empty(spark)).collect() == []
