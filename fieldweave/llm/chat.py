@@ -1,7 +1,8 @@
 """Chat formatting with DataFrame expressions only.
 
 Turns of a conversation are collected as structs, sorted, and adjacent turns of one role are merged by array aggregation into
-messages; a message keeps its turns apart by a marker, so formatting is reversible.  Layout of one message::
+messages: the places where the role changes cut the sorted array into slices, so work grows with the number of turns.  A message keeps
+its turns apart by a marker, so formatting is reversible.  Layout of one message::
 
     <|turn|>role\\ntext<|next|>text<|end|>\\n
 
@@ -16,6 +17,8 @@ other than the four named are not read.  All rows of one conversation meet in on
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,15 +34,34 @@ def unescape(text: Column) -> Column:
     return F.regexp_replace(text, r"([<\[])\\(\\*)" + _CONTROL, r"$1$2$3")
 
 
-def _merged(turns: Column, kind: str) -> Column:
-    def add(done: Column, turn: Column) -> Column:
-        last = F.try_element_at(done, F.lit(-1))
-        grown = F.struct(turn["role"].alias("role"), F.concat(F.coalesce(last["texts"], F.array().cast("array<string>")), F.array(turn["text"])).alias("texts"))
-        new = F.struct(turn["role"].alias("role"), F.array(turn["text"]).alias("texts"))
-        before = F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0)))
-        return F.when(last["role"] == turn["role"], F.concat(before, F.array(grown))).otherwise(F.concat(done, F.array(new)))
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often and deep inside functions ``body`` names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _merged(turns: Column) -> Column:
+    def cut(all_: Column) -> Column:
+        opens = lambda i: (i == 0) | (F.get(all_, i)["role"] != F.get(all_, i - 1)["role"])
+        return _let(
+            F.filter(F.sequence(F.lit(0), F.size(all_) - 1), opens),
+            lambda starts: F.transform(starts, lambda s, k: F.struct(F.get(all_, s)["role"].alias("role"), F.transform(F.slice(all_, s + 1, F.coalesce(F.get(starts, k + 1), F.size(all_)) - s), lambda t: t["text"]).alias("texts"))),
+        )
+
+    return _let(turns, cut)
+
 
-    return F.aggregate(turns, F.array().cast(kind), add)
+def _offsets(lengths: Column, block: int = 256) -> Column:
+    """Sums of what comes before each element: within blocks, then moved on by the sums of the blocks before."""
+
+    def running(xs: Column) -> Column:
+        step = lambda acc, x: F.struct((acc["at"] + x).alias("at"), F.concat(acc["all"], F.array(acc["at"])).alias("all"))
+        return F.aggregate(xs, F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<bigint>").alias("all")), step)
+
+    def joined(done: Column) -> Column:
+        return _let(running(F.transform(done, lambda b: b["at"]))["all"], lambda before: F.flatten(F.transform(done, lambda b, k: F.transform(b["all"], lambda x: x + F.get(before, k)))))
+
+    blocks = lambda all_: F.transform(F.sequence(F.lit(0), F.floor((F.size(all_) - 1) / block).cast("int")), lambda k: running(F.slice(all_, k * block + 1, F.lit(block))))
+    return _let(lengths, lambda all_: _let(blocks(all_), joined))
 
 
 def format_conversations(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", train_role: str = "assistant") -> DataFrame:
@@ -51,7 +73,7 @@ def format_conversations(turns: DataFrame, conv: str = "conv_id", turn: str = "t
         F.col(conv).alias("_conv"),
         F.struct(F.col(turn).alias("turn"), F.coalesce(F.col(role), F.lit("")).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text")).alias("_turn"),
     )
-    messages = rows.groupBy("_conv").agg(F.array_sort(F.collect_list("_turn")).alias("turns")).select("_conv", _merged(F.col("turns"), "array<struct<role:string,texts:array<string>>>").alias("messages"))
+    messages = rows.groupBy("_conv").agg(F.array_sort(F.collect_list("_turn")).alias("turns")).select("_conv", _merged(F.col("turns")).alias("messages"))
     encoded = F.transform("messages", lambda m: F.struct(m["role"].alias("role"), F.concat(F.lit(OPEN), F.url_encode(m["role"]), F.lit("\n")).alias("head"), F.transform(m["texts"], escape).alias("texts")))
     # the string's parts in order; part of a text of the trained role: on
     parts = F.flatten(
@@ -72,19 +94,18 @@ def format_conversations(turns: DataFrame, conv: str = "conv_id", turn: str = "t
         )
     )
 
-    def walk(acc: Column, p: Column) -> Column:
-        n = F.char_length(p["s"])
-        spans = F.when(p["on"], F.concat(acc["spans"], F.array(F.struct(acc["at"].alias("start"), n.alias("length"))))).otherwise(acc["spans"])
-        return F.struct((acc["at"] + n).alias("at"), spans.alias("spans"))
+    def spans(all_: Column) -> Column:
+        lengths = F.transform(all_, lambda p: F.char_length(p["s"]).cast("bigint"))
+        placed = _let(_offsets(lengths), lambda at: F.transform(all_, lambda p, i: F.struct(p["on"].alias("on"), F.get(at, i).cast("int").alias("start"), F.char_length(p["s"]).alias("length"))))
+        return F.transform(F.filter(placed, lambda p: p["on"]), lambda p: F.struct(p["start"].alias("start"), p["length"].alias("length")))
 
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,length:int>>").alias("spans"))
     return (
         messages.withColumn("_parts", parts)
         .select(
             F.col("_conv").alias(conv),
             "messages",
             F.array_join(F.transform("_parts", lambda p: p["s"]), "").alias("formatted"),
-            F.aggregate("_parts", start, walk)["spans"].alias("loss_spans"),
+            _let(F.col("_parts"), spans).alias("loss_spans"),
         )
     )
 
@@ -103,6 +124,14 @@ def read_back(formatted: Column) -> Column:
     )
 
 
-def loss_text(formatted: Column, spans: Column) -> Column:
-    """All text under the loss mask, unescaped, nothing between."""
-    return F.array_join(F.transform(spans, lambda s: unescape(F.substr(formatted, s["start"] + 1, s["length"]))), "")
+def loss_text(formatted: Column, spans: Column, block: int = 1024) -> Column:
+    """All text under the loss mask, unescaped, nothing between.  The string is cut to blocks of code points first, as a place in it is found by walking from its start."""
+
+    def part(blocks: Column, s: Column) -> Column:
+        start, end = s["start"], s["start"] + s["length"]
+        covered = F.sequence(F.floor(start / block).cast("int"), F.floor((end - 1) / block).cast("int"))
+        inside = F.transform(covered, lambda k: F.substr(F.get(blocks, k), F.greatest(start - k * block, F.lit(0)) + 1, F.least(end, (k + 1) * block) - F.greatest(start, k * block)))
+        return F.when(s["length"] > 0, F.array_join(inside, "")).otherwise("")
+
+    pieces = F.regexp_extract_all(formatted, F.lit("(?s).{1,%d}" % block), F.lit(0))
+    return _let(pieces, lambda blocks: F.array_join(F.transform(spans, lambda s: unescape(part(blocks, s))), ""))
