@@ -107,3 +107,9 @@ scored AS (
 SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_words, CAST(coalesce(nb, 0) AS BIGINT) AS n_backoff, round(coalesce(s, 0.0), 4) AS log_score, round(s / n, 4) AS per_word
 FROM docs LEFT JOIN summed USING (r)
 """
+
+WORD_COUNTS = r"""
+SELECT source, lang, 'words' AS tokenizer_version, count(*) AS n_docs, CAST(sum(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))) AS BIGINT) AS n_tokens,
+  CAST(sum(length(coalesce(text, ''))) AS BIGINT) AS n_chars
+FROM documents GROUP BY source, lang
+"""

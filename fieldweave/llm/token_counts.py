@@ -4,9 +4,10 @@ A change is a signed document: +1 for an insert, -1 for a delete, and a revision
 batch of changes is counted once and summed by key; only these sums are stored, as one partition of the ledger
 (``batch_id=...``).  Totals are the sums over all committed batches, so they are additive and no text is read again.
 
-Commits are idempotent: a batch replaces its own partition and nothing else, so committing it again (after a lost driver, say) leaves
-the totals as they were; a partition without its ``_SUCCESS`` mark is not read.  ``compact`` rewrites many batches as one and remembers their
-ids, so a late replay of one of them is ignored.
+Batches are immutable and commits idempotent: a batch is written aside and renamed into place, so it is there as a whole or not at all;
+committing its id again (after a lost driver, say) changes nothing and counts nothing anew.  ``compact`` writes the sums of all batches with
+the ids of those that they stand for as one more batch, which is renamed into place in the same way; from then on the ones that it names are not read, whether
+or not their folders are deleted yet, and their ids can't be committed again.  One writer is assumed, and a file system that renames a folder at once.
 
 Defined results: null or empty texts count as documents without tokens; null sources and languages are keys of their own; repeated
 rows count as often as they come; keys whose documents fall to none stay with zeros; other columns are not read; an empty
@@ -16,7 +17,8 @@ batch is committed as such.
 from __future__ import annotations
 
 from collections.abc import Iterator, Mapping
-from urllib.parse import quote
+from urllib.parse import quote, unquote
+from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +30,7 @@ from .textblocks import blocks
 
 KEYS = ("source", "lang", "tokenizer_version")
 SUMS = ("n_docs", "n_tokens", "n_chars")
-_LEDGER = "source string, lang string, tokenizer_version string, n_docs bigint, n_tokens bigint, n_chars bigint, members array<string>"
+_LEDGER = "source string, lang string, tokenizer_version string, n_docs bigint, n_tokens bigint, n_chars bigint, batch string, members array<string>"
 #: The version name whose tokens are words ``[^\x20\x09-\x0D]+``; it needs no vocabulary.
 WORDS = "words"
 
@@ -86,27 +88,45 @@ class Ledger:
         return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), path
 
     def folders(self) -> list[str]:
-        """Folders of complete batches."""
-        fs, path = self._fs()
-        if not fs.exists(path):
-            return []
-        jpath = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-        names = [f.getPath().toString() for f in fs.listStatus(path)]
-        return sorted(n for n in names if "/batch_id=" in n and fs.exists(jpath(f"{n}/_SUCCESS")))
+        """Folders of complete batches: one for each batch since the last compaction, from one listing."""
+        fs, _ = self._fs()
+        marks = fs.globStatus(self._path(f"{self.path}/batch_id=*/_SUCCESS")) or []
+        return sorted(m.getPath().getParent().toString() for m in marks)
+
+    def _path(self, path: str):
+        return self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
 
     def _rows(self) -> DataFrame:
+        """Rows of the batches that no other one stands for."""
         folders = self.folders()
-        return self.spark.read.schema(_LEDGER).parquet(*folders) if folders else self.spark.createDataFrame([], _LEDGER)
+        rows = self.spark.read.schema(_LEDGER).parquet(*folders) if folders else self.spark.createDataFrame([], _LEDGER)
+        return rows.join(rows.select(F.explode("members").alias("batch")).distinct(), "batch", "left_anti")
 
-    def _compacted(self) -> set[str]:
-        return {m for r in self._rows().select(F.explode("members").alias("m")).distinct().collect() for m in [r["m"]]}
+    def compacted(self, batch_id: str) -> bool:
+        """Whether a compaction has this id, or stands for the batch of this id."""
+        return not self._rows().filter(F.col("members").isNotNull() & ((F.col("batch") == batch_id) | F.array_contains("members", batch_id))).isEmpty()
+
+    def committed(self, batch_id: str) -> bool:
+        """Whether a batch of this id is there as such."""
+        fs, _ = self._fs()
+        return fs.exists(self._path(f"{self._folder(batch_id)}/_SUCCESS"))
+
+    def _publish(self, batch_id: str, rows: DataFrame) -> None:
+        fs, _ = self._fs()
+        aside, to = self._path(f"{self.path}/_aside-{uuid4().hex}"), self._path(self._folder(batch_id))
+        rows.withColumn("batch", F.lit(batch_id)).select(*[c.split()[0] for c in _LEDGER.split(", ")]).coalesce(1).write.parquet(aside.toString())  # a row for each key
+        if fs.exists(to):
+            fs.delete(to, True)  # what a writer of other habits left without its mark
+        if not fs.rename(aside, to):
+            raise OSError(f"{aside} can't be renamed to {to}")
 
     def commit(self, batch_id: str, sums: DataFrame) -> bool:
-        """Store a batch's sums; False if it has been compacted before."""
-        if batch_id in self._compacted():
+        """Store a batch's sums; if it has been committed before, nothing is computed or changed.  False if it has been compacted."""
+        if self.compacted(batch_id):
             return False
-        out = sums.select(*KEYS, *SUMS, F.lit(None).cast("array<string>").alias("members"))
-        out.coalesce(1).write.mode("overwrite").parquet(self._folder(batch_id))  # a row for each key
+        if self.committed(batch_id):
+            return True
+        self._publish(batch_id, sums.select(*KEYS, *SUMS).withColumn("members", F.lit(None).cast("array<string>")))
         return True
 
     def totals(self) -> DataFrame:
@@ -114,17 +134,14 @@ class Ledger:
         return rows.groupBy(*KEYS).agg(*[F.sum(c).alias(c) for c in SUMS])
 
     def compact(self, batch_id: str) -> None:
-        """One batch of this id in place of all; their ids are kept in it."""
+        """One batch of this new id in place of all; their ids, and those that they stood for, are kept in it."""
+        if self.committed(batch_id) or self.compacted(batch_id):
+            raise ValueError(f"batch {batch_id} is there already")
         folders = self.folders()
-        own = [f.rsplit("/batch_id=", 1)[1] for f in folders]
-        from urllib.parse import unquote
-
-        members = sorted({unquote(x) for x in own} | self._compacted())
-        ids = self.spark.createDataFrame([(members,)], "members array<string>")
-        sums = self.totals().withColumn("members", F.lit(None).cast("array<string>")).unionByName(ids.select(*[F.lit(None).cast("string").alias(k) for k in KEYS], *[F.lit(None).cast("bigint").alias(s) for s in SUMS], "members"))
-        sums.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/_compacting")
+        names = self.spark.createDataFrame([(unquote(f.rsplit("/batch_id=", 1)[1]),) for f in folders], "m string")
+        members = names.union(self._rows().select(F.explode("members").alias("m"))).agg(F.array_sort(F.collect_set("m")).alias("members"))
+        none = [F.lit(None).cast("string").alias(k) for k in KEYS] + [F.lit(None).cast("bigint").alias(s) for s in SUMS]
+        self._publish(batch_id, self.totals().withColumn("members", F.lit(None).cast("array<string>")).unionByName(members.select(*none, "members")))
         fs, _ = self._fs()
-        jpath = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path
         for f in folders:
-            fs.delete(jpath(f), True)
-        fs.rename(jpath(f"{self.path}/_compacting"), jpath(self._folder(batch_id)))
+            fs.delete(self._path(f), True)

@@ -45,7 +45,8 @@ def test_odd_rows(spark, tmp_path, name, empty):
     seen, docs = set(), ODD
     if name == "op3_minhash_near_dedup":  # its SQL takes ids that are there and differ
         docs = [r for r in ODD if r[0] is not None and not (r[0] in seen or seen.add(r[0]))]
-    spark.createDataFrame([] if empty else docs, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    frame = spark.createDataFrame([] if empty else docs, "doc_id bigint, text string").selectExpr("*", "nullif('s' || doc_id % 3, 's1') AS source", "if(doc_id > 6, 'en', NULL) AS lang")
+    frame.write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([] if empty else TURNS, "conv_id bigint, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
     got = same(spark, tmp_path, name)
     assert len(got) == (1 if name == "op2_chat_formatting" else 0) if empty else len(got) > 3

@@ -68,3 +68,36 @@ def test_empty(spark, tmp_path):
     ledger = t.Ledger(spark, str(tmp_path / "ledger"))
     ledger.commit("none", t.deltas(t.count_tokens(table(spark, []), VERSIONS)))
     assert totals(ledger) == {}
+
+
+def test_compactions_lose_nothing(spark, tmp_path):
+    """Under its own id, in a row, and if the driver is lost before the old folders are deleted."""
+    ledger = t.Ledger(spark, str(tmp_path / "ledger"))
+    sums = lambda rows: t.deltas(t.count_tokens(table(spark, rows), VERSIONS))
+    ledger.commit("a", sums(ROWS))
+    ledger.commit("b", sums(ROWS[:4]))
+    want = brute([(1, r) for r in ROWS + ROWS[:4]])
+    saved = {n: (tmp_path / "ledger" / f"batch_id={n}") for n in "ab"}
+    copies = {n: [(f.name, f.read_bytes()) for f in p.iterdir()] for n, p in saved.items()}
+    ledger.compact("c1")
+    assert totals(ledger) == want
+    assert not ledger.commit("c1", sums(ROWS[:1])) and totals(ledger) == want
+    with pytest.raises(ValueError):
+        ledger.compact("c1")
+    for n, files in copies.items():  # folders that were to be deleted
+        saved[n].mkdir()
+        for name, content in files:
+            (saved[n] / name).write_bytes(content)
+    assert totals(ledger) == want and not ledger.commit("a", sums(ROWS))
+    ledger.compact("c2")
+    assert len(ledger.folders()) == 1 and totals(ledger) == want
+    assert not any(ledger.commit(n, sums(ROWS)) for n in ("a", "b", "c1", "c2")) and totals(ledger) == want
+
+
+def test_query_counts_every_document_once(spark):
+    from fieldweave.llm.queries import QUERIES
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()
+    got = {(r["source"], r["lang"], r["tokenizer_version"]): (r["n_docs"], r["n_tokens"], r["n_chars"]) for r in QUERIES["op9_token_counts"](spark, "/root/testdata/sf0.001").collect()}
+    want = brute([(1, (r["doc_id"], r["source"], r["lang"], r["text"])) for r in docs])
+    assert got == {(s, lang, "byte_bpe_50k" if v == "bpe" else v): n for (s, lang, v), n in want.items()}
