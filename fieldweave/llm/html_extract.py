@@ -3,18 +3,23 @@
 A page's tags form a token stream that is read as a tree of containers with text slots.  Wrappers are union-free regular
 expressions over such streams: adjacent siblings of one label become a repeated group, the child sequences of two trees are
 aligned by their longest common subsequence, what only one of them has becomes optional, and text slots keep whether their
-text varies and in how many articles it has one.  Pages are reduced to their trees, one for each distinct article of a host; every task
-folds its own trees into one wrapper for each host; those are folded further by host, so what meets
-in a task is a wrapper for each task before it, never a host's pages.  A page is then matched against its host's
-wrapper: the wrapper says which group holds the article and which slots say the same on every page.
-
-Kept is the article's text without menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader
-comments (known by tag, role or class), and without slots other than headings that say one text in at least ``CONSTANT_PAGES``
-articles and ``CONSTANT_PERCENT`` of all articles of a host.  Pages of a host whose own articles say the same are copies and count as one
-article, so a text is not taken for the template's because an article was copied.  White space inside a block becomes one space; blocks are joined in page order by one newline.
-
-Defined results: a null or empty page has an empty text; a page without a host or one that doesn't match its wrapper is judged by its
-own tree; null or repeated ids are rows like others; other columns are not read; an empty table gives no rows.
+text varies and in how many pages they have one.  Pages are reduced to their trees, one for each distinct text of a host; every task
+folds its own trees into one wrapper for each host, and wrappers of a host are folded level by level, those of ``FAN`` tasks at a time.
+
+A page is matched against its host's wrapper, which says which group holds the article: the fullest ``article`` or ``main`` element, or,
+on pages without them, the innermost container that has most of the text that varies from page to page, without its first and last
+children as far as these say one text on all pages.  So text that is the template's doesn't count, however much of it there is.
+All that is outside this group goes.  Inside, menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments go
+where an element's tag or role, or the whole of a class or id, says so (``class="comments"``, not ``id="comments-on-the-law"``); everything
+else stays, whether or not other pages say it too.  Words inside a longer class or id speak against a container outside the article only.
+White space inside a block becomes one space; blocks are joined in page order by one newline.
+
+A label is a container's tag, role and classes, and not its id; classes with three digits in a row, or digits in two places, count as one, so
+generated names don't make new groups.
+
+Defined results: a null or empty page has an empty text; a page without a host, the only text of its host, or one that doesn't match its
+wrapper is judged by its own tree, whose texts all count; null or repeated ids are rows like others; elements may nest to any depth; other columns are not
+read; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -22,22 +27,23 @@ from __future__ import annotations
 import hashlib
 import html as html_module
 import json
+import math
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import Scratch
 
-CONSTANT_PAGES = 5
-CONSTANT_PERCENT = 90
 BROADCAST_BYTES = 32 << 20
+#: Wrappers of a host that meet in one group, at each level.
+FAN = 64
 SALTS = 16
-#: Containers nested deeper are read as part of the one at this depth; their text is kept.
-MAX_DEPTH = 200
 
 #: HTML elements by how they are read.
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul".split())
@@ -57,6 +63,7 @@ ROLES = frozenset("navigation banner complementary contentinfo search form dialo
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^"'>]|"[^"]*"|'[^']*')*)>|<[/a-zA-Z][^<>]*\Z""", re.S)
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|itemprop)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+_MADE = re.compile(r"\d{3}|\d.*[a-zA-Z_-].*\d")
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _RAW_END = {name: re.compile(rf"</{name}\b[^>]*(?:>|\Z)", re.I) for name in RAW}
 
@@ -64,63 +71,87 @@ _RAW_END = {name: re.compile(rf"</{name}\b[^>]*(?:>|\Z)", re.I) for name in RAW}
 class Node:
     """A container of a page or of a wrapper: label, what was seen of it, and its children in order."""
 
-    __slots__ = ("label", "pages", "repeated", "text", "held", "varies", "chars", "children")
+    __slots__ = ("label", "pages", "repeated", "text", "held", "varies", "chars", "drop", "children")
 
-    def __init__(self, label: str, pages: int = 1):
+    def __init__(self, label: str, pages: int = 1, drop: int = 0):
         self.label, self.pages, self.repeated = label, pages, False
-        self.text: int | None = None  # of the text slot: its checksum
+        self.text: int | None = None  # of the text slot: the checksum of what one page says there
         self.held = 0  # pages whose slot has text
         self.varies, self.chars = False, 0
+        self.drop = drop  # the least of its containers'
         self.children: list[Node] = []
 
-    def dump(self) -> list:
-        return [self.label, self.pages, int(self.repeated), self.text, int(self.varies), self.chars, self.held, [c.dump() for c in self.children]]
+    def dump(self) -> str:
+        """Nodes in document order, each with its depth."""
+        rows, work = [], [(0, self)]
+        while work:
+            depth, n = work.pop()
+            rows.append([depth, n.label, n.pages, int(n.repeated), n.text, int(n.varies), n.chars, n.held, n.drop])
+            work += [(depth + 1, c) for c in reversed(n.children)]
+        return json.dumps(rows, separators=(",", ":"))
 
     @classmethod
-    def load(cls, x: list) -> Node:
-        node = cls(x[0], x[1])
-        node.repeated, node.text, node.varies, node.chars, node.held = bool(x[2]), x[3], bool(x[4]), x[5], x[6]
-        node.children = [cls.load(c) for c in x[7]]
-        return node
+    def load(cls, dump: str) -> Node:
+        path: list[Node] = []
+        for depth, label, pages, repeated, text, varies, chars, held, drop in json.loads(dump):
+            node = cls(label, pages, drop)
+            node.repeated, node.text, node.varies, node.chars, node.held = bool(repeated), text, bool(varies), chars, held
+            del path[depth:]
+            if path:
+                path[-1].children.append(node)
+            path.append(node)
+        return path[0]
+
+    def weight(self, root: Node) -> int:
+        """Characters of the slot that speak for an article: all of a single page's, and of a wrapper's what isn't the same on several pages."""
+        return self.chars if root.pages < 2 or self.varies or self.held < 2 else 0
 
 
 class Page:
-    """Containers of one page (parent, label, tag, whether it is dropped) and its text blocks (container, text)."""
+    """Containers of one page (parent, label, name, tag by meaning, whether it is dropped) and its text blocks (container, text)."""
 
     def __init__(self, html: str):
-        self.parent, self.label, self.tag, self.drop = [-1], ["html"], ["html"], [0]
+        self.parent, self.label, self.name, self.tag, self.drop = [-1], ["html"], ["html"], ["html"], [0]
         self.blocks: list[tuple[int, str]] = []
         self._read(html)
 
     def _open(self, parent: int, tag: str, attributes: str) -> int:
-        words, role, hidden = [], "", False
+        words, classes, role, hidden = [], [], "", False
         if attributes:
             for m in _ATTRIBUTE.finditer(attributes):
                 name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
                 if name in ("class", "id"):
                     words += value.split()
+                    classes += value.split() if name == "class" else []
                 elif name == "role":
                     role = value.lower()
                 elif name == "itemprop":
                     words += ["articleBody"] * (value == "articleBody")
+                    classes += ["articleBody"] * (value == "articleBody")
                 elif name == "hidden" or value == "true":
                     hidden = True
         self.parent.append(parent)
-        self.label.append(" ".join([tag, *(re.sub(r"\d+", "0", w) for w in words), *([role] if role else [])]))
+        self.name.append(tag)
+        self.label.append(" ".join([tag, *dict.fromkeys("#" if _MADE.search(w) else w for w in classes), *([role] if role else [])]))
         self.tag.append("main" if role == "main" and tag not in ("article", "body") else "article" if "articleBody" in words else tag)
+        # 2: named as what isn't main text; 1: hinted at, which counts outside the article only
+        named = any(w.lower() in MARKS for w in words)
         if tag in DROPPED or tag in SKIPPED or role in ROLES or hidden:
             drop = 2
         elif tag in ("html", "body", "article", "main"):
-            drop = 2 * (tag == "article" and bool(MARKS & _words(words)))
-        elif MARKS & _words(words):
-            drop = 2
+            drop = 2 * (tag == "article" and named)
         else:
-            drop = int(tag == "header" or "header" in _words(words))
+            drop = 2 if named else int(tag == "header" or bool((MARKS | {"header"}) & _words(words)))
         self.drop.append(drop)
         return len(self.parent) - 1
 
     def _read(self, html: str) -> None:
         stack, pieces, at, end = [0], [], 0, len(html)
+        is_open: Counter[str] = Counter()  # elements on the stack by name
+
+        def close(k: int) -> None:
+            is_open.subtract(self.name[i] for i in stack[k:])
+            del stack[k:]
 
         def flush() -> None:
             if pieces:
@@ -148,9 +179,9 @@ class Page:
                 continue
             if m[1]:
                 flush()
-                for k in range(len(stack) - 1, 0, -1):
-                    if self.label[stack[k]].split(" ", 1)[0] == tag:
-                        del stack[k:]
+                for k in range(len(stack) - 1, 0, -1) if is_open[tag] > 0 else ():
+                    if self.name[stack[k]] == tag:
+                        close(k)
                         break
                 continue
             flush()
@@ -159,27 +190,28 @@ class Page:
                 if tag == "html" or "body" in names:
                     continue
                 if "head" in names:
-                    del stack[names.index("head") :]
+                    close(names.index("head"))
             if tag in VOID:
                 continue
             if self.tag[stack[-1]] == "p":
-                stack.pop()
-            elif self.tag[stack[-1]] in ("h1", "h2", "h3", "h4", "h5", "h6") and re.fullmatch(r"h\d|p|div|article|section", tag):
-                stack.pop()
-            if tag in CLOSES:
+                close(len(stack) - 1)
+            elif self.tag[stack[-1]] in HEADINGS and re.fullmatch(r"h\d|p|div|article|section", tag):
+                close(len(stack) - 1)
+            if tag in CLOSES and any(is_open[n] > 0 for n in CLOSES[tag][0].split()):
                 names, fences = CLOSES[tag]
                 for k in range(len(stack) - 1, 0, -1):
                     name = self.tag[stack[k]]
                     if name in fences:
                         break
                     if name in names.split():
-                        del stack[k:]
+                        close(k)
                         break
             if tag in RAW:
-                close = _RAW_END[tag].search(html, at)
-                at = close.end() if close else end
+                ends = _RAW_END[tag].search(html, at)
+                at = ends.end() if ends else end
             elif not m[3].endswith("/") or tag not in SKIPPED:
-                stack.append(self._open(stack[-1], tag, m[3]) if len(stack) < MAX_DEPTH else stack[-1])
+                stack.append(self._open(stack[-1], tag, m[3]))
+                is_open[tag] += 1
         flush()
 
     def tree(self) -> tuple[Node, list[Node]]:
@@ -201,9 +233,7 @@ class Page:
                 nodes[i] = node
                 text = "\n".join(own[i])
                 if text:
-                    slot = zlib.crc32(text.encode("utf-8", "surrogatepass"))
-                    node.varies |= node.text is not None and node.text != slot
-                    node.text, node.held = slot, 1
+                    node.text, node.held = zlib.crc32(text.encode("utf-8", "surrogatepass") + b"\n", node.text or 0), 1
                     node.chars += len(text)
                 runs: list[tuple[str, list[int]]] = []
                 for c in children[i]:
@@ -213,7 +243,7 @@ class Page:
                         runs.append((self.label[c], [c]))
                 found = []
                 for label, run in runs:
-                    child = Node(label)
+                    child = Node(label, drop=min(self.drop[c] for c in run))
                     child.repeated = len(run) > 1
                     found.append((child, run))
                 merged = found if not k else _join(merged, found)
@@ -227,29 +257,59 @@ def _words(names: list[str]) -> set[str]:
 
 
 def _aligned(a: list[str], b: list[str]) -> list[tuple[int | None, int | None]]:
-    """Positions of two label sequences in one order, by their longest common subsequence."""
+    """Positions of two label sequences in one order, by their longest common subsequence.
+
+    A row of the table of lengths is one whole number, whose clear bits are where the length grows by one.  Every root-th row is kept and
+    those between are made anew on the way back, so memory grows with len(a) * sqrt(len(b)) bits.
+    """
     if a == b:
         return [(k, k) for k in range(len(a))]
     head = 0
     while head < len(a) and head < len(b) and a[head] == b[head]:
         head += 1
     x, y = a[head:], b[head:]
-    best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
-    for i in range(len(x) - 1, -1, -1):
-        for j in range(len(y) - 1, -1, -1):
-            best[i][j] = best[i + 1][j + 1] + 1 if x[i] == y[j] else max(best[i + 1][j], best[i][j + 1])
-    out, i, j = [(k, k) for k in range(head)], 0, 0
-    while i < len(x) or j < len(y):
-        if i < len(x) and j < len(y) and x[i] == y[j]:
-            out.append((head + i, head + j))
-            i, j = i + 1, j + 1
-        elif j >= len(y) or i < len(x) and best[i + 1][j] >= best[i][j + 1]:
+    full, at = (1 << len(x)) - 1, {}
+    for i, label in enumerate(x):
+        at[label] = at.get(label, 0) | 1 << i
+
+    def rows(first: int, last: int, row: int) -> list[int]:
+        out = []
+        for label in y[first:last]:
+            hit = row & at.get(label, 0)
+            row = ((row + hit) | (row - hit)) & full
+            out.append(row)
+        return out
+
+    step = max(1, math.isqrt(len(y)))
+    marks = [full]
+    for first in range(0, len(y), step):
+        marks.append(rows(first, min(first + step, len(y)), marks[-1])[-1])
+    out: list[tuple[int | None, int | None]] = []
+    i, j, made, base = len(x), len(y), [], -1
+
+    def row_of(j: int) -> int:
+        """The row after ``j`` labels of ``b``."""
+        nonlocal made, base
+        if j % step == 0:
+            return marks[j // step]
+        if base != j // step:
+            base = j // step
+            made = rows(base * step, min((base + 1) * step, len(y)), marks[base])
+        return made[j % step - 1]
+
+    while i and j:
+        if row_of(j) >> (i - 1) & 1:
+            i -= 1
             out.append((head + i, None))
-            i += 1
         else:
-            out.append((None, head + j))
-            j += 1
-    return out
+            j -= 1
+            if row_of(j) >> (i - 1) & 1:
+                i -= 1
+                out.append((head + i, head + j))
+            else:
+                out.append((None, head + j))
+    out += [(head + k, None) for k in range(i - 1, -1, -1)] + [(None, head + k) for k in range(j - 1, -1, -1)]
+    return [(k, k) for k in range(head)] + out[::-1]
 
 
 def _join(a: list[tuple[Node, list[int]]], b: list[tuple[Node, list[int]]]) -> list[tuple[Node, list[int]]]:
@@ -262,6 +322,7 @@ def _join(a: list[tuple[Node, list[int]]], b: list[tuple[Node, list[int]]]) -> l
         else:
             node, members = a[i]
             node.repeated |= b[j][0].repeated
+            node.drop = min(node.drop, b[j][0].drop)
             out.append((node, members + b[j][1]))
     return out
 
@@ -277,6 +338,7 @@ def fold(a: Node, b: Node) -> Node:
         x.text = y.text if x.text is None else x.text
         x.chars += y.chars
         x.held += y.held
+        x.drop = min(x.drop, y.drop)
         children = []
         for i, j in _aligned([c.label for c in x.children], [c.label for c in y.children]):
             if i is not None and j is not None:
@@ -291,55 +353,85 @@ def _tag(label: str) -> str:
     return "article" if "articleBody" in words else "main" if words[-1] == "main" and words[0] not in ("article", "body") else words[0]
 
 
-def _is_dropped(label: str) -> bool:
-    tag, *words = label.split(" ")
-    if tag in ("html", "body", "article", "main"):
-        return tag == "article" and bool(MARKS & _words(words))
-    return tag in DROPPED or tag in SKIPPED or bool(ROLES & set(words)) or bool(MARKS & _words(words)) or tag == "header"
+def _weights(root: Node, least: int) -> dict[int, int]:
+    """What of each group's slots, with all below it, speaks for an article; groups of ``drop`` at least ``least`` count for nothing."""
+    order, work = [], [root]
+    while work:
+        node = work.pop()
+        order.append(node)
+        work += node.children
+    total: dict[int, int] = {}
+    for node in reversed(order):
+        total[id(node)] = 0 if node.drop >= least and node is not root else node.weight(root) + sum(total[id(c)] for c in node.children)
+    return total
 
 
 def article_of(root: Node) -> Node:
-    """The group that holds the article: the fullest ``article``, else ``main``, else the innermost container with most of the text."""
-    total: dict[int, int] = {}
-    found: dict[str, list[Node]] = {"article": [], "main": []}
-    order, work = [], [root]
+    """The group that holds the article: the fullest ``article``, else ``main``, else the innermost container with most of the text that counts."""
+    total = _weights(root, 1)
+    found: dict[str, list[tuple[int, int, Node]]] = {"article": [], "main": []}
+    work = [root]
     while work:
         node = work.pop()
-        order.append(node)
-        if node is not root and _is_dropped(node.label):
+        if node.drop == 2 and node is not root:
             continue
         if (tag := _tag(node.label)) in found:
-            found[tag].append(node)
-        work += node.children
-    for node in reversed(order):
-        total[id(node)] = 0 if node is not root and _is_dropped(node.label) else node.chars + sum(total[id(c)] for c in node.children)
+            found[tag].append((total[id(node)], -len(found[tag]), node))
+        work += reversed(node.children)
     for tag in ("article", "main"):
-        if full := [n for n in found[tag] if total[id(n)]]:
-            return max(full, key=lambda n: total[id(n)])
+        if full := [x for x in found[tag] if x[0] or not total[id(root)]]:
+            return max(full)[2] if total[id(root)] else max(full, key=lambda x: (_all_chars(x[2]), x[1]))[2]
     node = root
     while True:
-        inner = max((c for c in node.children if _tag(c.label) in BLOCK and _tag(c.label) not in ("p", "ul", "ol", "table", "dl") and not c.repeated), key=lambda c: total[id(c)], default=None)
+        inner = max((c for c in node.children if _tag(c.label) in BLOCK and _tag(c.label) not in HEADINGS | {"p", "ul", "ol", "table", "dl"} and not c.repeated), key=lambda c: total[id(c)], default=None)
         if inner is None or total[id(inner)] * 10 < total[id(node)] * 7 or not total[id(inner)]:
             return node
         node = inner
 
 
-def _kept(page: Page, nodes: list[Node], holders: set[int]) -> list[tuple[int, str]]:
-    """Blocks of the holders and of all below them that isn't dropped."""
+def _all_chars(node: Node) -> int:
+    n, work = 0, [node]
+    while work:
+        x = work.pop()
+        n += x.chars
+        work += x.children
+    return n
+
+
+def is_semantic(node: Node) -> bool:
+    return _tag(node.label) in ("article", "main")
+
+
+def chrome_of(root: Node, article: Node) -> set[int]:
+    """Children of an article's group without a tag of its own that come before or after all that varies, and say one text on all pages."""
+    if root.pages < 2 or is_semantic(article):
+        return set()
+    total = _weights(root, 2)
+    counts = [k for k, c in enumerate(article.children) if total[id(c)]]
+    return {id(c) for k, c in enumerate(article.children) if counts and not counts[0] <= k <= counts[-1] and c.pages > 1}
+
+
+def _kept(page: Page, nodes: list[Node], holders: set[int], chrome: set[int], strict: bool) -> list[str]:
+    """Blocks of the holders and of all below them that isn't dropped; ``strict``: hints count too, outside of semantic elements."""
     n = len(nodes)
     inside, semantic = [False] * n, [False] * n
     for i in range(n):
         up = page.parent[i]
         semantic[i] = page.tag[i] in ("article", "main") or (up >= 0 and semantic[up])
-        dropped = i not in holders and (page.drop[i] == 2 or (page.drop[i] == 1 and not (up >= 0 and semantic[up])))
+        dropped = i not in holders and (page.drop[i] == 2 or i in chrome or (strict and page.drop[i] == 1 and not (up >= 0 and semantic[up])))
         inside[i] = i in holders or (up >= 0 and inside[up] and not dropped)
-    return [(i, text) for i, text in page.blocks if inside[i]]
+    return [text for i, text in page.blocks if inside[i]]
 
 
-def own_article(page: Page, root: Node, nodes: list[Node]) -> str:
-    """Text of the article as the page's own tree has it."""
-    local = article_of(root)
-    return "\n".join(text for _, text in _kept(page, nodes, {i for i in range(len(nodes)) if nodes[i] is local}))
+def matched(root: Node, wrapper: Node) -> dict[int, Node]:
+    """The wrapper's group for each node of a page's tree that it takes."""
+    match: dict[int, Node] = {}
+    work = [(root, wrapper)]
+    while work:
+        own, other = work.pop()
+        match[id(own)] = other
+        work += [(own.children[i], other.children[j]) for i, j in _aligned([c.label for c in own.children], [c.label for c in other.children]) if i is not None and j is not None]
+    return match
 
 
 def extract(html: str | None, wrapper: Node | None, article: Node | None) -> str:
@@ -348,79 +440,72 @@ def extract(html: str | None, wrapper: Node | None, article: Node | None) -> str
     if not page.blocks:
         return ""
     root, nodes = page.tree()
-    match: dict[int, Node] = {}
-    if wrapper is not None:
-        work = [(root, wrapper)]
-        while work:
-            own, other = work.pop()
-            match[id(own)] = other
-            if [c.label for c in own.children] == [c.label for c in other.children]:
-                work += zip(own.children, other.children)
-            else:
-                work += [(own.children[i], other.children[j]) for i, j in _aligned([c.label for c in own.children], [c.label for c in other.children]) if i is not None and j is not None]
-    n = len(nodes)
-    holders = {i for i in range(n) if article is not None and match.get(id(nodes[i])) is article}
+    match = matched(root, wrapper) if wrapper is not None else {}
+    holders = {i for i, node in enumerate(nodes) if article is not None and match.get(id(node)) is article}
+    chrome, strict = set(), False
     local = article_of(root)
-    if not holders or (_tag(local.label) in ("article", "main") and _tag(article.label) not in ("article", "main")):
-        holders = {i for i in range(n) if nodes[i] is local}
-    kept = _kept(page, nodes, holders)
-
-    def constant(i: int) -> bool:
-        slot = match.get(id(nodes[i]))
-        if slot is None or slot.varies or slot.repeated or page.tag[i] in HEADINGS:
-            return False
-        return slot.held >= CONSTANT_PAGES and 100 * slot.held >= CONSTANT_PERCENT * wrapper.pages
-
-    flags = [constant(i) for i, _ in kept]
-    if not all(flags):
-        kept = [x for x, c in zip(kept, flags) if not c]
-    return "\n".join(text for _, text in kept)
+    if holders and (is_semantic(article) or not is_semantic(local)):
+        outside = chrome_of(wrapper, article)
+        chrome = {i for i, node in enumerate(nodes) if id(match.get(id(node))) in outside}
+        strict = wrapper.pages < 2 or _tag(article.label) in ("html", "body")
+    else:
+        holders = {i for i, node in enumerate(nodes) if node is local}
+        strict = True
+    return "\n".join(_kept(page, nodes, holders, chrome, strict))
 
 
 def host_of(url: Column) -> Column:
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#]*)", 1))
 
 
-def infer_wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(host, wrapper): folded over all distinct articles of each host, first in each task, then by host in two steps."""
+def infer_wrappers(pages: DataFrame, scratch: Scratch, url_col: str = "url", html_col: str = "html", fan: int = FAN) -> DataFrame:
+    """(host, wrapper): folded over all distinct texts of each host, first in each task, then by host, ``fan`` tasks at a time."""
 
     def trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys, dumps = [], []
             for html in batch.column(1).to_pylist():
                 page = Page(html or "")
-                root, nodes = page.tree()
-                keys.append(hashlib.blake2b(own_article(page, root, nodes).encode("utf-8", "surrogatepass"), digest_size=16).digest())
-                dumps.append(json.dumps(root.dump(), separators=(",", ":")))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), pa.array(dumps, pa.string())], ["host", "article", "wrapper"])
+                text = "\n".join(x for _, x in page.blocks)
+                keys.append(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).digest())
+                dumps.append(page.tree()[0].dump())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), pa.array(dumps, pa.string())], ["host", "text", "wrapper"])
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[str, Node] = {}
+        task = TaskContext.get().partitionId()
         for batch in batches:
             for host, dump in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                root = Node.load(json.loads(dump))
-                found[host] = fold(found[host], root) if host in found else root
+                _fold_into(found, host, dump)
             if len(found) > 5000:
-                yield _wrapper_batch(found)
+                yield _wrapper_batch(found, task)
                 found = {}
-        yield _wrapper_batch(found)
+        yield _wrapper_batch(found, task)
 
     def meet(table: pa.Table) -> pa.Table:
         found: dict[str, Node] = {}
         for host, dump in sorted(zip(table.column("host").to_pylist(), table.column("wrapper").to_pylist())):
-            node = Node.load(json.loads(dump))
-            found[host] = fold(found[host], node) if host in found else node
-        return pa.Table.from_batches([_wrapper_batch(found)])
+            _fold_into(found, host, dump)
+        return pa.Table.from_batches([_wrapper_batch(found, table.column("next")[0].as_py())])
+
+    schema = "host string, task int, wrapper string"
+    own_trees = pages.select(host_of(F.col(url_col)).alias("host"), F.col(html_col)).mapInArrow(trees, "host string, text binary, wrapper string")
+    distinct = own_trees.groupBy("host", "text").agg(F.min("wrapper").alias("wrapper"))
+    folded, level = scratch.write(distinct.select("host", "wrapper").mapInArrow(own, schema), "wrappers0"), 0
+    while (folded.agg(F.max("task")).first()[0] or 0) > 0:
+        level += 1
+        met = folded.withColumn("next", F.floor(F.col("task") / fan).cast("int")).groupBy("host", "next").applyInArrow(meet, schema)
+        folded = scratch.write(met, f"wrappers{level}")
+    return folded.select("host", "wrapper")
+
 
-    own_trees = pages.select(host_of(F.col(url_col)).alias("host"), F.col(html_col)).mapInArrow(trees, "host string, article binary, wrapper string")
-    distinct = own_trees.groupBy("host", "article").agg(F.min("wrapper").alias("wrapper"))
-    first = distinct.select("host", "wrapper").mapInArrow(own, "host string, wrapper string")
-    second = first.withColumn("salt", F.pmod(F.xxhash64("wrapper"), F.lit(SALTS))).groupBy("host", "salt").applyInArrow(meet, "host string, wrapper string")
-    return second.groupBy("host").applyInArrow(meet, "host string, wrapper string")
+def _fold_into(found: dict[str, Node], host: str, dump: str) -> None:
+    node = Node.load(dump)
+    found[host] = fold(found[host], node) if host in found else node
 
 
-def _wrapper_batch(found: dict[str, Node]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array([json.dumps(n.dump()) for n in found.values()], pa.string())], ["host", "wrapper"])
+def _wrapper_batch(found: dict[str, Node], task: int) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array([task] * len(found), pa.int32()), pa.array([n.dump() for n in found.values()], pa.string())], ["host", "task", "wrapper"])
 
 
 class _Wrappers:
@@ -433,7 +518,7 @@ class _Wrappers:
         if host not in self.known:
             if len(self.known) > 5000:
                 self.known.clear()
-            root = Node.load(json.loads(dump)) if dump else None
+            root = Node.load(dump) if dump else None
             self.known[host] = (root, article_of(root) if root else None)
         return self.known[host]
 
@@ -444,7 +529,8 @@ def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     Wrappers are sent to all tasks if their measured size is at most ``broadcast_bytes``; beyond, they are joined by host and salt.
     """
     spark = pages.sparkSession
-    wrappers = Scratch(spark).write(infer_wrappers(pages, url_col, html_col), "wrappers")
+    scratch = Scratch(spark)
+    wrappers = infer_wrappers(pages, scratch, url_col, html_col)
     n_bytes = wrappers.agg(F.sum(F.octet_length("wrapper") + F.octet_length("host"))).first()[0] or 0
     rows = pages.select(F.col(id_col), F.col(url_col), F.col(html_col).alias("_html"), host_of(F.col(url_col)).alias("_host"))
     types = {f.name: f.dataType.simpleString() for f in rows.schema}

@@ -44,11 +44,12 @@ def test_articles_of_four_layouts(spark, broadcast_bytes):
         assert got[k] == want, html
 
 
-def test_slot_that_says_the_same_on_every_page_goes(spark):
+def test_text_that_every_article_says_stays(spark):
+    """Inside an article nothing goes for being said on other pages too, however many there are."""
     rows = [(k, f"http://same.org/{k}", f"<article><h1>t{k}</h1><p>text {k} of this page</p><div class='x'>Read this on our app</div></article>") for k in range(8)]
     rows += [(100 + k, f"http://copy.org/{k}", "<article><h1>one</h1><p>copy</p></article>") for k in range(8)]
     got = {r["page_id"]: r["text"] for r in h.extract_pages(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
-    assert all(got[k] == f"t{k}\ntext {k} of this page" for k in range(8))
+    assert all(got[k] == f"t{k}\ntext {k} of this page\nRead this on our app" for k in range(8))
     assert all(got[100 + k] == "one\ncopy" for k in range(8))
 
 
@@ -100,5 +101,86 @@ def test_alignment_makes_optional_and_repeated_groups():
     assert not div.children[0].varies and div.children[2].varies and div.children[3].children[0].repeated
 
 
+def texts(spark, htmls, host="http://x.org"):
+    rows = [(k, f"{host}/{k}", html) for k, html in enumerate(htmls)]
+    got = {r["page_id"]: r["text"] for r in h.extract_pages(spark.createDataFrame(rows, "page_id bigint, url string, html string").repartition(3)).collect()}
+    return [got[k] for k in range(len(rows))]
+
+
+def test_wrapper_finds_the_article_where_no_tag_does(spark):
+    """The template says more than the article: a page alone can't tell them apart, pages together can."""
+    promo, about = "Our offer of the season is here for all of our readers. " * 6, "We have been writing from this town since long ago. " * 3
+    page = "<div class='c1'><div class='c2'><p>{promo}</p><p>{about}</p></div><div class='c3'><p>{site}</p><h1>t{k}</h1><h2>Introduction</h2><p>story {k} is short</p><div>All rights with us</div></div></div>"
+    htmls = [page.format(promo=promo, about=about, site="The Daily", k=k) for k in range(7)]
+    want = [f"t{k}\nIntroduction\nstory {k} is short" for k in range(7)]
+    assert texts(spark, htmls) == want
+    assert all(h.extract(x, None, None) != w and "offer" in h.extract(x, None, None) for x, w in zip(htmls, want))
+
+
+@pytest.mark.parametrize("n", [1, 4, 6, 40])
+def test_headings_that_all_articles_share_stay(spark, n):
+    htmls = [f"<nav>menu</nav><article><h1>t{k}</h1><h2>Introduction</h2><p>text {k}</p></article><footer>end</footer>" for k in range(n)]
+    assert texts(spark, htmls) == [f"t{k}\nIntroduction\ntext {k}" for k in range(n)]
+
+
+def test_words_in_longer_names_drop_nothing_inside(spark):
+    inside = "<section id='related-work'><h2>Related work</h2><p>others {k}</p></section><p class='login-guide'>how to log in {k}</p><div id='comments-on-the-law'><p>law {k}</p></div><div class='comments'><p>me too {k}</p></div><div class='ad'>Buy {k}</div>"
+    for frame, n in (("<div id='top-menu'>menu {k}</div><article><h1>t{k}</h1>%s</article>", 3), ("<div class='top-menu'>menu</div><div class='b'><h1>t{k}</h1>%s</div><div class='site-footer'>end</div>", 4)):
+        htmls = [(frame % inside).replace("{k}", str(k)) for k in range(n)]
+        assert texts(spark, htmls) == [f"t{k}\nRelated work\nothers {k}\nhow to log in {k}\nlaw {k}" for k in range(n)]
+
+
+def test_depth_changes_nothing(spark):
+    deep = "<div>" * 5000 + "<nav>menu</nav><p>deep text</p>" + "</div>" * 5000
+    assert texts(spark, [f"<article><h1>t</h1>{deep}</article>", f"<article><h1>u</h1>{deep}</article>"]) == ["t\ndeep text", "u\ndeep text"]
+
+
+def test_generated_names_make_no_new_groups():
+    rnd, wrapper = random.Random(4), None
+    for k in range(200):
+        page = h.Page(f"<div id='{rnd.random()}' class='css-{rnd.randrange(10**5, 10**6)} box'><p id=a{k}>x{k}</p></div>").tree()[0]
+        wrapper = page if wrapper is None else h.fold(wrapper, page)
+    assert [(c.label, c.pages) for c in wrapper.children] == [("div # box", 200)] and wrapper.children[0].children[0].varies
+
+
+def brute_common(a, b):
+    best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i, x in enumerate(a):
+        for j, y in enumerate(b):
+            best[i + 1][j + 1] = best[i][j] + 1 if x == y else max(best[i][j + 1], best[i + 1][j])
+    return best[-1][-1]
+
+
+def test_alignment_is_a_longest_common_subsequence():
+    rnd = random.Random(5)
+    for _ in range(400):
+        a, b = ([rnd.choice("abcd") for _ in range(rnd.randrange(12))] for _ in range(2))
+        pairs = h._aligned(a, b)
+        assert [i for i, _ in pairs if i is not None] == list(range(len(a))) and [j for _, j in pairs if j is not None] == list(range(len(b)))
+        both = [(i, j) for i, j in pairs if i is not None and j is not None]
+        assert all(a[i] == b[j] for i, j in both) and len(both) == brute_common(a, b)
+
+
+def test_long_unlike_siblings_align_in_bounded_memory():
+    import tracemalloc
+
+    a, b = ([f"{side}{k}" if k % 3 else "same" for k in range(20_000)] for side in "xy")
+    tracemalloc.start()
+    pairs = h._aligned(a, b)
+    assert tracemalloc.get_traced_memory()[1] < 64 << 20
+    tracemalloc.stop()
+    assert sum(i is not None and j is not None for i, j in pairs) == sum(x == "same" for x in a)
+
+
+def test_wrappers_meet_in_levels(spark):
+    from fieldweave.llm.scratch import Scratch
+
+    rows = [(f"http://x.org/{k}", f"<div class='m'><p>a{k}</p></div>") for k in range(90)]
+    df = spark.createDataFrame(rows, "url string, html string").repartition(30)
+    (got,) = h.infer_wrappers(df, Scratch(spark), fan=2).collect()
+    root = h.Node.load(got["wrapper"])
+    assert got["host"] == "x.org" and root.pages == 90 and root.children[0].children[0].varies
+
+
 def test_empty(spark):
     assert h.extract_pages(spark.createDataFrame([], "page_id bigint, url string, html string")).collect() == []
