@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 #: Field types and their labels.
 LABELS = {
     "string": "Text",
-    "long_text": "Long text",
+    "long_text": "Long Text",
     "number": "Number",
     "date": "Date",
     "time": "Time",

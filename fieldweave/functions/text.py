@@ -149,6 +149,12 @@ def preview_url(path: Column, base: str) -> Column:
     return F.when(path.rlike("(?i)^https?://"), path).otherwise(F.concat(F.lit(base.rstrip("/") + "/templates/preview?path="), encoded))
 
 
+def parsed_response(body: Column) -> Column:
+    """A response's body as a variant: an empty one is ``{}``, one that is no JSON is ``{"raw": body}``."""
+    raw = F.to_json(F.struct(body.alias("raw")))
+    return F.parse_json(F.when(F.coalesce(body, F.lit("")) == "", "{}").when(F.try_parse_json(body).isNull(), raw).otherwise(body))
+
+
 def error_message(body: Column, default: str = "Request failed.") -> Column:
     """The first of ``error``, the first detail's ``msg``, ``detail`` and the raw body; a body that is no JSON is itself the message."""
     value = lambda path: F.nullif(F.get_json_object(body, path), F.lit(""))

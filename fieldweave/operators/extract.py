@@ -9,7 +9,9 @@ The model is the costly part.  ``extract_cached`` asks only for what the cache t
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable, Iterator
+from uuid import uuid4
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -25,6 +27,8 @@ RULES = {
     "date": "[0-9]{4}-[0-9]{2}-[0-9]{2}",
     "time": "[0-9]{1,2}:[0-9]{2}",
 }
+#: The model and its endpoint, where nothing else is said.
+MODEL, HOST = "mistral", "http://localhost:11434"
 ATTEMPTS = 3
 TIMEOUT_S = 45
 
@@ -70,15 +74,16 @@ def call_model(prompts: DataFrame, ask: Callable[[str], str], attempts: int = AT
     return prompts.mapInArrow(run, f"{types}, response string, error string")
 
 
-def http_client(host: str, model: str, timeout: float = TIMEOUT_S) -> Callable[[str], str]:
-    """``ask`` for a generate endpoint: posts (model, prompt, no streaming), returns the answer's ``response``."""
+def http_client(host: str | None = None, model: str = MODEL, timeout: float = TIMEOUT_S) -> Callable[[str], str]:
+    """``ask`` for a generate endpoint: posts (model, prompt, no streaming), returns the answer's ``response``.  The host is that of the driver's environment if none is given."""
+    host = (host or os.environ.get("OLLAMA_HOST") or HOST).rstrip("/")
 
     def ask(prompt: str) -> str:
         import json
         from urllib.request import Request, urlopen
 
         body = json.dumps({"model": model, "prompt": prompt, "stream": False}).encode()
-        with urlopen(Request(host.rstrip("/") + "/api/generate", body, {"Content-Type": "application/json"}), timeout=timeout) as r:
+        with urlopen(Request(host + "/api/generate", body, {"Content-Type": "application/json"}), timeout=timeout) as r:
             return json.load(r)["response"]
 
     return ask
@@ -101,9 +106,9 @@ def extract_cached(prompts: DataFrame, ask: Callable[[str], str], cache_path: st
     misses = keyed.select("cache_key", "prompt").join(cache, "cache_key", "left_anti").dropDuplicates(["cache_key"])
     if concurrency:
         misses = misses.repartition(concurrency, "cache_key")
-    failed_path = cache_path.rstrip("/") + "-last-run"
-    call_model(misses, ask, attempts).select("cache_key", "response", "error").write.mode("overwrite").parquet(failed_path)
-    run = spark.read.schema("cache_key string, response string, error string").parquet(failed_path)
+    run_path = f"{cache_path.rstrip('/')}-runs/{uuid4().hex}"  # of this run alone: earlier results still read theirs
+    call_model(misses, ask, attempts).select("cache_key", "response", "error").write.parquet(run_path)
+    run = spark.read.schema("cache_key string, response string, error string").parquet(run_path)
     run.filter("error IS NULL").select("cache_key", "response").write.mode("append").parquet(cache_path)
     known = spark.read.schema("cache_key string, response string").parquet(cache_path).withColumn("error", F.lit(None).cast("string"))
     answers = known.unionByName(run.filter("error IS NOT NULL").select("cache_key", "response", "error"))

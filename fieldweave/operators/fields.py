@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldweave.functions.field_types import DEFAULT, normalize_type
+from fieldweave.functions.field_types import DEFAULT, label_of, normalize_type
 from fieldweave.functions.text import is_blank, py_strip
 
 
@@ -65,3 +65,24 @@ def duplicate_names(rows: DataFrame, name: str = "name") -> DataFrame:
 def all_rows_blank(rows: DataFrame, key: str, name: str = "name") -> DataFrame:
     """(key, blank): whether every field row of the key is still blank."""
     return rows.groupBy(key).agg(F.bool_and(is_blank(F.col(name))).alias("blank"))
+
+
+def display_rows(templates: DataFrame, *keep: str, fields: str = "fields") -> DataFrame:
+    """(pos, field, label) of each field as it is shown; a template without fields has one row that says so."""
+    rows = templates.select(*keep, F.posexplode_outer(fields).alias("pos", "_f"))
+    none = F.col("_f").isNull()
+    return rows.select(*keep, F.coalesce("pos", F.lit(0)).alias("pos"), F.when(none, "No fields.").otherwise(F.col("_f.name")).alias("field"), F.when(~none, label_of(F.col("_f.type"))).alias("label"))
+
+
+def moved(fields: Column, source: Column, target: Column) -> Column:
+    """The fields after one is dragged from place ``source`` to ``target`` (both from 0), numbered anew; places outside change nothing."""
+    inside = (source >= 0) & (target >= 0) & (source < F.size(fields)) & (target < F.size(fields))
+    rest = F.filter(fields, lambda f, i: i != source)
+    after = F.concat(F.slice(rest, F.lit(1), target), F.slice(fields, source + 1, F.lit(1)), F.slice(rest, target + 1, F.size(fields)))
+    return F.when(inside, F.transform(after, lambda f, i: F.struct(i.cast("int").alias("pos"), f["name"].alias("name"), f["type"].alias("type")))).otherwise(fields)
+
+
+def with_progress(templates: DataFrame, *keep: str, fields: str = "fields") -> DataFrame:
+    """``explode_fields`` with ``step`` (from 1) and ``total``, for showing how far a submission is."""
+    rows = templates.withColumn("total", F.size(fields))
+    return explode_fields(rows, *keep, "total", fields=fields).withColumn("step", F.col("pos") + 1)

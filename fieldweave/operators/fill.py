@@ -49,3 +49,17 @@ def surplus(widgets: DataFrame, answers: DataFrame, key: list[str]) -> DataFrame
 def fill_rate(answers: DataFrame, *by: str) -> DataFrame:
     """(by, n, found, rate): how often a value was found."""
     return answers.groupBy(*by).agg(F.count("*").alias("n"), F.count_if(F.col("values").isNotNull()).alias("found")).withColumn("rate", F.col("found") / F.col("n"))
+
+
+def fill_problems(submissions: DataFrame, widgets: DataFrame, pdfs: DataFrame | None = None) -> DataFrame:
+    """(submission_id, reason) of submissions whose PDF can't be filled: missing, not readable, or without widgets.
+
+    ``submissions``: (submission_id, pdf_path); ``pdfs``: (pdf_path, readable) of the files there are, without which a PDF counts as there and readable.
+    """
+    rows = submissions.select("submission_id", "pdf_path").join(widgets.select("pdf_path", F.lit(True).alias("_any")).distinct(), "pdf_path", "left")
+    if pdfs is None:
+        rows = rows.withColumn("_readable", F.lit(True))
+    else:
+        rows = rows.join(pdfs.select("pdf_path", F.col("readable").alias("_readable")), "pdf_path", "left")
+    reason = F.when(F.col("_readable").isNull(), "template_pdf_missing").when(~F.col("_readable"), "template_pdf_not_readable").when(F.col("_any").isNull(), "template_pdf_without_widgets")
+    return rows.select("submission_id", reason.alias("reason")).filter("reason IS NOT NULL")

@@ -36,12 +36,16 @@ def build_prompt(field: Column, type_: Column, text: Column, template: str = PRO
     return F.concat(*parts, F.lit(template[at:]))
 
 
+def with_template(submissions: DataFrame, templates: DataFrame, *columns: str) -> DataFrame:
+    """``submissions`` with these columns of their template; which side is small is left to the optimizer's own size check."""
+    return submissions.join(templates.select(F.col("id").alias("template_id"), *columns), "template_id")
+
+
 def prompts_for(submissions: DataFrame, templates: DataFrame, template: str = PROMPT) -> DataFrame:
     """(submission_id, template_id, pos, field, type, input_text, prompt): every field of a submission's template against its whole text.
 
-    Joined by template id before the fields are expanded; which side is small is left to the optimizer's own size check.
+    Joined by template id before the fields are expanded.
     """
     subs = submissions.select(F.col("id").alias("submission_id"), "template_id", "input_text")
-    joined = subs.join(templates.select(F.col("id").alias("template_id"), "fields"), "template_id")
-    rows = explode_fields(joined, "submission_id", "template_id", "input_text")
+    rows = explode_fields(with_template(subs, templates, "fields"), "submission_id", "template_id", "input_text")
     return rows.withColumn("prompt", build_prompt(F.col("field"), F.col("type"), F.col("input_text"), template))

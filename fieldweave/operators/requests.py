@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldweave.functions.text import basename, is_blank, is_pdf, py_strip, renamed_on_collision
@@ -56,12 +56,36 @@ def checked_files(paths: DataFrame, listing: DataFrame, root: str, path_col: str
     ).drop("_there")
 
 
-def upload_targets(uploads: DataFrame, existing: DataFrame, at: Column) -> DataFrame:
-    """Accepted uploads with the ``path`` to write: renamed by time where the file exists already."""
+def checked_templates(rows: DataFrame) -> DataFrame:
+    """``rows`` (name, filename, directory, fields) with ``status`` and ``reason``: all but the fields' content is required."""
+    return checked(
+        rows,
+        ("name_required", 422, is_blank(F.col("name"))),
+        ("file_required", 422, is_blank(F.col("filename"))),
+        ("directory_required", 422, is_blank(F.col("directory"))),
+        ("fields_required", 422, F.coalesce(F.size("fields"), F.lit(0)) < 1),
+    )
+
+
+def upload_targets(uploads: DataFrame, existing: DataFrame, at: Column, order: list[str]) -> DataFrame:
+    """Accepted uploads with the ``path`` to write, each its own.
+
+    Of uploads of one name the first by ``order`` keeps it, unless a file has it already; the others get the time, and a number from 2 on
+    where a file or another upload of the batch has that name too.
+    """
     wanted = uploads.filter("status = 200").withColumn("_path", F.concat("target", F.lit("/"), "name"))
     taken = existing.select(F.col("path").alias("_path"), F.lit(True).alias("_taken")).distinct()
-    joined = wanted.join(taken, "_path", "left")
-    return joined.withColumn("path", F.when(F.col("_taken"), renamed_on_collision(F.col("_path"), at)).otherwise(F.col("_path"))).drop("_path", "_taken")
+    rank = F.row_number().over(Window.partitionBy("_path").orderBy(*order))
+    rows = wanted.join(taken, "_path", "left").withColumn("_rank", rank - F.when(F.col("_taken"), 0).otherwise(1))  # 0 keeps its name
+    rows = rows.withColumn("_new", renamed_on_collision(F.col("_path"), at))
+    # the highest number that any file or kept name has for each new name; the plain one is number 1
+    names = taken.select("_path").union(rows.filter("_rank = 0").select("_path"))
+    plain = F.regexp_replace("_path", r"_([0-9]{1,9})(\.[^./]*)?$", "$2")
+    number = F.regexp_extract("_path", r"_([0-9]{1,9})(\.[^./]*)?$", 1).try_cast("bigint")
+    used = names.select(F.col("_path").alias("_new"), F.lit(1).cast("bigint").alias("_n")).union(names.select(plain, number)).filter("_n IS NOT NULL").groupBy("_new").agg(F.max("_n").alias("_used"))
+    rows = rows.join(used, "_new", "left").withColumn("_k", F.col("_rank") + F.coalesce("_used", F.lit(0)))
+    numbered = F.when(F.col("_k") > 1, F.regexp_replace("_new", r"^(.*?)(\.[^./]*)?$", F.concat(F.lit("$1_"), F.col("_k").cast("string"), F.lit("$2")))).otherwise(F.col("_new"))
+    return rows.withColumn("path", F.when(F.col("_rank") == 0, F.col("_path")).otherwise(numbered)).drop("_path", "_taken", "_rank", "_new", "_used", "_k")
 
 
 def checked_submissions(submissions: DataFrame, templates: DataFrame) -> DataFrame:
@@ -72,7 +96,7 @@ def checked_submissions(submissions: DataFrame, templates: DataFrame) -> DataFra
     number = F.col("template_id").try_cast("bigint")
     known = templates.select(F.col("id").alias("_id"), F.lit(True).alias("_known")).distinct()
     rows = submissions.join(known, number == F.col("_id"), "left")
-    return checked(rows, ("template_id_not_a_number", 422, number.isNull()), ("blank_text", 422, is_blank(F.col("input_text"))), ("unknown_template", 404, F.col("_known").isNull())).drop("_id", "_known")
+    return checked(rows, ("template_id_not_a_number", 422, number.isNull()), ("template_id_not_positive", 422, number < 1), ("blank_text", 422, is_blank(F.col("input_text"))), ("unknown_template", 404, F.col("_known").isNull())).drop("_id", "_known")
 
 
 def orphans(child: DataFrame, parent: DataFrame, child_key: str, parent_key: str) -> DataFrame:

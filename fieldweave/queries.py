@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from fieldweave.functions import field_types, text
 from fieldweave.operators import extract, fields, fill, prompts, requests, widgets
 from fieldweave.plans import pipeline
-from fieldweave.sources import catalog
+from fieldweave.sources import catalog, client
+from fieldweave.sources.shared import scratch_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -48,7 +49,7 @@ def list_templates_newest(spark, sf_dir):
 
 @_query("SELECT p_partkey, p_name, p_brand FROM part WHERE p_partkey = 7")
 def get_template_by_id(spark, sf_dir):
-    return _t(spark, sf_dir, "part").filter(F.col("p_partkey") == 7).select("p_partkey", "p_name", "p_brand")
+    return catalog.by_id(_t(spark, sf_dir, "part"), "p_partkey", 7).select("p_partkey", "p_name", "p_brand")
 
 
 @_query(
@@ -67,9 +68,16 @@ def fields_ordered_explode(spark, sf_dir):
     return fields.explode_fields(rows, "event_id").select("event_id", F.col("pos").cast("int").alias("pos"), "field")
 
 
-@_query("SELECT event_id, 'string' AS type, CASE event_type WHEN 'number' THEN 'Number' WHEN 'date' THEN 'Date' WHEN 'list' THEN 'List' ELSE 'Text' END AS label FROM events")
+_KINDS = ("string", "long_text", "number", "date", "time", "email", "phone", "signature", "checkbox", "list", "odd", "Text")
+_LABELS = ("Text", "Long Text", "Number", "Date", "Time", "Email", "Phone", "Signature", "Checkbox", "List", "Text", "Text")
+
+
+@_query(
+    f"SELECT event_id, CASE WHEN event_id % 13 < 10 THEN ({list(_KINDS)})[event_id % 13 + 1] ELSE 'string' END AS type, "
+    f"CASE WHEN event_id % 13 = 12 THEN 'Text' ELSE ({list(_LABELS)})[event_id % 13 + 1] END AS label FROM events"
+)
 def field_type_normalize(spark, sf_dir):
-    name = F.col("event_type")
+    name = F.get(F.array(*map(F.lit, _KINDS), F.lit(None)), (F.col("event_id") % 13).cast("int"))
     return _t(spark, sf_dir, "events").select("event_id", field_types.normalize_type(name).alias("type"), field_types.label_of(name).alias("label"))
 
 
@@ -105,18 +113,6 @@ def extract_email_phone(spark, sf_dir):
     return extract.rule_responses(prompts.prompts_for(subs, _templates(spark))).select("submission_id", "field", "response")
 
 
-@_query(
-    """WITH r AS (SELECT doc_id, CASE doc_id % 7 WHEN 0 THEN ' "-1" ' WHEN 1 THEN '' WHEN 2 THEN '" -1 "' ELSE '"' || left(text, 200) || '"' END AS raw FROM documents),
-    c AS (SELECT doc_id, replace(trim(raw), '"', '') AS v FROM r)
-    SELECT doc_id, contains(v, ';') AS is_plural, CASE WHEN contains(v, ';') OR v <> '-1' THEN md5(v) END AS value_md5 FROM c"""
-)
-def normalize_response(spark, sf_dir):
-    k = F.col("doc_id") % 7
-    raw = F.when(k == 0, ' "-1" ').when(k == 1, "").when(k == 2, '" -1 "').otherwise(F.concat(F.lit('"'), F.left("text", F.lit(200)), F.lit('"')))
-    n = text.normalize_response(raw)
-    return _t(spark, sf_dir, "documents").select("doc_id", n["is_plural"].alias("is_plural"), F.md5(F.array_join(n["values"], ";")).alias("value_md5"))
-
-
 @_query(
     f"""WITH r AS (SELECT doc_id, 'document' AS kind, '"' || text || '"' AS raw FROM documents
     UNION ALL SELECT doc_id, 'synthetic', CASE doc_id % 7 WHEN 0 THEN ' "-1" ' WHEN 1 THEN '' ELSE '" -1 "' END FROM documents WHERE doc_id % 7 IN (0, 1, 2)),
@@ -124,8 +120,8 @@ def normalize_response(spark, sf_dir):
     SELECT doc_id, kind, coalesce(contains(v, ';'), FALSE) AS is_plural,
     CASE WHEN contains(v, ';') THEN md5(regexp_replace(v, '(^|;)[{text.PY_WS}]+', '\\1', 'g')) WHEN v <> '-1' THEN md5(v) END AS value_md5 FROM c"""
 )
-def normalize_whole_response(spark, sf_dir):
-    """``normalize_response`` for the whole text of every document, with the synthetic answers as rows beside them."""
+def normalize_response(spark, sf_dir):
+    """The whole text of every document as a response, with synthetic answers as rows beside them."""
     docs, k = _t(spark, sf_dir, "documents"), F.col("doc_id") % 7
     whole = docs.select("doc_id", F.lit("document").alias("kind"), F.concat(F.lit('"'), F.col("text"), F.lit('"')).alias("raw"))
     synthetic = docs.filter(k.isin(0, 1, 2)).select("doc_id", F.lit("synthetic").alias("kind"), F.when(k == 0, ' "-1" ').when(k == 1, "").otherwise('" -1 "').alias("raw"))
@@ -133,6 +129,10 @@ def normalize_whole_response(spark, sf_dir):
     return whole.unionByName(synthetic).select("doc_id", "kind", n["is_plural"].alias("is_plural"), F.md5(F.array_join(n["values"], ";")).alias("value_md5"))
 
 
+#: The name that it had beside a query of the same kind over part of each text.
+QUERIES["normalize_whole_response"], ORACLE_SQL["normalize_whole_response"] = normalize_response, ORACLE_SQL["normalize_response"]
+
+
 @_query(
     "SELECT page_id, CAST(pos - 1 AS INTEGER) AS pos, md5(ltrim(part, ' ' || chr(9) || chr(10) || chr(13))) AS part_md5 FROM "
     "(SELECT page_id, unnest(string_split(html, ';')) AS part, generate_subscripts(string_split(html, ';'), 1) AS pos FROM pages)"
@@ -144,9 +144,11 @@ def split_plural(spark, sf_dir):
 
 @_query("SELECT l_orderkey, string_agg(l_linenumber || ':' || l_returnflag, ',' ORDER BY l_linenumber, l_returnflag) AS answers FROM lineitem GROUP BY l_orderkey")
 def answers_long(spark, sf_dir):
-    rows = _t(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("submission_id"), F.struct("l_linenumber", "l_returnflag").alias("a"))
-    entries = rows.groupBy("submission_id").agg(F.array_sort(F.collect_list("a")).alias("all"))
-    return entries.select(F.col("submission_id").alias("l_orderkey"), F.array_join(F.transform("all", lambda a: F.concat(a["l_linenumber"].cast("string"), F.lit(":"), a["l_returnflag"])), ",").alias("answers"))
+    rows = _t(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("submission_id"), F.struct("l_linenumber", "l_returnflag").alias("pos"), F.col("l_linenumber").cast("string").alias("field"), F.lit(False).alias("is_plural"), F.array("l_returnflag").alias("values")
+    )
+    done = extract.answers_by_submission(rows)
+    return done.select(F.col("submission_id").alias("l_orderkey"), F.array_join(F.transform("answers", lambda a: F.concat(a["field"], F.lit(":"), F.get(a["values"], F.lit(0)))), ",").alias("answers"))
 
 
 @_query(
@@ -190,8 +192,8 @@ def surplus_and_missing(spark, sf_dir):
 
 @_query("SELECT o_orderkey, c_name FROM orders JOIN customer ON o_custkey = c_custkey")
 def submission_template_join(spark, sf_dir):
-    o, c = _t(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), _t(spark, sf_dir, "customer").select("c_custkey", "c_name")
-    return o.join(c, o["o_custkey"] == c["c_custkey"]).select("o_orderkey", "c_name")
+    orders = _t(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("template_id"))
+    return prompts.with_template(orders, _t(spark, sf_dir, "customer").withColumnRenamed("c_custkey", "id"), "c_name").select("o_orderkey", "c_name")
 
 
 @_query("SELECT doc_id * 3 AS doc_id FROM labels WHERE NOT EXISTS (SELECT 1 FROM documents d WHERE d.doc_id = labels.doc_id * 3)")
@@ -221,13 +223,152 @@ def output_paths(spark, sf_dir):
 
 
 @_query(
-    "SELECT doc_id, 'in/' || source || '_' || (doc_id % 50) || CASE WHEN doc_id % 50 < 25 THEN '_20250102_030405' ELSE '' END || '.pdf' AS path FROM documents"
+    """WITH r AS (SELECT doc_id, 'in/' || source || '_' || (doc_id % 50) AS stem, row_number() OVER (PARTITION BY source, doc_id % 50 ORDER BY doc_id) + CASE WHEN doc_id % 50 < 25 THEN 1 ELSE 0 END AS k FROM documents)
+    SELECT doc_id, stem || CASE WHEN k = 1 THEN '' ELSE '_20250102_030405' END || CASE WHEN k > 2 THEN '_' || (k - 1) ELSE '' END || '.pdf' AS path FROM r"""
 )
 def collision_rename(spark, sf_dir):
     d = _t(spark, sf_dir, "documents").select("doc_id", F.concat(F.col("source"), F.lit("_"), (F.col("doc_id") % 50).cast("string"), F.lit(".pdf")).alias("name"))
     uploads = d.select("doc_id", "name", F.lit("in").alias("target"), F.lit(200).alias("status"))
     there = d.filter(F.col("doc_id") % 50 < 25).select(F.concat(F.lit("in/"), F.col("name")).alias("path"))
-    return requests.upload_targets(uploads, there, F.lit("2025-01-02 03:04:05").cast("timestamp_ntz")).select("doc_id", "path")
+    return requests.upload_targets(uploads, there, F.lit("2025-01-02 03:04:05").cast("timestamp_ntz"), ["doc_id"]).select("doc_id", "path")
+
+
+@_query("SELECT doc_id, count(*) OVER () AS n_rows, row_number() OVER (ORDER BY doc_id DESC) AS id FROM documents")
+def insert_submissions(spark, sf_dir):
+    """Ids that an empty catalog gives to all documents as submissions, newest document first."""
+    rows = _t(spark, sf_dir, "documents").select(F.lit(1).cast("bigint").alias("template_id"), F.lit("t").alias("input_text"), F.col("doc_id").cast("string").alias("output_pdf_path"), F.timestamp_seconds(-F.col("doc_id")).alias("created_at"))
+    store = catalog.Catalog(spark, scratch_folder(spark))
+    store.create()
+    store.add_submissions(rows)
+    done = store.submissions()
+    return done.select(F.col("output_pdf_path").cast("bigint").alias("doc_id"), F.lit(done.count()).cast("bigint").alias("n_rows"), "id")
+
+
+@_query(
+    r"""SELECT doc_id, regexp_extract(source || '/' || doc_id || '.PDF', '[^/]*$') AS name, source || '/' || doc_id || '.PDF' AS below, CAST(len(list_filter(list_transform(string_split(text, ','), lambda x: trim(x, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))), lambda x: x <> '')) AS BIGINT) AS n_parts,
+    CASE WHEN doc_id % 2 = 0 THEN 'https://h/' || doc_id ELSE 'http://b/templates/preview?path=' || source || '%2F' || doc_id END AS preview FROM documents"""
+)
+def path_functions(spark, sf_dir):
+    path = F.concat(F.col("source"), F.lit("/"), F.col("doc_id").cast("string"))
+    full = F.concat(F.lit("/root/x\\"), path, F.lit(".PDF"))
+    shown = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("https://h/"), F.col("doc_id").cast("string"))).otherwise(path)
+    return _t(spark, sf_dir, "documents").select(
+        "doc_id", text.basename(F.concat(path, F.lit(".PDF"))).alias("name"), text.relative_to(full, "/root/x").alias("below"), F.size(text.comma_list(F.col("text"))).cast("bigint").alias("n_parts"), text.preview_url(shown, "http://b/").alias("preview")
+    )
+
+
+@_query(
+    """SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'bad ' || event_type WHEN 1 THEN 'missing ' || event_type WHEN 2 THEN event_type WHEN 3 THEN '<html>' || event_type ELSE 'Request failed.' END AS message,
+    CASE event_id % 5 WHEN 3 THEN '<html>' || event_type END AS raw FROM events"""
+)
+def error_messages(spark, sf_dir):
+    k, kind = F.col("event_id") % 5, F.col("event_type")
+    body = F.when(k == 0, F.concat(F.lit('{"error": "bad '), kind, F.lit('", "detail": "no"}'))).when(k == 1, F.concat(F.lit('{"detail": [{"msg": "missing '), kind, F.lit('"}]}')))
+    body = body.when(k == 2, F.concat(F.lit('{"detail": "'), kind, F.lit('"}'))).when(k == 3, F.concat(F.lit("<html>"), kind)).otherwise("")
+    return _t(spark, sf_dir, "events").select("event_id", text.error_message(body).alias("message"), F.try_variant_get(text.parsed_response(body), "$.raw", "string").alias("raw"))
+
+
+@_query(
+    """SELECT doc_id, CASE WHEN doc_id % 6 = 0 THEN 'filename_required' WHEN doc_id % 6 = 1 THEN 'not_a_pdf' WHEN doc_id % 6 = 2 THEN 'directory_required' WHEN doc_id % 6 = 3 THEN 'outside_root' END AS reason,
+    CASE WHEN doc_id % 6 = 4 THEN '/srv/forms/inputs' WHEN doc_id % 6 = 5 THEN '/srv/forms/' || source END AS target FROM documents"""
+)
+def upload_checks(spark, sf_dir):
+    k = F.col("doc_id") % 6
+    name = F.when(k == 0, "").when(k == 1, "a.txt").otherwise("in/A.Pdf")
+    folder = F.when(k == 2, " \t").when(k == 3, "../../etc").when(k == 4, "").otherwise(F.concat(F.lit("./x/../"), F.col("source")))
+    done = requests.checked_uploads(_t(spark, sf_dir, "documents").select("doc_id", "source", name.alias("filename"), folder.alias("directory")), "/srv/forms")
+    return done.select("doc_id", "reason", F.when(F.col("status") == 200, F.col("target")).alias("target"))
+
+
+@_query(
+    """SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 422 WHEN 1 THEN 422 WHEN 2 THEN 404 WHEN 3 THEN 422 ELSE 200 END AS status,
+    CASE doc_id % 5 WHEN 0 THEN 'template_id_not_a_number' WHEN 1 THEN 'template_id_not_positive' WHEN 2 THEN 'unknown_template' WHEN 3 THEN 'blank_text' END AS reason FROM documents"""
+)
+def submission_checks(spark, sf_dir):
+    k = F.col("doc_id") % 5
+    rows = _t(spark, sf_dir, "documents").select("doc_id", F.when(k == 0, "two").when(k == 1, "0").when(k == 2, "77").otherwise("1").alias("template_id"), F.when(k == 3, " \n").otherwise("text").alias("input_text"))
+    return requests.checked_submissions(rows, _templates(spark)).select("doc_id", "status", "reason")
+
+
+@_query(
+    """SELECT p_partkey, 1 AS pos, 'No fields.' AS field, NULL AS label FROM part WHERE p_size % 3 = 0 AND FALSE
+    UNION ALL SELECT p_partkey, 0, CASE WHEN p_size % 3 = 0 THEN 'No fields.' ELSE p_name END, CASE WHEN p_size % 3 = 0 THEN NULL ELSE 'Long Text' END FROM part
+    UNION ALL SELECT p_partkey, 1, p_brand, 'Text' FROM part WHERE p_size % 3 = 2"""
+)
+def display_rows(spark, sf_dir):
+    entry = lambda pos, name, kind: F.struct(F.lit(pos).alias("pos"), F.col(name).alias("name"), F.lit(kind).alias("type"))
+    one, two = entry(0, "p_name", "long_text"), entry(1, "p_brand", "other")
+    k = F.col("p_size") % 3
+    rows = _t(spark, sf_dir, "part").select("p_partkey", F.when(k == 1, F.array(one)).when(k == 2, F.array(one, two)).alias("fields"))
+    return fields.display_rows(rows, "p_partkey")
+
+
+@_query(
+    """WITH f AS (SELECT l_orderkey, 'n' || l_linenumber AS name, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) - 1 AS pos, count(*) OVER (PARTITION BY l_orderkey) AS n FROM lineitem)
+    SELECT l_orderkey, CAST(CASE WHEN n < 3 THEN pos WHEN pos = 0 THEN 2 WHEN pos <= 2 THEN pos - 1 ELSE pos END AS INTEGER) AS pos, name FROM f"""
+)
+def move_field(spark, sf_dir):
+    """The first field of each list dragged to the third place."""
+    at = F.struct("l_linenumber", "l_partkey", "l_suppkey")
+    lists = _t(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct(at.alias("at"), F.concat(F.lit("n"), F.col("l_linenumber")).alias("name")))).alias("all"))
+    made = lists.select("l_orderkey", F.transform("all", lambda x, i: F.struct(i.alias("pos"), x["name"].alias("name"), F.lit("string").alias("type"))).alias("fields"))
+    return made.select("l_orderkey", F.explode(fields.moved(F.col("fields"), F.lit(0), F.lit(2))).alias("f")).select("l_orderkey", "f.pos", "f.name")
+
+
+@_query(
+    """SELECT l_orderkey, sum(CASE WHEN l_linenumber % 3 = 0 THEN 0 ELSE 1 END)::BIGINT AS n_widgets FROM lineitem GROUP BY l_orderkey"""
+)
+def widget_counts(spark, sf_dir):
+    li = _t(spark, sf_dir, "lineitem").withColumn("pdf_path", F.col("l_orderkey").cast("string"))
+    kind = F.when(F.col("l_linenumber") % 3 == 0, "/Link").otherwise("/Widget")
+    counts = widgets.widget_counts(li.select("pdf_path", F.lit(True).alias("readable")).distinct(), li.select("pdf_path", kind.alias("subtype"), F.lit("x").alias("t")))
+    return counts.select(F.col("pdf_path").cast("bigint").alias("l_orderkey"), "n_widgets")
+
+
+@_query(
+    """SELECT l_orderkey, string_agg(CASE WHEN l_linenumber % 2 = 0 THEN 'tip' ELSE 'Job Title' END || ':' || CASE l_linenumber % 3 WHEN 0 THEN 'checkbox' WHEN 1 THEN 'signature' ELSE 'string' END, ','
+    ORDER BY l_extendedprice DESC, l_quantity, l_partkey, l_suppkey) AS fields FROM lineitem GROUP BY l_orderkey"""
+)
+def seed_fields(spark, sf_dir):
+    """Field lists to start templates from, out of widgets."""
+    li, n = _t(spark, sf_dir, "lineitem"), F.col("l_linenumber")
+    annotations = li.select(
+        F.col("l_orderkey").cast("string").alias("pdf_path"), F.lit(0).alias("page"), F.struct("l_partkey", "l_suppkey").alias("annot_ix"), F.lit("/Widget").alias("subtype"), F.lit("JobTitle").alias("t"),
+        F.when(n % 2 == 0, "tip").alias("tu"), F.when(n % 3 == 0, "/Btn").when(n % 3 == 1, "/Sig").alias("ft"), F.array(F.col("l_quantity"), F.col("l_extendedprice")).alias("rect"),
+    )
+    done = widgets.seeded_fields(widgets.ordered_widgets(annotations))
+    return done.select(F.col("pdf_path").cast("bigint").alias("l_orderkey"), F.array_join(F.transform("fields", lambda f: F.concat(f["name"], F.lit(":"), f["type"])), ",").alias("fields"))
+
+
+@_query(
+    """SELECT conv_id, '{' || string_agg('"' || turn || '": ' || CASE WHEN turn % 3 = 0 THEN 'null' WHEN turn % 3 = 1 THEN '"' || role || '"' ELSE '["' || role || '","b"]' END, ', ' ORDER BY turn) || '}' AS answers,
+    string_agg(CASE WHEN turn % 3 = 0 THEN 'None' WHEN turn % 3 = 1 THEN role ELSE '[' || chr(39) || role || chr(39) || ', ' || chr(39) || 'b' || chr(39) || ']' END, '|' ORDER BY turn) AS written FROM conversations GROUP BY conv_id"""
+)
+def answers_written(spark, sf_dir):
+    k, role = F.col("turn") % 3, F.col("role")
+    rows = _t(spark, sf_dir, "conversations").select(
+        F.col("conv_id").alias("submission_id"), F.col("turn").alias("pos"), F.col("turn").cast("string").alias("field"), (k == 2).alias("is_plural"), F.when(k == 1, F.array(role)).when(k == 2, F.array(role, F.lit("b"))).alias("values")
+    )
+    done = extract.answers_by_submission(rows)
+    return done.select(F.col("submission_id").alias("conv_id"), extract.answers_json(F.col("answers")).alias("answers"), F.array_join(F.transform("answers", lambda a: text.stringify(a["values"], a["is_plural"], True)), "|").alias("written"))
+
+
+@_query(
+    """SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'template_pdf_missing' WHEN 1 THEN 'template_pdf_not_readable' ELSE 'template_pdf_without_widgets' END AS reason FROM documents WHERE doc_id % 4 <> 3"""
+)
+def fill_problems(spark, sf_dir):
+    pdfs = spark.createDataFrame([("1.pdf", False), ("2.pdf", True), ("3.pdf", True)], "pdf_path string, readable boolean")
+    subs = _t(spark, sf_dir, "documents").select(F.col("doc_id").alias("submission_id"), F.concat((F.col("doc_id") % 4).cast("string"), F.lit(".pdf")).alias("pdf_path"))
+    return fill.fill_problems(subs, pdfs.filter("pdf_path = '3.pdf'"), pdfs).select(F.col("submission_id").alias("doc_id"), "reason")
+
+
+@_query(
+    """SELECT event_id, CASE WHEN event_id % 3 = 2 THEN '' ELSE event_type END AS name, CASE WHEN event_id % 3 = 0 THEN 'date' ELSE 'string' END AS type FROM events"""
+)
+def cached_field_rows(spark, sf_dir):
+    k, kind = F.col("event_id") % 3, F.col("event_type")
+    json = F.when(k == 0, F.concat(F.lit('[7, {"name": "'), kind, F.lit('", "type": "date"}, null]'))).when(k == 1, F.concat(F.lit('[{"type": "odd", "name": "'), kind, F.lit('"}]'))).otherwise("no JSON")
+    return _t(spark, sf_dir, "events").select("event_id", F.explode(client.field_rows(json)).alias("r")).select("event_id", "r.name", "r.type")
 
 
 @_query(r"SELECT page_id, regexp_replace(replace(trim('  ' || replace(url, '/', '\') || '\\ '), '\', '/'), '/+$', '', 'g') AS directory FROM pages")

@@ -5,28 +5,48 @@ Both are append-only.  Ids follow the largest id; one writer at a time is assume
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fieldweave.schemas import SUBMISSION, TEMPLATE
+from fieldweave.schemas import FIELDS, SUBMISSION, TEMPLATE
 
 #: The template that an empty catalog starts with.
 SEED_ID, SEED_NAME, SEED_PDF = 2, "Manual Test Template", "src/inputs/file_template_manual.pdf"
 SEED_FIELDS = ("Employee's name", "Employee's job title", "Employee's department supervisor", "Employee's phone number", "Employee's email", "Signature", "Date")
 
 
-def with_ids(rows: DataFrame, after: int, order: list[str]) -> DataFrame:
-    """``rows`` with ``id`` from ``after`` + 1, in this order.
+def with_ids(rows: DataFrame, after: int, order: list[str], staging: str, name: str = "id") -> DataFrame:
+    """``rows`` with ``name`` from ``after`` + 1, in this order.
 
-    Rows are sorted by range and numbered in each partition; the partitions' counts, one row each, give the offsets, so no task gets all rows.
+    Rows are sorted by range and written once to ``staging``, a new folder that all executors share; a row's number is its place in its file
+    and the rows in the files before, one count for each file.  So no task gets all rows, and every reading sees the same numbers.
     """
-    spread = rows.sortWithinPartitions(*order) if rows.rdd.getNumPartitions() == 1 else rows.orderBy(*order)
-    marked = spread.withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id()})
-    inside = Window.partitionBy("_part").orderBy("_at")
-    numbered = marked.withColumn("_n", F.row_number().over(inside))
-    counts = marked.groupBy("_part").count()
-    before = F.coalesce(F.sum("count").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return numbered.join(counts.select("_part", before.alias("_before")), "_part").withColumn("id", F.col("_n") + F.col("_before") + F.lit(after)).drop("_part", "_at", "_n", "_before")
+    spark = rows.sparkSession
+    rows.orderBy(*order).write.parquet(staging)
+    written = spark.read.schema(rows.schema).parquet(staging).select("*", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_at"))
+    counts = written.groupBy("_file").count()
+    before = counts.select(F.col("_file").alias("_of"), F.coalesce(F.sum("count").over(Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    # one row for each file, of which there are at most as many as shuffle partitions
+    return written.join(F.broadcast(before), F.col("_file") == F.col("_of")).withColumn(name, F.col("_at") + F.col("_before") + F.lit(after + 1)).drop("_file", "_at", "_of", "_before")
+
+
+def by_id(rows: DataFrame, key: str, value: int) -> DataFrame:
+    """The row of this key, or none."""
+    return rows.filter(F.col(key) == value).limit(1)
+
+
+def with_defaults(templates: DataFrame) -> DataFrame:
+    """Template rows with what a listing shows for missing values: empty strings, no fields."""
+    empty = F.array().cast(FIELDS)
+    return templates.withColumns({"name": F.coalesce("name", F.lit("")), "pdf_path": F.coalesce("pdf_path", F.lit("")), "fields": F.coalesce("fields", empty)})
+
+
+def response_of(templates: DataFrame, counts: DataFrame) -> DataFrame:
+    """(id, name, pdf_path, fields, field_count) as a created template is answered; ``counts``: (pdf_path, n_widgets), null where the PDF can't be read."""
+    joined = with_defaults(templates).join(counts.select("pdf_path", "n_widgets"), "pdf_path", "left")
+    return joined.select("id", "name", "pdf_path", "fields", F.col("n_widgets").cast("int").alias("field_count"))
 
 
 def newest_first(rows: DataFrame, at: str, key: str, n: int | None = None) -> DataFrame:
@@ -48,6 +68,18 @@ def upserted(current: DataFrame, changes: DataFrame, key: str, version: str) ->
     return both.withColumn("_rank", F.row_number().over(latest)).filter("_rank = 1").drop("_rank", "_new")
 
 
+def upserted_in_place(current: DataFrame, changes: DataFrame, key: str, version: str, staging: str, pos: str = "pos") -> DataFrame:
+    """A list's rows after changes: a key that is there keeps its ``pos``, new ones go before all others, the latest first.
+
+    ``current`` has ``pos``; positions say the order and may be negative.
+    """
+    latest = upserted(current.drop(pos), changes, key, version)
+    kept = latest.join(current.select(key, pos), key)
+    new = with_ids(latest.join(current.select(key), key, "left_anti"), 0, [version], staging, pos)
+    first = current.agg(F.min(pos)).first()[0] or 0
+    return kept.select(*current.columns).unionByName(new.withColumn(pos, F.lit(first) - F.col(pos)).select(*current.columns))
+
+
 class Catalog:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
@@ -76,7 +108,10 @@ class Catalog:
         table = self._read(name, schema)
         last = table.agg(F.max("id")).first()[0] or 0
         columns = table.columns
-        with_ids(rows, last, order).select(*columns).write.mode("append").parquet(f"{self.path}/{name}")
+        staging = f"{self.path}/_staging-{uuid4().hex}"
+        with_ids(rows, last, order, staging).select(*columns).write.mode("append").parquet(f"{self.path}/{name}")
+        folder = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(staging)
+        folder.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
     def add_templates(self, rows: DataFrame) -> None:
         """``rows`` (name, fields, pdf_path, created_at)."""
@@ -92,4 +127,4 @@ class Catalog:
 
     def template(self, template_id: int) -> DataFrame:
         """The template of this id, or no row."""
-        return self.templates().filter(F.col("id") == template_id).limit(1)
+        return by_id(self.templates(), "id", template_id)

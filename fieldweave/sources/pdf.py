@@ -1,14 +1,19 @@
 """Form widgets of PDF files, and filled copies of them.
 
-Files are read with Spark's ``binaryFile`` source and parsed in Arrow batches.  Only plain PDFs are understood: objects that are not packed into
-compressed object streams, literal or hexadecimal strings, and a field's own ``/T`` and ``/FT`` (not those inherited from a parent).
-Anything else gives a row that is not readable, with an empty list of annotations; no file stops the others.
+Files are read with Spark's ``binaryFile`` source and parsed in Arrow batches.  Objects may stand in the file or in compressed object
+streams; strings are literal or hexadecimal.  A field's own ``/T`` and ``/FT`` count, or with ``inherit`` those of its parents where it has none.
+What can't be read gives a row that is not readable, with an empty list of annotations, and stops no other file, or with ``fail_fast`` an error.
+
+``filled_pdfs`` writes values by an incremental update: the file stays as it is, and the widgets' objects follow anew with ``/V`` set and without
+``/AP``, so that viewers draw them again.  It takes files with a plain cross-reference table; others give a row with an error.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+import zlib
+from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -35,9 +40,35 @@ def _name(body: bytes, key: bytes) -> str | None:
     return m[1].decode("latin-1") if m else None
 
 
-def annotations_of(content: bytes) -> list[dict]:
-    """Annotations of all pages in page order; raises ValueError if there is no page to be read."""
-    objects = {int(m[1]): m[3] for m in _OBJECT.finditer(content)}
+def _objects(content: bytes) -> dict[int, bytes]:
+    """Objects by number, the last one of each; those in object streams where the file has none of that number."""
+    found = {int(m[1]): m[3] for m in _OBJECT.finditer(content)}
+    packed: dict[int, bytes] = {}
+    for body in found.values():
+        if not re.search(rb"/Type\s*/ObjStm\b", body) or not (m := re.search(rb"\bstream\r?\n(.*?)\r?\n?endstream", body, re.S)):
+            continue
+        n, first = (re.search(rb"/" + key + rb"\s+(\d+)", body) for key in (b"N", b"First"))
+        try:
+            data = zlib.decompress(m[1]) if b"/FlateDecode" in body else m[1]
+        except zlib.error as e:
+            raise ValueError("an object stream can't be read") from e
+        if n and first:
+            numbers = [int(x) for x in data[: int(first[1])].split()[: 2 * int(n[1])]]
+            places = [int(first[1]) + x for x in numbers[1::2]]
+            packed |= {k: data[x:y] for k, x, y in zip(numbers[::2], places, [*places[1:], len(data)])}
+    return packed | found
+
+
+def _inherited(objects: dict[int, bytes], body: bytes, key: bytes, read: Callable[[bytes, bytes], str | None]) -> str | None:
+    """The value of the field itself or of the nearest parent that has one."""
+    seen = 0
+    while (value := read(body, key)) is None and seen < len(objects) and (m := re.search(rb"/Parent\s+(\d+)\s+\d+\s+R", body)):
+        body, seen = objects.get(int(m[1]), b""), seen + 1
+    return value
+
+
+def _widget_refs(content: bytes, objects: dict[int, bytes]) -> list[tuple[int, int, int]]:
+    """(page, place, object number) of all annotations in page order; raises ValueError if there is no page to be read."""
     pages = [n for n, body in objects.items() if re.search(rb"/Type\s*/Page\b(?!s)", body)]
     kids = [int(x) for body in objects.values() if re.search(rb"/Type\s*/Pages\b", body) for k in re.findall(rb"/Kids\s*\[(.*?)\]", body, re.S) for x in _REFERENCE.findall(k)]
     if not content.startswith(b"%PDF") or not pages:
@@ -46,15 +77,46 @@ def annotations_of(content: bytes) -> list[dict]:
     for page, n in enumerate(sorted(pages, key=lambda x: kids.index(x) if x in kids else len(kids))):
         m = re.search(rb"/Annots\s*(?:\[(.*?)\]|(\d+)\s+\d+\s+R)", objects[n], re.S)
         refs = [] if not m else _REFERENCE.findall(m[1] if m[1] is not None else objects.get(int(m[2]), b""))
-        for k, ref in enumerate(refs):
-            body = objects.get(int(ref), b"")
-            box = re.search(rb"/Rect\s*\[([^\]]*)\]", body)
-            rect = [float(x) for x in box[1].split()] if box else None
-            out.append({"page": page, "annot_ix": k, "subtype": _name(body, b"Subtype"), "t": _text(body, b"T"), "tu": _text(body, b"TU"), "ft": _name(body, b"FT"), "rect": rect})
+        out += [(page, k, int(ref)) for k, ref in enumerate(refs)]
     return out
 
 
-def read_pdfs(spark: SparkSession, path: str) -> DataFrame:
+def annotations_of(content: bytes, inherit: bool = False) -> list[dict]:
+    """Annotations of all pages in page order; raises ValueError if there is no page to be read."""
+    objects, out = _objects(content), []
+    for page, k, ref in _widget_refs(content, objects):
+        body = objects.get(ref, b"")
+        box = re.search(rb"/Rect\s*\[([^\]]*)\]", body)
+        t, ft = (_inherited(objects, body, b"T", _text), _inherited(objects, body, b"FT", _name)) if inherit else (_text(body, b"T"), _name(body, b"FT"))
+        out.append({"page": page, "annot_ix": k, "subtype": _name(body, b"Subtype"), "t": t, "tu": _text(body, b"TU"), "ft": ft, "rect": [float(x) for x in box[1].split()] if box else None})
+    return out
+
+
+def filled_content(content: bytes, values: dict[tuple[int, int], str]) -> bytes:
+    """The file with the values of its widgets, which are known by page and place; raises ValueError where it can't be updated."""
+    starts, tables = re.findall(rb"startxref\s+(\d+)", content), re.findall(rb"\btrailer\s*<<(.*?)>>\s*startxref", content, re.S)
+    if not starts or not tables:
+        raise ValueError("no plain cross-reference table")
+    root, size = re.search(rb"/Root\s+\d+\s+\d+\s+R", tables[-1]), re.search(rb"/Size\s+(\d+)", tables[-1])
+    if not root or not size:
+        raise ValueError("the trailer names no root or size")
+    objects, out, places = _objects(content), bytearray(content if content.endswith(b"\n") else content + b"\n"), {}
+    for page, k, ref in _widget_refs(content, objects):
+        if (page, k) in values:
+            body = objects[ref].strip()
+            body = re.sub(rb"/V\s*(?:" + _STRING + rb"|/[^\s/<>\[\]()]+)", b"", body, flags=re.S)
+            body = re.sub(rb"/AP\s*(?:<<(?:[^<>]|<<[^<>]*>>)*>>|\d+\s+\d+\s+R)", b"", body, flags=re.S)
+            if not body.endswith(b">>"):
+                raise ValueError(f"object {ref} is no dictionary")
+            written = (b"\xfe\xff" + values[page, k].encode("utf-16-be", "surrogatepass")).hex().upper().encode()
+            places[ref] = len(out)
+            out += b"%d 0 obj\n%s /V <%s> >>\nendobj\n" % (ref, body[:-2].rstrip(), written)
+    table = len(out)
+    out += b"xref\n" + b"".join(b"%d 1\n%010d 00000 n \n" % (n, at) for n, at in sorted(places.items()))
+    return bytes(out + b"trailer << /Size %s %s /Prev %s >>\nstartxref\n%d\n%%%%EOF\n" % (size[1], root[0], starts[-1], table))
+
+
+def read_pdfs(spark: SparkSession, path: str, fail_fast: bool = False, inherit: bool = False) -> DataFrame:
     """(pdf_path, readable, annotations) of all ``.pdf`` files below ``path``, whatever the suffix's case."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select(F.col("path").alias("pdf_path"), "content")
     files = files.filter(F.lower("pdf_path").endswith(".pdf"))
@@ -65,8 +127,10 @@ def read_pdfs(spark: SparkSession, path: str) -> DataFrame:
             found: list[list[dict] | None] = []
             for content in batch.column(1).to_pylist():
                 try:
-                    found.append(annotations_of(content or b""))
+                    found.append(annotations_of(content or b"", inherit))
                 except ValueError:
+                    if fail_fast:
+                        raise
                     found.append(None)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([f is not None for f in found]), pa.array([f or [] for f in found], kind)], ["pdf_path", "readable", "annotations"])
 
@@ -77,3 +141,38 @@ def widgets_of(pdfs: DataFrame) -> DataFrame:
     """One row for each annotation of ``read_pdfs``, as in ``schemas.WIDGET``."""
     names = [part.split()[0] for part in WIDGET.split(", ")]
     return pdfs.select("pdf_path", F.explode("annotations").alias("a")).select("pdf_path", "a.*").select(*names)
+
+
+def filled_pdfs(files: DataFrame, filled: DataFrame) -> DataFrame:
+    """(submission_id, pdf_path, content, error) of the filled copies.
+
+    ``files``: (pdf_path, content); ``filled``: (submission_id, pdf_path, page, annot_ix, value), as many for a submission as its form has widgets.
+    """
+    own = filled.filter("value IS NOT NULL").groupBy("submission_id", "pdf_path").agg(F.collect_list(F.struct("page", "annot_ix", "value")).alias("values"))
+    rows = own.join(files.select("pdf_path", "content"), "pdf_path").select("submission_id", "pdf_path", "content", "values")
+    types = {f.name: f.dataType.simpleString() for f in rows.schema}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            done: list[tuple[bytes | None, str | None]] = []
+            for content, values in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                try:
+                    done.append((filled_content(content, {(v["page"], v["annot_ix"]): v["value"] for v in values}), None))
+                except ValueError as e:
+                    done.append((None, str(e)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([c for c, _ in done], pa.binary()), pa.array([e for _, e in done], pa.string())], ["submission_id", "pdf_path", "content", "error"])
+
+    return rows.mapInArrow(run, f"submission_id {types['submission_id']}, pdf_path string, content binary, error string")
+
+
+def write_files(files: DataFrame) -> None:
+    """Write ``content`` to ``output_path``, a path on a file system that all executors have mounted; a retried task writes the same bytes again."""
+
+    def write(rows: Iterator) -> None:
+        for r in rows:
+            path = Path(r["output_path"].removeprefix("file:"))
+            path.parent.mkdir(parents=True, exist_ok=True)
+            path.with_name(path.name + ".part").write_bytes(r["content"])
+            path.with_name(path.name + ".part").replace(path)
+
+    files.select("output_path", "content").foreachPartition(write)
