@@ -16,8 +16,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _KEY = "spark.checkpoint.dir"
-#: Ids or keys (some ten bytes each) that may go to every task.
-BROADCAST_IDS = 1 << 20
+#: Ids or keys that may go to every task: some 25 MB of them as rows of a hash table.
+BROADCAST_IDS = 1 << 18
 
 
 def shared_dir(spark: SparkSession) -> str:
