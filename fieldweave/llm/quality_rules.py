@@ -11,6 +11,7 @@ Words are ``[^\\x20\\x09-\\x0D]+``; lines are split at ``\\n``.  Defined results
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -26,20 +27,17 @@ SYMBOLS = b"#*$%&|<>"
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_upper", "n_letters", "n_bangs")
 
 
-def _rules(prefix: str = "") -> list[tuple[str, Column]]:
-    c = lambda name: F.col(prefix + name)
-    return [
-        ("too_few_words", c("n_words") < 50),
-        ("repeated_words", 100 * c("n_repeat_words") > 50 * c("n_words")),
-        ("symbols", 100 * c("n_symbols") > 20 * c("n_words")),
-        ("repeated_lines", 100 * c("n_dup_lines") > 50 * c("n_lines")),
-        ("shouting", 100 * c("n_upper") > 60 * c("n_letters")),
-        ("exclamations", 100 * c("n_bangs") > 30 * c("n_words")),
-        ("word_length", (c("word_chars") < 2 * c("n_words")) | (c("word_chars") > 20 * c("n_words"))),
-    ]
-
-
-RULES = tuple(name for name, _ in [("too_few_words", 0), ("repeated_words", 0), ("symbols", 0), ("repeated_lines", 0), ("shouting", 0), ("exclamations", 0), ("word_length", 0)])
+#: Each rule's failure in SQL; bit k of ``fail_mask`` is the k-th rule.  ``{p}`` stands for what the names of measurements begin with.
+CONDITIONS = {
+    "too_few_words": "{p}n_words < 50",
+    "repeated_words": "100 * {p}n_repeat_words > 50 * {p}n_words",
+    "symbols": "100 * {p}n_symbols > 20 * {p}n_words",
+    "repeated_lines": "100 * {p}n_dup_lines > 50 * {p}n_lines",
+    "shouting": "100 * {p}n_upper > 60 * {p}n_letters",
+    "exclamations": "100 * {p}n_bangs > 30 * {p}n_words",
+    "word_length": "{p}word_chars < 2 * {p}n_words OR {p}word_chars > 20 * {p}n_words",
+}
+RULES = tuple(CONDITIONS)
 BASE = ("too_few_words", "repeated_words")
 
 #: Versioned policies; a later version never changes an earlier one.
@@ -133,11 +131,8 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def _mask(prefix: str = "") -> Column:
-    bits = [F.when(cond, F.lit(1 << k).cast("bigint")).otherwise(F.lit(0).cast("bigint")) for k, (_, cond) in enumerate(_rules(prefix))]
-    mask = bits[0]
-    for b in bits[1:]:
-        mask = mask.bitwiseOR(b)
-    return mask
+    bits = [F.when(F.expr(cond.format(p=prefix)), F.lit(1 << k)).otherwise(F.lit(0)).cast("bigint") for k, cond in enumerate(CONDITIONS.values())]
+    return reduce(Column.bitwiseOR, bits)
 
 
 def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
