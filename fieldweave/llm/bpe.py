@@ -14,7 +14,7 @@ from __future__ import annotations
 import json
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 
@@ -28,7 +28,8 @@ ENDINGS = ("s", "t", "re", "ve", "m", "ll", "d")
 _OTHER, _LETTER, _NUMBER, _WHITE, _UNKNOWN = range(5)
 _LIMIT = 0x3000
 _SLOTS = 1 << 20
-_MAX_IDS = 1 << 24
+#: The cache starts anew beyond so many ids, some 25 MB of them and their entries.
+_MAX_IDS = 1 << 21
 
 
 def _class_of(c: int) -> int:
@@ -198,8 +199,8 @@ class Bpe:
                 k += 1
         return np.concatenate(parts), np.concatenate(([0], np.cumsum([len(p) for p in parts])))
 
-    def ids(self, docs: list[str | None], block_chars: int = 1 << 19) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """(first document, ids, bounds) for runs of whole documents; null counts as empty."""
+    def ids(self, docs: Iterable[str | None], block_chars: int = 1 << 18) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(first document, ids, bounds) for runs of whole documents, of which one is held at a time; null counts as empty."""
         first, chars, run = 0, 0, []
         for k, doc in enumerate(docs):
             doc = doc or ""

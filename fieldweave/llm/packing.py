@@ -44,8 +44,7 @@ def pieces(docs: DataFrame, vocabulary: str, max_tokens: int, end_id: int = 0, i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = Bpe.of(vocabulary, added_tokens)
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for first, ids, bounds in bpe.ids(texts):
+            for first, ids, bounds in bpe.ids(text.as_py() for text in batch.column(1)):
                 of, rows, out_ids = [], [], []
                 for d, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist())):
                     own = np.append(ids[a:b], np.uint32(end_id)).astype("<u4")

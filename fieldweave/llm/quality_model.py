@@ -39,6 +39,8 @@ BLOCK_ROWS = 1 << 10
 FAN = 128
 #: Words whose vectors are held at once.
 STEP_WORDS = 1 << 16
+#: Bytes of text whose contexts are added at once; each time costs some passes over all sums.
+CONTEXT_BYTES = 1 << 20
 
 _CLASS = np.arange(256)  # shape: A upper, a lower or not ASCII, 0 digit, else the character itself
 _CLASS[65:91], _CLASS[97:123], _CLASS[128:], _CLASS[48:58] = 65, 97, 97, 48
@@ -109,7 +111,7 @@ def context_vectors(docs: DataFrame, text_col: str = "text", fan: int = FAN) ->
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, entries, any_rows = np.zeros(BUCKETS * DIM, np.int64), _index_entries(), False
         for batch in batches:
-            for block in blocks(batch.column(0)):
+            for block in blocks(batch.column(0), CONTEXT_BYTES):
                 any_rows = True
                 add_contexts(block, total, entries)
         if any_rows:

@@ -14,7 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 19
 _M = 0x9E3779B97F4A7C15 | 1
 _M_INV = pow(_M, -1, 1 << 64)
 U64 = np.uint64

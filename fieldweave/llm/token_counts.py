@@ -50,7 +50,7 @@ def count_tokens(docs: DataFrame, versions: Mapping[str, str | None], source_col
                     for block in blocks(batch.column(4)):
                         tokens[block.first : block.first + block.n_docs] = block.n_words()
                 else:
-                    for first, _, bounds in Bpe.of(versions[name], True).ids(batch.column(4).to_pylist()):
+                    for first, _, bounds in Bpe.of(versions[name], True).ids(text.as_py() for text in batch.column(4)):
                         tokens[first : first + len(bounds) - 1] = np.diff(bounds)
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([name] * n, pa.string()), batch.column(2), pa.array(tokens), batch.column(3)], ["source", "lang", "tokenizer_version", "sign", "n_tokens", "n_chars"])
 
