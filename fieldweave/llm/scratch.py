@@ -4,6 +4,9 @@ Spark recomputes a lost executor's part of a lazy plan, which is costly where se
 and wrong where a count taken from it must keep holding.  Such results are written once to ``spark.checkpoint.dir`` (read
 from the session; a local folder of our own only where it is unset and the master is local, as in tests) and read back, so every later
 job sees the same rows whichever executors are lost.
+
+While a table is written, Arrow batches to Python are cut at ``BATCH_BYTES`` (Spark's own bound of 64 MB, or 10,000 rows however
+long, is held at both ends for every task), and the shuffle files behind it are deleted once it is there: nothing reads them again.
 """
 
 from __future__ import annotations
@@ -11,6 +14,8 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,6 +23,8 @@ from pyspark.sql import functions as F
 _KEY = "spark.checkpoint.dir"
 #: Ids or keys that may go to every task: some 25 MB of them as rows of a hash table.
 BROADCAST_IDS = 1 << 18
+BATCH_BYTES = 4 << 20
+_WHILE_WRITING = {"spark.sql.execution.arrow.maxBytesPerBatch": str(BATCH_BYTES), "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -31,6 +38,18 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+@contextmanager
+def _while_writing(spark: SparkSession) -> Iterator[None]:
+    before = {key: spark.conf.get(key) for key in _WHILE_WRITING}
+    try:
+        for key, value in _WHILE_WRITING.items():
+            spark.conf.set(key, value)
+        yield
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+
+
 class Scratch:
     """A folder of its own below the shared one.  ``write`` returns the table read back; ``drop`` deletes what is no longer read."""
 
@@ -42,8 +61,9 @@ class Scratch:
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
-    def write(self, df: DataFrame, name: str) -> DataFrame:
-        df.write.mode("overwrite").parquet(self.path(name))
+    def write(self, df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
+        with _while_writing(self.spark):
+            df.write.mode("overwrite").option("compression", compression).parquet(self.path(name))
         self.names.add(name)
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
