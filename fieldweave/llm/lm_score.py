@@ -5,13 +5,16 @@
 
 The computation is relational:
 
-1. documents are written once and dealt by their place in that table to chunks of about ``chunk_bytes``; a chunk's texts are exploded to
-   n-grams of all orders, one row (chunk, gram, n) for each distinct one, so a frequent n-gram is one row for each chunk, however
-   often it occurs, and no key holds more than its share of one row in a chunk;
+1. documents are written once and dealt by their place in that table to chunks of about ``chunk_bytes``, and written by chunk; a chunk's
+   texts are exploded to n-grams of all orders, one row (chunk, gram, n) for each distinct one, so a frequent n-gram is one row for each
+   chunk, however often it occurs, and no key holds more than its share of one row in a chunk;
 2. these rows are partitioned by the n-gram's 64-bit hash and summed there; a count is joined back to the rows of its n-gram in the
    same partitioning, by a window over it, so counts and join cost one shuffle.  Pairs and longer ones below ``min_count`` go here;
 3. the rows that are left meet the texts of their chunk, where each word's backoff is decided and summed by document.
 
+Steps 2 and 3 run in ``passes`` parts, by the n-gram's hash and by chunk, each written before the next: the shuffle files of one part
+are on disk at a time, for which the texts are read ``2 * passes`` times.  All n-grams and all chunks are in one part or another.
+
 All tables grow in proportion to the input: there is nothing for each pair of a chunk and a partition.
 
 Defined results: null or empty texts have no words, ``log_score`` 0 and a null ``per_word``; ids may repeat or be null; other
@@ -21,6 +24,7 @@ columns are not read; an empty table gives no rows.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +35,7 @@ from .scratch import Scratch
 from .textblocks import U64, Block, blocks, mix64
 
 CHUNK_BYTES = 4 << 20
+PASSES = 4
 
 
 def ngram_hashes(block: Block, order: int) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -52,26 +57,45 @@ def _blocks(table: pa.Table) -> Iterator[Block]:
         yield from blocks(part)
 
 
-def gram_counts(chunked: DataFrame, order: int) -> DataFrame:
-    """(chunk, gram, single, n): the distinct n-grams of each chunk, with their counts in it; ``single``: of one word."""
+def gram_counts(chunked: DataFrame, order: int, passes: int = 1, own: int = 0) -> DataFrame:
+    """(chunk, gram, single, n): the distinct n-grams of each chunk's rows that come together, with their counts there; ``single``: of one word.
+
+    Only n-grams whose hash is ``own`` modulo ``passes``.
+    """
 
-    def run(table: pa.Table) -> pa.Table:
-        keys: list[list[np.ndarray]] = [[], []]
-        for block in _blocks(table):
-            for k, (h, ok) in enumerate(ngram_hashes(block, order)):
-                keys[k > 0].append(h[ok])
-        found = [np.unique(np.concatenate(x), return_counts=True) if x else (np.zeros(0, U64), np.zeros(0, np.int64)) for x in keys]
+    def rows(chunk: int, keys: list[list[np.ndarray]]) -> pa.RecordBatch:
+        found = [np.unique(np.concatenate(x), return_counts=True) for x in keys]
         grams = np.concatenate([g for g, _ in found])
-        return pa.table(
+        return pa.RecordBatch.from_pydict(
             {
-                "chunk": pa.array(np.full(len(grams), table.column("chunk")[0].as_py(), np.int32)),
+                "chunk": pa.array(np.full(len(grams), chunk, np.int32)),
                 "gram": pa.array(grams.view(np.int64)),
                 "single": pa.array(np.arange(len(grams)) < len(found[0][0])),
                 "n": pa.array(np.concatenate([n for _, n in found]).astype(np.int32)),
             }
         )
 
-    return chunked.groupBy("chunk").applyInArrow(run, "chunk int, gram bigint, single boolean, n int")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk, keys = None, [[], []]
+        for batch in batches:
+            chunks = batch.column(0).to_numpy()
+            cuts = np.concatenate(([0], np.flatnonzero(np.diff(chunks)) + 1, [len(chunks)]))
+            for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+                if a == b:
+                    continue
+                if chunks[a] != chunk:
+                    if keys[0]:
+                        yield rows(chunk, keys)
+                    chunk, keys = int(chunks[a]), [[], []]
+                for block in blocks(batch.column(1).slice(a, b - a)):
+                    for k, (h, ok) in enumerate(ngram_hashes(block, order)):
+                        keys[k > 0].append(h[ok & (h % U64(passes) == own)])
+                    if order == 1:
+                        keys[1].append(np.zeros(0, U64))
+        if keys[0]:
+            yield rows(chunk, keys)
+
+    return chunked.select("chunk", "text").mapInArrow(run, "chunk int, gram bigint, single boolean, n int")
 
 
 def corpus_counts(grams: DataFrame, min_count: int) -> DataFrame:
@@ -98,14 +122,17 @@ def backoff(hashes: list[tuple[np.ndarray, np.ndarray]], count_of, min_count: in
     return score, used
 
 
-def lm_scores(docs: DataFrame, order: int = 3, alpha: float = 0.4, min_count: int = 2, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+def lm_scores(docs: DataFrame, order: int = 3, alpha: float = 0.4, min_count: int = 2, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = CHUNK_BYTES, passes: int = PASSES) -> DataFrame:
     """One row per document: id, ``n_words``, ``n_backoff`` (words scored below the longest order that their place allows), ``log_score`` and ``per_word``."""
     scratch = Scratch(docs.sparkSession)
-    rows = scratch.write(docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")), "texts")
+    rows = scratch.write(docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")), "texts", "zstd")
     n_bytes = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     chunks = max(1, -(-n_bytes // chunk_bytes))
     chunked = rows.withColumn("chunk", F.pmod(F.xxhash64("_metadata.file_name", "_metadata.row_index"), F.lit(chunks)).cast("int"))
-    joined = corpus_counts(gram_counts(chunked, order), min_count)
+    chunked = scratch.write(chunked.repartition("chunk").sortWithinPartitions("chunk"), "chunked", "zstd")
+    scratch.keep_only("chunked")
+    joined = [scratch.write(corpus_counts(gram_counts(chunked, order, passes, k), min_count), f"totals{k}", "zstd") for k in range(passes)]
+    joined = reduce(DataFrame.unionAll, joined)
     id_type = rows.schema["id"].dataType.simpleString()
 
     def run(texts: pa.Table, totals: pa.Table) -> pa.Table:
@@ -130,9 +157,13 @@ def lm_scores(docs: DataFrame, order: int = 3, alpha: float = 0.4, min_count: in
         n_words, n_single, n_backoff, partial = (np.concatenate(x) if x else np.zeros(0) for x in out)
         return pa.table({"id": texts.column("id"), "n_words": pa.array(n_words, pa.int64()), "n_single": pa.array(n_single, pa.int64()), "n_backoff": pa.array(n_backoff, pa.int64()), "partial": pa.array(partial, pa.float64())})
 
-    summed = chunked.groupBy("chunk").cogroup(joined.groupBy("chunk")).applyInArrow(run, f"id {id_type}, n_words bigint, n_single bigint, n_backoff bigint, partial double")
-    summed = scratch.write(summed, "summed")
-    scratch.keep_only("summed")
+    schema, parts = f"id {id_type}, n_words bigint, n_single bigint, n_backoff bigint, partial double", []
+    for k in range(passes):
+        own = F.col("chunk") % passes == k
+        scored = chunked.filter(own).groupBy("chunk").cogroup(joined.filter(own).groupBy("chunk")).applyInArrow(run, schema)
+        parts.append(scratch.write(scored, f"summed{k}"))
+    scratch.keep_only(*(f"summed{k}" for k in range(passes)))
+    summed = reduce(DataFrame.unionAll, parts)
     n_words = summed.agg(F.sum("n_words")).first()[0] or 0
     log_score = F.col("partial") - F.col("n_single") * F.lit(float(np.log(max(n_words, 1))))
     return summed.select(F.col("id").alias(id_col), "n_words", "n_backoff", log_score.alias("log_score"), F.when(F.col("n_words") > 0, log_score / F.col("n_words")).alias("per_word"))
