@@ -114,6 +114,16 @@ SELECT source, lang, 'words' AS tokenizer_version, count(*) AS n_docs, CAST(sum(
 FROM documents GROUP BY source, lang
 """
 
+WARC_ARCHIVE = """
+WITH rows AS (
+  SELECT page_id, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages
+), firsts AS (
+  SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) END AS first FROM rows
+)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN first IS NULL OR first = page_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN first IS DISTINCT FROM page_id THEN first END AS refers_to
+FROM firsts
+"""
+
 _FIELDS = "||".join(f"coalesce(CAST(octet_length(encode(CAST({c} AS VARCHAR))) AS VARCHAR) || ':' || CAST({c} AS VARCHAR), '-')" for c in ("doc_id", "source", "lang", "n_chars", "{text}"))
 
 #: CRC-32 of an id as text: each byte is put in by xor and shifted out by eight steps, which -1 stands for.
