@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, html_extract, lm_score, merkle, near_dedup, packing, quality_model, quality_rules, sharding, sql, token_counts, warc
+from . import chat, decontaminate, html_extract, lm_score, merkle, near_dedup, packing, phrases, quality_model, quality_rules, sharding, sql, token_counts, warc
 from .scratch import Scratch
 
 #: The vocabulary file that the queries use; operators take the path as a parameter.
@@ -121,6 +121,10 @@ def op11_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.typed_ids(back, pages.schema["page_id"].dataType.simpleString()).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op12_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(_table(spark, sf_dir, "documents"), min_count=30, top=2000)
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Proofs of all documents; of those that are tampered with, texts are lower-cased (A-Z only) before they are verified."""
     docs = _table(spark, sf_dir, "documents")
@@ -141,7 +145,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_token_counts_words": op9_token_counts_words,
     "op10_sharding": op10_sharding,
     "op11_warc_archive": op11_warc_archive,
+    "op12_phrase_mining": op12_phrase_mining,
     "op13_merkle_manifest": op13_merkle_manifest,
 }
 
-ORACLE_SQL: dict[str, str] = {"op2_chat_formatting": sql.CHAT_FORMATTING, "op3_minhash_near_dedup": sql.NEAR_DEDUP, "op6_quality_rules": sql.QUALITY_RULES, "op8_lm_scoring": sql.LM_SCORING, "op9_token_counts_words": sql.WORD_COUNTS, "op11_warc_archive": sql.WARC_ARCHIVE, "op13_merkle_manifest": sql.MERKLE_MANIFEST}
+ORACLE_SQL: dict[str, str] = {"op2_chat_formatting": sql.CHAT_FORMATTING, "op3_minhash_near_dedup": sql.NEAR_DEDUP, "op6_quality_rules": sql.QUALITY_RULES, "op8_lm_scoring": sql.LM_SCORING, "op9_token_counts_words": sql.WORD_COUNTS, "op11_warc_archive": sql.WARC_ARCHIVE, "op12_phrase_mining": sql.PHRASE_MINING, "op13_merkle_manifest": sql.MERKLE_MANIFEST}

@@ -124,6 +124,40 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN first IS NULL OR first
 FROM firsts
 """
 
+PHRASE_MINING = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS r, coalesce(lang, 'und') AS lang, string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]') AS pieces FROM documents
+), pieces AS (
+  SELECT r, lang, unnest(pieces) AS piece, generate_subscripts(pieces, 1) AS p FROM docs
+), split AS (
+  SELECT r, lang, p, regexp_extract_all(piece, '[^\x20\x09]+') AS words FROM pieces
+), spread AS (
+  SELECT r, lang, p, unnest(words) AS a, generate_subscripts(words, 1) AS i FROM split
+), windows AS MATERIALIZED (
+  SELECT lang, a, lead(a, 1) OVER o AS b, lead(a, 2) OVER o AS c, lead(a, 3) OVER o AS d FROM spread WINDOW o AS (PARTITION BY r, p ORDER BY i)
+), counted AS MATERIALIZED (
+  SELECT lang, [a] AS ws, count(*) AS f FROM windows GROUP BY ALL HAVING count(*) >= 30
+  UNION ALL SELECT lang, [a, b], count(*) FROM windows WHERE b IS NOT NULL GROUP BY ALL HAVING count(*) >= 30
+  UNION ALL SELECT lang, [a, b, c], count(*) FROM windows WHERE c IS NOT NULL GROUP BY ALL HAVING count(*) >= 30
+  UNION ALL SELECT lang, [a, b, c, d], count(*) FROM windows WHERE d IS NOT NULL GROUP BY ALL HAVING count(*) >= 30
+), candidates AS (SELECT lang, ws, f FROM counted WHERE len(ws) > 1),
+parts AS MATERIALIZED (
+  SELECT lang, ws, f AS a, k, ws[1:k] AS first_part, ws[k + 1:] AS rest FROM candidates, range(1, 4) t(k) WHERE k < len(ws)
+), cuts AS (
+  SELECT p.lang, p.ws, a, k, x.f AS l, y.f AS r, (CAST(a AS HUGEINT) * 2000000) // (x.f + y.f) AS score
+  FROM parts p JOIN counted x ON x.lang = p.lang AND x.ws = p.first_part JOIN counted y ON y.lang = p.lang AND y.ws = p.rest
+), scored AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, ws ORDER BY score, k) AS place FROM cuts) WHERE place = 1
+), longer AS (
+  SELECT c.lang, c.ws[i:i + size - 1] AS ws, max(c.f) AS f FROM candidates c, range(1, 4) s(i), range(2, 4) t(size) WHERE size < len(c.ws) AND i + size - 1 <= len(c.ws) GROUP BY ALL
+), kept AS (
+  SELECT s.lang, array_to_string(s.ws, ' ') AS phrase, s.a, s.l, s.r, CAST(s.score AS BIGINT) AS score
+  FROM scored s LEFT JOIN longer g ON g.lang = s.lang AND g.ws = s.ws WHERE g.f IS NULL OR 100 * g.f < 80 * s.a
+), sizes AS (SELECT lang, count(*) AS n FROM spread GROUP BY lang),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM kept)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN sizes USING (lang) WHERE rank <= 2000
+"""
+
 _FIELDS = "||".join(f"coalesce(CAST(octet_length(encode(CAST({c} AS VARCHAR))) AS VARCHAR) || ':' || CAST({c} AS VARCHAR), '-')" for c in ("doc_id", "source", "lang", "n_chars", "{text}"))
 
 #: CRC-32 of an id as text: each byte is put in by xor and shifted out by eight steps, which -1 stands for.

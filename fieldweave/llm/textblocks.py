@@ -57,11 +57,12 @@ def _powers(base: int, n: int) -> np.ndarray:
 class Block:
     """Bytes of documents ``first`` to ``last`` (exclusive) of a batch, with the spans and hashes of their words."""
 
-    def __init__(self, data: np.ndarray, bounds: np.ndarray, first: int):
+    def __init__(self, data: np.ndarray, bounds: np.ndarray, first: int, between: np.ndarray = _SPACE):
+        """``between``: for each of the 256 bytes whether it stands between words."""
         self.data, self.bounds, self.first = data, bounds, first
         self.n_docs = len(bounds) - 1
         n = len(data)
-        inside = ~_SPACE[data]
+        inside = ~between[data]
         edge = np.zeros(n + 1, bool)
         edge[bounds] = True
         before = np.zeros(n, bool)
@@ -81,9 +82,11 @@ class Block:
     def word_docs(self) -> np.ndarray:
         return np.repeat(np.arange(self.n_docs), self.n_words())
 
-    def hash_spans(self, starts: np.ndarray, ends: np.ndarray, fold: bool = False) -> np.ndarray:
-        """64-bit hashes of byte spans, which come by rising starts; ``fold`` lower-cases A-Z first."""
-        out, first = np.zeros(len(starts), U64), 0
+    def hash_spans(self, starts: np.ndarray, ends: np.ndarray, fold: bool = False, seed: int = 0) -> np.ndarray:
+        """64-bit hashes of byte spans, which come by rising starts; ``fold`` lower-cases A-Z first, another ``seed`` gives other hashes."""
+        out, first, values = np.zeros(len(starts), U64), 0, _BYTE_FOLDED if fold else _BYTE
+        if seed:
+            values = mix64(values + U64(seed))
         while first < len(starts):
             base = int(starts[first])
             last = max(int(np.searchsorted(ends, base + BLOCK_BYTES, side="right")), first + 1)
@@ -91,7 +94,7 @@ class Block:
             n = int(b[-1])
             up, down = _Powers.upto(n + 1)
             total = np.zeros(n + 1, U64)
-            np.cumsum((_BYTE_FOLDED if fold else _BYTE)[self.data[base : base + n]] * up[:n], out=total[1:])
+            np.cumsum(values[self.data[base : base + n]] * up[:n], out=total[1:])
             out[first:last] = mix64((total[b] - total[a]) * down[a])
             first = last
         return out
@@ -132,10 +135,10 @@ def spans_of(bounds: np.ndarray, block_bytes: int = BLOCK_BYTES) -> Iterator[tup
         first = last
 
 
-def blocks(column: pa.Array, block_bytes: int = BLOCK_BYTES) -> Iterator[Block]:
+def blocks(column: pa.Array, block_bytes: int = BLOCK_BYTES, between: np.ndarray = _SPACE) -> Iterator[Block]:
     raw, bounds = column_bytes(column)
     for first, last in spans_of(bounds, block_bytes):
-        yield Block(raw[bounds[first] : bounds[last]], bounds[first : last + 1] - bounds[first], first)
+        yield Block(raw[bounds[first] : bounds[last]], bounds[first : last + 1] - bounds[first], first, between)
 
 
 def list_column(values: np.ndarray, bounds: np.ndarray, kind: pa.DataType) -> pa.ListArray:
