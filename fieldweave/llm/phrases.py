@@ -10,8 +10,9 @@ vocabulary is checked for two words of one number, and all is numbered anew with
 3. One task grows each frequent prefix: from the pointers of its projection it recursively extends to the right, depth first, as long as the
    sum is ``min_count`` or more.  A prefix is one word; where its projection has more than ``most`` rows, which are counted, Spark sums up its
    extensions instead, and each of these is a prefix of its own, of two, three or four words.  So no task holds more than ``most`` rows and their like.
-4. Counts of parts are joined to the phrases for their cuts, longer phrases to what they contain, and the best of each language are kept, cut in
-   every task before they meet.
+4. What longer phrases contain goes by one aggregate.  Phrases with ``min_count`` occurrences grow faster in number than the texts do, so counts of parts are not joined to
+   all of them: a phrase's prefix alone bounds its score from above.  Those of the best bounds are scored first; the ``top``-th of their scores is one that
+   every phrase of the result must reach, so only phrases whose bound does are scored then.  The result is that of scoring all.
 
 Defined results: null texts have no words and a null language is ``und``; repeated rows count as often as they come; ids and other columns are not read;
 ties go by the phrase's bytes; an empty table gives no rows.
@@ -34,6 +35,7 @@ from .textblocks import U64, Block, blocks, mix64
 
 LONGEST = 4
 W = tuple(f"w{k}" for k in range(1, LONGEST + 1))
+_PHRASE = ", ".join(f"{w} bigint" for w in W)
 BLOCK_BYTES = 4 << 20
 #: Places of a bitmap, as a power of two: 8 MB of bits, whatever the input.
 BITS = 26
@@ -81,7 +83,8 @@ def words_of(batch: pa.RecordBatch, seed: int) -> Iterator[Words]:
 
 
 def _texts(docs: DataFrame, lang_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit(UNKNOWN)).alias("lang"), F.col(text_col).alias("text"))
+    lang = F.coalesce(F.col(lang_col).cast("string"), F.lit(UNKNOWN))
+    return docs.select(lang.alias("lang"), F.col(text_col).alias("text"), F.xxhash64(lang).alias("g"))
 
 
 def word_counts(texts: DataFrame, seed: int = 0) -> DataFrame:
@@ -97,11 +100,12 @@ def word_counts(texts: DataFrame, seed: int = 0) -> DataFrame:
     return texts.mapInArrow(run, "id bigint, lang string, word string, n bigint").groupBy("id", "lang", "word").agg(F.sum("n").alias("n"))
 
 
-def vocabulary(texts: DataFrame, scratch: Scratch, seeds: range = range(8)) -> tuple[DataFrame, int]:
-    """``word_counts`` written, and the seed under which no two words have one number."""
+def vocabulary(texts: DataFrame, scratch: Scratch, min_count: int, seeds: range = range(8)) -> tuple[DataFrame, int]:
+    """``word_counts`` written, and a seed under which no two words share a number that is frequent."""
     for seed in seeds:
         words = scratch.write(word_counts(texts, seed), f"words{seed}", "zstd")
-        if words.groupBy("id").count().filter("count > 1").isEmpty():
+        same = words.groupBy("id").agg(F.count("*").alias("words"), F.sum("n").alias("n"))
+        if same.filter((F.col("words") > 1) & (F.col("n") >= min_count)).isEmpty():
             return words, seed
     raise ValueError(f"two words have one number under each of {len(seeds)} seeds")
 
@@ -151,11 +155,12 @@ def _dense(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def projections(texts: DataFrame, seed: int, known: Broadcast) -> DataFrame:
-    """(w1, w2, w3, w4, n): what starts with a frequent pair and goes on as long as pairs are frequent, 0 from there on."""
+    """(w1, w2, w3, w4, g, n): what starts with a frequent pair and goes on as long as pairs are frequent, 0 from there on; ``g``: the language's number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.frombuffer(known.value, np.uint8)
         for batch in batches:
+            tongues = batch.column(2).to_numpy()
             for words in words_of(batch, seed):
                 pairs = words.pairs()
                 good = marked(pairs, bits) & (pairs != 0)
@@ -169,9 +174,10 @@ def projections(texts: DataFrame, seed: int, known: Broadcast) -> DataFrame:
                     columns.append(np.where(going, ids[at + k], U64(0)))
                 codes = np.unique(np.concatenate(columns), return_inverse=True)[1].reshape(LONGEST, -1)
                 _, first, n = np.unique(_dense(_dense(codes[0], codes[1]), _dense(codes[2], codes[3])), return_index=True, return_counts=True)
-                yield pa.RecordBatch.from_arrays([*(pa.array(c[first].view(np.int64)) for c in columns), pa.array(n)], [*W, "n"])
+                g = tongues[words.block.first + words.docs[at[first]]]
+                yield pa.RecordBatch.from_arrays([*(pa.array(c[first].view(np.int64)) for c in columns), pa.array(g), pa.array(n)], [*W, "g", "n"])
 
-    return texts.mapInArrow(run, f"{', '.join(f'{w} bigint' for w in W)}, n bigint").groupBy(*W).agg(F.sum("n").alias("n"))
+    return texts.mapInArrow(run, f"{_PHRASE}, g bigint, n bigint").groupBy(*W, "g").agg(F.sum("n").alias("n"))
 
 
 def with_depth(projected: DataFrame, scratch: Scratch, most: int = MOST) -> DataFrame:
@@ -222,27 +228,30 @@ def grow(columns: list[np.ndarray], n: np.ndarray, depth: int, min_count: int) -
 
 
 def grown(rows: DataFrame, min_count: int) -> DataFrame:
-    """(w1, w2, w3, w4, a) of the frequent phrases that start with each prefix, a run of sorted rows for each."""
+    """(w1, w2, w3, w4, g, a, l_least) of the frequent phrases that start with each prefix, a run of sorted rows for each; each first part has ``l_least`` occurrences at least."""
     prefix = [F.when(F.col("depth") >= d, F.col(w)).otherwise(F.lit(0)).alias(f"p{d}") for d, w in enumerate(W, 1)]
     keys = [f"p{d}" for d in range(1, LONGEST + 1)]
-    dealt = rows.select(*prefix, "depth", *W, "n").repartition(*keys).sortWithinPartitions(*keys)
+    dealt = rows.select(*prefix, "depth", *W, "g", "n").repartition(*keys).sortWithinPartitions(*keys)
 
-    def batch_of(phrases: list[tuple[int, ...]], counts: list[int]) -> pa.RecordBatch:
+    def batch_of(phrases: list[tuple[int, ...]], counts: list[tuple[int, int, int]]) -> pa.RecordBatch:
         table = np.zeros((len(phrases), LONGEST), U64)
         for k, p in enumerate(phrases):
             table[k, : len(p)] = p
-        return pa.RecordBatch.from_arrays([*(pa.array(table[:, k].copy().view(np.int64)) for k in range(LONGEST)), pa.array(counts, pa.int64())], [*W, "a"])
+        numbers = np.array(counts, np.int64).reshape(-1, 3)
+        return pa.RecordBatch.from_arrays([*(pa.array(table[:, k].copy().view(np.int64)) for k in range(LONGEST)), *(pa.array(numbers[:, k].copy()) for k in range(3))], [*W, "g", "a", "l_least"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []  # the last run, which may go on in the next batch
         phrases: list[tuple[int, ...]] = []
-        counts: list[int] = []
+        counts: list[tuple[int, int, int]] = []
 
         def finish() -> None:
             table = np.concatenate(held, axis=1)
-            found = grow([table[k].view(U64) for k in range(LONGEST + 1, 2 * LONGEST + 1)], table[-1], int(table[LONGEST, 0]), min_count)
-            phrases.extend(found[0])
-            counts.extend(found[1])
+            n = table[-1]
+            found, a = grow([table[k].view(U64) for k in range(LONGEST + 1, 2 * LONGEST + 1)], n, int(table[LONGEST, 0]), min_count)
+            g, total = int(table[-2, 0]), int(n.sum())
+            phrases.extend(found)
+            counts.extend((g, x, total) for x in a)
 
         for batch in batches:
             if not batch.num_rows:
@@ -262,23 +271,25 @@ def grown(rows: DataFrame, min_count: int) -> DataFrame:
             finish()
         yield batch_of(phrases, counts)
 
-    return dealt.mapInArrow(run, f"{', '.join(f'{w} bigint' for w in W)}, a bigint")
+    return dealt.mapInArrow(run, f"{_PHRASE}, g bigint, a bigint, l_least bigint")
 
 
 def summed(rows: DataFrame, length: int) -> DataFrame:
-    """(w1, w2, w3, w4, a) of the prefixes of ``length`` words that no task grows, as their rows are dealt by longer ones."""
+    """(w1, w2, w3, w4, g, a, l_least) of the prefixes of ``length`` words that no task grows, as their rows are dealt by longer ones."""
     keys = list(W[:length])
-    sums = rows.filter((F.col("depth") > length) & (F.col(W[length - 1]) != 0)).groupBy(*keys).agg(F.sum("n").alias("a"))
-    return sums.select(*keys, *[F.lit(0).cast("bigint").alias(w) for w in W[length:]], "a")
+    sums = rows.filter((F.col("depth") > length) & (F.col(W[length - 1]) != 0)).groupBy(*keys).agg(F.max("g").alias("g"), F.sum("n").alias("a"))
+    return sums.select(*keys, *[F.lit(0).cast("bigint").alias(w) for w in W[length:]], "g", "a", F.col("a").alias("l_least"))
 
 
 def frequent_phrases(texts: DataFrame, seed: int, words: DataFrame, scratch: Scratch, min_count: int, most: int = MOST, bits: int = BITS) -> DataFrame:
-    """(w1, w2, w3, w4, a) of all phrases of two to four words with ``min_count`` occurrences or more; ``words``: the frequent ones."""
-    pairs = pair_counts(texts, seed, bitmap(F.col("id"), words, bits)).filter(F.col("n") >= min_count)
+    """(w1, w2, w3, w4, g, a, l_least) of all phrases of two to four words with ``min_count`` occurrences or more; ``words``: the frequent ones."""
+    pairs = scratch.write(pair_counts(texts, seed, bitmap(F.col("id"), words, bits)).filter(F.col("n") >= min_count), "pairs")
     projected = scratch.write(projections(texts, seed, bitmap(F.col("pair"), pairs, bits)), "projected", "zstd")
     rows = with_depth(projected, scratch, most)
     found = reduce(DataFrame.unionAll, [grown(rows, min_count), *(summed(rows, k) for k in range(2, LONGEST))])
-    return scratch.write(found.filter(F.col("a") >= min_count), "phrases")
+    found = scratch.write(found.filter(F.col("a") >= min_count), "phrases")
+    scratch.drop("projected", "pairs")
+    return found
 
 
 def _phrase(*words: Column) -> list[Column]:
@@ -290,31 +301,53 @@ def _length() -> Column:
     return F.lit(2) + F.when(F.col("w3") != 0, 1).otherwise(0) + F.when(F.col("w4") != 0, 1).otherwise(0)
 
 
-def scored(phrases: DataFrame, words: DataFrame) -> DataFrame:
-    """``phrases`` with ``l``, ``r`` and ``score`` of their lowest-scoring cut."""
-    counts = phrases.unionByName(words.select(*_phrase(F.col("id")), F.col("n").alias("a"))).select(*[F.col(w).alias(f"p{w}") for w in W], F.col("a").alias("f"))
+def scored(candidates: DataFrame, phrases: DataFrame, words: DataFrame) -> DataFrame:
+    """``candidates`` (w1, w2, w3, w4, g, a) with ``l``, ``r`` and ``score`` of their lowest-scoring cut, by the counts of all ``phrases`` and ``words``."""
+    counts = phrases.select(*W, "a").unionByName(words.select(*_phrase(F.col("id")), F.col("n").alias("a"))).select(*[F.col(w).alias(f"p{w}") for w in W], F.col("a").alias("f"))
     cuts = []
     for m in range(2, LONGEST + 1):
         ids = [F.col(w) for w in W[:m]]
         parts = [F.struct(F.lit(k).alias("k"), F.lit(side).alias("side"), *_phrase(*part)) for k in range(1, m) for side, part in (("l", ids[:k]), ("r", ids[k:]))]
         cuts.append(F.when(_length() == m, F.array(*parts)))
-    parts = phrases.withColumn("part", F.explode(F.coalesce(*cuts))).select(*W, "a", "part.k", "part.side", *[F.col(f"part.{w}").alias(f"p{w}") for w in W])
+    own = [*W, "g", "a"]
+    parts = candidates.select(*own, F.explode(F.coalesce(*cuts)).alias("part")).select(*own, "part.k", "part.side", *[F.col(f"part.{w}").alias(f"p{w}") for w in W])
     met = parts.join(counts, [f"p{w}" for w in W])
     sides = {f"{side}{k}": F.max(F.when((F.col("side") == side) & (F.col("k") == k), F.col("f"))) for k in range(1, LONGEST) for side in "lr"}
-    wide = met.groupBy(*W, "a").agg(*[c.alias(name) for name, c in sides.items()])
-    score = lambda k: F.expr(f"(CAST(a AS DECIMAL(20, 0)) * 2000000) div (CAST(l{k} AS DECIMAL(20, 0)) + CAST(r{k} AS DECIMAL(20, 0)))")
-    cut = [F.when(F.col(f"l{k}").isNotNull(), F.struct(score(k).alias("score"), F.lit(k).alias("k"), F.col(f"l{k}").alias("l"), F.col(f"r{k}").alias("r"))) for k in range(1, LONGEST)]
-    return wide.withColumn("cut", F.array_min(F.array(*cut))).select(*W, "a", "cut.l", "cut.r", "cut.score")
+    wide = met.groupBy(*own).agg(*[c.alias(name) for name, c in sides.items()])
+    cut = [F.when(F.col(f"l{k}").isNotNull(), F.struct(_score(f"l{k}", f"r{k}").alias("score"), F.lit(k).alias("k"), F.col(f"l{k}").alias("l"), F.col(f"r{k}").alias("r"))) for k in range(1, LONGEST)]
+    return wide.withColumn("cut", F.array_min(F.array(*cut))).select(*own, "cut.l", "cut.r", "cut.score")
 
 
-def outer(phrases: DataFrame) -> DataFrame:
-    """(w1, w2, w3, w4, longest): for each phrase inside longer ones the highest count of these."""
+def _score(left: str, right: str) -> Column:
+    """floor(2000000 * a / (left + right)), in numbers of up to 38 digits."""
+    return F.expr(f"(CAST(a AS DECIMAL(20, 0)) * 2000000) div (CAST({left} AS DECIMAL(20, 0)) + CAST({right} AS DECIMAL(20, 0)))")
+
+
+def outermost(phrases: DataFrame, within: tuple[int, int]) -> DataFrame:
+    """``phrases`` without those inside a longer one whose count is at least ``within[0] / within[1]`` of theirs."""
     inner = []
     for m in range(3, LONGEST + 1):
         ids = [F.col(w) for w in W[:m]]
         inner.append(F.when(_length() == m, F.array(*[F.struct(*_phrase(*ids[i : i + size])) for size in range(2, m) for i in range(m - size + 1)])))
-    parts = phrases.filter("w3 <> 0").select(F.explode(F.coalesce(*inner)).alias("part"), "a")
-    return parts.groupBy(*[F.col(f"part.{w}").alias(w) for w in W]).agg(F.max("a").alias("longest"))
+    none = F.lit(None).cast("bigint")
+    parts = phrases.filter("w3 <> 0").select(F.explode(F.coalesce(*inner)).alias("part"), "a").select(*[f"part.{w}" for w in W], none.alias("g"), none.alias("a"), none.alias("l_least"), F.col("a").alias("longest"))
+    met = phrases.select(*W, "g", "a", "l_least", none.alias("longest")).unionAll(parts).groupBy(*W).agg(*[F.max(c).alias(c) for c in ("g", "a", "l_least", "longest")])
+    return met.filter(F.expr(f"longest IS NULL OR CAST(longest AS DECIMAL(20, 0)) * {within[1]} < CAST(a AS DECIMAL(20, 0)) * {within[0]}")).drop("longest")
+
+
+def best_scored(candidates: DataFrame, phrases: DataFrame, words: DataFrame, scratch: Scratch, top: int, probes: int = 8) -> DataFrame:
+    """The candidates of each language, scored, that can be among its ``top``; ``probes`` times as many are scored to find what score that takes."""
+    bounded = scratch.write(candidates.withColumn("bound", _score("l_least", "a")), "candidates")
+    by_bound = Window.partitionBy("g").orderBy(F.desc("bound"), F.desc("a"), *W)
+    probed = bounded.withColumn("place", F.row_number().over(by_bound)).filter(F.col("place") <= probes * top)
+    by_score = Window.partitionBy("g").orderBy(F.desc("score"))
+    place = scored(probed, phrases, words).withColumn("place", F.row_number().over(by_score)).filter(F.col("place") <= top)
+    reach = place.filter(F.col("place") == top).select("g", F.col("score").alias("reach"))  # none in languages with fewer phrases, which all count
+    reach = scratch.write(reach, "reach")
+    short = bounded.select("g").distinct().join(reach, "g", "left_anti").select("g", F.lit(0).cast("bigint").alias("reach"))
+    reach = scratch.write(reach.unionAll(short), "reaches")
+    near = scratch.equi_join(bounded, reach.withColumnRenamed("g", "_g"), (F.col("g") == F.col("_g")) & (F.col("bound") >= F.col("reach")))
+    return scored(near.select(*W, "g", "a"), phrases, words)
 
 
 def collocations(docs: DataFrame, min_count: int = 30, top: int = 2000, lang_col: str = "lang", text_col: str = "text", within: tuple[int, int] = (80, 100), most: int = MOST, bits: int = BITS) -> DataFrame:
@@ -324,18 +357,19 @@ def collocations(docs: DataFrame, min_count: int = 30, top: int = 2000, lang_col
     """
     scratch = Scratch(docs.sparkSession)
     texts = _texts(docs, lang_col, text_col)
-    every, seed = vocabulary(texts, scratch)
+    every, seed = vocabulary(texts, scratch, min_count)
     words = scratch.write(every.filter(F.col("n") >= min_count), "frequent")
-    sizes = scratch.write(every.groupBy("lang").agg(F.sum("n").alias("size")), "sizes")
+    sizes = scratch.write(every.groupBy("lang").agg(F.sum("n").alias("size")).withColumn("g", F.xxhash64("lang")), "sizes")
+    if not sizes.groupBy("g").count().filter("count > 1").isEmpty():
+        raise ValueError("two languages have one number")
     scratch.drop(f"words{seed}")
     phrases = frequent_phrases(texts, seed, words, scratch, min_count, most, bits)
-    kept = phrases.join(outer(phrases), list(W), "left").filter(F.expr(f"longest IS NULL OR CAST(longest AS DECIMAL(20, 0)) * {within[1]} < CAST(a AS DECIMAL(20, 0)) * {within[0]}")).select(*W)
-    candidates = scored(phrases, words).join(kept, list(W), "left_semi").join(words.select(F.col("id").alias("w1"), "lang"), "w1")
-    best = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"))
-    cut = scratch.write(candidates.withColumn("place", F.rank().over(best)).filter(F.col("place") <= top).drop("place"), "best")
+    found = best_scored(outermost(phrases, within), phrases, words, scratch, top)
+    best = Window.partitionBy("g").orderBy(F.desc("score"), F.desc("a"))
+    cut = scratch.write(found.withColumn("place", F.rank().over(best)).filter(F.col("place") <= top).drop("place"), "best")
     spelled = cut.select("*", F.posexplode(F.array(*W)).alias("at", "id")).filter("id <> 0").join(words.select("id", "word"), "id")
     phrase = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "word"))), lambda x: x["word"]), " ")
-    named = spelled.groupBy("lang", *W, "a", "l", "r", "score").agg(phrase.alias("phrase"))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase"))
-    done = named.withColumn("rank", rank).filter(F.col("rank") <= top).join(sizes, "lang")
+    named = spelled.groupBy(*W, "g", "a", "l", "r", "score").agg(phrase.alias("phrase"))
+    rank = F.row_number().over(Window.partitionBy("g").orderBy(F.desc("score"), F.desc("a"), "phrase"))
+    done = named.withColumn("rank", rank).filter(F.col("rank") <= top).join(sizes, "g")
     return done.select("lang", F.col("rank").cast("bigint").alias("rank"), "phrase", "a", "l", "r", F.col("size").alias("n"), "score")

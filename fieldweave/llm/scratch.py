@@ -71,7 +71,7 @@ class Scratch:
         """``rows`` joined with the written table ``ids``: it goes to every task if it has at most ``most`` rows, which are counted; else both are shuffled."""
         return rows.join(F.broadcast(ids) if ids.count() <= most else ids.hint("shuffle_hash"), on, how)
 
-    def equi_join(self, rows: DataFrame, table: DataFrame, on: list[str], how: str = "inner", most: int = BROADCAST_IDS) -> DataFrame:
+    def equi_join(self, rows: DataFrame, table: DataFrame, on: list[str] | Column, how: str = "inner", most: int = BROADCAST_IDS) -> DataFrame:
         """``rows`` joined with the written ``table``, which goes to every task if it has at most ``most`` rows, which are counted; else the optimizer deals both."""
         return rows.join(F.broadcast(table) if table.count() <= most else table, on, how)
 

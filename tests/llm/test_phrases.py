@@ -57,7 +57,7 @@ def texts() -> list[tuple[str | None, str | None]]:
 @pytest.mark.parametrize(("most", "bits", "min_count", "top"), [(phrases.MOST, 20, 5, 1000), (10, 6, 5, 1000), (1, 20, 3, 7), (3, 3, 30, 1000)])
 def test_equals_counting_every_window(spark, most, bits, min_count, top):
     rows = texts()
-    docs = spark.createDataFrame(rows, "lang string, text string").repartition(4)
+    docs = spark.createDataFrame(rows, "lang string, text string").repartition(4)  # with small ``top``, bounds decide what is scored at all
     got = phrases.collocations(docs, min_count, top, most=most, bits=bits)
     assert got.columns == ["lang", "rank", "phrase", "a", "l", "r", "n", "score"]
     want = brute(rows, min_count, top)
@@ -69,8 +69,8 @@ def test_no_task_gets_more_than_its_bound(spark):
 
     rnd = random.Random(3)
     rows = [tuple(rnd.choice((1, 1, 2, 3, 4, 5)) if k < 2 or rnd.random() < 0.9 else 0 for k in range(4)) for _ in range(3000)]
-    rows = [(*r, 1) for r in {(a, b, c, d if c else 0) for a, b, c, d in rows}]
-    projected = spark.createDataFrame(rows, "w1 bigint, w2 bigint, w3 bigint, w4 bigint, n bigint")
+    rows = [(*r, 0, 1) for r in {(a, b, c, d if c else 0) for a, b, c, d in rows}]
+    projected = spark.createDataFrame(rows, "w1 bigint, w2 bigint, w3 bigint, w4 bigint, g bigint, n bigint")
     depth = phrases.with_depth(projected, Scratch(spark), most=4)
     keys = [F.when(F.col("depth") >= d, F.col(w)) for d, w in enumerate(phrases.W, 1)]
     assert depth.groupBy(*keys).count().agg(F.max("count")).first()[0] <= 4
@@ -86,18 +86,18 @@ def test_growing_one_prefix():
 
 def test_counts_beyond_64_bits_when_multiplied(spark):
     big = 5_000_000_000_000
-    found = spark.createDataFrame([(1, 2, 0, 0, big - 1)], "w1 bigint, w2 bigint, w3 bigint, w4 bigint, a bigint")
+    found = spark.createDataFrame([(1, 2, 0, 0, 0, big - 1)], "w1 bigint, w2 bigint, w3 bigint, w4 bigint, g bigint, a bigint")
     words = spark.createDataFrame([(1, big), (2, big + 1)], "id bigint, n bigint")
-    assert phrases.scored(found, words).first()["score"] == 2_000_000 * (big - 1) // (2 * big + 1)
+    assert phrases.scored(found, found, words).first()["score"] == 2_000_000 * (big - 1) // (2 * big + 1)
 
 
 def test_two_words_of_one_number_are_numbered_anew(spark, monkeypatch):
     from fieldweave.llm.scratch import Scratch
 
-    rows = spark.createDataFrame([("en", "a b a")], "lang string, text string")
+    rows = phrases._texts(spark.createDataFrame([("en", "a b a")], "lang string, text string"), "lang", "text")
     own = phrases.word_counts
     monkeypatch.setattr(phrases, "word_counts", lambda t, seed: own(t, seed).withColumn("id", F.lit(1).cast("bigint")) if seed < 2 else own(t, seed))
-    assert phrases.vocabulary(rows, Scratch(spark))[1] == 2
+    assert phrases.vocabulary(rows, Scratch(spark), 3)[1] == 2 and phrases.vocabulary(rows, Scratch(spark), 4)[1] == 0
 
 
 def test_odd_rows_and_empty_tables(spark):
