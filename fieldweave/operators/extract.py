@@ -124,7 +124,7 @@ def answers(responses: DataFrame) -> DataFrame:
 def answers_by_submission(rows: DataFrame) -> DataFrame:
     """One row for each submission with its answers in field order; bounded by the template's number of fields."""
     entry = F.struct("pos", "field", "is_plural", "values")
-    return rows.groupBy("submission_id").agg(F.array_sort(F.collect_list(entry), lambda a, b: F.when(a["pos"] < b["pos"], -1).when(a["pos"] > b["pos"], 1).otherwise(0)).alias("answers"))
+    return rows.groupBy("submission_id").agg(F.array_sort(F.collect_list(entry)).alias("answers"))
 
 
 def answers_json(entries: Column) -> Column:

@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldweave.functions import field_types, text
-from fieldweave.operators import extract, fields, fill, prompts, requests, widgets
-from fieldweave.plans import pipeline
-from fieldweave.sources import catalog, client
+from fieldweave.operators import bodies, extract, fields, fill, prompts, requests, widgets
+from fieldweave.plans import fill_job, pipeline
+from fieldweave.sources import catalog, client, files, pdf
 from fieldweave.sources.shared import scratch_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -401,6 +401,176 @@ def fanout_fill_rate(spark, sf_dir):
     return fill.fill_rate(found.join(lang, "submission_id"), "lang", "field").select("lang", "field", "n", "found")
 
 
+def _nation_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(pdf_path, content) of a form for each nation, with a widget for each of its suppliers, on two pages; those of even nations have compressed objects."""
+    s, k = _t(spark, sf_dir, "supplier"), F.col("s_suppkey")
+    rows = s.select(
+        F.concat(F.col("s_nationkey").cast("string"), F.lit(".pdf")).alias("pdf_path"), (k % 2).cast("int").alias("page"), k.alias("annot_ix"), F.concat("s_name", F.lit(" ((é\\")).alias("t"), F.when(k % 3 == 0, F.col("s_name")).alias("tu"),
+        F.when(k % 4 == 0, "/Btn").otherwise("/Tx").alias("ft"), F.array((k % 7).cast("double"), F.col("s_acctbal").cast("double"), F.lit(0.0), F.lit(0.0)).alias("rect"), (F.col("s_nationkey") % 2 == 0).alias("packed"),
+    )
+    return pdf.form_pdfs(rows.filter("packed"), packed=True).unionAll(pdf.form_pdfs(rows.filter("NOT packed")))
+
+
+@_query(
+    """SELECT s_nationkey, s_suppkey % 2 AS page, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey % 2, CAST(s_acctbal AS DOUBLE) DESC, s_suppkey % 7, s_suppkey) - 1 AS pos, s_name || ' ((é\\' AS name,
+    CASE WHEN s_suppkey % 3 = 0 THEN s_name ELSE s_name || ' ((é\\' END AS description, CASE WHEN s_suppkey % 4 = 0 THEN 'checkbox' ELSE 'string' END AS type FROM supplier"""
+)
+def pdf_widgets(spark, sf_dir):
+    """Forms written as files, then their widgets as they are read from these."""
+    folder = scratch_folder(spark)
+    forms = _nation_forms(spark, sf_dir)
+    files.write_files(forms.withColumn("output_path", F.concat(F.lit(f"{folder}/"), F.col("pdf_path"))), aside=folder)
+    found = widgets.ordered_widgets(pdf.widgets_of(pdf.read_pdfs(spark, folder, fail_fast=True)))
+    key = F.regexp_extract("pdf_path", r"([0-9]+)\.pdf$", 1).cast("bigint")
+    return found.select(key.alias("s_nationkey"), F.col("page").cast("bigint").alias("page"), F.col("pos").cast("bigint").alias("pos"), "name", "description", "type")
+
+
+@_query(
+    """WITH w AS (SELECT s_nationkey, s_suppkey % 2 AS page, row_number() OVER (PARTITION BY s_nationkey, s_suppkey % 2 ORDER BY s_suppkey) - 1 AS annot_ix, s_name FROM supplier)
+    SELECT n.n_nationkey AS id, w.page, w.annot_ix, n.n_name || ': ' || s_name AS value FROM nation n JOIN w ON w.s_nationkey = n.n_nationkey"""
+)
+def pdf_filled(spark, sf_dir):
+    """Filled copies of all forms, and the values that are read from them."""
+    forms, nation = _nation_forms(spark, sf_dir), _t(spark, sf_dir, "nation")
+    from pyspark.sql import Window
+
+    page = F.col("s_suppkey") % 2
+    place = F.row_number().over(Window.partitionBy("s_nationkey", page).orderBy("s_suppkey")) - 1
+    values = _t(spark, sf_dir, "supplier").withColumn("annot_ix", place.cast("int")).join(nation, F.col("s_nationkey") == F.col("n_nationkey"))
+    filled = values.select(F.col("n_nationkey").cast("bigint").alias("submission_id"), F.concat(F.col("s_nationkey").cast("string"), F.lit(".pdf")).alias("pdf_path"), page.cast("int").alias("page"), "annot_ix", F.concat("n_name", F.lit(": "), "s_name").alias("value"))
+    copies = pdf.filled_pdfs(forms, filled).select(F.col("submission_id").cast("string").alias("pdf_path"), "content")
+    return pdf.read_values(copies).select(F.col("pdf_path").cast("bigint").alias("id"), F.col("page").cast("bigint").alias("page"), F.col("annot_ix").cast("bigint").alias("annot_ix"), "value")
+
+
+_EMAIL = f"coalesce(nullif(array_to_string(regexp_extract_all(text, '{extract.RULES['email']}'), '; '), ''), '')"
+
+
+@_query(
+    f"""SELECT doc_id AS id, CASE doc_id % 5 WHEN 0 THEN 404 WHEN 1 THEN 422 WHEN 2 THEN 500 ELSE 200 END AS status,
+    CASE doc_id % 5 WHEN 0 THEN 'unknown_template' WHEN 1 THEN 'blank_text' WHEN 2 THEN 'template_pdf_missing' END AS reason, CASE WHEN doc_id % 5 > 2 THEN doc_id || '_filled.pdf' END AS name,
+    CASE WHEN doc_id % 5 > 2 THEN md5({_EMAIL}) END AS value_md5 FROM documents"""
+)
+def fill_job_twice(spark, sf_dir):
+    """Documents as submissions of one job, which is run twice: its rows, rejects and the values in the PDFs that it wrote."""
+    out, k = scratch_folder(spark), F.col("doc_id") % 5
+    templates = _templates(spark).filter("id = 1").withColumn("fields", F.slice("fields", 1, 1))
+    templates = templates.unionByName(templates.withColumns({"id": F.lit(3).cast("bigint"), "pdf_path": F.lit("gone.pdf")}))
+    form = spark.createDataFrame([("forms/contact.pdf", 0, 0, "Email", None, "/Tx", [1.0, 2.0, 3.0, 4.0])], "pdf_path string, page int, annot_ix bigint, t string, tu string, ft string, rect array<double>")
+    forms = pdf.form_pdfs(form)
+    ordered = widgets.ordered_widgets(form.withColumn("subtype", F.lit("/Widget")).withColumn("annot_ix", F.col("annot_ix").cast("int")))
+    subs = _t(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.when(k == 0, 77).when(k == 2, 3).otherwise(1).alias("template_id"), F.when(k == 1, " ").otherwise(F.col("text")).alias("input_text"))
+    for _ in range(2):
+        fill_job.fill_job(subs, templates, ordered, forms, out, batch_id=7)
+    done, name = fill_job.filled_submissions(spark, out), F.element_at(F.split("path", "/"), -1)
+    copies = spark.read.format("binaryFile").load(f"{out}/pdfs").select(name.alias("pdf_path"), "content")
+    values = pdf.read_values(copies).select(F.col("pdf_path").alias("name"), F.md5("value").alias("value_md5"))
+    rows = done.select("id", F.lit(200).alias("status"), F.lit(None).cast("string").alias("reason"), F.element_at(F.split("output_pdf_path", "/"), -1).alias("name")).join(values, "name", "left")
+    refused = fill_job.rejects(spark, out).select("id", "status", "reason", F.lit(None).cast("string").alias("name"), F.lit(None).cast("string").alias("value_md5"))
+    return rows.select(refused.columns).unionByName(refused)
+
+
+@_query(
+    """SELECT event_id, CASE WHEN event_id % 10 < 3 THEN 200 ELSE 422 END AS status,
+    CASE event_id % 10 WHEN 3 THEN 'template_id' WHEN 4 THEN 'template_id' WHEN 5 THEN 'input_text' WHEN 6 THEN 'input_text' WHEN 7 THEN 'body' WHEN 8 THEN 'body' WHEN 9 THEN 'template_id' END AS problem_field,
+    CASE event_id % 10 WHEN 3 THEN 'missing' WHEN 4 THEN 'not_int' WHEN 5 THEN 'not_string' WHEN 6 THEN 'blank' WHEN 7 THEN 'not_json' WHEN 8 THEN 'not_object' WHEN 9 THEN 'not_int' END AS problem,
+    CASE WHEN event_id % 10 < 3 THEN event_id END AS template_id, CASE WHEN event_id % 10 < 3 THEN event_type END AS input_text FROM events"""
+)
+def typed_bodies(spark, sf_dir):
+    n, kind = F.col("event_id").cast("string"), F.col("event_type")
+    body = lambda i, t: F.concat(F.lit('{"template_id": '), i, F.lit(', "input_text": '), t, F.lit(', "more": [1]}'))
+    text_ = F.concat(F.lit('"'), kind, F.lit('"'))
+    kinds = [
+        body(n, text_), body(F.concat(F.lit('" '), n, F.lit('"')), text_), body(F.concat(n, F.lit(".0")), text_), F.concat(F.lit('{"input_text": '), text_, F.lit("}")), body(F.concat(n, F.lit(".5")), text_),
+        body(n, F.lit("5")), body(n, F.lit('" \\n"')), F.concat(F.lit("{"), n), F.concat(F.lit("["), n, F.lit("]")), body(F.lit('"x"'), F.lit("null")),
+    ]
+    rows = _t(spark, sf_dir, "events").select("event_id", F.get(F.array(*kinds), (F.col("event_id") % 10).cast("int")).alias("body"))
+    return bodies.typed_bodies(rows, bodies.FILL).select("event_id", "status", "problem_field", "problem", "template_id", "input_text")
+
+
+@_query(
+    """SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 400 WHEN 1 THEN 400 WHEN 2 THEN 404 WHEN 3 THEN 400 ELSE 200 END AS status,
+    CASE doc_id % 6 WHEN 0 THEN 'path_required' WHEN 1 THEN 'outside_root' WHEN 2 THEN 'not_found' WHEN 3 THEN 'not_a_pdf' END AS reason FROM documents"""
+)
+def file_checks(spark, sf_dir):
+    k, d = F.col("doc_id") % 6, _t(spark, sf_dir, "documents")
+    name = F.concat(F.col("source"), F.lit("/"), F.col("doc_id").cast("string"), F.when(k == 3, ".txt").otherwise(".PDF"))
+    path = F.when(k == 0, "  ").when(k == 1, F.concat(F.lit("../"), name)).when(k == 4, F.concat(F.lit("./x/../"), name)).otherwise(name)
+    listing = d.filter(k != 2).select(F.concat(F.lit("/srv/"), name).alias("path"))
+    return requests.checked_files(d.select("doc_id", path.alias("path")), listing, "/srv").select("doc_id", "status", "reason")
+
+
+@_query(
+    """SELECT p_partkey, CASE WHEN p_size % 5 < 4 THEN 422 ELSE 200 END AS status, CASE p_size % 5 WHEN 0 THEN 'name_required' WHEN 1 THEN 'file_required' WHEN 2 THEN 'directory_required' WHEN 3 THEN 'fields_required' END AS reason FROM part"""
+)
+def template_checks(spark, sf_dir):
+    k, one = F.col("p_size") % 5, F.struct(F.lit(0).alias("pos"), F.col("p_brand").alias("name"), F.lit("string").alias("type"))
+    rows = _t(spark, sf_dir, "part").select("p_partkey", F.when(k != 0, F.col("p_name")).alias("name"), F.when(k == 1, "").otherwise("a.pdf").alias("filename"), F.when(k == 2, " ").otherwise("in").alias("directory"), F.when(k != 3, F.array(one)).alias("fields"))
+    return requests.checked_templates(rows).select("p_partkey", "status", "reason")
+
+
+@_query("SELECT l_orderkey, bool_and(l_linenumber % 2 = 0) AS blank FROM lineitem GROUP BY l_orderkey")
+def blank_lists(spark, sf_dir):
+    return fields.all_rows_blank(_t(spark, sf_dir, "lineitem").select("l_orderkey", F.when(F.col("l_linenumber") % 2 == 0, " \u3000").otherwise("x").alias("name")), "l_orderkey")
+
+
+@_query(
+    """WITH n AS (SELECT l_orderkey, CASE WHEN l_linenumber = 3 THEN '' ELSE lower(l_returnflag || (l_linenumber % 4)) END AS name FROM lineitem), c AS (SELECT l_orderkey, name, count(*) AS n FROM n GROUP BY ALL)
+    SELECT DISTINCT l_orderkey, CASE WHEN name = '' THEN 'blank_name' ELSE 'duplicate_name' END AS problem FROM c WHERE name = '' OR n > 1"""
+)
+def field_problems(spark, sf_dir):
+    name = F.when(F.col("l_linenumber") == 3, "\t").otherwise(F.concat(F.lit(" "), F.col("l_returnflag"), (F.col("l_linenumber") % 4).cast("string")))
+    return fields.field_problems(_t(spark, sf_dir, "lineitem").select("l_orderkey", name.alias("name")), "l_orderkey")
+
+
+@_query(
+    """WITH c AS (SELECT l_orderkey, count(*) AS n_fields, CASE WHEN l_orderkey % 5 = 0 THEN NULL ELSE count(*) FILTER (l_linenumber % 3 <> 0) + CASE WHEN l_orderkey % 5 = 1 THEN 9 ELSE 0 END END AS n_widgets FROM lineitem GROUP BY l_orderkey)
+    SELECT l_orderkey, n_fields, n_widgets, CASE WHEN n_widgets IS NULL THEN 'unreadable' WHEN n_fields > n_widgets THEN 'surplus_fields' WHEN n_fields < n_widgets THEN 'surplus_widgets' ELSE 'match' END AS verdict FROM c"""
+)
+def count_mismatches(spark, sf_dir):
+    li, path = _t(spark, sf_dir, "lineitem"), F.col("l_orderkey").cast("string")
+    entry = F.struct(F.col("l_linenumber").cast("int").alias("pos"), F.col("l_returnflag").alias("name"), F.lit("string").alias("type"))
+    templates = li.groupBy(F.col("l_orderkey").alias("id"), path.alias("pdf_path")).agg(F.collect_list(entry).alias("fields"))
+    n = F.count_if(F.col("l_linenumber") % 3 != 0) + F.when(F.col("l_orderkey") % 5 == 1, 9).otherwise(0)
+    counts = li.groupBy("l_orderkey").agg(n.alias("n")).select(path.alias("pdf_path"), F.when(F.col("l_orderkey") % 5 != 0, F.col("n")).alias("n_widgets"))
+    return widgets.count_mismatches(templates, counts).select(F.col("id").alias("l_orderkey"), "n_fields", "n_widgets", "verdict")
+
+
+@_query(
+    """SELECT event_id, CAST(k.pos - 1 AS INTEGER) AS pos, k.field AS field, CASE WHEN k.kind = 'VARCHAR' THEN 'as text' ELSE 'string' END AS kind FROM
+    (SELECT event_id, unnest(json_keys(props)) AS field, generate_subscripts(json_keys(props), 1) AS pos, json_type(props, '$.' || unnest(json_keys(props))) AS kind FROM events) k"""
+)
+def field_types_from_json(spark, sf_dir):
+    """Whether a field's type is the text that its JSON has, or the default for what is no text."""
+    rows = _t(spark, sf_dir, "events").select("event_id", "props", fields.fields_from_json(F.col("props")).alias("fields"))
+    kept = fields.explode_fields(rows, "event_id", "props")
+    own = F.element_at(F.from_json("props", "map<string,variant>"), F.col("field"))
+    kind = F.when((F.schema_of_variant(own) == "STRING") & (F.col("type") == own.cast("string")), "as text").otherwise(F.col("type"))
+    return kept.select("event_id", F.col("pos").cast("int").alias("pos"), "field", kind.alias("kind"))
+
+
+@_query(
+    """SELECT p_partkey AS id, CASE WHEN p_size % 2 = 0 THEN '' ELSE p_name END AS name, CASE WHEN p_size % 3 = 0 THEN '' ELSE p_brand END AS pdf_path, CAST(CASE WHEN p_size % 5 = 0 THEN 0 ELSE 1 END AS INTEGER) AS n_fields,
+    CASE WHEN p_size % 3 = 0 OR c.n IS NULL THEN NULL ELSE CAST(c.n AS INTEGER) END AS field_count FROM part LEFT JOIN (SELECT p_brand AS b, count(*) AS n FROM part GROUP BY p_brand) c ON c.b = p_brand"""
+)
+def template_responses(spark, sf_dir):
+    """Templates as they are answered, with what stands for missing values."""
+    part, size = _t(spark, sf_dir, "part"), F.col("p_size")
+    one = F.array(F.struct(F.lit(0).alias("pos"), F.col("p_name").alias("name"), F.lit("string").alias("type")))
+    rows = part.select(F.col("p_partkey").alias("id"), F.when(size % 2 != 0, F.col("p_name")).alias("name"), F.when(size % 3 != 0, F.col("p_brand")).alias("pdf_path"), F.when(size % 5 != 0, one).alias("fields"))
+    counts = part.groupBy(F.col("p_brand").alias("pdf_path")).agg(F.count("*").alias("n_widgets"))
+    return catalog.response_of(rows, counts).select("id", "name", "pdf_path", F.size("fields").alias("n_fields"), "field_count")
+
+
+@_query(
+    """SELECT l_orderkey, l_partkey, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS INTEGER) AS step, CAST(count(*) OVER (PARTITION BY l_orderkey) AS INTEGER) AS total FROM lineitem"""
+)
+def field_progress(spark, sf_dir):
+    order = F.struct("l_linenumber", "l_partkey", "l_suppkey")
+    lists = _t(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(order)).alias("all"))
+    made = lists.select("l_orderkey", F.transform("all", lambda x, i: F.struct(i.alias("pos"), x["l_partkey"].cast("string").alias("name"), F.lit("string").alias("type"))).alias("fields"))
+    return fields.with_progress(made, "l_orderkey").select("l_orderkey", F.col("field").cast("bigint").alias("l_partkey"), "step", "total")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Answers of the contact template for every document."""
     subs = _submissions(spark, sf_dir).withColumn("template_id", F.lit(1).cast("bigint"))

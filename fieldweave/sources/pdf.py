@@ -1,19 +1,16 @@
 """Form widgets of PDF files, and filled copies of them.
 
-Files are read with Spark's ``binaryFile`` source and parsed in Arrow batches.  Objects may stand in the file or in compressed object
-streams; strings are literal or hexadecimal.  A field's own ``/T`` and ``/FT`` count, or with ``inherit`` those of its parents where it has none.
-What can't be read gives a row that is not readable, with an empty list of annotations, and stops no other file, or with ``fail_fast`` an error.
+Files are read with Spark's ``binaryFile`` source and parsed in Arrow batches by ``pdf_objects``.  A field's own ``/T`` and ``/FT`` count, or with
+``inherit`` those of its parents where it has none.  What can't be read gives a row that is not readable, with an empty list of annotations, and
+stops no other file, or with ``fail_fast`` an error.
 
 ``filled_pdfs`` writes values by an incremental update: the file stays as it is, and the widgets' objects follow anew with ``/V`` set and without
-``/AP``, so that viewers draw them again.  It takes files with a plain cross-reference table; others give a row with an error.
+``/AP``, so that viewers draw them again, with a cross-reference table or stream as the file has; files without either, and encrypted ones, give a row with an error.
 """
 
 from __future__ import annotations
 
-import re
-import zlib
-from collections.abc import Callable, Iterator
-from pathlib import Path
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -21,99 +18,86 @@ from pyspark.sql import functions as F
 
 from fieldweave.schemas import WIDGET
 
-_OBJECT = re.compile(rb"(\d+)\s+(\d+)\s+obj\b(.*?)\bendobj", re.S)
-_REFERENCE = re.compile(rb"(\d+)\s+\d+\s+R")
-_STRING = rb"\(((?:\\.|[^\\()])*)\)|<([0-9A-Fa-f\s]*)>"
+from .files import write_files  # noqa: F401  the sink of filled copies
+from .pdf_objects import Document, Name, Reader, Ref, new_file, parsing, text_of, written
+
 _ANNOTATION = "array<struct<page:int,annot_ix:int,subtype:string,t:string,tu:string,ft:string,rect:array<double>>>"
 
 
 def _text(body: bytes, key: bytes) -> str | None:
-    m = re.search(rb"/" + key + rb"\s*(?:" + _STRING + rb")", body, re.S)
-    if not m:
-        return None
-    raw = re.sub(rb"\\(.)", rb"\1", m[1], flags=re.S) if m[1] is not None else bytes.fromhex(m[2].decode())
-    return raw[2:].decode("utf-16-be", "replace") if raw.startswith(b"\xfe\xff") else raw.decode("latin-1")
+    """A text of the dictionary that ``body`` holds."""
+    return text_of(Reader(body).read().get(key.decode()))
 
 
-def _name(body: bytes, key: bytes) -> str | None:
-    m = re.search(rb"/" + key + rb"\s*(/[A-Za-z0-9]+)", body)
-    return m[1].decode("latin-1") if m else None
+def _objects(content: bytes) -> dict[int, bytes]:
+    """All objects of a file as they would be written, but for streams."""
+    document = Document(content)
+    values = {n: document.get(Ref(n, 0)) for n in document.entries}
+    return {n: written(v) for n, v in values.items() if v is not None and not isinstance(v, tuple)}
 
 
-def _objects(content: bytes) -> dict[int, bytes]:
-    """Objects by number, the last one of each; those in object streams where the file has none of that number."""
-    found = {int(m[1]): m[3] for m in _OBJECT.finditer(content)}
-    packed: dict[int, bytes] = {}
-    for body in found.values():
-        if not re.search(rb"/Type\s*/ObjStm\b", body) or not (m := re.search(rb"\bstream\r?\n(.*?)\r?\n?endstream", body, re.S)):
-            continue
-        n, first = (re.search(rb"/" + key + rb"\s+(\d+)", body) for key in (b"N", b"First"))
-        try:
-            data = zlib.decompress(m[1]) if b"/FlateDecode" in body else m[1]
-        except zlib.error as e:
-            raise ValueError("an object stream can't be read") from e
-        if n and first:
-            numbers = [int(x) for x in data[: int(first[1])].split()[: 2 * int(n[1])]]
-            places = [int(first[1]) + x for x in numbers[1::2]]
-            packed |= {k: data[x:y] for k, x, y in zip(numbers[::2], places, [*places[1:], len(data)])}
-    return packed | found
-
-
-def _inherited(objects: dict[int, bytes], body: bytes, key: bytes, read: Callable[[bytes, bytes], str | None]) -> str | None:
+def _inherited(document: Document, annotation: dict, key: str) -> object:
     """The value of the field itself or of the nearest parent that has one."""
-    seen = 0
-    while (value := read(body, key)) is None and seen < len(objects) and (m := re.search(rb"/Parent\s+(\d+)\s+\d+\s+R", body)):
-        body, seen = objects.get(int(m[1]), b""), seen + 1
+    field, seen = annotation, 0
+    while (value := document.get(field.get(key))) is None and seen < 100:
+        field, seen = document.get(field.get("Parent")), seen + 1
+        if not isinstance(field, dict):
+            return None
     return value
 
 
-def _widget_refs(content: bytes, objects: dict[int, bytes]) -> list[tuple[int, int, int]]:
-    """(page, place, object number) of all annotations in page order; raises ValueError if there is no page to be read."""
-    pages = [n for n, body in objects.items() if re.search(rb"/Type\s*/Page\b(?!s)", body)]
-    kids = [int(x) for body in objects.values() if re.search(rb"/Type\s*/Pages\b", body) for k in re.findall(rb"/Kids\s*\[(.*?)\]", body, re.S) for x in _REFERENCE.findall(k)]
-    if not content.startswith(b"%PDF") or not pages:
-        raise ValueError("no readable page")
-    out = []
-    for page, n in enumerate(sorted(pages, key=lambda x: kids.index(x) if x in kids else len(kids))):
-        m = re.search(rb"/Annots\s*(?:\[(.*?)\]|(\d+)\s+\d+\s+R)", objects[n], re.S)
-        refs = [] if not m else _REFERENCE.findall(m[1] if m[1] is not None else objects.get(int(m[2]), b""))
-        out += [(page, k, int(ref)) for k, ref in enumerate(refs)]
-    return out
+def _numbers(document: Document, value: object) -> list[float] | None:
+    items = document.get(value)
+    numbers = [document.get(x) for x in items] if isinstance(items, list) else []
+    return [float(x) for x in numbers] if numbers and all(isinstance(x, (int, float)) for x in numbers) else None
 
 
+@parsing()
 def annotations_of(content: bytes, inherit: bool = False) -> list[dict]:
     """Annotations of all pages in page order; raises ValueError if there is no page to be read."""
-    objects, out = _objects(content), []
-    for page, k, ref in _widget_refs(content, objects):
-        body = objects.get(ref, b"")
-        box = re.search(rb"/Rect\s*\[([^\]]*)\]", body)
-        t, ft = (_inherited(objects, body, b"T", _text), _inherited(objects, body, b"FT", _name)) if inherit else (_text(body, b"T"), _name(body, b"FT"))
-        out.append({"page": page, "annot_ix": k, "subtype": _name(body, b"Subtype"), "t": t, "tu": _text(body, b"TU"), "ft": ft, "rect": [float(x) for x in box[1].split()] if box else None})
+    document, out = Document(content), []
+    for page, k, a, _, _ in document.annotations():
+        own = lambda key: document.get(a.get(key))  # noqa: B023, E731
+        t, ft = (_inherited(document, a, "T"), _inherited(document, a, "FT")) if inherit else (own("T"), own("FT"))
+        name = lambda v: f"/{v}" if isinstance(v, Name) else None
+        out.append({"page": page, "annot_ix": k, "subtype": name(own("Subtype")), "t": text_of(t), "tu": text_of(own("TU")), "ft": name(ft), "rect": _numbers(document, a.get("Rect"))})
     return out
 
 
+@parsing()
+def values_of(content: bytes) -> list[dict]:
+    """(page, annot_ix, value) of all annotations that have a value."""
+    document = Document(content)
+    found = [(page, k, text_of(document.get(a.get("V")))) for page, k, a, _, _ in document.annotations()]
+    return [{"page": page, "annot_ix": k, "value": value} for page, k, value in found if value is not None]
+
+
+def read_values(files: DataFrame) -> DataFrame:
+    """(pdf_path, page, annot_ix, value) of ``files`` (pdf_path, content); a file that can't be read is an error."""
+    kind = pa.list_(pa.struct([("page", pa.int32()), ("annot_ix", pa.int32()), ("value", pa.string())]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([values_of(c) for c in batch.column(1).to_pylist()], kind)], ["pdf_path", "found"])
+
+    found = files.select("pdf_path", "content").mapInArrow(run, "pdf_path string, found array<struct<page:int,annot_ix:int,value:string>>")
+    return found.select("pdf_path", F.explode("found").alias("v")).select("pdf_path", "v.*")
+
+
+@parsing()
 def filled_content(content: bytes, values: dict[tuple[int, int], str]) -> bytes:
     """The file with the values of its widgets, which are known by page and place; raises ValueError where it can't be updated."""
-    starts, tables = re.findall(rb"startxref\s+(\d+)", content), re.findall(rb"\btrailer\s*<<(.*?)>>\s*startxref", content, re.S)
-    if not starts or not tables:
-        raise ValueError("no plain cross-reference table")
-    root, size = re.search(rb"/Root\s+\d+\s+\d+\s+R", tables[-1]), re.search(rb"/Size\s+(\d+)", tables[-1])
-    if not root or not size:
-        raise ValueError("the trailer names no root or size")
-    objects, out, places = _objects(content), bytearray(content if content.endswith(b"\n") else content + b"\n"), {}
-    for page, k, ref in _widget_refs(content, objects):
+    document, changed = Document(content), {}
+    if document.start is None or "Size" not in document.trailer:
+        raise ValueError("no cross-reference table or stream")
+    for page, k, annotation, owner, value in document.annotations():
         if (page, k) in values:
-            body = objects[ref].strip()
-            body = re.sub(rb"/V\s*(?:" + _STRING + rb"|/[^\s/<>\[\]()]+)", b"", body, flags=re.S)
-            body = re.sub(rb"/AP\s*(?:<<(?:[^<>]|<<[^<>]*>>)*>>|\d+\s+\d+\s+R)", b"", body, flags=re.S)
-            if not body.endswith(b">>"):
-                raise ValueError(f"object {ref} is no dictionary")
-            written = (b"\xfe\xff" + values[page, k].encode("utf-16-be", "surrogatepass")).hex().upper().encode()
-            places[ref] = len(out)
-            out += b"%d 0 obj\n%s /V <%s> >>\nendobj\n" % (ref, body[:-2].rstrip(), written)
-    table = len(out)
-    out += b"xref\n" + b"".join(b"%d 1\n%010d 00000 n \n" % (n, at) for n, at in sorted(places.items()))
-    return bytes(out + b"trailer << /Size %s %s /Prev %s >>\nstartxref\n%d\n%%%%EOF\n" % (size[1], root[0], starts[-1], table))
+            if owner is None or not annotation:
+                raise ValueError(f"annotation {k} of page {page} is no object that can be written anew")
+            annotation.pop("AP", None)
+            annotation["V"] = b"\xfe\xff" + values[page, k].encode("utf-16-be", "surrogatepass")
+            changed[owner.number] = value
+    return document.updated(changed)
 
 
 def read_pdfs(spark: SparkSession, path: str, fail_fast: bool = False, inherit: bool = False) -> DataFrame:
@@ -165,14 +149,28 @@ def filled_pdfs(files: DataFrame, filled: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, f"submission_id {types['submission_id']}, pdf_path string, content binary, error string")
 
 
-def write_files(files: DataFrame) -> None:
-    """Write ``content`` to ``output_path``, a path on a file system that all executors have mounted; a retried task writes the same bytes again."""
+def new_form(fields: list[dict], packed: bool = False) -> bytes:
+    """A form with these widgets (page, t, tu, ft, rect), in this order; ``packed``: with an object stream and a cross-reference stream."""
+    pages = max((f["page"] for f in fields), default=0) + 1
+    objects: dict[int, object] = {1: {"Type": Name("Catalog"), "Pages": Ref(2, 0)}, 2: {"Type": Name("Pages"), "Kids": [Ref(3 + p, 0) for p in range(pages)], "Count": pages}}
+    text = lambda value: b"\xfe\xff" + value.encode("utf-16-be", "surrogatepass")
+    own: list[list[Ref]] = [[] for _ in range(pages)]
+    for k, f in enumerate(fields):
+        widget = {"Type": Name("Annot"), "Subtype": Name("Widget"), "T": text(f["t"]), "FT": Name(f["ft"].lstrip("/")), "Rect": [float(x) for x in f["rect"]]}
+        objects[3 + pages + k] = widget | ({"TU": text(f["tu"])} if f.get("tu") else {})
+        own[f["page"]].append(Ref(3 + pages + k, 0))
+    for p in range(pages):
+        objects[3 + p] = {"Type": Name("Page"), "Parent": Ref(2, 0), "MediaBox": [0, 0, 612, 792], "Annots": own[p]}
+    return new_file(objects, packed)
 
-    def write(rows: Iterator) -> None:
-        for r in rows:
-            path = Path(r["output_path"].removeprefix("file:"))
-            path.parent.mkdir(parents=True, exist_ok=True)
-            path.with_name(path.name + ".part").write_bytes(r["content"])
-            path.with_name(path.name + ".part").replace(path)
 
-    files.select("output_path", "content").foreachPartition(write)
+def form_pdfs(widgets: DataFrame, packed: bool = False) -> DataFrame:
+    """(pdf_path, content): a form for each ``pdf_path`` of ``widgets`` (pdf_path, page, annot_ix, t, tu, ft, rect), whose widgets are as many as one form has."""
+    entry = F.struct("page", "annot_ix", "t", "tu", "ft", "rect")
+    forms = widgets.groupBy("pdf_path").agg(F.array_sort(F.collect_list(entry)).alias("fields"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([new_form(f, packed) for f in batch.column(1).to_pylist()], pa.binary())], ["pdf_path", "content"])
+
+    return forms.mapInArrow(run, "pdf_path string, content binary")
