@@ -10,7 +10,9 @@ The model is the costly part.  ``extract_cached`` asks only for what the cache t
 from __future__ import annotations
 
 import os
+import time
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from uuid import uuid4
 
 import pyarrow as pa
@@ -52,12 +54,18 @@ def fixture_responses(prompts: DataFrame, fixtures: DataFrame) -> DataFrame:
     return prompts.join(fixtures.select("field", "response"), "field", "left").withColumn("response", F.coalesce("response", F.lit(NOT_FOUND)))
 
 
-def call_model(prompts: DataFrame, ask: Callable[[str], str], attempts: int = ATTEMPTS) -> DataFrame:
-    """``prompts`` with ``response`` and ``error``: ``ask`` gets one prompt; after the last attempt the error is kept beside the row."""
+def call_model(prompts: DataFrame, ask: Callable[[str], str], attempts: int = ATTEMPTS, in_flight: int = 1, budget_s: float | None = None) -> DataFrame:
+    """``prompts`` with ``response`` and ``error``: ``ask`` gets one prompt; after the last attempt the error is kept beside the row.
 
-    def answer(prompt: str) -> tuple[str | None, str | None]:
+    A task has up to ``in_flight`` calls open at once, of one Arrow batch at a time, so it asks for no more rows before these are answered.
+    With ``budget_s``, a task starts no call after so many seconds: rows that are left come back with the error ``OutOfTime``, the others with their answers.
+    """
+
+    def answer(prompt: str, until: float | None) -> tuple[str | None, str | None]:
         error = None
-        for _ in range(attempts):
+        for k in range(attempts):
+            if until is not None and time.monotonic() >= until:
+                return None, f"OutOfTime: after {k} attempts" + (f", {error}" if error else "")
             try:
                 return ask(prompt), None
             except Exception as e:  # whatever the client raises belongs to this row alone
@@ -65,10 +73,12 @@ def call_model(prompts: DataFrame, ask: Callable[[str], str], attempts: int = AT
         return None, error
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            done = [answer(p) for p in batch.column("prompt").to_pylist()]
-            columns = [*batch.columns, pa.array([r for r, _ in done], pa.string()), pa.array([e for _, e in done], pa.string())]
-            yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names, "response", "error"])
+        until = None if budget_s is None else time.monotonic() + budget_s
+        with ThreadPoolExecutor(in_flight) as pool:
+            for batch in batches:
+                done = list(pool.map(lambda p: answer(p, until), batch.column("prompt").to_pylist()))
+                columns = [*batch.columns, pa.array([r for r, _ in done], pa.string()), pa.array([e for _, e in done], pa.string())]
+                yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names, "response", "error"])
 
     types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in prompts.schema)
     return prompts.mapInArrow(run, f"{types}, response string, error string")
@@ -93,10 +103,10 @@ def cache_key(version: str) -> Column:
     return F.sha2(F.concat_ws("\u0001", F.lit(version), F.coalesce("field", F.lit("")), F.coalesce("type", F.lit("")), F.sha2(F.coalesce("input_text", F.lit("")), 256)), 256)
 
 
-def extract_cached(prompts: DataFrame, ask: Callable[[str], str], cache_path: str, version: str, attempts: int = ATTEMPTS, concurrency: int | None = None) -> DataFrame:
+def extract_cached(prompts: DataFrame, ask: Callable[[str], str], cache_path: str, version: str, attempts: int = ATTEMPTS, concurrency: int | None = None, in_flight: int = 1, budget_s: float | None = None) -> DataFrame:
     """``prompts`` with ``response`` and ``error``, asking only for what the table at ``cache_path`` lacks.
 
-    Misses are distinct by key and dealt to ``concurrency`` tasks, which bounds how many calls run at once.  Answers are appended to the
+    Misses are distinct by key and dealt to ``concurrency`` tasks of ``in_flight`` calls each, which bounds how many calls run at once.  Answers are appended to the
     cache; failures are not, so the next run asks again.  A task that is retried may repeat its own calls, never another's.
     """
     spark = prompts.sparkSession
@@ -107,7 +117,7 @@ def extract_cached(prompts: DataFrame, ask: Callable[[str], str], cache_path: st
     if concurrency:
         misses = misses.repartition(concurrency, "cache_key")
     run_path = f"{cache_path.rstrip('/')}-runs/{uuid4().hex}"  # of this run alone: earlier results still read theirs
-    call_model(misses, ask, attempts).select("cache_key", "response", "error").write.parquet(run_path)
+    call_model(misses, ask, attempts, in_flight, budget_s).select("cache_key", "response", "error").write.parquet(run_path)
     run = spark.read.schema("cache_key string, response string, error string").parquet(run_path)
     run.filter("error IS NULL").select("cache_key", "response").write.mode("append").parquet(cache_path)
     known = spark.read.schema("cache_key string, response string").parquet(cache_path).withColumn("error", F.lit(None).cast("string"))

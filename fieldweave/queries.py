@@ -499,6 +499,21 @@ def file_checks(spark, sf_dir):
     return requests.checked_files(d.select("doc_id", path.alias("path")), listing, "/srv").select("doc_id", "status", "reason")
 
 
+@_query(
+    """SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 400 WHEN 1 THEN 404 ELSE 200 END AS status, CASE WHEN doc_id % 4 > 1 THEN octet_length(encode(coalesce(text, ''))) END AS size,
+    CASE WHEN doc_id % 4 > 1 THEN md5(coalesce(text, '')) END AS content_md5 FROM documents"""
+)
+def preview_bytes(spark, sf_dir):
+    """Documents written as files, three in four of them; then previews by path, of which only the accepted ones are opened."""
+    root, k = scratch_folder(spark).removeprefix("file:").replace("//", "/"), F.col("doc_id") % 4
+    d = _t(spark, sf_dir, "documents")
+    name = F.concat(F.col("source"), F.lit("/"), F.col("doc_id").cast("string"), F.lit(".pdf"))
+    files.write_files(d.filter(k != 1).select(F.concat(F.lit(f"{root}/"), name).alias("output_path"), F.encode(F.coalesce("text", F.lit("")), "utf-8").alias("content")), aside=root)
+    wanted = d.select("doc_id", F.when(k == 0, F.concat(F.lit("../"), name)).otherwise(name).alias("path"))
+    judged = requests.checked_files(wanted, files.listing(spark, root), root).select("doc_id", "status", F.when(F.col("status") == 200, F.col("resolved")).alias("path"))
+    return files.with_bytes(judged).select("doc_id", "status", F.octet_length("content").cast("bigint").alias("size"), F.md5("content").alias("content_md5"))
+
+
 @_query(
     """SELECT p_partkey, CASE WHEN p_size % 5 < 4 THEN 422 ELSE 200 END AS status, CASE p_size % 5 WHEN 0 THEN 'name_required' WHEN 1 THEN 'file_required' WHEN 2 THEN 'directory_required' WHEN 3 THEN 'fields_required' END AS reason FROM part"""
 )

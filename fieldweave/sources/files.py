@@ -1,4 +1,6 @@
-"""A sink of whole files: bytes at paths of their own, there as a whole or not at all.
+"""A sink of whole files, and their listing and bytes.
+
+Files written are bytes at paths of their own, there as a whole or not at all.
 
 Every task writes its files aside, below a folder of its attempt, and commits their names; when all tasks have, the driver moves each into place.
 A task that fails or is repeated leaves nothing at any target; a job that fails deletes what its tasks wrote aside, and one that is run again
@@ -14,7 +16,8 @@ from uuid import uuid4
 
 import pyarrow as pa
 from pyarrow import fs as arrow_fs
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 from pyspark.sql.types import StructType
 
@@ -101,3 +104,38 @@ def write_files(files: DataFrame, aside: str | None = None, path_col: str = "out
     spark = files.sparkSession
     spark.dataSource.register(WholeFiles)
     rows.write.format(NAME).mode("append").option("aside", aside).option("replace", str(replace).lower()).save()
+
+
+def listing(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
+    """(path, size, modified) of all files below ``folder``, in Spark's own listing; no file is opened.  Paths are without ``file:``."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(folder)
+    return files.select(F.regexp_replace("path", "^file:/+", "/").alias("path"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
+
+
+def with_bytes(rows: DataFrame, path_col: str = "path", batch_bytes: int = 4 << 20) -> DataFrame:
+    """``rows`` with the ``content`` of the file at ``path_col``: only these files are read, null where there is none or no path."""
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+    at = rows.columns.index(path_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            first, size, held = 0, 0, []
+            for k, path in enumerate(batch.column(at).to_pylist()):
+                held.append(_content(path))
+                size += len(held[-1] or b"")
+                if size >= batch_bytes or k == batch.num_rows - 1:
+                    own = batch.slice(first, len(held))
+                    yield pa.RecordBatch.from_arrays([*own.columns, pa.array(held, pa.binary())], [*own.schema.names, "content"])
+                    first, size, held = k + 1, 0, []
+
+    return rows.mapInArrow(run, f"{kinds}, content binary")
+
+
+def _content(path: str | None) -> bytes | None:
+    if path is None:
+        return None
+    fs, name = file_system(path)
+    if fs.get_file_info(name).type != arrow_fs.FileType.File:
+        return None
+    with fs.open_input_stream(name, compression=None) as source:
+        return source.read()
