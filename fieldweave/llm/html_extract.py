@@ -6,19 +6,21 @@ aligned by their longest common subsequence, what only one of them has becomes o
 text varies and in how many pages they have one.  Pages are reduced to their trees, one for each distinct text of a host; every task
 folds its own trees into one wrapper for each host, and wrappers of a host are folded level by level, those of ``FAN`` tasks at a time.
 
-A page is matched against its host's wrapper, which says which group holds the article: the fullest ``article`` or ``main`` element, or,
-on pages without them, the innermost container that has most of the text that varies from page to page, without its first and last
-children as far as these say one text on all pages.  So text that is the template's doesn't count, however much of it there is.
-All that is outside this group goes.  Inside, menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments go
-where an element's tag or role, or the whole of a class or id, says so (``class="comments"``, not ``id="comments-on-the-law"``); everything
-else stays, whether or not other pages say it too.  Words inside a longer class or id speak against a container outside the article only.
+A page is matched against its host's wrapper, which says which groups hold the article, by the text that varies from page to page: the ``article``
+elements if they have half of it, with those that have a quarter of the fullest one's; else a ``main`` element that has half of it; else the
+innermost container that has most of it, without its first and last children as far as these say one text on all pages.  So text that is the template's doesn't
+count, however much of it there is.  All that is outside these groups goes.  Inside, menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and
+reader comments go where an element's tag or role says so, or the whole of a class (``class="comments"``, ``class="comment-list"``, not
+``class="comments-on-the-law"``).  Where a word may as well name a part of an article (``legal``, ``search``), or an id or a part of a longer class says it, the
+wrapper decides: such a group goes if it says one text on all pages.  Everything else stays, whether or not other pages say it too.
 White space inside a block becomes one space; blocks are joined in page order by one newline.
 
 A label is a container's tag, role and classes, and not its id; classes with three digits in a row, or digits in two places, count as one, so
-generated names don't make new groups.
+generated names don't make new groups.  A wrapper keeps at most ``MOST_CHILDREN`` children of a group, those of the most pages; the text of others is judged without it.
+Attributes are read as HTML does where quotes are missing or too many, in time linear in the page.
 
 Defined results: a null or empty page has an empty text; a page without a host, the only text of its host, or one that doesn't match its
-wrapper is judged by its own tree, whose texts all count; null or repeated ids are rows like others; elements may nest to any depth; other columns are not
+wrapper is judged by its own tree, whose texts all count, and a group of a doubtful name goes there; null or repeated ids are rows like others; elements may nest to any depth; other columns are not
 read; an empty table gives no rows.
 """
 
@@ -49,7 +51,7 @@ SALTS = 16
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-SKIPPED = frozenset("script style noscript template textarea title iframe noembed noframes svg math object select button canvas audio video head".split())
+SKIPPED = frozenset("script style noscript template textarea title iframe noembed noframes svg object select button canvas audio video head".split())
 RAW = frozenset("script style textarea title noscript template iframe noembed noframes".split())
 DROPPED = frozenset("nav aside footer form menu dialog fieldset search".split())
 CLOSES = {"li": ("li", ("ul", "ol", "menu")), "dt": ("dt dd", ("dl",)), "dd": ("dt dd", ("dl",)), "tr": ("tr td th", ("table",)), "td": ("td th", ("tr", "table")), "th": ("td th", ("tr", "table")), "option": ("option", ("select",))}
@@ -61,8 +63,15 @@ MARKS = frozenset(
 )
 ROLES = frozenset("navigation banner complementary contentinfo search form dialog alert alertdialog menu menubar".split())
 
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^"'>]|"[^"]*"|'[^']*')*)>|<[/a-zA-Z][^<>]*\Z""", re.S)
-_ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|itemprop)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+#: Words that say no more than that a class is a part of a page, and words of ``MARKS`` that may as well name a part of an article.
+PARTS = frozenset("list body section area box block container content wrap wrapper inner outer item items slot unit link links button buttons bar title header footer meta author text thread form row col top bottom left right main page site the".split())
+DOUBTFUL = frozenset("legal search notice notices copyright alert hidden skip form notification banner aside widget widgets login promotion".split())
+MOST_CHILDREN = 1000
+
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)", re.S)
+_ATTRIBUTE = re.compile(r"""[\s/]*([^\s/>][^\s/>=]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]*)))?""")
+_READ = frozenset(("class", "id", "role", "hidden", "aria-hidden", "itemprop"))
+_REST = re.compile(r"[\s/]*>?")
 _MADE = re.compile(r"\d{3}|\d.*[a-zA-Z_-].*\d")
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _RAW_END = {name: re.compile(rf"</{name}\b[^>]*(?:>|\Z)", re.I) for name in RAW}
@@ -115,33 +124,31 @@ class Page:
         self.blocks: list[tuple[int, str]] = []
         self._read(html)
 
-    def _open(self, parent: int, tag: str, attributes: str) -> int:
+    def _open(self, parent: int, tag: str, attributes: list[tuple[str, str]]) -> int:
         words, classes, role, hidden = [], [], "", False
-        if attributes:
-            for m in _ATTRIBUTE.finditer(attributes):
-                name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
-                if name in ("class", "id"):
-                    words += value.split()
-                    classes += value.split() if name == "class" else []
-                elif name == "role":
-                    role = value.lower()
-                elif name == "itemprop":
-                    words += ["articleBody"] * (value == "articleBody")
-                    classes += ["articleBody"] * (value == "articleBody")
-                elif name == "hidden" or value == "true":
-                    hidden = True
+        for name, value in attributes:
+            if name in ("class", "id"):
+                words += value.split()
+                classes += value.split() if name == "class" else []
+            elif name == "role":
+                role = value.lower()
+            elif name == "itemprop":
+                words += ["articleBody"] * (value == "articleBody")
+                classes += ["articleBody"] * (value == "articleBody")
+            elif name == "hidden" or value == "true":
+                hidden = True
         self.parent.append(parent)
         self.name.append(tag)
         self.label.append(" ".join([tag, *dict.fromkeys("#" if _MADE.search(w) else w for w in classes), *([role] if role else [])]))
         self.tag.append("main" if role == "main" and tag not in ("article", "body") else "article" if "articleBody" in words else tag)
-        # 2: named as what isn't main text; 1: hinted at, which counts outside the article only
-        named = any(w.lower() in MARKS for w in words)
+        # 3: what isn't main text; 2: named as such by a doubtful word or an id, 1: hinted at, both of which the wrapper has to agree to inside the article
+        named = max((_named(w) for w in classes), default=0) or 2 * any(_named(w) for w in words)
         if tag in DROPPED or tag in SKIPPED or role in ROLES or hidden:
-            drop = 2
+            drop = 3
         elif tag in ("html", "body", "article", "main"):
-            drop = 2 * (tag == "article" and named)
+            drop = named if tag == "article" else 0
         else:
-            drop = 2 if named else int(tag == "header" or bool((MARKS | {"header"}) & _words(words)))
+            drop = named or int(tag == "header" or bool((MARKS | {"header"}) & _words(words)))
         self.drop.append(drop)
         return len(self.parent) - 1
 
@@ -170,7 +177,15 @@ class Page:
             at = m.end()
             if m[2] is None:
                 continue
-            tag = m[2].lower()
+            tag, attributes, closed = m[2].lower(), [], False
+            while (a := _ATTRIBUTE.match(html, at)) is not None:
+                at = a.end()
+                if a[1].lower() in _READ:
+                    attributes.append((a[1].lower(), a[2] or a[3] or a[4] or ""))
+            ends = _REST.match(html, at)
+            closed, at = "/" in ends[0], ends.end()
+            if not ends[0].endswith(">"):
+                break  # the page ends inside a tag
             if tag == "br":
                 pieces.append(" ")
                 continue
@@ -207,10 +222,10 @@ class Page:
                         close(k)
                         break
             if tag in RAW:
-                ends = _RAW_END[tag].search(html, at)
-                at = ends.end() if ends else end
-            elif not m[3].endswith("/") or tag not in SKIPPED:
-                stack.append(self._open(stack[-1], tag, m[3]))
+                raw = _RAW_END[tag].search(html, at)
+                at = raw.end() if raw else end
+            elif not closed or tag not in SKIPPED:
+                stack.append(self._open(stack[-1], tag, attributes))
                 is_open[tag] += 1
         flush()
 
@@ -252,6 +267,13 @@ class Page:
         return root, nodes  # type: ignore[return-value]
 
 
+def _named(name: str) -> int:
+    """Whether the whole of a class or id is made of ``MARKS`` and ``PARTS``: 3, or 2 if only doubtful ones are among them; else 0."""
+    words = {w.lower() for w in re.findall(r"[A-Z]?[a-z]+|[A-Z]+|\d+", name)}
+    marks = words & MARKS
+    return 0 if not marks or words - MARKS - PARTS else 3 if marks - DOUBTFUL else 2
+
+
 def _words(names: list[str]) -> set[str]:
     return {w.lower() for name in names for w in _WORD.findall(name)}
 
@@ -344,6 +366,15 @@ def fold(a: Node, b: Node) -> Node:
             if i is not None and j is not None:
                 work.append((x.children[i], y.children[j]))
             children.append(y.children[j] if i is None else x.children[i])
+        if len(children) > MOST_CHILDREN:
+            least = sorted((c.pages for c in children), reverse=True)[MOST_CHILDREN - 1]
+            spare = MOST_CHILDREN - sum(c.pages > least for c in children)
+            kept = []
+            for c in children:
+                spare -= c.pages == least
+                if c.pages > least or (c.pages == least and spare >= 0):
+                    kept.append(c)
+            children = kept
         x.children = children
     return a
 
@@ -366,29 +397,53 @@ def _weights(root: Node, least: int) -> dict[int, int]:
     return total
 
 
-def article_of(root: Node) -> Node:
-    """The group that holds the article: the fullest ``article``, else ``main``, else the innermost container with most of the text that counts."""
+def articles_of(root: Node) -> list[Node]:
+    """The groups that hold the article, by the text that counts: ``article`` elements, else ``main``, else the innermost container with most of it."""
     total = _weights(root, 1)
-    found: dict[str, list[tuple[int, int, Node]]] = {"article": [], "main": []}
+    if not total[id(root)]:
+        return [_fullest(root)]
+    arts: list[Node] = []
+    mains: list[Node] = []
     work = [root]
     while work:
         node = work.pop()
-        if node.drop == 2 and node is not root:
+        if node.drop >= 2 and node is not root:
             continue
-        if (tag := _tag(node.label)) in found:
-            found[tag].append((total[id(node)], -len(found[tag]), node))
-        work += reversed(node.children)
-    for tag in ("article", "main"):
-        if full := [x for x in found[tag] if x[0] or not total[id(root)]]:
-            return max(full)[2] if total[id(root)] else max(full, key=lambda x: (_all_chars(x[2]), x[1]))[2]
+        tag = _tag(node.label)
+        if tag == "article" and total[id(node)]:
+            arts.append(node)
+        elif tag == "main":
+            mains.append(node)
+        if tag != "article" or not total[id(node)]:
+            work += reversed(node.children)
+    of = max((total[id(n)] for n in mains), default=0)
+    whole = of if of * 2 >= total[id(root)] else total[id(root)]
+    if arts and (sum(total[id(n)] for n in arts) * 2 >= whole or not mains and max(total[id(n)] for n in arts) * 4 >= whole):
+        most = max(total[id(n)] for n in arts)
+        return [n for n in arts if total[id(n)] * 4 >= most]
+    if of * 2 >= total[id(root)]:
+        return [next(n for n in mains if total[id(n)] == of)]
     node = root
     while True:
         inner = max((c for c in node.children if _tag(c.label) in BLOCK and _tag(c.label) not in HEADINGS | {"p", "ul", "ol", "table", "dl"} and not c.repeated), key=lambda c: total[id(c)], default=None)
         if inner is None or total[id(inner)] * 10 < total[id(node)] * 7 or not total[id(inner)]:
-            return node
+            return [node]
         node = inner
 
 
+def _fullest(root: Node) -> Node:
+    """Where no text counts, as all pages say the same: the ``article``, else the ``main`` with most text, else all."""
+    found: dict[str, list[Node]] = {"article": [], "main": []}
+    work = [root]
+    while work:
+        node = work.pop()
+        if node.drop < 2 or node is root:
+            found.get(_tag(node.label), []).append(node)
+            work += reversed(node.children)
+    nodes = found["article"] or found["main"]
+    return max(nodes, key=_all_chars) if nodes else root
+
+
 def _all_chars(node: Node) -> int:
     n, work = 0, [node]
     while work:
@@ -411,14 +466,42 @@ def chrome_of(root: Node, article: Node) -> set[int]:
     return {id(c) for k, c in enumerate(article.children) if counts and not counts[0] <= k <= counts[-1] and c.pages > 1}
 
 
-def _kept(page: Page, nodes: list[Node], holders: set[int], chrome: set[int], strict: bool) -> list[str]:
-    """Blocks of the holders and of all below them that isn't dropped; ``strict``: hints count too, outside of semantic elements."""
-    n = len(nodes)
+def constant_of(root: Node) -> set[int]:
+    """Groups of several pages in which, with all below them, no text varies."""
+    total = _weights(root, 9)
+    out, work = set(), [root]
+    while work:
+        node = work.pop()
+        if node.pages > 1 and not total[id(node)]:
+            out.add(id(node))
+        work += node.children
+    return out
+
+
+class Wrapper:
+    """A host's wrapper with what it says of its groups."""
+
+    def __init__(self, root: Node):
+        self.root, self.articles, self.constant = root, articles_of(root), constant_of(root)
+        self.held = {id(n) for n in self.articles}
+        self.semantic = all(is_semantic(n) for n in self.articles)
+        self.chrome = chrome_of(root, self.articles[0]) if len(self.articles) == 1 else set()
+
+
+def _kept(page: Page, groups: list[Node | None], holders: set[int], chrome: set[int], strict: bool, constant: set[int] | None) -> list[str]:
+    """Blocks of the holders and of all below them that isn't dropped; ``groups``: the wrapper's for each container; ``constant``: those of one text, null without a wrapper.
+
+    ``strict``: hints count too, outside of semantic elements.
+    """
+    n = len(groups)
     inside, semantic = [False] * n, [False] * n
     for i in range(n):
         up = page.parent[i]
         semantic[i] = page.tag[i] in ("article", "main") or (up >= 0 and semantic[up])
-        dropped = i not in holders and (page.drop[i] == 2 or i in chrome or (strict and page.drop[i] == 1 and not (up >= 0 and semantic[up])))
+        within = up >= 0 and semantic[up]
+        known = constant is not None and groups[i] is not None
+        agreed = known and id(groups[i]) in constant
+        dropped = page.drop[i] == 3 or i in chrome or page.drop[i] == 2 and (agreed or not known or not groups[i].pages > 1) or page.drop[i] == 1 and (agreed and page.tag[i] != "header" if within else strict)
         inside[i] = i in holders or (up >= 0 and inside[up] and not dropped)
     return [text for i, text in page.blocks if inside[i]]
 
@@ -434,24 +517,24 @@ def matched(root: Node, wrapper: Node) -> dict[int, Node]:
     return match
 
 
-def extract(html: str | None, wrapper: Node | None, article: Node | None) -> str:
-    """Main text of a page; ``article`` is the wrapper's group of that name."""
+def extract(html: str | None, root: Node | None, wrapper: Wrapper | None = None) -> str:
+    """Main text of a page by its host's wrapper, or by itself; ``wrapper``: what is known of it already."""
+    wrapper = wrapper or (Wrapper(root) if root is not None else None)
     page = Page(html or "")
     if not page.blocks:
         return ""
-    root, nodes = page.tree()
-    match = matched(root, wrapper) if wrapper is not None else {}
-    holders = {i for i, node in enumerate(nodes) if article is not None and match.get(id(node)) is article}
-    chrome, strict = set(), False
-    local = article_of(root)
-    if holders and (is_semantic(article) or not is_semantic(local)):
-        outside = chrome_of(wrapper, article)
-        chrome = {i for i, node in enumerate(nodes) if id(match.get(id(node))) in outside}
-        strict = wrapper.pages < 2 or _tag(article.label) in ("html", "body")
+    own_root, nodes = page.tree()
+    match = matched(own_root, wrapper.root) if wrapper is not None else {}
+    groups = [match.get(id(node)) for node in nodes]
+    holders = {i for i, g in enumerate(groups) if wrapper is not None and g is not None and id(g) in wrapper.held}
+    local = articles_of(own_root)
+    if holders and (wrapper.semantic or not all(is_semantic(n) for n in local)):
+        chrome = {i for i, g in enumerate(groups) if g is not None and id(g) in wrapper.chrome}
+        strict = wrapper.root.pages < 2 or any(_tag(n.label) in ("html", "body") for n in wrapper.articles)
     else:
-        holders = {i for i, node in enumerate(nodes) if node is local}
-        strict = True
-    return "\n".join(_kept(page, nodes, holders, chrome, strict))
+        own = {id(n) for n in local}
+        holders, chrome, strict = {i for i, node in enumerate(nodes) if id(node) in own}, set(), True
+    return "\n".join(_kept(page, groups, holders, chrome, strict, wrapper.constant if wrapper is not None and wrapper.root.pages > 1 else None))
 
 
 def host_of(url: Column) -> Column:
@@ -492,7 +575,7 @@ def infer_wrappers(pages: DataFrame, scratch: Scratch, url_col: str = "url", htm
     own_trees = pages.select(host_of(F.col(url_col)).alias("host"), F.col(html_col)).mapInArrow(trees, "host string, text binary, wrapper string")
     distinct = own_trees.groupBy("host", "text").agg(F.min("wrapper").alias("wrapper"))
     folded, level = scratch.write(distinct.select("host", "wrapper").mapInArrow(own, schema), "wrappers0"), 0
-    while (folded.agg(F.max("task")).first()[0] or 0) > 0:
+    while not folded.groupBy("host").count().filter("count > 1").isEmpty():
         level += 1
         met = folded.withColumn("next", F.floor(F.col("task") / fan).cast("int")).groupBy("host", "next").applyInArrow(meet, schema)
         folded = scratch.write(met, f"wrappers{level}")
@@ -512,14 +595,13 @@ class _Wrappers:
     """Wrappers of hosts as read from their JSON, kept for the batches of a task."""
 
     def __init__(self):
-        self.known: dict[str, tuple[Node | None, Node | None]] = {}
+        self.known: dict[str, Wrapper | None] = {}
 
-    def of(self, host: str, dump: str | None) -> tuple[Node | None, Node | None]:
+    def of(self, host: str, dump: str | None) -> Wrapper | None:
         if host not in self.known:
             if len(self.known) > 5000:
                 self.known.clear()
-            root = Node.load(dump) if dump else None
-            self.known[host] = (root, article_of(root) if root else None)
+            self.known[host] = Wrapper(Node.load(dump)) if dump else None
         return self.known[host]
 
 
@@ -548,7 +630,7 @@ def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
         for batch in batches:
             hosts, htmls = batch.column(3).to_pylist(), batch.column(2).to_pylist()
             dumps = [known.value.get(h) for h in hosts] if known is not None else batch.column(4).to_pylist()
-            texts = [extract(x, *wrappers_of.of(h, d)) for x, h, d in zip(htmls, hosts, dumps)]
+            texts = [extract(x, None, wrappers_of.of(h, d)) for x, h, d in zip(htmls, hosts, dumps)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), pa.array(texts, pa.string())], [id_col, url_col, "host", "text"])
 
     return rows.mapInArrow(run, schema)

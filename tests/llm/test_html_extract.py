@@ -184,3 +184,58 @@ def test_wrappers_meet_in_levels(spark):
 
 def test_empty(spark):
     assert h.extract_pages(spark.createDataFrame([], "page_id bigint, url string, html string")).collect() == []
+
+
+def test_main_text_beside_a_teaser_and_several_articles(spark):
+    teaser = [f"<main><h1>t{k}</h1><p>{'long text ' * 20}{k}</p><article class='teaser'>Teaser {k}</article></main>" for k in range(5)]
+    assert [x.split("\n")[:2] for x in texts(spark, teaser)] == [[f"t{k}", f"{'long text ' * 20}{k}"] for k in range(5)]
+    two = [f"<nav>menu</nav><main><article>A of {k}</article><hr><article>B of {k}</article></main>" for k in range(5)]
+    assert texts(spark, two) == [f"A of {k}\nB of {k}" for k in range(5)] and h.extract(two[0], None) == "A of 0\nB of 0"
+    apart = [f"<main><article>A of {k}</article><h2>Between</h2><article>B of {k}</article></main>" for k in range(5)]
+    assert texts(spark, apart) == [f"A of {k}\nB of {k}" for k in range(5)]
+
+
+@pytest.mark.parametrize("mark", ["class='legal'", "id='legal'", "id='search'", "id=comments", "class=notice"])
+def test_doubtful_names_inside_an_article_go_only_if_their_text_is_the_same(spark, mark):
+    page = "<article><h1>t{k}</h1><p>text {k}</p><section {mark}><p>{said}</p></section></article>"
+    assert texts(spark, [page.format(k=k, mark=mark, said=f"point {k} of the law") for k in range(5)]) == [f"t{k}\ntext {k}\npoint {k} of the law" for k in range(5)]
+    assert texts(spark, [page.format(k=k, mark=mark, said="All rights are ours") for k in range(5)]) == [f"t{k}\ntext {k}" for k in range(5)]
+
+
+@pytest.mark.parametrize("mark", ["comment-list", "comments", "ad-slot", "newsletter-signup", "shareButtons", "related-posts-box"])
+def test_chrome_inside_an_article_goes(spark, mark):
+    said = "we said this {k}" if mark not in ("related-posts-box",) else "read this too"
+    htmls = [f"<article><h1>t{k}</h1><p>text {k}</p><div class='{mark}'><div class='comment-body'>{said.format(k=k)}</div></div></article>" for k in range(5)]
+    assert texts(spark, htmls) == [f"t{k}\ntext {k}" for k in range(5)]
+
+
+def test_formulas_and_broken_quotes_keep_the_text():
+    assert h.extract("<article><p>Let <math><mi>x</mi><mo>=</mo><mn>1</mn></math> be</p></article>", None) == "Let x=1 be"
+    assert h.extract("<p title=it's>two</p><p>three</p><p title=it's>four</p>", None) == "two\nthree\nfour"
+    assert h.extract('<p>see <a href="x"">this</a> and <a title="a > b" href=\'y\'>that</a></p><p class="a"id=b>end</p><p / class>x', None) == "see this and that\nend\nx"
+    assert h.extract("<p>a</p><div class=", None) == "a"
+
+
+@pytest.mark.parametrize("tag", ["<a title=\"x>", "<p title='it>", "<p a=\"'>", "<div", "<a b=c'\" ", "<p class = ", "</p \"", "<!--", "<a/////"])
+def test_broken_tags_take_linear_time(tag):
+    import time
+
+    began = time.process_time()
+    h.extract(tag * 20_000, None)
+    assert time.process_time() - began < 3
+
+
+def test_every_page_once_with_many_hosts_in_one_task(spark):
+    rows = [(k, f"http://h{k % 6000}.org/{k}", f"<article><h1>t{k}</h1><p>text {k}</p></article><footer>end {k % 6000}</footer>") for k in range(9000)]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string").coalesce(1)
+    for broadcast_bytes in (h.BROADCAST_BYTES, 0):
+        got = h.extract_pages(df, broadcast_bytes=broadcast_bytes).select("page_id", "text").collect()
+        assert len(got) == 9000 and {r["page_id"]: r["text"] for r in got} == {k: f"t{k}\ntext {k}" for k in range(9000)}
+
+
+def test_wrappers_stay_bounded():
+    wrapper = None
+    for k in range(60):
+        page = h.Page("<div class=m>same</div>" + "".join(f"<div class='c{chr(97 + k % 26)}{chr(97 + k // 26)}{chr(97 + j % 26)}{chr(97 + j // 26)}'>x</div>" for j in range(100))).tree()[0]
+        wrapper = page if wrapper is None else h.fold(wrapper, page)
+    assert len(wrapper.children) == h.MOST_CHILDREN and wrapper.children[0].label == "div m" and wrapper.children[0].pages == 60
