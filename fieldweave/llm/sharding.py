@@ -4,7 +4,8 @@ Documents of equal text form a group, which stays in one shard.  A partial parti
 the largest spread are combined oppositely ordered (largest with smallest) until one is left.  Groups are dealt by hash to
 buckets of about ``bucket_groups``, differenced in one task each; the buckets' partial partitions are then differenced in the
 same way, ``fan`` at a time, level by level, until one is left.  No task ever holds more than a bucket's groups or ``fan``
-partial partitions.  A hot group is one row there, as sizes are summed by group first.
+partial partitions.  A hot group is one row there, as sizes are summed by group first; its documents get their shard from a table of the
+``HOT_GROUPS`` largest groups at most, which every task has, and rows are numbered by runs of the written table's rows, so equal rows are spread like others.
 
 Defined results: a null text counts as empty and groups with empty texts; repeated rows and null ids are rows like others; ties are
 broken by group key, so a retry gives the same shards.  Columns other than the id and the text are not read.  An empty table
@@ -24,6 +25,9 @@ from .scratch import Scratch
 
 BUCKET_GROUPS = 10_000
 FAN = 2_000
+#: Groups of more than this part of all rows are hot, of which there can't be more.
+HOT_GROUPS = 100_000
+HOT_ROWS = 1_000
 
 
 def difference(tuples: np.ndarray) -> np.ndarray:
@@ -108,17 +112,27 @@ def assign_groups(groups: DataFrame, scratch: Scratch, n_shards: int, bucket_gro
 
 
 def numbered(rows: DataFrame, scratch: Scratch, shard: str = "shard", order: tuple[str, ...] = ("doc_id", "group_key"), run_rows: int = 20_000) -> DataFrame:
-    """``rows`` with ``slot``, gapless from 0 in each shard: rows are dealt by hash to runs, numbered in each run and shard, and moved on by the counts of the runs before."""
-    rows = scratch.write(rows, "to_number")
+    """``rows`` with ``slot``, gapless from 0 in each shard: written rows are dealt by place to runs, numbered in each run and shard, and moved on by the counts of the runs before."""
+    rows = scratch.write(rows.withColumn("place", F.monotonically_increasing_id()), "to_number")
     n_runs = max(16, -(-rows.count() // run_rows))
-    rows = rows.withColumn("run", F.pmod(F.xxhash64(*order, F.lit(1)), F.lit(n_runs)))
+    rows = rows.withColumn("run", F.pmod(F.xxhash64("place"), F.lit(n_runs)))
     counts = rows.groupBy(shard, "run").count()
     from pyspark.sql import Window
 
     # one row for each shard and run: rows / run_rows of them for each shard
     before = counts.withColumn("before", F.sum("count").over(Window.partitionBy(shard).orderBy("run").rowsBetween(Window.unboundedPreceding, -1))).select(shard, "run", F.coalesce("before", F.lit(0)).alias("before"))
-    inside = F.row_number().over(Window.partitionBy(shard, "run").orderBy(*order)) - 1
-    return rows.withColumn("inside", inside).join(before, [shard, "run"]).withColumn("slot", F.col("inside") + F.col("before")).drop("run", "inside", "before")
+    inside = F.row_number().over(Window.partitionBy(shard, "run").orderBy(*order, "place")) - 1
+    return rows.withColumn("inside", inside).join(before, [shard, "run"]).withColumn("slot", F.col("inside") + F.col("before")).drop("run", "inside", "before", "place")
+
+
+def with_shards(rows: DataFrame, counts: DataFrame, shards: DataFrame, scratch: Scratch, hot_groups: int = HOT_GROUPS, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """``rows`` with their group's ``shard``; ``counts`` (group_key, n): a group of many rows is looked up where its rows are, the others are joined by key."""
+    least = max(hot_rows, -(-(counts.agg(F.sum("n")).first()[0] or 0) // hot_groups))
+    hot = scratch.write(shards.join(counts.filter(F.col("n") > least).select("group_key"), "group_key", "left_semi"), "hot")
+    if hot.isEmpty():
+        return rows.join(shards, "group_key")
+    there = F.broadcast(hot)  # at most ``hot_groups`` rows, as each has more than that part of all
+    return rows.join(there, "group_key").unionByName(rows.join(there, "group_key", "left_anti").join(shards, "group_key"))
 
 
 def shard_documents(docs: DataFrame, n_shards: int = 8, id_col: str = "doc_id", text_col: str = "text", bucket_groups: int = BUCKET_GROUPS, fan: int = FAN) -> DataFrame:
@@ -126,9 +140,9 @@ def shard_documents(docs: DataFrame, n_shards: int = 8, id_col: str = "doc_id",
     scratch = Scratch(docs.sparkSession)
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = scratch.write(docs.select(F.col(id_col), (F.octet_length(text) + 1).cast("bigint").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.unhex(F.sha2(text, 256)).alias("group_key")), "rows")
-    groups = rows.groupBy("group_key").agg(F.sum("size").alias("group_bytes"))
-    shards = assign_groups(groups, scratch, n_shards, bucket_groups, fan)
-    return numbered(rows.join(shards, "group_key"), scratch, order=(id_col, "group_key"))
+    sums = scratch.write(rows.groupBy("group_key").agg(F.sum("size").alias("group_bytes"), F.count("*").alias("n")), "sums")
+    shards = scratch.write(assign_groups(sums.select("group_key", "group_bytes"), scratch, n_shards, bucket_groups, fan), "shards")
+    return numbered(with_shards(rows, sums.select("group_key", "n"), shards, scratch), scratch, order=(id_col, "group_key"))
 
 
 def write_shards(docs: DataFrame, placed: DataFrame, path: str, id_col: str = "doc_id", rows_per_file: int = 1_000_000) -> None:

@@ -114,7 +114,7 @@ class Ledger:
     def _publish(self, batch_id: str, rows: DataFrame) -> None:
         fs, _ = self._fs()
         aside, to = self._path(f"{self.path}/_aside-{uuid4().hex}"), self._path(self._folder(batch_id))
-        rows.withColumn("batch", F.lit(batch_id)).select(*[c.split()[0] for c in _LEDGER.split(", ")]).coalesce(1).write.parquet(aside.toString())  # a row for each key
+        rows.withColumn("batch", F.lit(batch_id)).select(*[c.split()[0] for c in _LEDGER.split(", ")]).repartition(1).write.parquet(aside.toString())  # a row for each key, moved to one file once they are summed up
         if fs.exists(to):
             fs.delete(to, True)  # what a writer of other habits left without its mark
         if not fs.rename(aside, to):

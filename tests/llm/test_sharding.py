@@ -2,6 +2,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from fieldweave.llm import sharding
 
@@ -65,3 +66,28 @@ def test_write(spark, tmp_path):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     sharding.write_shards(docs, sharding.shard_documents(docs, 4), str(tmp_path / "out"))
     assert spark.read.parquet(str(tmp_path / "out")).count() == docs.count()
+
+def test_equal_rows_are_spread(spark):
+    """A third of all rows with one text, and all of them without an id: no run gets more than its share, and their group stays whole."""
+    docs = spark.range(90_000).repartition(6).select(F.when(F.col("id") % 3 > 0, F.col("id")).alias("doc_id"), F.when(F.col("id") % 3 == 0, "").otherwise(F.concat(F.lit("text "), F.col("id").cast("string"))).alias("text"))
+    from fieldweave.llm.scratch import Scratch
+
+    seen = []
+
+    class Watched(Scratch):
+        def write(self, df, name, *args):
+            out = super().write(df, name, *args)
+            if name == "to_number":
+                runs = out.withColumn("run", F.pmod(F.xxhash64("place"), F.lit(16))).groupBy("run").count()
+                seen.append(runs.agg(F.max("count")).first()[0])
+            return out
+
+    own, sharding.Scratch = sharding.Scratch, Watched
+    try:
+        got = sharding.shard_documents(docs, n_shards=8)
+        rows = got.groupBy("shard").agg(F.count("*").alias("n"), F.max("slot").alias("last"), F.count_distinct("slot").alias("slots"), F.sum("size").alias("bytes")).collect()
+    finally:
+        sharding.Scratch = own
+    assert seen and seen[0] < 2 * 90_000 / 16
+    assert sum(r["n"] for r in rows) == 90_000 and all(r["last"] == r["n"] - 1 == r["slots"] - 1 for r in rows)
+    assert got.filter("size = 1").select("shard").distinct().count() == 1
