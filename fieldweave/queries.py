@@ -425,6 +425,19 @@ def pdf_widgets(spark, sf_dir):
     return found.select(key.alias("s_nationkey"), F.col("page").cast("bigint").alias("page"), F.col("pos").cast("bigint").alias("pos"), "name", "description", "type")
 
 
+@_query(
+    """SELECT s_nationkey, s_suppkey % 2 AS page, row_number() OVER (PARTITION BY s_nationkey, s_suppkey % 2 ORDER BY s_suppkey) - 1 AS annot_ix, s_name || ' ((é\\' AS t,
+    CASE WHEN s_suppkey % 4 = 0 THEN '/Btn' ELSE '/Tx' END AS ft, CAST(s_suppkey % 7 AS DOUBLE) AS x FROM supplier"""
+)
+def pdf_annotations_lateral(spark, sf_dir):
+    """The same forms through a table function in a lateral join."""
+    name = pdf.register_annotations(spark)
+    forms = _nation_forms(spark, sf_dir)
+    found = spark.sql(f"SELECT f.pdf_path, a.* FROM {{forms}} f, LATERAL {name}(f.content) a", forms=forms)
+    key = F.regexp_extract("pdf_path", r"([0-9]+)\.pdf$", 1).cast("bigint")
+    return found.select(key.alias("s_nationkey"), F.col("page").cast("bigint").alias("page"), F.col("annot_ix").cast("bigint").alias("annot_ix"), "t", "ft", F.col("rect")[0].alias("x"))
+
+
 @_query(
     """WITH w AS (SELECT s_nationkey, s_suppkey % 2 AS page, row_number() OVER (PARTITION BY s_nationkey, s_suppkey % 2 ORDER BY s_suppkey) - 1 AS annot_ix, s_name FROM supplier)
     SELECT n.n_nationkey AS id, w.page, w.annot_ix, n.n_name || ': ' || s_name AS value FROM nation n JOIN w ON w.s_nationkey = n.n_nationkey"""

@@ -121,6 +121,25 @@ def read_pdfs(spark: SparkSession, path: str, fail_fast: bool = False, inherit:
     return files.mapInArrow(run, f"pdf_path string, readable boolean, annotations {_ANNOTATION}")
 
 
+class PdfAnnotations:
+    """Table function of a file's bytes: a row for each annotation, one at a time, so no array of all is made; none for a file that can't be read."""
+
+    def eval(self, content: bytes):
+        try:
+            found = annotations_of(bytes(content or b""))
+        except ValueError:
+            return
+        for a in found:
+            yield a["page"], a["annot_ix"], a["subtype"], a["t"], a["tu"], a["ft"], a["rect"]
+
+
+def register_annotations(spark: SparkSession, name: str = "pdf_annotations") -> str:
+    """For SQL: ``SELECT f.pdf_path, a.* FROM files f, LATERAL pdf_annotations(f.content) a``."""
+    kinds = ", ".join(part for part in WIDGET.split(", ") if not part.startswith("pdf_path"))
+    spark.udtf.register(name, F.udtf(PdfAnnotations, returnType=kinds, useArrow=True))
+    return name
+
+
 def widgets_of(pdfs: DataFrame) -> DataFrame:
     """One row for each annotation of ``read_pdfs``, as in ``schemas.WIDGET``."""
     names = [part.split()[0] for part in WIDGET.split(", ")]

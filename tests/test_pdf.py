@@ -196,3 +196,10 @@ def test_a_repeated_task_leaves_one_file(tmp_path):
     assert not (tmp_path / "a").exists()
     writer.commit([message, None])
     assert left(tmp_path) == ["a"] and (tmp_path / "a").read_bytes() == b"whole"
+
+
+def test_annotations_as_a_table_function(spark):
+    name = pdf.register_annotations(spark)
+    rows = spark.createDataFrame([("a.pdf", bytearray(nested(True))), ("bad.pdf", bytearray(b"x")), ("none.pdf", None)], "pdf_path string, content binary")
+    got = spark.sql(f"SELECT f.pdf_path, a.page, a.t, a.rect FROM {{rows}} f, LATERAL {name}(f.content) a", rows=rows).collect()
+    assert sorted((r["pdf_path"], r["page"], r["t"], r["rect"]) for r in got) == [("a.pdf", 0, "first page", [1, 2, 3, 4]), ("a.pdf", 1, "second page", [1, 2, 3, 4])]
