@@ -10,7 +10,7 @@ from fieldweave.llm.queries import ORACLE_SQL, QUERIES
 from .docs import ODD
 
 SF = "/root/testdata/sf0.001"
-TABLES = ("documents", "conversations")
+TABLES = ("documents", "conversations", "pages")
 
 
 def same(spark, folder, name):
@@ -38,6 +38,8 @@ TURNS = [
     (2, None, "assistant", "no turn"), (2, 0, "assistant", "é😀"), (None, 0, "user", "no id"), (3, 0, "user", ""), (3, 0, "user", ""),
 ]
 
+PAGES = [(2, "u", "same " * 30), (1, None, "same " * 30), (None, "u", "same " * 30), (None, "u", "other " * 30), (None, "u", "other " * 30), (3, "u", None), (4, "u", ""), (5, "u", "short"), (6, "u", "short"), (7, "ü", "é" * 50), (8, "u", "é" * 50)]
+
 
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 @pytest.mark.parametrize("empty", [False, True])
@@ -45,8 +47,9 @@ def test_odd_rows(spark, tmp_path, name, empty):
     seen, docs = set(), ODD
     if name == "op3_minhash_near_dedup":  # its SQL takes ids that are there and differ
         docs = [r for r in ODD if r[0] is not None and not (r[0] in seen or seen.add(r[0]))]
-    frame = spark.createDataFrame([] if empty else docs, "doc_id bigint, text string").selectExpr("*", "nullif('s' || doc_id % 3, 's1') AS source", "if(doc_id > 6, 'en', NULL) AS lang")
+    frame = spark.createDataFrame([] if empty else docs, "doc_id bigint, text string").selectExpr("*", "nullif('s' || doc_id % 3, 's1') AS source", "if(doc_id > 6, 'en', NULL) AS lang", "if(doc_id % 4 = 1, NULL, length(text)) AS n_chars")
     frame.write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([] if empty else TURNS, "conv_id bigint, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    spark.createDataFrame([] if empty else PAGES, "page_id bigint, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
     got = same(spark, tmp_path, name)
-    assert len(got) == (1 if name == "op2_chat_formatting" else 0) if empty else len(got) > 3
+    assert len(got) == (1 if name == "op2_chat_formatting" else 0) if empty else len(got) > (0 if name == "op12_phrase_mining" else 3)
