@@ -18,11 +18,17 @@ consistent: over the slots of the occurrence, each value of the item is answered
 ``percent`` of the slots), else the windows met by chance.  A document without such an occurrence still holds the item if it has ``percent`` of the item's distinct
 windows of a kind anywhere, in any order, with slots consistent over all of them.
 
+Items that no document can tell apart are one class and met once: for plain words those with the same words, for templates those with the
+same template whose slots hold equal values at the same places.  A document's row names the class by its smallest item id and says how many
+``n_items`` it has; ``item_members`` lists them.  So a bank of questions of one template costs each document one row, not one for each question.
+
+With ``short`` set, an item of fewer than ``size`` words is found where it is a document's whole text (kind 2), and only there.
+
 The benchmark's windows go to every task if their number, which is counted, is at most ``broadcast_windows``; beyond, the
 documents' windows are shuffled and joined by hash.  Matches are dealt by document and item and read in the order of their places.
 
-Defined results: null or empty texts and items hold no windows; items of fewer than ``size`` words never match; a change in every ``size`` words or less leaves no window, so such a copy isn't found; repeated
-rows of one id and text give one row; a null id is kept; other columns are not read; an empty table gives no rows.
+Defined results: null or empty texts and items hold no windows; items of fewer than ``size`` words never match without ``short``; a change in every ``size`` words or less leaves no window, so such a copy isn't found; repeated
+rows of one id and text give one row; a null id is kept, and an item's null id doesn't count in ``n_items``; other columns are not read; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -98,34 +104,69 @@ class Canonical:
             yield kind, hashes ^ U64(kind), first, usable
 
 
-_UNIT_HASHES = np.array([b.hash_spans(np.array([0]), np.array([len(b.data)]), fold=True)[0] for b in (next(blocks(pa.array([u]))) for u in UNITS)])
+def _sequence_hashes(block: Block, words: np.ndarray) -> np.ndarray:
+    """A hash of each document's whole sequence of ``words``."""
+    n = block.n_words()
+    place = np.arange(len(words)) - np.repeat(block.word_bounds[:-1], n)
+    total = np.concatenate((np.zeros(1, U64), np.cumsum(mix64(words + mix64(place.astype(U64))))))
+    return mix64(total[block.word_bounds[1:]] - total[block.word_bounds[:-1]] + n.astype(U64))
 
 
-def item_windows(items: DataFrame, size: int = 5, item_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """Distinct windows of the benchmark: kind, hash, item id, ``places`` (words before it in the item), ``item_slots``, ``words`` that the item's windows cover and number of its ``windows``.
+def _slot_numbers(text: Canonical) -> np.ndarray:
+    """For each word 0, or the number of its slot's value, counted from 1 by first appearance in the document."""
+    out = np.zeros(len(text.plain), U64)
+    for a, b in zip(text.block.word_bounds[:-1], text.block.word_bounds[1:]):
+        at = a + np.flatnonzero(text.slot[a:b])
+        _, first, which = np.unique(text.plain[at], return_index=True, return_inverse=True)
+        out[at] = np.argsort(np.argsort(first))[which] + 1
+    return out
 
-    ``item_slots`` has, for each place of a template window, the hashes of its words, 0 where it has a plain one.
-    """
+
+_UNIT_HASHES = np.array([b.hash_spans(np.array([0]), np.array([len(b.data)]), fold=True)[0] for b in (next(blocks(pa.array([u]))) for u in UNITS)])
+
+
+def _item_rows(items: DataFrame, size: int, item_col: str, text_col: str, short: bool) -> DataFrame:
     id_type = items.schema[item_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block in blocks(batch.column(1)):
-                yield _window_batch(block, batch.column(0).slice(block.first, block.n_docs), "item_id", size, None)
+                yield _window_batch(block, batch.column(0).slice(block.first, block.n_docs), "item_id", size, None, short)
+
+    return items.select(F.col(item_col), F.col(text_col)).mapInArrow(run, f"kind int, hash bigint, item_id {id_type}, slots array<bigint>, place int, words int, class bigint")
 
-    rows = items.select(F.col(item_col), F.col(text_col)).mapInArrow(run, f"kind int, hash bigint, item_id {id_type}, slots array<bigint>, place int, words int")
-    own = rows.groupBy("kind", "hash", "item_id").agg(F.array_sort(F.collect_set(F.struct("place", "slots"))).alias("at"), F.max("words").alias("words"))
-    item = Window.partitionBy("item_id", "kind")
+
+def item_windows(items: DataFrame, size: int = 5, item_col: str = "item_id", text_col: str = "text", short: bool = False) -> DataFrame:
+    """Distinct windows of the benchmark's classes: kind, hash, class, its smallest ``item_id`` and ``n_items``, ``places`` (words before it in the item), ``item_slots``, ``words`` that the item's windows cover and number of its ``windows``.
+
+    ``item_slots`` has, for each place of a template window, the numbers of its words' values, 0 where it has a plain one.
+    """
+    rows, keys = _item_rows(items, size, item_col, text_col, short), ["kind", "hash", "class"]
+    # all items of a class have all of its windows, so each window knows the class's items
+    own = rows.groupBy(*keys).agg(
+        F.array_sort(F.collect_set(F.struct("place", "slots"))).alias("at"), F.max("words").alias("words"), F.min("item_id").alias("item_id"), F.count_distinct("item_id").alias("n_items")
+    )
+    item = Window.partitionBy("class", "kind")
     slots = F.when(F.col("kind") == 1, F.flatten("at.slots")).otherwise(F.array().cast("array<bigint>"))
-    return own.select("kind", "hash", "item_id", F.col("at.place").alias("places"), slots.alias("item_slots"), F.max("words").over(item).alias("words"), F.count("*").over(item).alias("windows"))
+    return own.select(*keys, "item_id", "n_items", F.col("at.place").alias("places"), slots.alias("item_slots"), F.max("words").over(item).alias("words"), F.count("*").over(item).alias("windows"))
+
+
+def item_members(items: DataFrame, size: int = 5, item_col: str = "item_id", text_col: str = "text", short: bool = False) -> DataFrame:
+    """(kind, item id, ``member``): the items of each class, which ``contaminated`` names by its smallest item id; items without windows are in none."""
+    rows = _item_rows(items, size, item_col, text_col, short).select("kind", "class", F.col("item_id").alias("member")).distinct()
+    names = rows.groupBy("kind", "class").agg(F.min("member").alias("item_id"))
+    return rows.join(names, ["kind", "class"]).select("kind", "item_id", "member").distinct()
 
 
 def _text_key(text_col: str) -> Column:
     return F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
 
 
-def _window_batch(block: Block, ids: pa.Array, name: str, size: int, known: np.ndarray | None, keys: pa.Array | None = None) -> pa.RecordBatch:
-    """Windows of a block's documents; ``known``: only those of these (sorted) hashes.  With what tells where they are."""
+def _window_batch(block: Block, ids: pa.Array, name: str, size: int, known: np.ndarray | None, short: bool, keys: pa.Array | None = None) -> pa.RecordBatch:
+    """Windows of a block's documents; ``known``: only those of these (sorted) hashes.  With what tells where they are.
+
+    With ``short`` a text of fewer than ``size`` words is a window of kind 2 by itself.
+    """
     text = Canonical(block)
     kinds, hashes, firsts = [], [], []
     for kind, h, first, usable in text.windows(size):
@@ -135,25 +176,40 @@ def _window_batch(block: Block, ids: pa.Array, name: str, size: int, known: np.n
         kinds.append(np.full(len(at), kind, np.int32))
         hashes.append(h[at])
         firsts.append(first[at])
+    n_words = block.n_words()
+    if short:
+        whole = np.flatnonzero((n_words > 0) & (n_words < size))
+        h = _sequence_hashes(block, text.plain)[whole] ^ U64(2)
+        if known is not None:
+            whole, h = whole[_member(h, known)], h[_member(h, known)]
+        kinds.append(np.full(len(whole), 2, np.int32))
+        hashes.append(h)
+        firsts.append(block.word_bounds[whole])
     kind, h, first = np.concatenate(kinds), np.concatenate(hashes), np.concatenate(firsts)
     doc = np.searchsorted(block.word_bounds, first, side="right") - 1
-    grid = first[:, None] + np.arange(size)
-    slots = np.where(text.slot[grid] & (kind == 1)[:, None], text.plain[grid], U64(0)) if len(first) else np.zeros((0, size), U64)
+    grid = np.minimum(first[:, None] + np.arange(size), max(len(text.plain) - 1, 0))  # only windows of kind 2 can end before
+    values = _slot_numbers(text) if name == "item_id" else text.plain
+    slots = np.where(text.slot[grid] & (kind == 1)[:, None], values[grid], U64(0)) if len(first) else np.zeros((0, size), U64)
     columns = [pa.array(kind), pa.array(h.view(np.int64)), ids.take(pa.array(doc)), pa.ListArray.from_arrays(pa.array(np.arange(len(first) + 1) * size, pa.int32()), pa.array(slots.reshape(-1).view(np.int64)))]
     names = ["kind", "hash", name, "slots"]
     columns.append(pa.array((first - block.word_bounds[doc]).astype(np.int32)))
     names.append("place")
     if name == "item_id":
         covered = np.zeros((2, len(text.plain) + 1), np.int64)
-        covered[np.repeat(kind, size), grid.reshape(-1)] = 1
+        long = kind < 2
+        covered[np.repeat(kind[long], size), grid[long].reshape(-1)] = 1
         total = np.concatenate((np.zeros((2, 1), np.int64), np.cumsum(covered, axis=1)), axis=1)
-        columns.append(pa.array((total[kind, block.word_bounds[doc + 1]] - total[kind, block.word_bounds[doc]]).astype(np.int32)))
-        names.append("words")
+        which = np.minimum(kind, 1)
+        words = np.where(long, total[which, block.word_bounds[doc + 1]] - total[which, block.word_bounds[doc]], n_words[doc])
+        same = np.stack((_sequence_hashes(block, text.plain), _sequence_hashes(block, mix64(text.template) + values)))
+        columns += [pa.array(words.astype(np.int32)), pa.array(same[kind % 2, doc].view(np.int64))]
+        names += ["words", "class"]
     else:
         # spans in code points of the text
         points = np.concatenate(([0], np.cumsum((block.data & 0xC0) != 0x80)))
         base = points[block.bounds[doc]]
-        columns += [keys.take(pa.array(doc)), pa.array(points[block.starts[first]] - base) if len(first) else pa.array([], pa.int64()), pa.array(points[block.ends[first + size - 1]] - base) if len(first) else pa.array([], pa.int64())]
+        last = np.where(kind == 2, block.word_bounds[doc + 1], first + size) - 1
+        columns += [keys.take(pa.array(doc)), pa.array(points[block.starts[first]] - base) if len(first) else pa.array([], pa.int64()), pa.array(points[block.ends[last]] - base) if len(first) else pa.array([], pa.int64())]
         names += ["text_key", "start", "end"]
     return pa.RecordBatch.from_arrays(columns, names)
 
@@ -171,7 +227,7 @@ def _member(values: np.ndarray, known: np.ndarray) -> np.ndarray:
     return out
 
 
-def document_windows(docs: DataFrame, size: int, known: np.ndarray | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def document_windows(docs: DataFrame, size: int, known: np.ndarray | None, id_col: str = "doc_id", text_col: str = "text", short: bool = False) -> DataFrame:
     """Windows of all documents; ``known``: only those of these hashes.  ``text_key`` is a hash of the whole text."""
     id_type = docs.schema[id_col].dataType.simpleString()
     shared = None if known is None else docs.sparkSession.sparkContext.broadcast(known)
@@ -179,7 +235,7 @@ def document_windows(docs: DataFrame, size: int, known: np.ndarray | None, id_co
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block in blocks(batch.column(1)):
-                yield _window_batch(block, batch.column(0).slice(block.first, block.n_docs), "doc", size, None if shared is None else shared.value, batch.column(2).slice(block.first, block.n_docs))
+                yield _window_batch(block, batch.column(0).slice(block.first, block.n_docs), "doc", size, None if shared is None else shared.value, short, batch.column(2).slice(block.first, block.n_docs))
 
     return docs.select(F.col(id_col), F.col(text_col), _text_key(text_col)).mapInArrow(run, f"kind int, hash bigint, doc {id_type}, slots array<bigint>, place int, text_key bigint, start bigint, end bigint")
 
@@ -217,13 +273,13 @@ def _agreement(pairs: list[tuple[int, int]]) -> float:
 
 
 def _judge(kind: int, matches: list[tuple], size: int, percent: int, run: int) -> list[tuple]:
-    """Copies among the matches (place, start, end, slots, places, item_slots, words, windows) of one kind: (part, kind, matched, windows, consistency, start, end)."""
+    """Copies among the matches (place, start, end, slots, places, item_slots, words, windows, n_items) of one kind: (part, kind, matched, windows, consistency, start, end, n_items)."""
     words, windows = matches[0][6:8]
     found = []
 
     def add(members: list[tuple], consistency: float) -> None:
         matched = len({tuple(m[4]) for m in members})
-        found.append((matched / windows, kind, matched, windows, consistency, min(m[1] for m in members), max(m[2] for m in members)))
+        found.append((matched / windows, kind, matched, windows, consistency, min(m[1] for m in members), max(m[2] for m in members), matches[0][8]))
 
     for group in _occurrences(matches, size):
         covered = longest = length = before = shift = 0
@@ -233,7 +289,7 @@ def _judge(kind: int, matches: list[tuple], size: int, percent: int, run: int) -
             together = k and q - m[0] == shift and q - before <= size
             length = length + fresh if together else size
             covered, longest, before, shift = covered + fresh, max(longest, length), q, q - m[0]
-            if kind:
+            if kind == 1:
                 own = m[5][m[4].index(q) * size :][:size]
                 pairs += [(v, a) for v, a in zip(own[-fresh:], m[3][-fresh:]) if v]
         if 100 * covered >= percent * words or longest >= run:
@@ -241,7 +297,7 @@ def _judge(kind: int, matches: list[tuple], size: int, percent: int, run: int) -
             if 100 * consistency >= percent:
                 add([m for m, _ in group], consistency)
     if not found and 100 * len({tuple(m[4]) for m in matches}) >= percent * windows:
-        own = [(min(m[5][k : k + size] for k in range(0, len(m[5]), size)), m[3]) for m in matches] if kind else []
+        own = [(min(m[5][k : k + size] for k in range(0, len(m[5]), size)), m[3]) for m in matches] if kind == 1 else []
         consistency = _agreement([(v, a) for item, doc in own for v, a in zip(item, doc) if v])
         if 100 * consistency >= percent:
             add(matches, consistency)
@@ -249,27 +305,27 @@ def _judge(kind: int, matches: list[tuple], size: int, percent: int, run: int) -
 
 
 def contaminated(
-    docs: DataFrame, items: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", broadcast_windows: int = BROADCAST_WINDOWS, run: int = RUN, template_run: int = TEMPLATE_RUN
+    docs: DataFrame, items: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", broadcast_windows: int = BROADCAST_WINDOWS, run: int = RUN, template_run: int = TEMPLATE_RUN, short: bool = False
 ) -> DataFrame:
-    """One row per document and item it holds: id, ``item_id``, ``text_key``, and of the fullest copy ``matched`` and ``windows``, ``kind``, ``consistency`` and the span (``start``, ``end``) of its windows in code points."""
+    """One row per document and class of items it holds: id, ``item_id``, ``text_key``, and of the fullest copy ``matched`` and ``windows``, ``kind``, ``consistency``, the span (``start``, ``end``) of its windows in code points and ``n_items``."""
     spark = docs.sparkSession
-    windows = Scratch(spark).write(item_windows(items, size, item_col, item_text), "items")
+    windows = Scratch(spark).write(item_windows(items, size, item_col, item_text, short), "items")
     n = windows.count()
     known = None
     if n <= broadcast_windows:
         known = np.unique(np.array([r["hash"] for r in windows.select("hash").distinct().toLocalIterator()], np.int64).view(np.uint64))
-    found = document_windows(docs, size, known, id_col, text_col)
-    key, rest = ["doc", "text_key", "item_id"], ["kind", "place", "start", "end", "slots", "places", "item_slots", "words", "windows"]
-    met = found.join(windows, ["kind", "hash"]).select(*key, *rest).repartition(*key).sortWithinPartitions(*key, "kind", "place")
+    found = document_windows(docs, size, known, id_col, text_col, short)
+    key, rest = ["doc", "text_key", "item_id"], ["kind", "class", "place", "start", "end", "slots", "places", "item_slots", "words", "windows", "n_items"]
+    met = found.join(windows, ["kind", "hash"]).select(*key, *rest).repartition(*key).sortWithinPartitions(*key, "kind", "class", "place")
     types = {f.name: f.dataType.simpleString() for f in met.schema}
-    names = [*key, "kind", "matched", "windows", "consistency", "start", "end"]
+    names = [*key, "kind", "matched", "windows", "consistency", "start", "end", "n_items"]
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, kinds, ids = None, {}, None
         out: list[tuple] = []
 
         def close() -> None:
-            best = [x for kind, matches in kinds.items() for x in _judge(kind, matches, size, percent, template_run if kind else run)]
+            best = [x for (kind, _), matches in kinds.items() for x in _judge(kind, matches, size, percent, template_run if kind == 1 else run)]
             if best:
                 out.append((*now, *max(best)[1:]))
 
@@ -280,9 +336,9 @@ def contaminated(
                     if now is not None:
                         close()
                     now, kinds = row[:3], {}
-                matches = kinds.setdefault(row[3], [])
-                if not matches or matches[-1][0] != row[4]:  # else a repeated row of the document
-                    matches.append(row[4:])
+                matches = kinds.setdefault(row[3:5], [])
+                if not matches or matches[-1][0] != row[5]:  # else a repeated row of the document
+                    matches.append(row[5:])
             if out:
                 yield _found_batch(out, ids, names)
                 out = []
@@ -291,12 +347,12 @@ def contaminated(
         if out:
             yield _found_batch(out, ids, names)
 
-    done = met.mapInArrow(judge, f"doc {types['doc']}, text_key bigint, item_id {types['item_id']}, kind int, matched bigint, windows bigint, consistency double, start bigint, end bigint")
-    return done.select(F.col("doc").alias(id_col), "item_id", "text_key", "kind", "matched", "windows", "consistency", "start", "end")
+    done = met.mapInArrow(judge, f"doc {types['doc']}, text_key bigint, item_id {types['item_id']}, kind int, matched bigint, windows bigint, consistency double, start bigint, end bigint, n_items bigint")
+    return done.select(F.col("doc").alias(id_col), "item_id", "text_key", "kind", "matched", "windows", "consistency", "start", "end", "n_items")
 
 
 def _found_batch(rows: list[tuple], ids: list[pa.DataType], names: list[str]) -> pa.RecordBatch:
-    types = [*ids, pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()]
+    types = [*ids, pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.int64()]
     return pa.RecordBatch.from_arrays([pa.array(column, kind) for column, kind in zip(zip(*rows), types)], names)
 
 

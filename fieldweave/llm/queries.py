@@ -58,8 +58,8 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = decontaminate.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), size=5, percent=80)
-    return found.select("doc_id", "item_id", "kind", "matched", "windows", "consistency", "start", "end")
+    found = decontaminate.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), size=5, percent=80, short=True)
+    return found.select("doc_id", "item_id", "n_items", "kind", "matched", "windows", "consistency", "start", "end")
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -165,3 +165,83 @@ def test_clean_rows_of_a_shared_id_stay(spark):
     items = spark.createDataFrame([(1, item)], "item_id bigint, text string")
     got = sorted((str(r["doc_id"]), r["text"], r["text_key"]) for r in d.clean_documents(docs, items).collect())
     assert got == [("4", "clean text of the same id", "clash"), ("5", None, "clash"), ("None", "clean without an id", "clash")]
+
+
+def test_a_bank_of_one_template_is_one_class(spark):
+    names = [f"{a}{b}na" for a in "ABCDEFGHIJKLMNOPQRST" for b in "aeiou"]
+    text = "{0} has {2} apples and gives them to {1} before the long night so how many apples does {0} keep after {1} eats 3 of them".format
+    bank = [(k, text(names[k], names[-1 - k], k + 5)) for k in range(40)]
+    other = [(90, text("Zora", "Zora", 7)), (91, text("Zora", "Yara", 3))]  # slots with other equal values: classes of their own
+    docs = spark.createDataFrame([(k, text(names[50 + k % 20], names[k], 1000 + k)) for k in range(60)], "doc_id bigint, text string")
+    items = spark.createDataFrame(bank + other, "item_id bigint, text string")
+    members = {}
+    for r in d.item_members(items).filter("kind = 1").collect():
+        members.setdefault(r["item_id"], set()).add(r["member"])
+    assert members == {0: set(range(40)), 90: {90}, 91: {91}}
+    got = d.contaminated(docs, items).collect()
+    assert {r["doc_id"] for r in got if r["item_id"] == 0} == set(range(60)) and len(got) <= 60 * 3
+    assert all(r["n_items"] == len(members[r["item_id"]]) and r["kind"] == 1 for r in got)
+
+
+def brute_template(doc, item):
+    """Whether a stretch of the document has the item's template and, in four of five slots that windows cover, one answer to each value."""
+
+    def canonical(t):
+        return [("#" if any(c.isdigit() for c in w) else "@" if w[0].isupper() and w[1:2].islower() else w, w.lower()) for w in t.split()]
+
+    own, want = canonical(doc), canonical(item)
+    for at in range(len(own) - len(want) + 1):
+        part = own[at : at + len(want)]
+        if [a for a, _ in part] == [a for a, _ in want]:
+            # slots of windows of five words that have two plain ones
+            wins = [range(k, k + 5) for k in range(len(want) - 4) if sum(want[j][0] not in "#@" for j in range(k, k + 5)) >= 2]
+            # each place once, as in an occurrence, or once for each window, as for windows in any order
+            for places in (sorted({j for w in wins for j in w}), [j for w in wins for j in w]):
+                answers, slots = {}, [(want[j][1], part[j][1]) for j in places if want[j][0] in "#@"]
+                for v, x in slots:
+                    answers.setdefault(v, []).append(x)
+                if 100 * sum(max(xs.count(x) for x in xs) for xs in answers.values()) >= 80 * len(slots):
+                    return True
+    return False
+
+
+def test_reparameterised_questions_against_brute_force(spark):
+    rnd = random.Random(12)
+    plain = ["when", "every", "worker", "carries", "boxes", "toward", "the", "store", "and", "counts", "them", "slowly", "before", "lunch"]
+    names = [a + b + "o" for a in "BCDFGHKLMN" for b in "aeiu"]
+    items = []
+    for k in range(25):
+        who, nums = rnd.sample(names, 3), [str(rnd.randint(2, 99)) for _ in range(3)]
+        words = [rnd.choice(plain) for _ in range(20)]
+        for at in rnd.sample(range(20), 7):
+            words[at] = rnd.choice(who + nums)
+        items.append((k, " ".join(words)))
+    docs = []
+    for k in range(150):
+        words, swap = rnd.choice(items)[1].split(), {}
+        fresh = iter(rnd.sample(names, 20))
+        for at, w in enumerate(words):
+            if w[0].isupper() or w.isdigit():
+                steady = k % 3 or rnd.random() < 0.3
+                new = str(rnd.randint(100, 999)) if w.isdigit() else next(fresh)
+                words[at] = swap.setdefault(w, new) if steady else new
+        docs.append((k, around(rnd, " ".join(words))))
+    found = {}
+    bank = spark.createDataFrame(items, "item_id bigint, text string")
+    for r in d.contaminated(spark.createDataFrame(docs, "doc_id bigint, text string"), bank, percent=80, template_run=99, run=99).collect():
+        found.setdefault(r["doc_id"], set()).add(r["item_id"])
+    want = {k: {i for i, t in items if brute_template(text, t)} for k, text in docs}
+    assert found == {k: v for k, v in want.items() if v}
+    assert sum(map(bool, want.values())) > 90 and not all(want.values())
+
+
+@pytest.mark.parametrize("limit", [d.BROADCAST_WINDOWS, 0])
+def test_short_items_are_found_as_whole_texts(spark, limit):
+    rows = [(1, "Too short, ITEM!"), (2, "a too short item"), (3, "too short"), (4, "  too\nshort\titem "), (5, "one"), (6, "too short item too short item"), (None, "too short item"), (7, ""), (8, None), (9, ITEMS[1][1])]
+    docs, items = spark.createDataFrame(rows, "doc_id bigint, text string"), spark.createDataFrame([*ITEMS, (6, "too short item"), (8, "")], "item_id bigint, text string")
+    got = {r["doc_id"]: r for r in d.contaminated(docs, items, short=True, broadcast_windows=limit).collect()}
+    assert {k: r["item_id"] for k, r in got.items()} == {1: 3, 4: 3, None: 3, 9: 2}
+    assert all((r["kind"], r["n_items"], r["matched"], r["windows"]) == (2, 2, 1, 1) for k, r in got.items() if k != 9)
+    assert got[4]["start"] == 2 and got[4]["end"] == 16
+    assert {r["doc_id"] for r in d.contaminated(docs, items, broadcast_windows=limit).collect()} == {9}
+    assert sorted(str(r["doc_id"]) for r in d.clean_documents(docs, items, short=True).collect()) == ["2", "3", "5", "6", "7", "8"]
