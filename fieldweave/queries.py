@@ -12,6 +12,7 @@ from fieldweave.operators import bodies, extract, fields, fill, prompts, request
 from fieldweave.plans import fill_job, pipeline
 from fieldweave.sources import catalog, client, files, pdf
 from fieldweave.sources.shared import scratch_folder
+from fieldweave.streaming import upserts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -216,6 +217,27 @@ def upsert_latest(spark, sf_dir):
     return catalog.upserted(e.filter(old), e.filter(~old), "user_id", "version").select("user_id", "event_id", "event_type")
 
 
+@_query(
+    """WITH e AS (SELECT user_id, event_id, event_type, ts, event_id % 2 = 0 AND user_id % 3 <> 0 AS old FROM events),
+    latest AS (SELECT user_id, event_id, event_type FROM e QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1),
+    had AS (SELECT DISTINCT user_id FROM e WHERE old),
+    fresh AS (SELECT user_id, (SELECT min(user_id) FROM had) - row_number() OVER (ORDER BY min(struct_pack(t := ts, i := event_id))) AS pos FROM e WHERE user_id NOT IN (SELECT user_id FROM had) GROUP BY user_id)
+    SELECT user_id, event_id, event_type, coalesce(pos, user_id) AS pos FROM latest LEFT JOIN fresh USING (user_id)"""
+)
+def upsert_stream_in_place(spark, sf_dir):
+    """A list of users in the order of their ids, kept up to date from a stream of events, new users in front."""
+    version = F.struct("ts", "event_id").alias("version")
+    named = lambda e: e.select("user_id", "event_id", "event_type", version)
+    events = _t(spark, sf_dir, "events")
+    old = (F.col("event_id") % 2 == 0) & (F.col("user_id") % 3 != 0)
+    current = upserts.latest_changes(named(events.filter(old)), "user_id", "version").drop("_first").withColumn("pos", F.col("user_id"))
+    stream = spark.readStream.schema(events.schema).parquet(f"{sf_dir}/events.parque[t]")  # a pattern, as a stream takes one file by pattern only
+    changes = named(stream.filter(~old))
+    at = scratch_folder(spark)
+    upserts.upsert_stream(changes, "user_id", "version", f"{at}/log", f"{at}/checkpoint").awaitTermination()
+    return upserts.upserted_list(current, f"{at}/log", changes.schema, "user_id", "version", f"{at}/placed").select("user_id", "event_id", "event_type", "pos")
+
+
 @_query("SELECT page_id, left(url || '.pdf', length(url)) || '_20250102_030405_filled.pdf' AS output_path, url || '_template.pdf' AS template_path FROM pages")
 def output_paths(spark, sf_dir):
     path, at = F.concat("url", F.lit(".pdf")), F.lit("2025-01-02 03:04:05").cast("timestamp_ntz")

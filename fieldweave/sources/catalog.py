@@ -68,16 +68,21 @@ def upserted(current: DataFrame, changes: DataFrame, key: str, version: str) ->
     return both.withColumn("_rank", F.row_number().over(latest)).filter("_rank = 1").drop("_rank", "_new")
 
 
-def upserted_in_place(current: DataFrame, changes: DataFrame, key: str, version: str, staging: str, pos: str = "pos") -> DataFrame:
-    """A list's rows after changes: a key that is there keeps its ``pos``, new ones go before all others, the latest first.
+def upserted_in_place(current: DataFrame, changes: DataFrame, key: str, version: str, staging: str, pos: str = "pos", first: str | None = None) -> DataFrame:
+    """A list's rows after changes: a key that is there keeps its ``pos``, new ones go before all others, the last to come first.
 
-    ``current`` has ``pos``; positions say the order and may be negative.
+    A new key comes with its lowest version, or that in column ``first`` of ``changes``: later changes leave it where it is, so changes may be applied in
+    any number of steps.  ``current`` has ``pos``; positions say the order and may be negative.
     """
-    latest = upserted(current.drop(pos), changes, key, version)
-    kept = latest.join(current.select(key, pos), key)
-    new = with_ids(latest.join(current.select(key), key, "left_anti"), 0, [version], staging, pos)
-    first = current.agg(F.min(pos)).first()[0] or 0
-    return kept.select(*current.columns).unionByName(new.withColumn(pos, F.lit(first) - F.col(pos)).select(*current.columns))
+    seen = changes.groupBy(F.col(key).alias("_key")).agg(F.min(first or version).alias("_came"))
+    latest = upserted(current.drop(pos), changes.select(*[c for c in current.columns if c != pos]), key, version)
+    had = current.select(F.col(key).alias("_key"), pos)
+    same = F.col(key).eqNullSafe(F.col("_key"))
+    kept = latest.join(had, same)
+    fresh = latest.join(had, same, "left_anti").join(seen, same)
+    new = with_ids(fresh.drop("_key"), 0, ["_came", key], staging, pos)
+    front = current.agg(F.min(pos)).first()[0] or 0
+    return kept.select(*current.columns).unionByName(new.withColumn(pos, F.lit(front) - F.col(pos)).select(*current.columns))
 
 
 class Catalog:
