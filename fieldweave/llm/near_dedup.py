@@ -14,6 +14,7 @@
    already in one component being skipped, the leaders leave the list and their number grows sixteenfold.  It ends when no list holds two
    components that have not been compared, so no link between components is lost.  Each class carries its first ``HEAD`` frequent values:
    two classes whose heads meet are compared in the list of the first value that they share, and not again in every other.
+   Joins by value keep the few that hold much of all rows off the shuffle (``skew``), and a leader's pairs are dealt to several tasks.
 5. Exact Jaccard on full sets confirms every link; components are contracted, and every document gets the smallest id of its own.
 
 Defined results: texts without words have an empty set and link with nothing; fewer words than a shingle make one shingle;
@@ -31,6 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import skew
 from .components import connected_components
 from .scratch import Scratch
 from .textblocks import U64, Block, blocks, mix64
@@ -98,12 +100,11 @@ def shares_needed(percent: int, k: int) -> int:
     return max(1, math.floor(t * k - DEVIATIONS * math.sqrt(k * t * (1 - t))))
 
 
-def _listed(rows: DataFrame, length: Column, needed: Column) -> DataFrame:
+def _listed(rows: DataFrame, length: Column, needed: Column, scratch: Scratch, name: str) -> DataFrame:
     """(v, df, cid, n, ...) to the rows of each class's prefix.  ``rows`` has (cid, n, values); values that occur once make no rows."""
     values = rows.select("cid", F.explode("values").alias("v"))
-    # the smaller side is hashed: neither is sorted, and only one of them is fetched at a time
-    often = values.groupBy("v").agg(F.count("*").alias("df")).filter("df > 1").hint("shuffle_hash")
-    shared = values.join(often, "v").groupBy("cid").agg(F.array_sort(F.collect_list(F.struct("df", "v"))).alias("shared"))
+    often = scratch.write(values.groupBy("v").agg(F.count("*").alias("df")).filter("df > 1"), name)
+    shared = skew.join_counted(values, often, "v", "df").groupBy("cid").agg(F.array_sort(F.collect_list(F.struct("df", "v"))).alias("shared"))
     return rows.select("cid", "n", length.alias("len"), needed.alias("need")).join(shared, "cid").withColumn(
         "prefix", F.slice("shared", F.lit(1), F.greatest(F.lit(0), F.col("len") - F.col("need") + 1 - (F.col("len") - F.size("shared"))).cast("int"))
     )
@@ -113,7 +114,7 @@ def _sizes_fit(a: str, b: str, percent: int) -> Column:
     return F.expr(f"100 * least({a}, {b}) >= {percent} * greatest({a}, {b})")
 
 
-def _pairs(rows: DataFrame, percent: int, *more: Column) -> DataFrame:
+def _pairs(rows: DataFrame, percent: int) -> DataFrame:
     """Distinct pairs (a, b) of the classes that meet in a list of ``rows`` (v, cid, n)."""
     x = rows.select("v", F.col("cid").alias("a"), F.col("n").alias("na"))
     y = rows.select("v", F.col("cid").alias("b"), F.col("n").alias("nb"))
@@ -130,9 +131,9 @@ def _estimated(pairs: DataFrame, classes: DataFrame, percent: int, k: int) -> Da
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs whose exact Jaccard similarity reaches the threshold."""
-    side = lambda c: sets.select(F.col("cid").alias(c), F.col("retained").alias(f"s{c}"))
-    met = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", F.size(F.array_intersect("sa", "sb")).alias("i"), (F.size("sa") + F.size("sb")).alias("total"))
+    """Those of the written pairs whose exact Jaccard similarity reaches the threshold."""
+    met = skew.join_spread(pairs, sets, ["b", "a"], {"a": "sa", "b": "sb"}, "cid", "retained")
+    met = met.select("a", "b", F.size(F.array_intersect("sa", "sb")).alias("i"), (F.size("sa") + F.size("sb")).alias("total"))
     return met.filter(100 * F.col("i") >= percent * (F.col("total") - F.col("i"))).select("a", "b")
 
 
@@ -147,11 +148,15 @@ def _full_sets(docs: DataFrame, wanted: DataFrame, scratch: Scratch, size: int,
     return sets
 
 
-def _open_lists(hot: DataFrame, labels: DataFrame | None) -> DataFrame:
+def _open_lists(hot: DataFrame, labels: DataFrame | None, scratch: Scratch, name: str) -> DataFrame:
     """``hot`` with each class's ``root``, without lists whose classes are all in one component; those never open again."""
     rows = hot.withColumn("root", F.col("cid")) if labels is None else hot.join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
-    still = rows.groupBy("v").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("v")
-    return rows.join(still, "v", "left_semi")
+    rows = scratch.write(rows, f"{name}-rooted")
+    still = rows.groupBy("v").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("m")).filter("lo < hi")
+    still = scratch.write(still.select("v", "m"), f"{name}-still")
+    opened = scratch.write(skew.join_counted(rows, still, "v", "m").drop("m"), name)
+    scratch.drop(f"{name}-rooted", f"{name}-still")
+    return opened
 
 
 def _compare_with_leaders(rows: DataFrame, leaders: int, percent: int) -> tuple[DataFrame, DataFrame]:
@@ -185,23 +190,25 @@ def near_duplicates(
         rows.filter("n > 0").groupBy("cid").agg(F.min(id_col).alias("rep"), F.first("n").alias("n"), F.first("retained").alias("retained")), "classes"
     )
     need = F.when(100 * F.col("n") <= percent * k, F.ceil(F.col("n") * percent / 100)).otherwise(F.least(F.lit(shares_needed(percent, k)), F.size("retained")))
-    listed = _listed(classes.select("cid", "n", F.col("retained"), F.col("retained").alias("values")), F.size("retained"), need)
+    listed = _listed(classes.select("cid", "n", F.col("retained"), F.col("retained").alias("values")), F.size("retained"), need, scratch, "often")
     listed = scratch.write(listed.select("cid", "n", F.explode("prefix").alias("p")).select(F.col("p.v").alias("v"), "cid", "n"), "listed")
-    lengths = listed.groupBy("v").agg(F.count("*").alias("m"))
-    pairs = scratch.write(_estimated(_pairs(listed.join(lengths.filter((F.col("m") > 1) & (F.col("m") <= short)), "v"), percent), classes, percent, k), "pairs")
-    crowded = scratch.write(listed.join(lengths.filter(F.col("m") > short), "v", "left_semi").select("cid").distinct(), "crowded")
+    lengths = scratch.write(listed.groupBy("v").agg(F.count("*").alias("m")).filter("m > 1"), "lengths")
+    lists = scratch.write(skew.join_counted(listed, lengths, "v", "m"), "lists")
+    scratch.drop("often", "listed", "lengths")
+    pairs = scratch.write(_estimated(_pairs(lists.filter(F.col("m") <= short), percent), classes, percent, k), "pairs")
+    crowded = scratch.write(lists.filter(F.col("m") > short).select("cid").distinct(), "crowded")
     wanted = pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).union(crowded).distinct()
     wanted = scratch.write(classes.join(wanted, "cid", "left_semi").select("cid", "rep"), "wanted")
     sets = _full_sets(docs, wanted, scratch, size, fold, id_col, text_col)
     hot = None
     if not crowded.isEmpty():
         full = sets.join(crowded, "cid", "left_semi").select("cid", "n", F.col("retained").alias("values"))
-        exact = _listed(full, F.col("n"), F.ceil(F.col("n") * percent / 100))
+        exact = _listed(full, F.col("n"), F.ceil(F.col("n") * percent / 100), scratch, "often-exact")
         frequent = lambda s: s["df"] > short
         exact = exact.withColumn("h", F.size(F.filter("shared", frequent))).withColumn("head", F.transform(F.slice(F.filter("prefix", frequent), 1, HEAD), lambda s: s["v"]))
         exact = scratch.write(exact.select("cid", "n", "h", "head", F.explode("prefix").alias("p")).select(F.col("p.v").alias("v"), F.col("p.df").alias("df"), "cid", "n", "h", "head"), "exact")
         hot = exact.filter(F.col("df") > short).select("v", "cid", "n", "h", "head")
-        hot = scratch.write(_open_lists(hot, None), "open0")
+        hot = _open_lists(hot, None, scratch, "open0")
         more, lead = _compare_with_leaders(hot, 1, percent)
         hot = scratch.write(hot.join(lead, ["v", "cid"], "left_anti").drop("root"), "hot0")
         pairs = scratch.write(pairs.union(_pairs(exact.filter(F.col("df") <= short), percent)).union(more).distinct(), "pairs-all")
@@ -210,13 +217,15 @@ def near_duplicates(
     leaders, k_round = 1, 0
     while hot is not None:
         leaders, k_round = leaders * GROWTH, k_round + 1
-        hot = scratch.write(_open_lists(hot, labels), f"open{k_round}")
+        hot = _open_lists(hot, labels, scratch, f"open{k_round}")
         more, lead = _compare_with_leaders(hot, leaders, percent)
         lead = scratch.write(lead, f"lead{k_round}")
         if lead.isEmpty():
             break
+        more = scratch.write(more, f"more{k_round}")
         new = scratch.write(confirmed(more, sets, percent), f"links{k_round}")
         hot = scratch.write(hot.join(lead, ["v", "cid"], "left_anti").drop("root"), f"hot{k_round}")
+        scratch.drop(f"open{k_round}", f"lead{k_round}", f"more{k_round}", f"hot{k_round - 1}")
         if not new.isEmpty():
             links = links.union(new)
             labels = connected_components(links, scratch, f"round{k_round}")
