@@ -10,7 +10,8 @@ The computation is relational:
    chunk, however often it occurs, and no key holds more than its share of one row in a chunk;
 2. these rows are partitioned by the n-gram's 64-bit hash and summed there; a count is joined back to the rows of its n-gram in the
    same partitioning, by a window over it, so counts and join cost one shuffle.  Pairs and longer ones below ``min_count`` go here;
-3. the rows that are left meet the texts of their chunk, where each word's backoff is decided and summed by document.
+3. the rows that are left meet the texts of their chunk, where each word's backoff is decided and summed by document.  A group is a
+   chunk's rows, so its batches need no bound in bytes, which Spark would measure anew after every short row.
 
 Steps 2 and 3 run in ``passes`` parts, by the n-gram's hash and by chunk, each written before the next: the shuffle files of one part
 are on disk at a time, for which the texts are read ``2 * passes`` times.  All n-grams and all chunks are in one part or another.
@@ -23,7 +24,7 @@ columns are not read; an empty table gives no rows.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -31,52 +32,44 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scratch import Scratch
+from .scratch import UNCHECKED, Scratch
 from .textblocks import U64, Block, blocks, mix64
 
 CHUNK_BYTES = 4 << 20
 PASSES = 4
+#: Texts hashed at a time: the arrays of eight bytes for each of theirs stay in a core's cache.
+BLOCK_BYTES = 1 << 17
 
 
 def ngram_hashes(block: Block, order: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For orders 1 to ``order``: the hash of the n-gram that ends at each word, and whether there is one (it starts in the same document)."""
+    """For orders 1 to ``order``: the hash of the n-gram that ends at each word, and whether there is one (it starts in the same document).
+
+    The lowest bit says whether it is a single word.
+    """
     words = block.word_hashes()
     place = np.arange(len(words)) - np.repeat(block.word_bounds[:-1], block.n_words())
-    out = [(words, np.ones(len(words), bool))]
+    out = [(words | U64(1), np.ones(len(words), bool))]
     mixed = words
     for n in range(2, order + 1):
         before = np.zeros(len(words), U64)
-        before[1:] = out[-1][0][:-1]
+        before[1:] = mixed[:-1]
         mixed = mix64(before * U64(0x9FB21C651E98DF25) + words + U64(n))
-        out.append((mixed, place >= n - 1))
+        out.append((mixed & ~U64(1), place >= n - 1))
     return out
 
 
-def _blocks(table: pa.Table) -> Iterator[Block]:
-    for part in table.column("text").chunks:
-        yield from blocks(part)
-
-
 def gram_counts(chunked: DataFrame, order: int, passes: int = 1, own: int = 0) -> DataFrame:
-    """(chunk, gram, single, n): the distinct n-grams of each chunk's rows that come together, with their counts there; ``single``: of one word.
+    """(chunk, gram, n): the distinct n-grams of each chunk's rows that come together, with their counts there.
 
-    Only n-grams whose hash is ``own`` modulo ``passes``.
+    Only n-grams whose hash, without its lowest bit, is ``own`` modulo ``passes``.
     """
 
-    def rows(chunk: int, keys: list[list[np.ndarray]]) -> pa.RecordBatch:
-        found = [np.unique(np.concatenate(x), return_counts=True) for x in keys]
-        grams = np.concatenate([g for g, _ in found])
-        return pa.RecordBatch.from_pydict(
-            {
-                "chunk": pa.array(np.full(len(grams), chunk, np.int32)),
-                "gram": pa.array(grams.view(np.int64)),
-                "single": pa.array(np.arange(len(grams)) < len(found[0][0])),
-                "n": pa.array(np.concatenate([n for _, n in found]).astype(np.int32)),
-            }
-        )
+    def rows(chunk: int, keys: list[np.ndarray]) -> pa.RecordBatch:
+        grams, n = np.unique(np.concatenate(keys), return_counts=True)
+        return pa.RecordBatch.from_pydict({"chunk": pa.array(np.full(len(grams), chunk, np.int32)), "gram": pa.array(grams.view(np.int64)), "n": pa.array(n.astype(np.int32))})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunk, keys = None, [[], []]
+        chunk, keys = None, []
         for batch in batches:
             chunks = batch.column(0).to_numpy()
             cuts = np.concatenate(([0], np.flatnonzero(np.diff(chunks)) + 1, [len(chunks)]))
@@ -84,24 +77,39 @@ def gram_counts(chunked: DataFrame, order: int, passes: int = 1, own: int = 0) -
                 if a == b:
                     continue
                 if chunks[a] != chunk:
-                    if keys[0]:
+                    if keys:
                         yield rows(chunk, keys)
-                    chunk, keys = int(chunks[a]), [[], []]
-                for block in blocks(batch.column(1).slice(a, b - a)):
-                    for k, (h, ok) in enumerate(ngram_hashes(block, order)):
-                        keys[k > 0].append(h[ok & (h % U64(passes) == own)])
-                    if order == 1:
-                        keys[1].append(np.zeros(0, U64))
-        if keys[0]:
+                    chunk, keys = int(chunks[a]), []
+                for block in blocks(batch.column(1).slice(a, b - a), BLOCK_BYTES):
+                    keys += [h[ok & ((h >> U64(1)) % U64(passes) == own)] for h, ok in ngram_hashes(block, order)]
+        if keys:
             yield rows(chunk, keys)
 
-    return chunked.select("chunk", "text").mapInArrow(run, "chunk int, gram bigint, single boolean, n int")
+    return chunked.select("chunk", "text").mapInArrow(run, "chunk int, gram bigint, n int")
 
 
 def corpus_counts(grams: DataFrame, min_count: int) -> DataFrame:
     """(chunk, gram, total): each chunk's n-grams with their counts in the whole corpus, but for those that are never scored as such."""
     total = F.sum("n").over(Window.partitionBy("gram"))
-    return grams.withColumn("total", total).filter(F.col("single") | (F.col("total") >= min_count)).select("chunk", "gram", "total")
+    return grams.withColumn("total", total).filter((F.col("gram").bitwiseAND(F.lit(1)) == 1) | (F.col("total") >= min_count)).select("chunk", "gram", "total")
+
+
+def lookup(keys: np.ndarray, values: np.ndarray) -> Callable[[np.ndarray], np.ndarray]:
+    """A function from hashes to their values, 0 for others.  Hashes are spread evenly, so leading bits lead to the place, or a few before it."""
+    by_key = np.argsort(keys)
+    keys, values = np.append(keys[by_key], ~U64(0)), np.append(values[by_key], 0).astype(np.float64)
+    bits = max(len(keys).bit_length(), 1)
+    first = np.searchsorted(keys[:-1], np.arange(1 << bits, dtype=U64) << U64(64 - bits))
+
+    def value_of(h: np.ndarray) -> np.ndarray:
+        at = first[h >> U64(64 - bits)]
+        below = np.flatnonzero(keys[at] < h)
+        while len(below):
+            at[below] += 1
+            below = below[keys[at[below]] < h[below]]
+        return np.where(keys[at] == h, values[at], 0.0)
+
+    return value_of
 
 
 def backoff(hashes: list[tuple[np.ndarray, np.ndarray]], count_of, min_count: int, alpha: float) -> tuple[np.ndarray, np.ndarray]:
@@ -136,16 +144,9 @@ def lm_scores(docs: DataFrame, order: int = 3, alpha: float = 0.4, min_count: in
     id_type = rows.schema["id"].dataType.simpleString()
 
     def run(texts: pa.Table, totals: pa.Table) -> pa.Table:
-        keys, total = totals.column("gram").to_numpy().view(U64), totals.column("total").to_numpy()
-        by_key = np.argsort(keys)
-        keys, total = np.append(keys[by_key], U64(0)), np.append(total[by_key], 0)
-
-        def count_of(h: np.ndarray) -> np.ndarray:
-            at = np.searchsorted(keys[:-1], h)
-            return np.where(keys[at] == h, total[at], 0).astype(np.float64)
-
+        count_of = lookup(totals.column("gram").to_numpy().view(U64), totals.column("total").to_numpy())
         out = [[], [], [], []]
-        for block in _blocks(texts):
+        for block in (block for part in texts.column("text").chunks for block in blocks(part, BLOCK_BYTES)):
             hashes = ngram_hashes(block, order)
             score, used = backoff(hashes, count_of, min_count, alpha)
             longest = np.sum([ok for _, ok in hashes], axis=0)
@@ -161,7 +162,7 @@ def lm_scores(docs: DataFrame, order: int = 3, alpha: float = 0.4, min_count: in
     for k in range(passes):
         own = F.col("chunk") % passes == k
         scored = chunked.filter(own).groupBy("chunk").cogroup(joined.filter(own).groupBy("chunk")).applyInArrow(run, schema)
-        parts.append(scratch.write(scored, f"summed{k}"))
+        parts.append(scratch.write(scored, f"summed{k}", batch_bytes=UNCHECKED))
     scratch.keep_only(*(f"summed{k}" for k in range(passes)))
     summed = reduce(DataFrame.unionAll, parts)
     n_words = summed.agg(F.sum("n_words")).first()[0] or 0

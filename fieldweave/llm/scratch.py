@@ -5,8 +5,8 @@ and wrong where a count taken from it must keep holding.  Such results are writt
 from the session; a local folder of our own only where it is unset and the master is local, as in tests) and read back, so every later
 job sees the same rows whichever executors are lost.
 
-While a table is written, Arrow batches to Python are cut at ``BATCH_BYTES`` (Spark's own bound of 64 MB, or 10,000 rows however
-long, is held at both ends for every task), and the shuffle files behind it are deleted once it is there: nothing reads them again.
+While a table is written, Arrow batches to Python are cut at ``BATCH_BYTES`` unless the caller says otherwise (Spark's own bound of 64 MB,
+or 10,000 rows however long, is held at both ends for every task), and the shuffle files behind it are deleted once it is there: nothing reads them again.
 """
 
 from __future__ import annotations
@@ -24,7 +24,10 @@ _KEY = "spark.checkpoint.dir"
 #: Ids or keys that may go to every task: some 25 MB of them as rows of a hash table.
 BROADCAST_IDS = 1 << 18
 BATCH_BYTES = 4 << 20
-_WHILE_WRITING = {"spark.sql.execution.arrow.maxBytesPerBatch": str(BATCH_BYTES), "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
+#: No bound in bytes: Spark then does not measure the batch anew after each row, which costs over a microsecond a row.
+UNCHECKED = (1 << 31) - 1
+_BATCH_KEY = "spark.sql.execution.arrow.maxBytesPerBatch"
+_WHILE_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -39,10 +42,11 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 @contextmanager
-def _while_writing(spark: SparkSession) -> Iterator[None]:
-    before = {key: spark.conf.get(key) for key in _WHILE_WRITING}
+def _while_writing(spark: SparkSession, batch_bytes: int = BATCH_BYTES) -> Iterator[None]:
+    held = _WHILE_WRITING | {_BATCH_KEY: str(batch_bytes)}
+    before = {key: spark.conf.get(key) for key in held}
     try:
-        for key, value in _WHILE_WRITING.items():
+        for key, value in held.items():
             spark.conf.set(key, value)
         yield
     finally:
@@ -61,8 +65,9 @@ class Scratch:
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
-    def write(self, df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
-        with _while_writing(self.spark):
+    def write(self, df: DataFrame, name: str, compression: str = "snappy", batch_bytes: int = BATCH_BYTES) -> DataFrame:
+        """``batch_bytes``: ``UNCHECKED`` where many short rows go to Python in groups that are bounded themselves."""
+        with _while_writing(self.spark, batch_bytes):
             df.write.mode("overwrite").option("compression", compression).parquet(self.path(name))
         self.names.add(name)
         return self.spark.read.schema(df.schema).parquet(self.path(name))

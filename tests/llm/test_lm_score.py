@@ -4,6 +4,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import DataFrameWriter
 
 from fieldweave.llm import lm_score
 from fieldweave.llm.queries import QUERIES
@@ -59,3 +60,28 @@ def test_query_scores_with_trigrams(spark):
 
 def test_empty(spark):
     assert lm_score.lm_scores(empty(spark)).collect() == []
+
+
+def test_counts_reach_python_without_measuring_each_row(spark, monkeypatch):
+    """With a bound in bytes Spark measures the batch after every one of a chunk's many short rows."""
+    bounds, write = {}, DataFrameWriter.parquet
+
+    def seen(self, path, *args, **kwargs):
+        bounds[path.rsplit("/", 1)[1]] = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+        return write(self, path, *args, **kwargs)
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", seen)
+    before = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+    lm_score.lm_scores(frame(spark), passes=2)
+    assert {bounds["summed0"], bounds["summed1"]} == {str((1 << 31) - 1)} and int(bounds["totals0"]) == 4 << 20
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == before
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 1000])
+def test_lookup_finds_each_hash_and_no_other(n):
+    rng = np.random.default_rng(n)
+    keys = np.unique(np.concatenate([rng.integers(0, 1 << 64, n, np.uint64), np.arange(n, dtype=np.uint64), ~np.arange(n, dtype=np.uint64)]))
+    rng.shuffle(keys)
+    held, asked = keys[::2], np.append(keys, np.array([0, 1 << 63, (1 << 64) - 1], np.uint64))
+    want = {k: i + 1 for i, k in enumerate(held.tolist())}
+    assert lm_score.lookup(held, np.arange(1, len(held) + 1))(asked).tolist() == [want.get(k, 0) for k in asked.tolist()]
