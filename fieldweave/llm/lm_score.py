@@ -5,9 +5,10 @@
 
 The computation is relational:
 
-1. documents are written once and dealt by their place in that table to chunks of about ``chunk_bytes``, and written by chunk; a chunk's
-   texts are exploded to n-grams of all orders, one row (chunk, gram, n) for each distinct one, so a frequent n-gram is one row for each
-   chunk, however often it occurs, and no key holds more than its share of one row in a chunk;
+1. documents are written once, sorted by the smallest hashes of their words, so that texts alike stand together, and cut into chunks of about
+   ``chunk_bytes``; a chunk's texts are exploded to n-grams of all orders, one row (chunk, gram, n) for each distinct one, so a frequent
+   n-gram is one row for each chunk, however often it occurs, and no key holds more than its share of one row in a chunk.  The more alike
+   a chunk's texts, the fewer rows; counts and scores don't depend on how texts are dealt;
 2. these rows are partitioned by the n-gram's 64-bit hash and summed there; a count is joined back to the rows of its n-gram in the
    same partitioning, by a window over it, so counts and join cost one shuffle.  Pairs and longer ones below ``min_count`` go here;
 3. the rows that are left meet the texts of their chunk, where each word's backoff is decided and summed by document.  A group is a
@@ -29,6 +30,8 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,6 +40,10 @@ from .textblocks import U64, Block, blocks, mix64
 
 CHUNK_BYTES = 4 << 20
 PASSES = 4
+#: Bytes of a short word.
+SHORT = 3
+#: Chunks in a file of theirs, about.
+CHUNKS_A_FILE = 4
 #: Texts hashed at a time: the arrays of eight bytes for each of theirs stay in a core's cache.
 BLOCK_BYTES = 1 << 17
 
@@ -58,11 +65,51 @@ def ngram_hashes(block: Block, order: int) -> list[tuple[np.ndarray, np.ndarray]
     return out
 
 
+def with_likeness(rows: DataFrame) -> DataFrame:
+    """``rows`` (id, text) with the smallest hash of each text's short words and that of all its words.
+
+    Texts of one language mostly share the first, as function words are short and few, and texts that share most words mostly share both.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            least = [[], []]
+            for block in blocks(batch.column(1), BLOCK_BYTES):
+                words, some = block.word_hashes(), block.n_words() > 0
+                for found, h in zip(least, (np.where(block.ends - block.starts <= SHORT, words, ~U64(0)), mix64(words))):
+                    found.append(np.zeros(block.n_docs, U64))
+                    found[-1][some] = np.minimum.reduceat(h, block.word_bounds[:-1][some])
+            if batch.num_rows:
+                yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(np.concatenate(x).view(np.int64)) for x in least)], ["id", "text", "alike", "alike_too"])
+
+    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, text string, alike bigint, alike_too bigint")
+
+
+def in_chunks(rows: DataFrame, chunk_bytes: int, files: int) -> DataFrame:
+    """(id, text, chunk) of a written table of ``with_likeness``, by chunk; a chunk's texts are neighbours by likeness in one of ``files`` ranges of it.
+
+    Many copies of a text have one likeness, so their places in the table deal them to several ranges.
+    """
+    by = ["alike", "alike_too", "place"]
+    dealt = rows.withColumn("place", F.xxhash64("_metadata.file_name", "_metadata.row_index")).repartitionByRange(files, *by).sortWithinPartitions(*by)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, before = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            ends = before + np.cumsum(pc.binary_length(batch.column(1)).to_numpy(zero_copy_only=False), dtype=np.int64)
+            starts = np.append(np.int64(before), ends)[:-1]
+            before = int(ends[-1]) if len(ends) else before
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array((starts // chunk_bytes * files + own).astype(np.int32))], ["id", "text", "chunk"])
+
+    return dealt.select("id", "text").mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, text string, chunk int")
+
+
 def gram_counts(chunked: DataFrame, order: int, passes: int = 1, own: int = 0) -> DataFrame:
     """(chunk, gram, n): the distinct n-grams of each chunk's rows that come together, with their counts there.
 
-    Only n-grams whose hash, without its lowest bit, is ``own`` modulo ``passes``.
+    Only n-grams whose hash, without its lowest bit, is in the range ``own`` of ``passes`` equal ones.
     """
+    low, width = U64((own << 63) // passes), U64(((own + 1) << 63) // passes - (own << 63) // passes)
 
     def rows(chunk: int, keys: list[np.ndarray]) -> pa.RecordBatch:
         grams, n = np.unique(np.concatenate(keys), return_counts=True)
@@ -81,7 +128,7 @@ def gram_counts(chunked: DataFrame, order: int, passes: int = 1, own: int = 0) -
                         yield rows(chunk, keys)
                     chunk, keys = int(chunks[a]), []
                 for block in blocks(batch.column(1).slice(a, b - a), BLOCK_BYTES):
-                    keys += [h[ok & ((h >> U64(1)) % U64(passes) == own)] for h, ok in ngram_hashes(block, order)]
+                    keys += [h[ok & ((h >> U64(1)) - low < width)] for h, ok in ngram_hashes(block, order)]
         if keys:
             yield rows(chunk, keys)
 
@@ -116,7 +163,13 @@ def backoff(hashes: list[tuple[np.ndarray, np.ndarray]], count_of, min_count: in
     """(ln S without the ``- ln N`` of single words, order used) of each word."""
     n = len(hashes[0][0])
     score, used = np.zeros(n), np.zeros(n, np.int64)
-    counts = [np.where(ok, count_of(h), 0) for h, ok in hashes]
+    counts: list[np.ndarray] = []
+    for k, (h, ok) in enumerate(hashes):
+        if k > 1:  # seen often enough only if both its parts of one word less are
+            ok = ok & (counts[-1] > 0)
+            ok[1:] &= counts[-1][:-1] > 0
+        counts.append(np.zeros(n))
+        counts[-1][ok] = count_of(h[ok])
     steps = np.zeros(n)
     for k in range(len(hashes) - 1, -1, -1):
         ok = hashes[k][1]
@@ -133,13 +186,11 @@ def backoff(hashes: list[tuple[np.ndarray, np.ndarray]], count_of, min_count: in
 def lm_scores(docs: DataFrame, order: int = 3, alpha: float = 0.4, min_count: int = 2, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = CHUNK_BYTES, passes: int = PASSES) -> DataFrame:
     """One row per document: id, ``n_words``, ``n_backoff`` (words scored below the longest order that their place allows), ``log_score`` and ``per_word``."""
     scratch = Scratch(docs.sparkSession)
-    rows = scratch.write(docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")), "texts", "zstd")
+    rows = scratch.write(with_likeness(docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))), "texts", "zstd")
     n_bytes = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    chunks = max(1, -(-n_bytes // chunk_bytes))
-    chunked = rows.withColumn("chunk", F.pmod(F.xxhash64("_metadata.file_name", "_metadata.row_index"), F.lit(chunks)).cast("int"))
-    chunked = scratch.write(chunked.repartition("chunk").sortWithinPartitions("chunk"), "chunked", "zstd")
+    chunked = scratch.write(in_chunks(rows, chunk_bytes, max(1, -(-n_bytes // (CHUNKS_A_FILE * chunk_bytes)))), "chunked", "zstd")
     scratch.keep_only("chunked")
-    joined = [scratch.write(corpus_counts(gram_counts(chunked, order, passes, k), min_count), f"totals{k}", "zstd") for k in range(passes)]
+    joined = [scratch.write(corpus_counts(gram_counts(chunked, order, passes, k), min_count), f"totals{k}", "zstd", plain="gram") for k in range(passes)]
     joined = reduce(DataFrame.unionAll, joined)
     id_type = rows.schema["id"].dataType.simpleString()
 

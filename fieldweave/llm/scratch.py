@@ -65,10 +65,14 @@ class Scratch:
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
-    def write(self, df: DataFrame, name: str, compression: str = "snappy", batch_bytes: int = BATCH_BYTES) -> DataFrame:
-        """``batch_bytes``: ``UNCHECKED`` where many short rows go to Python in groups that are bounded themselves."""
+    def write(self, df: DataFrame, name: str, compression: str = "snappy", batch_bytes: int = BATCH_BYTES, plain: str | None = None) -> DataFrame:
+        """``batch_bytes``: ``UNCHECKED`` where many short rows go to Python in groups that are bounded themselves.
+
+        ``plain``: a column whose values hardly repeat, for which Parquet needs to try no dictionary.
+        """
         with _while_writing(self.spark, batch_bytes):
-            df.write.mode("overwrite").option("compression", compression).parquet(self.path(name))
+            writer = df.write.mode("overwrite").option("compression", compression)
+            (writer.option(f"parquet.enable.dictionary#{plain}", "false") if plain else writer).parquet(self.path(name))
         self.names.add(name)
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 

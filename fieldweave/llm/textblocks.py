@@ -62,7 +62,7 @@ class Block:
         self.data, self.bounds, self.first = data, bounds, first
         self.n_docs = len(bounds) - 1
         n = len(data)
-        inside = ~between[data]
+        inside = np.take(~between, data)
         edge = np.zeros(n + 1, bool)
         edge[bounds] = True
         before = np.zeros(n, bool)
@@ -94,7 +94,9 @@ class Block:
             n = int(b[-1])
             up, down = _Powers.upto(n + 1)
             total = np.zeros(n + 1, U64)
-            np.cumsum(values[self.data[base : base + n]] * up[:n], out=total[1:])
+            terms = np.take(values, self.data[base : base + n])
+            terms *= up[:n]
+            np.cumsum(terms, out=total[1:])
             out[first:last] = mix64((total[b] - total[a]) * down[a])
             first = last
         return out

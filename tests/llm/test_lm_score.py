@@ -1,8 +1,10 @@
 import math
 import re
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import DataFrameWriter
 
@@ -85,3 +87,44 @@ def test_lookup_finds_each_hash_and_no_other(n):
     held, asked = keys[::2], np.append(keys, np.array([0, 1 << 63, (1 << 64) - 1], np.uint64))
     want = {k: i + 1 for i, k in enumerate(held.tolist())}
     assert lm_score.lookup(held, np.arange(1, len(held) + 1))(asked).tolist() == [want.get(k, 0) for k in asked.tolist()]
+
+
+def test_texts_alike_come_together_and_make_fewer_rows(spark, monkeypatch):
+    """Fifty variants each of eight texts, mixed, in about eight chunks: a chunk of all eight would repeat the rows of each."""
+    rng, rows, counts = np.random.default_rng(5), [], lm_score.corpus_counts
+    bases = [[f"w{k:05d}" for k in rng.integers(0, 100_000, 200)] for _ in range(8)]
+    texts = []
+    for k in range(400):
+        words = list(bases[k % 8])
+        words[rng.integers(200)] = f"own{k}"
+        texts.append(" ".join(words))
+    monkeypatch.setattr(lm_score, "corpus_counts", lambda grams, min_count: rows.append(grams.count()) or counts(grams, min_count))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = {r["doc_id"]: (r["n_words"], r["n_backoff"], r["log_score"]) for r in lm_score.lm_scores(docs, chunk_bytes=70_000).collect()}
+    want = brute(texts, 3, 0.4, 2)
+    assert len(got) == 400 and all(got[k][:2] == w[:2] and abs(got[k][2] - w[2]) < 1e-4 * abs(w[2]) for k, w in enumerate(want))
+    assert sum(rows) < 20_000  # some 5,000 distinct n-grams of the bases, 2,400 of single variants; over 38,000 if dealt evenly
+
+
+def test_chunks_of_copies_are_bounded_and_hold_each_row_once(spark, tmp_path):
+    texts = ["the same text " * 20] * 300 + ["", None, "a " * 5000] + [f"word{k} " * 50 for k in range(50)]
+    table = spark.createDataFrame(list(enumerate(t or "" for t in texts)), "id long, text string").repartition(3)
+    lm_score.with_likeness(table).write.parquet(str(tmp_path / "t"))
+    rows = lm_score.in_chunks(spark.read.parquet(str(tmp_path / "t")), 8000, 4).collect()
+    assert sorted((r["id"], r["text"]) for r in rows) == sorted(enumerate(t or "" for t in texts))
+    sizes, own = Counter(), Counter()
+    for r in rows:
+        sizes[r["chunk"]] += len(r["text"])
+        own[r["chunk"] % 4] += 1
+    assert max(sizes.values()) < 8000 + 10_000 and len(own) == 4 and max(own.values()) < 200
+
+
+def test_hashes_are_written_without_a_dictionary(spark):
+    from fieldweave.llm.scratch import Scratch
+
+    scratch = Scratch(spark)
+    scratch.write(spark.range(1000).selectExpr("id % 7 AS gram", "id % 7 AS total").coalesce(1), "t", "zstd", plain="gram")
+    file = pq.ParquetFile(next(Path(scratch.root.removeprefix("file://"), "t").glob("*.parquet")))
+    gram, total = (file.metadata.row_group(0).column(k) for k in range(2))
+    assert not gram.has_dictionary_page and total.has_dictionary_page
+    scratch.keep_only()
