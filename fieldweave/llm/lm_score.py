@@ -11,11 +11,11 @@ The computation is relational:
    a chunk's texts, the fewer rows; counts and scores don't depend on how texts are dealt;
 2. these rows are partitioned by the n-gram's 64-bit hash and summed there; a count is joined back to the rows of its n-gram in the
    same partitioning, by a window over it, so counts and join cost one shuffle.  Pairs and longer ones below ``min_count`` go here;
-3. the rows that are left meet the texts of their chunk, where each word's backoff is decided and summed by document.  A group is a
+3. the rows that are left meet the words of their chunk, where each word's backoff is decided and summed by document.  A group is a
    chunk's rows, so its batches need no bound in bytes, which Spark would measure anew after every short row.
 
 Steps 2 and 3 run in ``passes`` parts, by the n-gram's hash and by chunk, each written before the next: the shuffle files of one part
-are on disk at a time, for which the texts are read ``2 * passes`` times.  All n-grams and all chunks are in one part or another.
+are on disk at a time, for which the chunks' words are read ``2 * passes`` times; texts are read twice.  All n-grams and all chunks are in one part or another.
 
 All tables grow in proportion to the input: there is nothing for each pair of a chunk and a partition.
 
@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .scratch import UNCHECKED, Scratch
-from .textblocks import U64, Block, blocks, mix64
+from .textblocks import U64, blocks, mix64, spans_of
 
 CHUNK_BYTES = 4 << 20
 PASSES = 4
@@ -46,15 +46,16 @@ SHORT = 3
 CHUNKS_A_FILE = 4
 #: Texts hashed at a time: the arrays of eight bytes for each of theirs stay in a core's cache.
 BLOCK_BYTES = 1 << 17
+#: Words looked at together, for the same reason.
+BLOCK_WORDS = 1 << 15
 
 
-def ngram_hashes(block: Block, order: int) -> list[tuple[np.ndarray, np.ndarray]]:
+def ngram_hashes(words: np.ndarray, n_words: np.ndarray, order: int) -> list[tuple[np.ndarray, np.ndarray]]:
     """For orders 1 to ``order``: the hash of the n-gram that ends at each word, and whether there is one (it starts in the same document).
 
-    The lowest bit says whether it is a single word.
+    ``n_words`` are the documents' numbers of words.  The lowest bit says whether it is a single word.
     """
-    words = block.word_hashes()
-    place = np.arange(len(words)) - np.repeat(block.word_bounds[:-1], block.n_words())
+    place = np.arange(len(words)) - np.repeat(np.cumsum(n_words) - n_words, n_words)
     out = [(words | U64(1), np.ones(len(words), bool))]
     mixed = words
     for n in range(2, order + 1):
@@ -86,53 +87,68 @@ def with_likeness(rows: DataFrame) -> DataFrame:
 
 
 def in_chunks(rows: DataFrame, chunk_bytes: int, files: int) -> DataFrame:
-    """(id, text, chunk) of a written table of ``with_likeness``, by chunk; a chunk's texts are neighbours by likeness in one of ``files`` ranges of it.
+    """A row for each chunk of a written table of ``with_likeness``: (chunk, ids, n_words, words, own).
 
-    Many copies of a text have one likeness, so their places in the table deal them to several ranges.
+    ``own`` are the hashes of the chunk's distinct words, and ``words`` its texts, one after another, as places there, so texts are hashed once.
+    A chunk's texts are neighbours by likeness in one of ``files`` ranges of it.  Many copies of a text have one likeness, so their places in
+    the table deal them to several ranges.
     """
     by = ["alike", "alike_too", "place"]
     dealt = rows.withColumn("place", F.xxhash64("_metadata.file_name", "_metadata.row_index")).repartitionByRange(files, *by).sortWithinPartitions(*by)
 
+    def row(chunk: int, ids: list[pa.Array], n_words: list[np.ndarray], words: list[np.ndarray]) -> pa.RecordBatch:
+        own, at = np.unique(np.concatenate(words), return_inverse=True)
+        lists = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in (pa.concat_arrays(ids), pa.array(np.concatenate(n_words), pa.int32()))]
+        return pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), *lists, *(pa.array([x.tobytes()], pa.binary()) for x in (at.astype(np.int32), own))], ["chunk", "ids", "n_words", "words", "own"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, before = TaskContext.get().partitionId(), 0
+        part, before, chunk, held = TaskContext.get().partitionId(), 0, None, ([], [], [])
         for batch in batches:
             ends = before + np.cumsum(pc.binary_length(batch.column(1)).to_numpy(zero_copy_only=False), dtype=np.int64)
-            starts = np.append(np.int64(before), ends)[:-1]
+            chunks = np.append(np.int64(before), ends)[:-1] // chunk_bytes * files + part
             before = int(ends[-1]) if len(ends) else before
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array((starts // chunk_bytes * files + own).astype(np.int32))], ["id", "text", "chunk"])
+            cuts = np.concatenate(([0], np.flatnonzero(np.diff(chunks)) + 1, [len(chunks)]))
+            for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+                if a == b:
+                    continue
+                if chunks[a] != chunk:
+                    if held[0]:
+                        yield row(chunk, *held)
+                    chunk, held = int(chunks[a]), ([], [], [])
+                held[0].append(batch.column(0).slice(a, b - a))
+                for block in blocks(batch.column(1).slice(a, b - a), BLOCK_BYTES):
+                    held[1].append(block.n_words())
+                    held[2].append(block.word_hashes())
+        if held[0]:
+            yield row(chunk, *held)
+
+    return dealt.select("id", "text").mapInArrow(run, f"chunk int, ids array<{rows.schema['id'].dataType.simpleString()}>, n_words array<int>, words binary, own binary")
 
-    return dealt.select("id", "text").mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, text string, chunk int")
+
+def chunk_hashes(n_words: np.ndarray, words: pa.Scalar, own: pa.Scalar, order: int) -> Iterator[tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]]:
+    """(numbers of words, ``ngram_hashes``) of runs of a chunk's documents."""
+    own, at = np.frombuffer(own.as_buffer(), U64), np.frombuffer(words.as_buffer(), np.int32)
+    bounds = np.concatenate(([0], np.cumsum(n_words, dtype=np.int64)))
+    for a, b in spans_of(bounds, BLOCK_WORDS):
+        yield n_words[a:b], ngram_hashes(np.take(own, at[bounds[a] : bounds[b]]), n_words[a:b], order)
 
 
 def gram_counts(chunked: DataFrame, order: int, passes: int = 1, own: int = 0) -> DataFrame:
-    """(chunk, gram, n): the distinct n-grams of each chunk's rows that come together, with their counts there.
+    """(chunk, gram, n): the distinct n-grams of each chunk with their counts there.
 
     Only n-grams whose hash, without its lowest bit, is in the range ``own`` of ``passes`` equal ones.
     """
     low, width = U64((own << 63) // passes), U64(((own + 1) << 63) // passes - (own << 63) // passes)
 
-    def rows(chunk: int, keys: list[np.ndarray]) -> pa.RecordBatch:
-        grams, n = np.unique(np.concatenate(keys), return_counts=True)
-        return pa.RecordBatch.from_pydict({"chunk": pa.array(np.full(len(grams), chunk, np.int32)), "gram": pa.array(grams.view(np.int64)), "n": pa.array(n.astype(np.int32))})
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunk, keys = None, []
         for batch in batches:
-            chunks = batch.column(0).to_numpy()
-            cuts = np.concatenate(([0], np.flatnonzero(np.diff(chunks)) + 1, [len(chunks)]))
-            for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
-                if a == b:
-                    continue
-                if chunks[a] != chunk:
-                    if keys:
-                        yield rows(chunk, keys)
-                    chunk, keys = int(chunks[a]), []
-                for block in blocks(batch.column(1).slice(a, b - a), BLOCK_BYTES):
-                    keys += [h[ok & ((h >> U64(1)) - low < width)] for h, ok in ngram_hashes(block, order)]
-        if keys:
-            yield rows(chunk, keys)
+            for k, chunk in enumerate(batch.column(0).to_pylist()):
+                n_words = batch.column(1)[k].values.to_numpy(zero_copy_only=False)
+                keys = [h[ok & ((h >> U64(1)) - low < width)] for _, hashes in chunk_hashes(n_words, batch.column(2)[k], batch.column(3)[k], order) for h, ok in hashes]
+                grams, n = np.unique(np.concatenate(keys), return_counts=True)
+                yield pa.RecordBatch.from_pydict({"chunk": pa.array(np.full(len(grams), chunk, np.int32)), "gram": pa.array(grams.view(np.int64)), "n": pa.array(n.astype(np.int32))})
 
-    return chunked.select("chunk", "text").mapInArrow(run, "chunk int, gram bigint, n int")
+    return chunked.select("chunk", "n_words", "words", "own").mapInArrow(run, "chunk int, gram bigint, n int")
 
 
 def corpus_counts(grams: DataFrame, min_count: int) -> DataFrame:
@@ -194,20 +210,21 @@ def lm_scores(docs: DataFrame, order: int = 3, alpha: float = 0.4, min_count: in
     joined = reduce(DataFrame.unionAll, joined)
     id_type = rows.schema["id"].dataType.simpleString()
 
-    def run(texts: pa.Table, totals: pa.Table) -> pa.Table:
+    def run(chunk: pa.Table, totals: pa.Table) -> pa.Table:
         count_of = lookup(totals.column("gram").to_numpy().view(U64), totals.column("total").to_numpy())
+        ids, all_words, words, own = (chunk.column(name)[0] for name in ("ids", "n_words", "words", "own"))
         out = [[], [], [], []]
-        for block in (block for part in texts.column("text").chunks for block in blocks(part, BLOCK_BYTES)):
-            hashes = ngram_hashes(block, order)
+        for n_words, hashes in chunk_hashes(all_words.values.to_numpy(zero_copy_only=False), words, own, order):
             score, used = backoff(hashes, count_of, min_count, alpha)
             longest = np.sum([ok for _, ok in hashes], axis=0)
-            doc, n = block.word_docs(), block.n_docs
-            out[0].append(block.n_words())
+            n = len(n_words)
+            doc = np.repeat(np.arange(n), n_words)
+            out[0].append(n_words)
             out[1].append(np.bincount(doc[used == 1], minlength=n))
             out[2].append(np.bincount(doc[used < longest], minlength=n))
             out[3].append(np.bincount(doc, weights=score, minlength=n))
-        n_words, n_single, n_backoff, partial = (np.concatenate(x) if x else np.zeros(0) for x in out)
-        return pa.table({"id": texts.column("id"), "n_words": pa.array(n_words, pa.int64()), "n_single": pa.array(n_single, pa.int64()), "n_backoff": pa.array(n_backoff, pa.int64()), "partial": pa.array(partial, pa.float64())})
+        n_words, n_single, n_backoff, partial = (np.concatenate(x) for x in out)
+        return pa.table({"id": ids.values, "n_words": pa.array(n_words, pa.int64()), "n_single": pa.array(n_single, pa.int64()), "n_backoff": pa.array(n_backoff, pa.int64()), "partial": pa.array(partial, pa.float64())})
 
     schema, parts = f"id {id_type}, n_words bigint, n_single bigint, n_backoff bigint, partial double", []
     for k in range(passes):

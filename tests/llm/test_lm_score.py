@@ -111,12 +111,13 @@ def test_chunks_of_copies_are_bounded_and_hold_each_row_once(spark, tmp_path):
     table = spark.createDataFrame(list(enumerate(t or "" for t in texts)), "id long, text string").repartition(3)
     lm_score.with_likeness(table).write.parquet(str(tmp_path / "t"))
     rows = lm_score.in_chunks(spark.read.parquet(str(tmp_path / "t")), 8000, 4).collect()
-    assert sorted((r["id"], r["text"]) for r in rows) == sorted(enumerate(t or "" for t in texts))
-    sizes, own = Counter(), Counter()
+    assert sorted((i, n) for r in rows for i, n in zip(r["ids"], r["n_words"], strict=True)) == [(i, len((t or "").split())) for i, t in enumerate(texts)]
+    own = Counter()
     for r in rows:
-        sizes[r["chunk"]] += len(r["text"])
-        own[r["chunk"] % 4] += 1
-    assert max(sizes.values()) < 8000 + 10_000 and len(own) == 4 and max(own.values()) < 200
+        assert sum(len(texts[i] or "") for i in r["ids"]) < 8000 + 10_000 and len(r["words"]) == 4 * sum(r["n_words"])
+        assert len(r["own"]) == 8 * len({w for i in r["ids"] for w in (texts[i] or "").split()})
+        own[r["chunk"] % 4] += len(r["ids"])
+    assert len({r["chunk"] for r in rows}) == len(rows) and len(own) == 4 and max(own.values()) < 200
 
 
 def test_hashes_are_written_without_a_dictionary(spark):
