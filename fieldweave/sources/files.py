@@ -39,15 +39,21 @@ class Written(WriterCommitMessage):
 
 
 class WholeFileWriter(DataSourceArrowWriter):
-    """``aside`` is a folder on the targets' file system; (path, content) rows go there first."""
+    """``aside`` is a folder on the targets' file system; (path, content) rows go there first.
+
+    The driver makes the job's folder below it, and no task does: one that outlives its job finds the folder gone and fails.  That
+    doesn't hold on object stores, which have no folders.
+    """
 
     def __init__(self, aside: str, overwrite: bool):
         self.aside, self.overwrite = f"{aside.rstrip('/')}/_aside-{uuid4().hex}", overwrite
+        fs, root = file_system(self.aside)
+        fs.create_dir(root, recursive=True)
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         fs, root = file_system(self.aside)
         done, attempt = Written(), uuid4().hex
-        fs.create_dir(f"{root}/{attempt}", recursive=True)
+        fs.create_dir(f"{root}/{attempt}", recursive=False)
         for batch in iterator:
             for path, content in zip(batch.column("path").to_pylist(), batch.column("content")):
                 name = f"{attempt}/{len(done.files)}"
@@ -70,8 +76,14 @@ class WholeFileWriter(DataSourceArrowWriter):
 
     def abort(self, messages: list[WriterCommitMessage | None]) -> None:
         fs, root = file_system(self.aside)
-        if fs.get_file_info(root).type != arrow_fs.FileType.NotFound:
-            fs.delete_dir(root)
+        if fs.get_file_info(root).type == arrow_fs.FileType.NotFound:
+            return
+        try:  # away at once, as tasks may still be writing there
+            fs.move(root, f"{root}-gone")
+            root = f"{root}-gone"
+        except (OSError, NotImplementedError):
+            pass  # an object store doesn't move folders
+        fs.delete_dir(root)
 
 
 class WholeFiles(DataSource):

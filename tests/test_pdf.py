@@ -198,6 +198,26 @@ def test_a_repeated_task_leaves_one_file(tmp_path):
     assert left(tmp_path) == ["a"] and (tmp_path / "a").read_bytes() == b"whole"
 
 
+def test_a_task_that_outlives_its_job_leaves_no_file(tmp_path):
+    """Spark aborts a job while other tasks of it still run: one may begin after that, or be between two files."""
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_pydict({"path": [str(tmp_path / "a")], "content": pa.array([b"whole"], pa.binary())})
+    late, slow = files.WholeFileWriter(str(tmp_path), True), files.WholeFileWriter(str(tmp_path), True)
+    late.abort([])
+    with pytest.raises(OSError):
+        late.write(iter([batch]))
+
+    def aborted_meanwhile():
+        yield batch
+        slow.abort([])
+        yield batch
+
+    with pytest.raises(OSError):
+        slow.write(aborted_meanwhile())
+    assert list(tmp_path.rglob("*")) == []
+
+
 def test_annotations_as_a_table_function(spark):
     name = pdf.register_annotations(spark)
     rows = spark.createDataFrame([("a.pdf", bytearray(nested(True))), ("bad.pdf", bytearray(b"x")), ("none.pdf", None)], "pdf_path string, content binary")
