@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,15 +20,15 @@ def checked(rows: DataFrame, *checks: tuple[str, int, Column]) -> DataFrame:
 
 
 def resolved(path: Column, root: str) -> Column:
-    """The path below ``root`` with ``.`` and ``..`` worked out, as an absolute path; null if it leads outside."""
-    absolute = F.when(path.startswith("/"), path).otherwise(F.concat(F.lit(root.rstrip("/") + "/"), path))
+    """The path below ``root`` with ``.`` and ``..`` worked out, as an absolute path, or as a URI if ``root`` is one; null if it leads outside."""
+    store, base = re.fullmatch(r"((?:[A-Za-z][A-Za-z0-9+.-]*://[^/]*)?)(.*?)/*", root, re.DOTALL).groups()
+    absolute = F.when(path.startswith("/"), path).otherwise(F.concat(F.lit(base + "/"), path))
 
     def step(done: Column, part: Column) -> Column:
         return F.when((part == "") | (part == "."), done).when(part == "..", F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0)))).otherwise(F.concat(done, F.array(part)))
 
     clean = F.concat(F.lit("/"), F.array_join(F.aggregate(F.split(absolute, "/", -1), F.array().cast("array<string>"), step), "/"))
-    base = root.rstrip("/")
-    return F.when((clean == base) | clean.startswith(base + "/"), clean)
+    return F.when((clean == base) | clean.startswith(base + "/"), F.concat(F.lit(store), clean))
 
 
 def checked_uploads(uploads: DataFrame, root: str, default_directory: str = "inputs") -> DataFrame:

@@ -10,8 +10,10 @@ Targets are expected to be distinct: of several rows with one path the last that
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from fnmatch import fnmatchcase
 from uuid import uuid4
 
 import pyarrow as pa
@@ -22,12 +24,19 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterComm
 from pyspark.sql.types import StructType
 
 NAME = "whole_files"
+#: The sink's folders below ``aside``.
+_ASIDE = re.compile(r"_aside-[0-9a-f]{32}(-gone)?")
+
+
+def plain(path: str) -> str:
+    """A local path without ``file:`` and with single slashes; other URIs as they are."""
+    return path if "://" in path and not path.startswith("file:") else re.sub("/+", "/", path.removeprefix("file:"))
 
 
 def file_system(path: str) -> tuple[arrow_fs.FileSystem, str]:
     """Arrow's file system for a path or URI, and the path on it."""
     if path.startswith("file:"):
-        return arrow_fs.LocalFileSystem(), "/" + path.removeprefix("file:").lstrip("/")
+        return arrow_fs.LocalFileSystem(), plain(path)
     return arrow_fs.FileSystem.from_uri(path) if "://" in path else (arrow_fs.LocalFileSystem(), path)
 
 
@@ -119,9 +128,42 @@ def write_files(files: DataFrame, aside: str | None = None, path_col: str = "out
 
 
 def listing(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
-    """(path, size, modified) of all files below ``folder``, in Spark's own listing; no file is opened.  Paths are without ``file:``."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(folder)
-    return files.select(F.regexp_replace("path", "^file:/+", "/").alias("path"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
+    """(path, size, modified) of all files below ``folder`` when it is run; no file is opened.  Paths are without ``file:``.
+
+    Spark's own file sources leave out empty files and names that begin with ``_`` or ``.``, which are listed here; what the sink holds
+    aside is not.  One task lists ``folder`` itself, then several what is below its folders.  ``pattern`` is one of ``fnmatch``, for names.
+    """
+    top = spark.sparkContext.parallelize([(plain(folder), None, None)], 1)
+    first = top.flatMap(lambda entry: ((x[0], x) for x in _entries(entry[0], False, pattern)))
+    found = first.partitionBy(spark.sparkContext.defaultParallelism).flatMap(lambda entry: _files(entry[1], pattern))
+    # an RDD's size is unknown to the planner; by that of the few folders it would send all files to every task
+    rows = spark.createDataFrame(found, "path string, size bigint, micros bigint", verifySchema=False)
+    return rows.select("path", "size", F.timestamp_micros("micros").alias("modified"))
+
+
+def _files(entry: tuple, pattern: str) -> Iterator[tuple]:
+    """A file as it is, or all files below a folder."""
+    held = [entry]
+    while held:
+        entry = held.pop()
+        if entry[1] is None:
+            held += _entries(entry[0], True, pattern)
+        else:
+            yield entry
+
+
+def _entries(folder: str, may_be_gone: bool, pattern: str) -> Iterator[tuple[str, int | None, int | None]]:
+    """(path, size, microseconds) of what ``folder`` has itself; the size of folders is null."""
+    fs, root = file_system(folder)
+    for x in fs.get_file_info(arrow_fs.FileSelector(root, allow_not_found=may_be_gone)):
+        try:
+            name = x.base_name
+        except UnicodeDecodeError:
+            continue  # no text has such a path
+        if x.type == arrow_fs.FileType.Directory and not _ASIDE.fullmatch(name):
+            yield f"{folder.rstrip('/')}/{name}", None, None
+        elif x.type == arrow_fs.FileType.File and fnmatchcase(name, pattern):
+            yield f"{folder.rstrip('/')}/{name}", x.size, None if x.mtime_ns is None else x.mtime_ns // 1000
 
 
 def with_bytes(rows: DataFrame, path_col: str = "path", batch_bytes: int = 4 << 20) -> DataFrame:

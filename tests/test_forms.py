@@ -130,6 +130,14 @@ def test_checks_keep_what_they_reject(spark):
     assert {(r["path"], r["reason"]) for r in requests.checked_files(wanted, files, "/root/x").collect()} == {("a.pdf", None), ("b.pdf", "not_found"), ("../a.pdf", "outside_root"), ("a.txt", "not_a_pdf"), (None, "path_required")}
 
 
+def test_paths_below_a_uri(spark):
+    paths = spark.createDataFrame([("a/./b.pdf",), ("../a.pdf",), ("/x/y/c.pdf",), ("/x/yz",), (None,)], "path string")
+    below = lambda root: [r[0] for r in paths.select(requests.resolved(F.col("path"), root)).collect()]
+    assert below("s3://h/x/y/") == ["s3://h/x/y/a/b.pdf", None, "s3://h/x/y/c.pdf", None, None]
+    assert below("s3://h") == ["s3://h/a/b.pdf", "s3://h/a.pdf", "s3://h/x/y/c.pdf", "s3://h/x/yz", None]
+    assert below("/x/y") == ["/x/y/a/b.pdf", None, "/x/y/c.pdf", None, None]
+
+
 def test_catalog(spark, tmp_path):
     catalog = Catalog(spark, str(tmp_path / "c"))
     catalog.create()

@@ -10,7 +10,7 @@ from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 import pytest
 from pyspark.sql import functions as F
 
-from fieldweave.operators import extract
+from fieldweave.operators import extract, requests
 from fieldweave.sources import files
 from fieldweave.streaming import uploads
 
@@ -60,6 +60,47 @@ def test_a_listing_opens_no_file(spark, tmp_path):
     assert {r["k"]: r["content"] and bytes(r["content"]) for r in files.with_bytes(wanted, batch_bytes=1).collect()} == {1: b"12345", 2: None, 3: None, 4: b"1"}
 
 
+def test_a_listing_has_empty_and_hidden_files(spark, tmp_path):
+    aside = tmp_path / f"_aside-{'0' * 32}"
+    for folder in (tmp_path / "_d" / ".e" / "f", tmp_path / "none", aside):
+        folder.mkdir(parents=True)
+    names = ["_a.pdf", ".b.pdf", "c.pdf", "_d/d.pdf", "_d/.e/f/e.pdf", "x._COPYING_"]
+    for name in names:
+        (tmp_path / name).write_bytes(b"")
+    (aside / "0").write_bytes(b"not yet there")
+    rows = files.listing(spark, f"file://{tmp_path}").collect()
+    assert sorted((r["path"], r["size"]) for r in rows) == sorted((f"{tmp_path}/{name}", 0) for name in names)
+    assert {r["path"]: r["modified"].timestamp() for r in rows}[f"{tmp_path}/c.pdf"] == pytest.approx((tmp_path / "c.pdf").stat().st_mtime, abs=1e-3)
+    with pytest.raises(Exception, match="FileNotFoundError"):
+        files.listing(spark, f"{tmp_path}/gone").collect()
+
+
+def test_a_listing_is_not_sent_to_every_task(spark, tmp_path):
+    """By what is measured of the files, not of the folders."""
+    (tmp_path / "d").mkdir()
+    for k in range(3000):
+        (tmp_path / "d" / f"{k}.pdf").touch()
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "64k")
+    try:
+        wanted = spark.range(6000).select(F.concat(F.lit("d/"), F.col("id").cast("string"), F.lit(".pdf")).alias("path"))
+        rows = requests.checked_files(wanted, files.listing(spark, str(tmp_path)), str(tmp_path))
+        assert sorted(r["status"] for r in rows.collect()) == [200] * 3000 + [404] * 3000
+        assert "BroadcastHashJoin" not in rows._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_an_upload_leaves_an_empty_file_that_is_there(spark, tmp_path):
+    inbox, root = tmp_path / "in", tmp_path / "root"
+    for folder in (inbox, root / "inputs"):
+        folder.mkdir(parents=True)
+    (root / "inputs" / "a.pdf").write_bytes(b"")
+    (inbox / "a.pdf").write_bytes(b"A")
+    uploads.land_uploads(uploads.read_uploads(spark, str(inbox)), str(root), str(tmp_path / "landings"), str(tmp_path / "checkpoint"), at=F.lit("2025-01-02 03:04:05").cast("timestamp_ntz")).awaitTermination()
+    assert {p.name: p.read_bytes() for p in (root / "inputs").iterdir() if not p.name.startswith(".")} == {"a.pdf": b"", "a_20250102_030405.pdf": b"A"}
+
+
 class Model(BaseHTTPRequestHandler):
     """Answers by what the prompt says; counts calls and how many are open at once."""
 
